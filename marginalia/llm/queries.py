@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_orc
+from . import simhash_dedup, token_orc
 
 QUERIES = {
     "op3_token_orc": token_orc.query,
+    "op10_simhash_dedup": simhash_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
