@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, token_orc
+from . import line_quality, simhash_dedup, token_orc
 
 QUERIES = {
     "op3_token_orc": token_orc.query,
+    "op7_line_quality": line_quality.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 
