@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_quality, simhash_dedup, token_orc
+from . import line_quality, secret_scan, simhash_dedup, source_mix, token_orc
 
 QUERIES = {
     "op3_token_orc": token_orc.query,
+    "op5_source_mix": source_mix.query,
+    "op6_secret_scan": secret_scan.query,
     "op7_line_quality": line_quality.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mix": source_mix.ORACLE_SQL,
+}
