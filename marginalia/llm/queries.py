@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_quality, secret_scan, simhash_dedup, source_mix, template_decontam, token_orc
+from . import line_quality, secret_scan, simhash_dedup, source_mix, template_decontam, token_orc, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_template_decontam": template_decontam.query,
     "op3_token_orc": token_orc.query,
     "op5_source_mix": source_mix.query,
