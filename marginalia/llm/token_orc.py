@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,51 +29,78 @@ END_ID = 1
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class WordIds(dict):
-    """Ids of a white-space-free piece of text, by its bytes.
+class WordIds:
+    """Ids of white-space-free pieces of text, by their bytes; ids are kept as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces, one after the
     other. A piece with punctuation around letters or digits is looked up in three parts, since the tokenizer splits
     there too; pieces with an apostrophe (contractions) or "<|" (special tokens) are always encoded as they stand.
+    What a batch of texts lacks is encoded together, parted by a special token, and kept until ``limit`` is reached.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 400_000):
+    PART = "<|endoftext|>"
+
+    def __init__(self, tokenizer_path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.limit, self.cores = Tokenizer.from_file(tokenizer_path), limit, {}
-
-    def _encode(self, piece: bytes) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
-
-    def _core(self, core: bytes) -> tuple[int, ...]:
-        ids = self.cores.get(core)
-        if ids is None:
-            if len(self.cores) >= self.limit:
-                self.cores.clear()
-            ids = self.cores[core] = self._encode(core)
-        return ids
-
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        core = piece.strip(PUNCTUATION)
-        if b"'" in piece or b"<|" in piece or not core:
-            ids = self._encode(piece)
-        else:
-            text = core.decode()
-            if text[0].isalnum() and text[-1].isalnum():
-                at = piece.index(core)
-                before, after = piece[:at], piece[at + len(core) :]
-                ids = self._core(core.lower() if text.isascii() else core)
-                ids = (self._core(before) if before else ()) + ids + (self._core(after) if after else ())
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.part = self.tokenizer.token_to_id(self.PART)
+
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(parts), 256):
+            some = [p.decode() for p in parts[at : at + 256]]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.PART.join(some)], add_special_tokens=False)[0].ids, "<i4")
+            cuts = [-1, *np.flatnonzero(ids == self.part).tolist(), len(ids)]
+            data = ids.tobytes()
+            out += [data[4 * a + 4 : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """A lower-cased core is a piece too, and is kept as one."""
+        known, plain, parted, special = self.known, set(), [], []
+        for piece in missing:
+            core = piece.strip(PUNCTUATION)
+            if core == piece or not core or b"'" in piece:
+                if b"<|" in piece:
+                    special.append(piece)
+                elif (low := piece.lower()) == piece or not piece.isascii():
+                    plain.add(piece)
+                else:
+                    plain.add(low)
+                    parted.append((piece, b"", low, b""))
+            elif b"<|" in piece:
+                special.append(piece)
             else:
-                ids = self._encode(piece)
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def ids(self, text: bytes) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int32)
+                text = core.decode()
+                if text[0].isalnum() and text[-1].isalnum():
+                    before, after = piece.split(core, 1)
+                    core = core.lower() if text.isascii() else core
+                    plain.update((before, core, after))
+                    parted.append((piece, before, core, after))
+                else:
+                    plain.add(piece)
+        new = list(plain - known.keys())
+        known.update(zip(new, self._encode(new), strict=True))
+        for piece, before, core, after in parted:
+            known[piece] = known[before] + known[core] + known[after]
+        for piece in special:
+            known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<i4").tobytes()
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 200):  # bounds what is split at once
+            if len(self.known) > self.limit:
+                self.known = {b"": b""}
+            words = [t.split() for t in texts[at : at + 200]]
+            ids = [list(map(self.known.get, w)) for w in words]
+            short = [i for i, x in enumerate(ids) if None in x]
+            self._learn({w for i in short for w, x in zip(words[i], ids[i], strict=True) if x is None})
+            for i in short:
+                ids[i] = map(self.known.__getitem__, words[i])
+            out += map(b"".join, ids)
+        return out
 
 
 _words: dict[str, WordIds] = {}
@@ -94,13 +120,12 @@ def encode(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, start = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.int32)
+        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            ids = [np.append(words.ids(t.as_py() or b""), end) for t in texts]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids = [x + end for x in words.ids(batch.column("text").cast(pa.binary()).to_pylist())]
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             ends = np.cumsum(n)
-            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -130,13 +155,14 @@ def write_orc(encoded: DataFrame, path: str, stripe_bytes: int = 64 << 20, row_s
     )
 
 
-def read_orc(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids."""
+def read_orc(spark: SparkSession, path: str, sums: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids. sums: ids_crc32 in place of ids."""
     rows = spark.read.orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
+    rows = checksums(rows) if sums else rows
+    totals = spark.read.orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return rows.join(offsets, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    return rows.join(offsets, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32" if sums else "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
@@ -160,15 +186,15 @@ def checksums(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def tokens_to_orc(documents: DataFrame, tokenizer_path: str, path: str) -> DataFrame:
+def tokens_to_orc(documents: DataFrame, tokenizer_path: str, path: str, sums: bool = False) -> DataFrame:
     """Encode, write, and what the files then hold."""
     write_orc(encode(documents, tokenizer_path), path)
-    return read_orc(documents.sparkSession, path)
+    return read_orc(documents.sparkSession, path, sums)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = common.shared_dir(spark, "op3-orc")
-    back = tokens_to_orc(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
-    return checksums(back).select("doc_id", "start", "n_tokens", "ids_crc32")
+    back = tokens_to_orc(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, sums=True)
+    return back.select("doc_id", "start", "n_tokens", "ids_crc32")
