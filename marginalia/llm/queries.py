@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_quality, secret_scan, simhash_dedup, source_mix, template_decontam, token_orc, warc
+from . import line_quality, secret_scan, simhash_dedup, source_mix, template_decontam, token_orc, url_models, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_template_decontam": template_decontam.query,
     "op3_token_orc": token_orc.query,
+    "op4_url_models": url_models.query,
     "op5_source_mix": source_mix.query,
     "op6_secret_scan": secret_scan.query,
     "op7_line_quality": line_quality.query,

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -45,22 +47,46 @@ class WordIds:
 
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
         self.known: dict[bytes, bytes] = {b"": b""}
-        self.part = self.tokenizer.token_to_id(self.PART)
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.ends_word = np.array([t.endswith("</w>") for t in tokens])
+        self.is_part = np.array([t == self.PART for t in tokens])
 
     def _encode(self, parts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(parts), 256):
             some = [p.decode() for p in parts[at : at + 256]]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.PART.join(some)], add_special_tokens=False)[0].ids, "<i4")
-            cuts = [-1, *np.flatnonzero(ids == self.part).tolist(), len(ids)]
-            data = ids.tobytes()
-            out += [data[4 * a + 4 : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if not all(map(self._is_one, some)) or (made := self._cut(some, " ", self.ends_word)) is None:
+                made = self._cut(some, self.PART, self.is_part)
+            out += made
         return out
 
+    @staticmethod
+    def _is_one(part: str) -> bool:
+        """Letters only, which the tokenizer takes as one word: the last of its ids, and no other, ends a word."""
+        return part.isalpha()
+
+    def _cut(self, parts: list[str], between: str, is_end: np.ndarray) -> list[bytes] | None:
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(parts)], add_special_tokens=False)[0].ids, "<i4")
+        ends, data = np.flatnonzero(is_end[ids]), ids.tobytes()
+        if between == " ":
+            if len(ends) != len(parts):
+                return None
+            cuts = [0, *(4 * (ends + 1)).tolist()]
+            return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        cuts = [-1, *ends.tolist(), len(ids)]
+        return [data[4 * a + 4 : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _learn(self, missing: set[bytes]) -> None:
         """A lower-cased core is a piece too, and is kept as one."""
         known, plain, parted, special = self.known, set(), [], []
+        letters = set()
         for piece in missing:
+            if piece.isalpha():  # ASCII letters, as most pieces are
+                low = piece.lower()
+                letters.add(low)
+                if low != piece:
+                    parted.append((piece, b"", low, b""))
+                continue
             core = piece.strip(PUNCTUATION)
             if core == piece or not core or b"'" in piece:
                 if b"<|" in piece:
@@ -77,12 +103,14 @@ class WordIds:
                 if text[0].isalnum() and text[-1].isalnum():
                     before, after = piece.split(core, 1)
                     core = core.lower() if text.isascii() else core
-                    plain.update((before, core, after))
+                    plain.update((before, after))
+                    (letters if text.isalpha() else plain).add(core)
                     parted.append((piece, before, core, after))
                 else:
                     plain.add(piece)
-        new = list(plain - known.keys())
-        known.update(zip(new, self._encode(new), strict=True))
+        for some in (letters, plain):
+            new = list(some - known.keys())
+            known.update(zip(new, self._encode(new), strict=True))
         for piece, before, core, after in parted:
             known[piece] = known[before] + known[core] + known[after]
         for piece in special:
@@ -96,9 +124,11 @@ class WordIds:
             words = [t.split() for t in texts[at : at + 200]]
             ids = [list(map(self.known.get, w)) for w in words]
             short = [i for i, x in enumerate(ids) if None in x]
-            self._learn({w for i in short for w, x in zip(words[i], ids[i], strict=True) if x is None})
+            self._learn({w for i in short for w in compress(words[i], map(not_, ids[i]))})
             for i in short:
-                ids[i] = map(self.known.__getitem__, words[i])
+                w, x = words[i], ids[i]
+                for k in compress(range(len(x)), map(not_, x)):
+                    x[k] = self.known[w[k]]
             out += map(b"".join, ids)
         return out
 
