@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_quality, secret_scan, simhash_dedup, source_mix, template_decontam, token_orc, url_models, warc
+from . import language_id, line_quality, pii_disclosure, secret_scan, simhash_dedup, source_mix, template_decontam, token_orc, url_models, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.query,
     "op7_line_quality": line_quality.query,
     "op8_language_id": language_id.query,
+    "op9_pii_disclosure": pii_disclosure.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 
