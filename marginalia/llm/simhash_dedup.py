@@ -126,7 +126,7 @@ def links(nodes: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of edges (a, b): root is the smallest node that it reaches.
+    """(node, root) for each node of edges (a, b) but the roots: root is the smallest node that it reaches.
 
     Large-star, then small-star, each as a minimum by node and a join with it, until nothing changes; every step is
     written, so joins at a hub start from plain scans and can be split.
