@@ -63,15 +63,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, key (of the text) and fp, the fingerprint as a signed long."""
     common.small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py() or b"", size) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "key", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
+    return documents.select("doc_id", common.text_key().alias("key"), "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 def linked_stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -149,23 +149,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = 3, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the component) for every row."""
+    """doc_id, key, fp and component_id (the smallest doc_id of the component) for every row."""
     rows = common.spool(fingerprints(documents, size), "fingerprints")
     nodes = common.spool(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), radius, block))
     known = common.spool(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = common.spool(known.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = common.spool(known.join(ids, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def deduplicate(documents: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """Of each component the rows with its smallest doc_id stay, repeated rows once; one without any doc_id stays whole."""
     found = near_duplicates(documents, size, radius)
-    drop = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
-    kept = documents.join(drop, documents["doc_id"].eqNullSafe(drop["gone"]), "left_anti")
-    copy = F.row_number().over(Window.partitionBy("doc_id", common.text_key()).orderBy("doc_id"))
-    return kept.withColumn("__copy", copy).where("__copy = 1").drop("__copy")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone"), "key").distinct()
+    rows = documents.withColumn("__key", common.text_key())
+    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone"]) & (rows["__key"] == gone["key"]), "left_anti")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
+    return kept.withColumn("__copy", copy).where("__copy = 1").drop("__copy", "__key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
