@@ -180,7 +180,7 @@ def term_counts(documents: DataFrame, chosen: bytes, bits: int = BITS) -> DataFr
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = set((text or b"").split())
-                for word in words - known.keys():
+                for word in [w for w in words if w not in known]:
                     term = term_of(word.decode("utf-8", "replace"))
                     h = signed_hash(term) if term else None
                     known[word] = h if h is not None and is_set[h & (bits - 1)] else None

@@ -109,7 +109,7 @@ class WordIds:
                 else:
                     plain.add(piece)
         for some in (letters, plain):
-            new = list(some - known.keys())
+            new = [x for x in some if x not in known]
             known.update(zip(new, self._encode(new), strict=True))
         for piece, before, core, after in parted:
             known[piece] = known[before] + known[core] + known[after]
