@@ -30,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def quality_weight(size: Column) -> Column:
     """1 for texts with 4 to 12 characters a word, white space included; 0.25 for others (lists, runs of symbols)."""
-    per_word = F.length("text") / size
+    per_word = F.try_divide(F.length("text"), size)  # a text without words has none
     return F.when(per_word.between(4, 12), F.lit(1.0)).otherwise(F.lit(0.25))
 
 
