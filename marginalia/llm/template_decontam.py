@@ -36,6 +36,7 @@ UNITS = frozenset(
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros percent degree degrees watt watts volt volts joule joules".split()
 )
+BYTE_UNITS = frozenset(u.encode() for u in UNITS)
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NUMBER = re.compile(rb"[$+-]*[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
 _MIXED = re.compile(rb"([0-9][0-9.,]*)([a-z]+)")
@@ -62,33 +63,43 @@ class Templates:
     SLOTS = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
 
     def __init__(self, limit: int = 800_000):
+        import xxhash
+
+        self.slot_codes = {kind: xxhash.xxh64_intdigest(slot) | 1 for kind, slot in self.SLOTS.items()}
         self.limit, self.numbers = limit, {}
         self.first, self.inner, self.last = np.zeros(limit, np.uint64), np.zeros(limit, np.uint64), np.zeros(limit, bool)
 
-    def _learn(self, word: bytes) -> None:
-        import xxhash
+    def _learn(self, words: set[bytes]) -> None:
+        from xxhash import xxh64_intdigest as digest
 
-        if len(self.numbers) == len(self.first):  # one text with more words than the limit
+        n = len(self.numbers)
+        while n + len(words) > len(self.first):  # one text with more words than the limit
             self.first, self.inner, self.last = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.last))
-        n = self.numbers[word] = len(self.numbers)
-        bare = word.strip(EDGE)
-        for inside, codes in ((False, self.first), (True, self.inner)):
-            kind = kind_of(word, inside)
-            text = self.SLOTS.get(kind) or bare.decode("utf-8", "replace").lower()
-            # the low bit of a slot is set; 0 is left for words of punctuation only
-            codes[n] = xxhash.xxh64_intdigest(text) & ~1 | (kind != PLAIN) if bare else 0
-        self.last[n] = word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
+        unit, name = self.slot_codes[UNIT], self.slot_codes[NAME]
+        first, inner, last = [], [], []
+        for word in words:
+            last.append(word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"))
+            bare = word.strip(EDGE)
+            if bare.isalpha():  # ASCII letters, as most words are: no number, and a name only by its capital
+                low = bare.lower()
+                is_unit = low in BYTE_UNITS
+                code = unit if is_unit else digest(low) & ~1
+                first.append(code)
+                inner.append(name if low != bare and not is_unit and bare[1:].islower() else code)
+                continue
+            for inside, codes in ((False, first), (True, inner)):
+                # the low bit of a slot is set; 0 is left for words of punctuation only
+                codes.append((self.slot_codes.get(kind_of(word, inside)) or digest(bare.decode("utf-8", "replace").lower()) & ~1) if bare else 0)
+        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
+        self.first[n : n + len(words)], self.inner[n : n + len(words)], self.last[n : n + len(words)] = first, inner, last
 
     def codes(self, words: list[bytes], line_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """uint64 codes of the words that are not punctuation only, and their positions."""
         if len(self.numbers) > self.limit // 2:
             self.numbers.clear()
-        found = list(map(self.numbers.get, words))
-        if None in found:
-            for word in {w for w, x in zip(words, found, strict=True) if x is None}:
-                self._learn(word)
-            found = list(map(self.numbers.get, words))
-        numbers = np.array(found, np.int64)
+        if missing := set(words).difference(self.numbers):
+            self._learn(missing)
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         last = self.last[numbers]
         start = np.zeros(len(words), bool)
         start[1:] = last[:-1]
