@@ -1,4 +1,5 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing.
+"""Near-duplicates: by SimHash with covering locality-sensitive hashing (``fingerprint_groups``, op10), and by the Jaccard
+similarity of word shingles (``near_duplicates``, which ``deduplicate`` and the pipeline's stage go by).
 
 A fingerprint has a bit for each of 64 positions, set where more than half of the shingle hashes have it. Two fingerprints
 link at ``radius`` or fewer differing bits. Table v keeps the bits i with <m(i), v> = 1 over GF(2), where m(i) are non-zero
@@ -9,14 +10,19 @@ Copies never meet as pairs: equal fingerprints are one node. Buckets of two are
 cut into blocks of ``block`` members, every two blocks are compared in some task, and a task returns a star for each group
 that it finds linked, not its pairs. Links are joined into components by alternating large-star and small-star steps.
 
-Nulls and ties: a null or empty text, or one of white space only, has fingerprint 0 and links like any other; fewer words
-than a shingle has make one shingle. A null doc_id never is a component's id, unless all of its ids are null. Repeated
+``near_duplicates`` links texts whose sets of 5-word shingles have a Jaccard similarity of 80 % or more. Candidates agree on the 5
+MinHash values of one of 32 bands and differ in at most 28 of 128 one-bit MinHash values; a pair at 80 % is missed by all bands
+with probability (1 - 0.8^5)^32 = 3e-6, and by the bits with 2e-5, so recall is high and not certain. The candidates'
+components bound the work: the shingle sets of each are compared exactly, all with all, in blocks as above.
+
+Nulls and ties: a null or empty text, or one of white space only, has fingerprint 0 (in ``near_duplicates``, the one shingle of no words)
+and links like any other; fewer words than a shingle has make one shingle. A null doc_id never is a component's id, unless all of its ids are null. Repeated
 rows are each returned. An empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,10 @@ from . import common
 
 SEED = 42
 BLOCK = 1024
+PERCENT, WORDS, ROWS, BANDS, BITS = 80, 5, 5, 32, 28
+_rng = np.random.default_rng(SEED)
+TIMES, PLUS = (_rng.integers(0, 2**64, ROWS * BANDS, np.uint64) | np.uint64(1), _rng.integers(0, 2**64, ROWS * BANDS, np.uint64))
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
@@ -40,21 +50,28 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: bytes, size: int = 3) -> int:
-    """Of UTF-8; A-Z are lower-cased, words are split at ASCII white space."""
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Of each window of size words, or of all words if they are fewer."""
     import xxhash
 
-    words = text.lower().split()  # bytes.lower() changes A-Z only
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: bytes, size: int = 3) -> int:
+    """Of UTF-8; A-Z are lower-cased, words are split at ASCII white space."""
+    words = text.lower().split()  # bytes.lower() changes A-Z only
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, size)
+    if len(words) <= size:
+        return int(hashes[0])
     # one count for each bit: over blocks, so that a very long text needs little memory
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
@@ -148,20 +165,155 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(documents: DataFrame, size: int = 3, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """doc_id, key, fp and component_id (the smallest doc_id of the component) for every row."""
-    rows = common.spool(fingerprints(documents, size), "fingerprints")
-    nodes = common.spool(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, block))
+def component_ids(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, key, fp and component_id of rows. nodes: fp and least, its smallest doc_id."""
+    roots = components(edges)
     known = common.spool(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = common.spool(known.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = common.spool(known.join(ids, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def deduplicate(documents: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """Of each component the rows with its smallest doc_id stay, repeated rows once; one without any doc_id stays whole."""
-    found = near_duplicates(documents, size, radius)
+def fingerprint_groups(documents: DataFrame, size: int = 3, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """doc_id, key, fp and component_id (the smallest doc_id of the component) for every row."""
+    rows = common.spool(fingerprints(documents, size), "fingerprints")
+    nodes = common.spool(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    return component_ids(rows, nodes, links(nodes.select("fp"), radius, block))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash values; over blocks, so that a very long text needs little memory."""
+    out = np.full(ROWS * BANDS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(out, (TIMES[:, None] * hashes[at : at + 1024] + PLUS[:, None]).min(axis=1), out=out)
+    return out
+
+
+def sketches(documents: DataFrame, size: int = WORDS) -> DataFrame:
+    """doc_id, key (of the text), fp (a hash of the words), s0 and s1 (one-bit MinHash values), bands (a hash of each)."""
+    import xxhash
+
+    common.small_batches(documents.sparkSession)
+    names = ["doc_id", "key", "fp", "s0", "s1", "bands"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t.as_py() or b"").lower().split() for t in batch.column("text").cast(pa.binary())]
+            fps = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64)
+            least = np.array([minima(shingle_hashes(w, size)) for w in words], np.uint64).reshape(-1, ROWS * BANDS)
+            bits = np.packbits((least[:, :128] * MIX >> np.uint64(63)).astype(bool), axis=1).view(np.int64)
+            bands = (least.reshape(-1, BANDS, ROWS) * TIMES[:ROWS]).sum(axis=2, dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps.view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists], names)
+
+    return documents.select("doc_id", common.text_key().alias("key"), "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, fp long, s0 long, s1 long, bands array<bigint>")
+
+
+def stars(fps: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """(first, other) for each group that links join. near(i, others) tells which of others link to i."""
+    left, out = np.ones(len(fps), bool), []
+    for i in range(len(fps)):
+        if not left[i]:
+            continue
+        left[i], front = False, [i]
+        while front and len(rest := np.flatnonzero(left)):
+            found = rest[near(front.pop(), rest)]
+            left[found] = False
+            out += [(int(fps[i]), int(fps[j])) for j in found]
+            front += found.tolist()
+    return out
+
+
+def alike(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
+    """Stars of rows (fp, s0, s1) that differ in at most so many bits."""
+    s = np.ascontiguousarray(fps[:, 1:]).view(np.uint64)
+    return stars(fps[:, 0], lambda i, rest: np.bitwise_count(s[rest] ^ s[i]).sum(axis=1, dtype=np.int64) <= bits)
+
+
+def overlapping(fps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Stars of sets whose Jaccard similarity is so many percent or more."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    starts = np.cumsum(sizes) - sizes
+    marked = np.zeros(codes.max() + 1, bool)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        shared = np.add.reduceat(marked[codes], starts, dtype=np.int64)[rest]
+        marked[own] = False
+        return 100 * shared >= percent * (sizes[i] + sizes[rest] - shared)
+
+    return stars(fps, near)
+
+
+def in_cells(rows: DataFrame, group: list[str], carried: list[str], compare: Callable[[pa.Table], list[tuple[int, int]]], block: int) -> DataFrame:
+    """a and b, from compare over the members of each group; above block members (n), over every two blocks of them."""
+    cut = rows.withColumn("of", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "of").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
+    cells = cut.select(*group, *carried, "own", other).select(*group, *carried, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cell = [*group, "i", "j"]
+
+    def found(groups: list[pa.Table]) -> pa.RecordBatch:
+        pairs = np.array([p for g in groups if len(g) > 1 for p in compare(g)], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            keys = np.stack([rest.column(c).to_numpy().astype(np.int64) for c in cell], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            if len(cuts) > 1:
+                yield found([rest.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False)])
+                rest = rest.slice(cuts[-1])
+        if rest is not None and len(rest):
+            yield found([rest])
+
+    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long")
+
+
+def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a and b: links enough to join every two fp of a band whose bits are alike. nodes: distinct fp, with s0, s1, bands."""
+    rows = nodes.select("fp", "s0", "s1", F.posexplode("bands").alias("t", "band"))
+    # of two members, the exclusive or of s0 is what they differ in
+    buckets = rows.groupBy("t", "band").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("s0").alias("x0"), F.bit_xor("s1").alias("x1"))
+    buckets = common.spool(buckets.where("n > 1"), "bands")
+    two = buckets.where(f"n = 2 and bit_count(x0) + bit_count(x1) <= {BITS}").select("a", "b")
+    large = rows.join(buckets.where("n > 2").select("t", "band", "n"), ["t", "band"])
+    met = in_cells(large, ["t", "band"], ["fp", "s0", "s1"], lambda g: alike(np.stack([g.column(c).to_numpy() for c in ("fp", "s0", "s1")], axis=1)), block)
+    return two.union(met).distinct()
+
+
+def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, key, fp and component_id for every row: components by exact Jaccard similarity of the candidates' shingles."""
+    rows = common.spool(sketches(documents, size), "sketches")
+    nodes = common.spool(rows.dropDuplicates(["fp"]), "sketch-nodes")
+    near = components(candidates(nodes, block))
+    members = common.spool(near.select(F.col("node").alias("fp"), "root").union(near.select("root", "root").distinct()), "candidates")
+    members = members.join(members.groupBy("root").agg(F.count("*").alias("n")), "root")
+    chosen = common.spool(nodes.select("fp", F.col("doc_id").alias("d"), F.col("key").alias("k")).join(members, "fp"), "candidate-texts")
+    texts = documents.select("doc_id", common.text_key().alias("key"), "text")
+    texts = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["d"]) & (texts["key"] == chosen["k"])).select("root", "n", "fp", "text").dropDuplicates(["fp"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes((t.as_py() or b"").lower().split(), size)).tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "n", "fp")), pa.array(found, pa.binary())], ["root", "n", "fp", "shingles"])
+
+    def compare(group: pa.Table) -> list[tuple[int, int]]:
+        return overlapping(group.column("fp").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")], percent)
+
+    shingled = texts.mapInArrow(sets, "root long, n long, fp long, shingles binary")
+    edges = in_cells(shingled, ["root"], ["fp", "shingles"], compare, block)
+    least = common.spool(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    return component_ids(rows.select("doc_id", "key", "fp"), least, edges)
+
+
+def deduplicate(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Of each component of similar texts the rows with its smallest doc_id stay, repeated rows once; one without any doc_id stays whole."""
+    found = near_duplicates(documents, size, percent)
     gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone"), "key").distinct()
     rows = documents.withColumn("__key", common.text_key())
     kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone"]) & (rows["__key"] == gone["key"]), "left_anti")
@@ -170,5 +322,5 @@ def deduplicate(documents: DataFrame, size: int = 3, radius: int = 3) -> DataFra
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(common.table(spark, sf_dir, "documents"))
+    found = fingerprint_groups(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

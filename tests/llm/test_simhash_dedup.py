@@ -76,3 +76,61 @@ def test_edges(spark):
     kept = sd.deduplicate(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "7", "9", "None"]
     assert sd.near_duplicates(docs.limit(0)).count() == 0
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def jaccard_groups(texts, ids):
+    """Smallest id by brute force: pairs with 80 % or more of their 5-word shingles in common, joined."""
+    sets, root, have = [shingles(t) for t in texts], list(range(len(texts))), {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        seen = {}
+        for w in s:
+            for j in have.setdefault(w, []):
+                seen[j] = seen.get(j, 0) + 1
+            have[w].append(i)
+        for j, n in seen.items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [least[find(i)] for i in range(len(texts))]
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, passage = [], " ".join(word() for _ in range(40))
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice((12, 60, 300)))]
+        for _ in range(5):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.choice((0, 1, 1, 2, 5)) * len(base) // 100 + rng.choice((0, 1))):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base[: len(base) // 2]) + " " + passage)
+    ids = list(range(len(texts)))
+    want = jaccard_groups(texts, ids)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    for block in (1024, 3):
+        assert {r["doc_id"]: r["component_id"] for r in sd.near_duplicates(docs, block=block).collect()} == dict(zip(ids, want, strict=True))
+    assert sorted(r["doc_id"] for r in sd.deduplicate(docs).collect()) == sorted(set(want))
+    apart = {r["doc_id"]: r["component_id"] for r in sd.fingerprint_groups(docs).collect()}
+    assert any(apart[i] != apart[c] for i, c in zip(ids, want, strict=True))  # what op10's radius does not join
+
+
+def test_documents_by_jaccard(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf[:-3]}01/documents.parquet").collect()]
+    ids, texts = zip(*rows, strict=True)
+    got = {r["doc_id"]: r["component_id"] for r in sd.near_duplicates(spark.read.parquet(f"{sf[:-3]}01/documents.parquet")).collect()}
+    assert got == dict(zip(ids, jaccard_groups(texts, ids), strict=True))
