@@ -2,9 +2,9 @@
 
 Base rules look at one text: too few words, or too many words in repeated 5-word windows. The method looks across
 documents: a line is lower-cased, its white space collapsed and its digits made 0, then hashed; for each host the documents
-that have it are counted (exact copies of a text are one document). A line above the host's limit, which is the larger of
-``min_documents`` and ``share`` of the host's documents, is boilerplate: it goes from every document of the host but
-the first that has it (by doc_id), so one copy of a templated page always stays. A document that lost lines is depleted,
+that have it are counted (exact copies of a text are one document). A line in more than ``most_documents`` of a host, however
+large the host is, is boilerplate: it goes from every document of the host but the first that has it (by doc_id), so one
+copy of a templated page always stays. A document that lost lines is depleted,
 and rejected, if fewer than ``min_left`` words or less than ``min_left_share`` of its words are left.
 
 Nulls and ties: a null text has no words and fails the base rules; a null source is a host of its own; a null doc_id comes
@@ -27,7 +27,7 @@ from . import common
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-MIN_DOCUMENTS, SHARE, MIN_LEFT, MIN_LEFT_SHARE = 20, 0.05, 5, 0.2
+MOST_DOCUMENTS, MIN_LEFT, MIN_LEFT_SHARE = 10, 5, 0.2
 
 _DIGIT = re.compile(rb"[0-9]")
 
@@ -111,16 +111,13 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def decide(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, min_left: int = MIN_LEFT, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
+def decide(measured: DataFrame, most_documents: int = MOST_DOCUMENTS, min_left: int = MIN_LEFT, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
     """measured (a written table) without lines, with base_failed, n_removed (words), removed (hashes) and kept."""
     host = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    texts = measured.groupBy(host.alias("host"), "key").agg(F.min("doc_id").alias("first"))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(min_documents)), share * F.count("*")).alias("limit"))
     lines = measured.select(host.alias("host"), "key", "doc_id", F.explode("lines").alias("line")).select("host", "key", "doc_id", "line.h", "line.n")
     # rows of a line in copies of one text collapse first, and each task does so before the shuffle
     counts = lines.groupBy("host", "h", "key").agg(F.min("doc_id").alias("first")).groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
-    often = counts.where(F.col("documents") > min_documents).join(limits, "host").where("documents > limit")
-    frequent = common.spool(often.select("host", "h", "first"), "frequent-lines")
+    frequent = common.spool(counts.where(F.col("documents") > most_documents).select("host", "h", "first"), "frequent-lines")
     gone = lines.join(frequent, ["host", "h"]).where("not (doc_id <=> first)")
     by_doc = common.spool(gone.groupBy("doc_id", "key", "host").agg(F.sum("n").alias("n_removed"), F.collect_set("h").alias("removed")), "removed-lines")
     rows = measured.drop("lines").withColumn("host", host)
@@ -136,7 +133,7 @@ def judge(documents: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame) -> DataFrame:
-    """The documents kept, without their lines above limits; columns as they came (n_chars, if there, is counted anew)."""
+    """The documents kept, without their lines above the limit; columns as they came (n_chars, if there, is counted anew)."""
     verdicts = common.spool(judge(documents).where("kept").select("doc_id", "source", "key", "removed").dropDuplicates(["doc_id", "source", "key"]), "line-verdicts")
     rows = documents.withColumn("__key", common.text_key())
     same = rows["doc_id"].eqNullSafe(verdicts["doc_id"]) & rows["source"].eqNullSafe(verdicts["source"]) & (rows["__key"] == verdicts["key"])

@@ -51,3 +51,14 @@ def test_boilerplate_goes_and_depleted_documents_are_rejected(spark):
     assert not any(got[100 + i]["kept"] for i in range(5)) and got[200]["kept"]
     cleaned = {r["doc_id"]: r["text"] for r in line_quality.clean(docs).collect()}
     assert cleaned[1] == words(1, 26) and cleaned[0].startswith(menu) and set(cleaned) == {*range(60), 200}
+
+
+def test_limit_does_not_grow_with_the_host(spark):
+    own = lambda i: " ".join("".join(chr(97 + int(d)) for d in str(i)) + chr(97 + k) for k in range(15))
+    passage, rare = " ".join(f"passage{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "a line of ten documents only here"
+    text = lambda i: "\n".join([own(i)] + [passage] * (i < 11) + [rare] * (20 <= i < 30))
+    rows = [(i, text(i), "en", "hot", 0, "x") for i in range(1500)]  # 5 % would be 75 documents
+    rows += [(2000, f"{passage}\n{own(2000)}", "en", "hot", 0, "x"), (2001, f"{passage}\nb c", "en", "hot", 0, "x"), (2002, f"{passage}\nb c", "en", "other", 0, "x")]
+    got = {r["doc_id"]: r for r in line_quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 60 for i in (*range(1, 11), 2000, 2001))
+    assert all(got[i]["n_removed"] == 0 and got[i]["kept"] for i in (*range(11, 1500), 2002)) and not got[2001]["kept"]
