@@ -10,7 +10,8 @@ the share of the entity's information that the term carries (1: whoever sees the
 ``generalise`` or more become "<term>", at ``remove`` or more they go; a pair counts if ``support`` different texts have it.
 
 Only terms that stand near some entity are counted over all documents: a bit map of fixed size tells the counting tasks
-which words may matter, and the exact counts are joined afterwards.
+which words may matter, and the exact counts are joined afterwards. All four counts are of different texts: a second bit map
+tells which texts may have copies, and the terms of these are counted by text.
 
 Nulls and ties: a null text is empty; rows with the same doc_id and text are the same text, and get the same spans. Equal
 spans of two kinds stay both, in the order of kinds. An empty table gives an empty result. Other columns are ignored, or
@@ -169,24 +170,35 @@ def find(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def term_counts(documents: DataFrame, chosen: bytes, bits: int = BITS) -> DataFrame:
-    """t and n: how many texts have the term, for terms whose bit is set."""
-    sent = documents.sparkSession.sparkContext.broadcast(chosen)  # bits / 8 bytes, whatever the input
+def term_counts(documents: DataFrame, chosen: bytes, copied: bytes, bits: int = BITS) -> DataFrame:
+    """t and n: how many different texts have the term, for terms whose bit is set. copied: bits of the texts with copies."""
+    sent = documents.sparkSession.sparkContext.broadcast((chosen, copied))  # 2 bits / 8 bytes, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_set = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool)
+        is_set, is_copied = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").view(bool) for x in sent.value)
         known: dict[bytes, int | None] = {}  # raw word -> term hash, None for what does not count
         counts: dict[int, int] = {}
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            keys = batch.column("key").to_pylist()
+            by_text: list[tuple[int, int]] = []
+            for key, text in zip(keys, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words = set((text or b"").split())
                 for word in [w for w in words if w not in known]:
                     term = term_of(word.decode("utf-8", "replace"))
                     h = signed_hash(term) if term else None
                     known[word] = h if h is not None and is_set[h & (bits - 1)] else None
                 for h in set(map(known.__getitem__, words)):
-                    if h is not None:
+                    if h is None:
+                        continue
+                    if is_copied[key & (bits - 1)]:
+                        by_text.append((key, h))
+                    else:
                         counts[h] = counts.get(h, 0) + 1
+                if len(by_text) > 200_000:
+                    yield of_texts(by_text)
+                    by_text = []
+            if by_text:
+                yield of_texts(by_text)
             if len(known) > 400_000:
                 known.clear()
             if len(counts) > 200_000:
@@ -196,9 +208,14 @@ def term_counts(documents: DataFrame, chosen: bytes, bits: int = BITS) -> DataFr
             yield flushed(counts)
 
     def flushed(counts: dict[int, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.int64()), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["key", "t", "n"])
 
-    return documents.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    def of_texts(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        keys, terms = np.array(pairs, np.int64).T
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(terms), pa.array(np.ones(len(pairs), np.int64))], ["key", "t", "n"])
+
+    counted = documents.select(common.text_key().alias("key"), "text").mapInArrow(run, "key long, t long, n long").groupBy("key", "t").agg(F.sum("n").alias("n"))
+    return counted.groupBy("t").agg(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(1)).alias("n"))
 
 
 def bit_map(terms: DataFrame, bits: int = BITS) -> bytes:
@@ -211,13 +228,15 @@ def bit_map(terms: DataFrame, bits: int = BITS) -> bytes:
 
 def disclosures(documents: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """e, t and disclosure, of pairs at the threshold or above. found: the written result of find()."""
-    # copies of a text say nothing new: texts are counted, not rows, where pairs are few
+    # copies of a text say nothing new: texts are counted, not rows
     near = found.select("key", F.explode("near").alias("x")).select("key", "x.e", "x.t").distinct()
     pairs = common.spool(near.groupBy("e", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pii-pairs")
     n_e = found.select("key", F.explode("entities").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     n_e = common.spool(n_e.where(F.col("n_e") >= support), "pii-entities")
-    n_t = common.spool(term_counts(documents, bit_map(pairs)), "pii-terms").withColumnRenamed("n", "n_t")
-    total = found.count()
+    copies = common.spool(found.groupBy("key").agg(F.count("*").alias("n")), "pii-texts")
+    total = copies.count()
+    copied = bit_map(copies.where("n > 1").select(F.col("key").alias("t")))
+    n_t = common.spool(term_counts(documents, bit_map(pairs), copied), "pii-terms").withColumnRenamed("n", "n_t")
     score = F.try_divide(F.log(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e").cast("double"))), F.log(F.lit(float(total)) / F.col("n_e")))
     return pairs.join(n_e, "e").join(n_t, "t").select("e", "t", F.least(F.lit(1.0), score).alias("disclosure")).where(F.col("disclosure") >= generalise)
 

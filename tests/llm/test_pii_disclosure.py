@@ -66,3 +66,13 @@ def test_revealing_terms(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
     assert "zorb" not in clean[1] and "<email>" in clean[1] and clean[None] == "call <phone> now" and clean[1000] is None and clean[100] == rows[10][1]
     assert pii.detect(docs.limit(0)).count() == 0 and pii.sanitised(docs).columns == docs.columns
+
+
+def test_copies_change_no_span(spark):
+    rows = [(i, f"Write to zorblax at zorb@mail.example.com about case words{'abc'[i]} of the day", "x", "y") for i in range(3)]
+    rows += [(100 + i, f"Write to someone about the weather of the day at noon {chr(97 + i % 26)}q{chr(97 + i // 26)}", "x", "y") for i in range(300)]
+    copies = [(10_000 + 100 * d + k, text, "x", "y") for d, text, *_ in rows[:3] for k in range(100)]
+    spans = lambda rows: {r["doc_id"]: r["all"] for r in pii.detect(spark.createDataFrame(rows, SCHEMA)).collect()}
+    once, often = spans(rows), spans(rows + copies)
+    assert any(x["kind"] == "term" for x in once[0]) and {i: often[i] for i in once} == once
+    assert all(often[10_000 + 100 * d + k] == once[d] for d in range(3) for k in range(100))
