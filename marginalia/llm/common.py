@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +13,27 @@ from pyspark.sql import functions as F
 #: ASCII white space. bytes.split() splits at exactly these, which never occur inside a multi-byte character.
 WHITE = " \t\n\r\x0b\x0c"
 
+BATCH_BYTES = 32 << 20
+
 _own: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
+def _base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder, which only a local session can read everywhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: these operators write intermediate tables to a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         base = _own["dir"]
-    return f"{base.rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    return f"{_base(spark)}/marginalia/{name}-{uuid.uuid4().hex}"
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
@@ -29,21 +41,40 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     starts from plain scans, so AQE can split a skewed join on either side."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables spooled inside are deleted at the end: what is returned from inside must not read them any more."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def drop_spooled(spark: SparkSession) -> None:
     """Delete everything these operators wrote below the shared folder; earlier results can't be read afterwards."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
-    if base:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/marginalia")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{_base(spark)}/marginalia")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that go to Python, for tables with very long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches that go to Python, by rows and by bytes: a batch of long texts is cut sooner. Spark takes
+    both from the session, where they are only ever lowered."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +84,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(text: str = "text"):
     """64 bits that stand for a whole text; with doc_id they name a row, repeated rows included."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def unused(names: Iterable[str], name: str) -> str:
+    """A column name that a user's table does not have, in any case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

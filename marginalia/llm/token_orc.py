@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 END_ID = 1
+OTHER_SCRIPTS = "\u0530"  # Latin, Greek and Cyrillic letters are below
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -35,8 +36,9 @@ class WordIds:
     """Ids of white-space-free pieces of text, by their bytes; ids are kept as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces, one after the
-    other. A piece with punctuation around letters or digits is looked up in three parts, since the tokenizer splits
-    there too; pieces with an apostrophe (contractions) or "<|" (special tokens) are always encoded as they stand.
+    other. A piece with punctuation around ASCII letters or digits, or around letters that stay single letters in lower
+    case, is looked up in three parts, since the tokenizer splits there too; all other pieces (with marks, other scripts
+    or symbols, contractions, special tokens) are encoded by the library as they stand.
     What a batch of texts lacks is encoded together, parted by a special token, and kept until ``limit`` is reached.
     """
 
@@ -88,26 +90,29 @@ class WordIds:
                     parted.append((piece, b"", low, b""))
                 continue
             core = piece.strip(PUNCTUATION)
-            if core == piece or not core or b"'" in piece:
-                if b"<|" in piece:
-                    special.append(piece)
-                elif (low := piece.lower()) == piece or not piece.isascii():
-                    plain.add(piece)
-                else:
-                    plain.add(low)
-                    parted.append((piece, b"", low, b""))
-            elif b"<|" in piece:
+            if b"<|" in piece:
                 special.append(piece)
-            else:
+            elif not piece.isascii():
                 text = core.decode()
-                if text[0].isalnum() and text[-1].isalnum():
-                    before, after = piece.split(core, 1)
-                    core = core.lower() if text.isascii() else core
-                    plain.update((before, after))
-                    (letters if text.isalpha() else plain).add(core)
-                    parted.append((piece, before, core, after))
+                if core and (core == piece or b"'" not in piece) and text.isalpha() and text.lower().isalpha() and max(text) < OTHER_SCRIPTS:
+                    letters.add(core)
+                    if core != piece:
+                        before, after = piece.split(core, 1)
+                        plain.update((before, after))
+                        parted.append((piece, before, core, after))
                 else:
                     plain.add(piece)
+            elif core == piece or not (core[:1].isalnum() and core[-1:].isalnum()) or b"'" in piece:
+                low = piece.lower()
+                plain.add(low)
+                if low != piece:
+                    parted.append((piece, b"", low, b""))
+            else:
+                before, after = piece.split(core, 1)
+                low = core.lower()
+                plain.update((before, after))
+                (letters if low.isalpha() else plain).add(low)
+                parted.append((piece, before, low, after))
         for some in (letters, plain):
             new = [x for x in some if x not in known]
             known.update(zip(new, self._encode(new), strict=True))
