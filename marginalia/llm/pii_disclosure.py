@@ -1,17 +1,20 @@
 r"""Personal data, and the terms that reveal it.
 
 Base spans (email, ip, card, phone) come from patterns, each in one pass that stays linear on any text. The method then
-asks which words near an entity give it away: over the whole corpus it counts the texts with entity e, with term t, and
+asks which words give an entity away: over the whole corpus it counts the texts with entity e, with term t, and
 with t within ``near`` words of e, and takes
 
     disclosure = PMI(t; e) / IC(e) = log(n_te N / (n_t n_e)) / log(N / n_e)
 
 the share of the entity's information that the term carries (1: whoever sees the term knows the entity). Terms at
 ``generalise`` or more become "<term>", at ``remove`` or more they go; a pair counts if ``support`` different texts have it.
+A disclosing term is found wherever it stands in a text that holds its entity, near it or not.
 
-Only terms that stand near some entity are counted over all documents: a bit map of fixed size tells the counting tasks
-which words may matter, and the exact counts are joined afterwards. All four counts are of different texts: a second bit map
-tells which texts may have copies, and the terms of these are counted by text.
+A term is a word without its edge punctuation and in lower case, that has a letter and two characters or more; words that
+touch a base span are none. Only terms that stand near some entity are counted over all documents: a bit map of fixed size
+tells the counting tasks which words may matter, and the exact counts are joined afterwards. All four counts are of
+different texts: a second bit map tells which texts may have copies, and the terms of these are counted by text. The
+occurrences of disclosing terms are found the same way: a bit map in the task, an exact join after it.
 
 Nulls and ties: a null text is empty; rows with the same doc_id and text are the same text, and get the same spans. Equal
 spans of two kinds stay both, in the order of kinds. An empty table gives an empty result. Other columns are ignored, or
@@ -21,6 +24,7 @@ passed through by ``sanitised``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, REACH, SUPPORT, GENERALISE, REMOVE, BITS = 6, 200, 3, 0.8, 0.95, 1 << 22
+NEAR, SUPPORT, GENERALISE, REMOVE, BITS = 6, 3, 0.8, 0.95, 1 << 22
 
 # The base kinds.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -41,6 +45,8 @@ IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What every base span has: an @, a + before a digit, or seven digits, dots, spaces and hyphens that begin and end with a digit.
+MAY_HOLD = r"@|\+[0-9]|[0-9][0-9. -]{5}[0-9]"
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -111,9 +117,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def term_of(word: str) -> str:
-    """A word as a term: lower case, without punctuation at its edges; empty if it is no term (short, or with digits)."""
+    """A word as a term: lower case, without punctuation at its edges; empty if it is none."""
     term = word.strip(EDGE).lower()
-    return term if len(term) >= 3 and term.isalpha() else ""
+    return term if len(term) >= 2 and any(map(str.isalpha, term)) else ""
 
 
 def signed_hash(value: str) -> int:
@@ -129,33 +135,46 @@ def entity_of(text: str, start: int, number: int, end: int) -> int:
     return signed_hash(f"{KINDS[number]}:{value}")
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]], near: int = NEAR, reach: int = REACH) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms within ``near`` words, and ``reach`` characters, of each span."""
-    out, taken = [], [(s, e) for s, _, e in spans]
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words that touch no span. One sweep over both, which are in order of their starts."""
+    out, k, reached = [], 0, 0
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            reached = max(reached, spans[k][2])
+            k += 1
+        if reached <= a:
+            out.append((a, b))
+    return out
+
+
+def term_span(text: str, start: int, end: int) -> tuple[int, int]:
+    """Of a word without its edge punctuation."""
+    word = text[start:end]
+    start += len(word) - len(word.lstrip(EDGE))
+    return start, start + len(word.strip(EDGE))
+
+
+def neighbours(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -> set[tuple[int, int]]:
+    """(entity, term) of the terms among the ``near`` free words before and after each span: linear in words and spans."""
+    words, out = free_words(text, spans), set()
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    terms = [term_of(text[a:b]) for a, b in words]
+    hashes = [signed_hash(t) if t else None for t in terms]
     for start, number, end in spans:
         entity = entity_of(text, start, number, end)
-        low, high = max(0, start - reach), min(len(text), end + reach)
-        sides = ([(m.start() + low, m.end() + low) for m in WORD.finditer(text[low:start])], [(m.start() + end, m.end() + end) for m in WORD.finditer(text[end:high])])
-        if low and sides[0] and sides[0][0][0] == low:
-            del sides[0][0]  # perhaps the end of a longer word
-        if high < len(text) and sides[1] and sides[1][-1][1] == high:
-            del sides[1][-1]
-        for a, b in sides[0][-near:] + sides[1][:near]:
-            word = text[a:b]
-            bare = word.strip(EDGE)
-            if (term := term_of(word)) and not any(a < e and s < b for s, e in taken):
-                a += word.index(bare)
-                out.append((entity, signed_hash(term), a, a + len(bare)))
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        out |= {(entity, h) for h in hashes[max(0, before - near) : before] + hashes[after : after + near] if h is not None}
     return out
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), spans: array of (start, number, kind, end), entities, near: array of (e, t, start, end)."""
+    """doc_id, key (of the text), spans: array of (start, number, kind, end), entities, near: array of (e, t)."""
     common.small_batches(documents.sparkSession)
     rows = documents.select("doc_id", common.text_key().alias("key"), "text")
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, spans array<struct<start:int,number:int,kind:string,end:int>>, entities array<bigint>, near array<struct<e:bigint,t:bigint,start:int,end:int>>"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, spans array<struct<start:int,number:int,kind:string,end:int>>, entities array<bigint>, near array<struct<e:bigint,t:bigint>>"
     span = pa.struct([("start", pa.int32()), ("number", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
-    by = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    by = pa.struct([("e", pa.int64()), ("t", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +183,7 @@ def find(documents: DataFrame) -> DataFrame:
                 found = base_spans(text) if text else []
                 spans.append([{"start": s, "number": k, "kind": KINDS[k], "end": e} for s, k, e in found])
                 entities.append(list({entity_of(text, *x) for x in found}))
-                near.append([dict(zip(("e", "t", "start", "end"), x, strict=True)) for x in neighbours(text, found)] if found else [])
+                near.append([{"e": e, "t": t} for e, t in neighbours(text, found)] if found else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.int64())), pa.array(near, pa.list_(by))], ["doc_id", "key", "spans", "entities", "near"])
 
     return rows.mapInArrow(run, schema)
@@ -218,6 +237,38 @@ def term_counts(documents: DataFrame, chosen: bytes, copied: bytes, bits: int =
     return counted.groupBy("t").agg(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(1)).alias("n"))
 
 
+def occurrences(documents: DataFrame, chosen: bytes, bits: int = BITS) -> DataFrame:
+    """doc_id, key, t, start and end of every term whose bit is set, in the texts that may hold an entity."""
+    sent = documents.sparkSession.sparkContext.broadcast(chosen)  # bits / 8 bytes, whatever the input
+    names = ["doc_id", "key", "t", "start", "end"]
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, t long, start int, end int"
+    rows = documents.where(F.rlike("text", F.lit(MAY_HOLD))).select("doc_id", common.text_key().alias("key"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_set = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool)
+        known: dict[str, int | None] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            docs, keys = batch.column("doc_id"), batch.column("key").to_pylist()
+            at: list[int] = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                spans = base_spans(text)
+                for a, b in free_words(text, spans) if spans else ():
+                    word = text[a:b]
+                    if word not in known:
+                        h = signed_hash(term) if (term := term_of(word)) else None
+                        known[word] = h if h is not None and is_set[h & (bits - 1)] else None
+                    if (h := known[word]) is not None:
+                        at.append(i)
+                        out.append((keys[i], h, *term_span(text, a, b)))
+            if len(known) > 400_000:
+                known.clear()
+            key, t, start, end = np.array(out, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int64())), pa.array(key), pa.array(t), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def bit_map(terms: DataFrame, bits: int = BITS) -> bytes:
     """At most ``bits`` numbers come to the driver, and bits / 8 bytes go out."""
     at = terms.select(F.col("t").bitwiseAND(F.lit(bits - 1)).alias("b")).distinct().toArrow().column("b").to_numpy()
@@ -245,8 +296,12 @@ def detect(documents: DataFrame, support: int = SUPPORT, generalise: float = GEN
     """doc_id, key, base and all: arrays of (start, number, kind, end), and disclosed: array of (start, end, disclosure)."""
     found = common.spool(find(documents), "pii-found")
     told = common.spool(disclosures(documents, found, support, generalise), "pii-disclosures")
-    near = found.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.e", "x.t", "x.start", "x.end")
-    hits = near.join(told, ["e", "t"]).groupBy("doc_id", "key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    seen = common.spool(occurrences(documents, bit_map(told)), "pii-occurrences")
+    # each different (text, term) looks for the entities that the term discloses, and these for themselves in the text
+    asked = seen.select("key", "t").distinct().join(told, "t")
+    holds = found.select("key", F.explode("entities").alias("e")).distinct()
+    given = common.spool(asked.join(holds, ["key", "e"]).groupBy("key", "t").agg(F.max("disclosure").alias("disclosure")), "pii-given")
+    hits = seen.distinct().join(given, ["key", "t"]).select("doc_id", "key", "start", "end", "disclosure")
     terms = common.spool(hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("disclosed")), "pii-terms-found")
     out = found.join(terms.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     disclosed = F.coalesce("disclosed", F.expr("cast(array() as array<struct<start:int,end:int,disclosure:double>>)"))
@@ -257,11 +312,13 @@ def detect(documents: DataFrame, support: int = SUPPORT, generalise: float = GEN
 
 def sanitised(documents: DataFrame, remove: float = REMOVE, **options) -> DataFrame:
     """The documents, with <kind> in place of personal data and of generalised terms, and without removed terms."""
-    spans = common.spool(detect(documents, **options).where(F.size("all") > 0).dropDuplicates(["doc_id", "key"]), "pii-spans")
-    rows = documents.withColumn("__key", common.text_key())
-    same = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["__key"] == spans["key"])
     names = documents.columns
-    rows = rows.join(spans, same, "left").select(*(documents[c] for c in names), F.col("all").alias("__spans"), F.col("disclosed").alias("__told"))
+    key, all_spans, all_told = (common.unused(names, x) for x in ("_key", "_spans", "_told"))
+    spans = detect(documents, **options).where(F.size("all") > 0).dropDuplicates(["doc_id", "key"])
+    spans = common.spool(spans.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("all").alias("_all"), F.col("disclosed").alias("_disclosed")), "pii-spans")
+    rows = documents.withColumn(key, common.text_key())
+    same = rows["doc_id"].eqNullSafe(spans["_d"]) & (rows[key] == spans["_k"])
+    rows = rows.join(spans, same, "left").select(*(rows[c] for c in names), spans["_all"].alias(all_spans), spans["_disclosed"].alias(all_told))
 
     def cleaned(text: str, spans: list[dict], told: list[dict]) -> str:
         out, at, gone = [], 0, {x["start"] for x in told if x["disclosure"] >= remove}
@@ -277,7 +334,7 @@ def sanitised(documents: DataFrame, remove: float = REMOVE, **options) -> DataFr
         for batch in batches:
             columns = [batch.column(c) for c in names]
             at = names.index("text")
-            texts = [cleaned(t, s, d) if s else t for t, s, d in zip(columns[at].to_pylist(), batch.column("__spans").to_pylist(), batch.column("__told").to_pylist(), strict=True)]
+            texts = [cleaned(t, s, d) if s else t for t, s, d in zip(columns[at].to_pylist(), batch.column(all_spans).to_pylist(), batch.column(all_told).to_pylist(), strict=True)]
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -1,17 +1,28 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are lower-cased, their edge punctuation goes, and numbers, units and names become typed placeholders (<num>, <unit>,
-<name>), so a benchmark item and a copy of it with other numbers, names or units have one template. Windows of
-``size`` template words are hashed; the windows of documents and items meet in a hash join. A document matches an item if
-the windows that they share, aligned (document position - item position the same), cover ``coverage`` of the item, and
-their slots are consistent: along the alignment each value of the item stands for one value of the document and the
-other way round, in ``consistent`` of the slots at least.
+Words are lower-cased, their edge punctuation goes, and numbers (also spelled ones), units and names become typed
+placeholders (<num>, <unit>, <name>); neighbouring numbers, or names, are one. So a benchmark item and a copy of it with
+other numbers, names or units have one template. Windows of ``size`` template words are hashed; the windows of documents
+and items meet in a hash join. Each text is read in two ways:
+
+* typed: a capital inside a sentence makes a name. This is what finds "New York" for "Boston".
+* caseless: names of the item are known by its capitals, and its windows leave them open, for whatever word stands there;
+  documents are hashed once for each pattern of open words that some item has. This finds copies in lower or upper case.
+  Windows with more than ``MOST_OPEN`` open words say too little and are left out; their words can be covered by others.
+
+A document matches an item if, in one way of reading, the windows that they share cover ``coverage`` of the item and their
+slots are consistent: each value of the item stands for one value of the document and the other way round, in
+``consistent`` of the slots at least. Windows belong together if their shifts (document position - item position) are
+neighbours, at most ``size`` apart, so words put in or left out don't part them.
+
+Items with fewer than ``least`` template words are too short for this: a document has such an item if all of its words, the
+numbers and names included, are a whole sentence or line (or several) of the document.
 
 The items' windows never go to executors whole. A bit map of fixed size (``bits``) drops most document windows in the
 reading task; it lets too many pass, never too few, and what passes is joined exactly, whatever the number of items.
 
-Nulls and ties: null texts, and items with fewer than ``least`` words, match nothing; items with fewer than ``size``
-words are one window of their own length. Null or repeated ids stand for themselves: repeated documents each match,
+Nulls and ties: null texts, and items without a word, match nothing; items with ``least`` to ``size`` words are one window
+of their own length. Null or repeated ids stand for themselves: repeated documents each match,
 repeated items give one row. Empty tables give an empty result. Other columns are ignored by ``contaminated`` and
 passed through by ``decontaminate``.
 """
@@ -28,19 +39,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SIZE, LEAST, COVERAGE, CONSISTENT, BITS = 8, 5, 0.8, 0.9, 1 << 22
-
-#: Units of measure, as written in texts.
-UNITS = frozenset(
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms ounce ounces pound pounds ton tons "
-    "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
-    "cent cents dollar dollars euro euros percent degree degrees watt watts volt volts joule joules".split()
+SIZE, LEAST, COVERAGE, CONSISTENT, BITS, MOST_OPEN = 8, 5, 0.8, 0.9, 1 << 22, 3
+
+#: Units of measure: symbols and words, and those that take the prefixes of the metric system.
+PLAIN_UNITS = "inch inches foot feet yard yards mile miles mph kph ounce ounces oz pound pounds lb lbs ton tons tonnes second seconds sec minute minutes min hour hours hr hrs day days week weeks month months year years gallon gallons cent cents dollar dollars euro euros usd eur percent degree degrees celsius fahrenheit kelvin"
+PREFIXES = "kilo mega giga tera centi milli micro nano".split()
+METRIC = "meter metre gram litre liter watt volt joule ampere hertz byte pascal newton".split()
+SYMBOLS = [p + u for p in ("", "k", "m", "c", "g") for u in ("m", "g", "l", "w", "v", "j", "hz", "b", "s")]
+UNITS = frozenset([*PLAIN_UNITS.split(), *(x for x in SYMBOLS if len(x) > 1), "m", "g", "l", *(p + u + s for p in ["", *PREFIXES] for u in METRIC for s in ("", "s"))])
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 )
-BYTE_UNITS = frozenset(u.encode() for u in UNITS)
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NUMBER = re.compile(rb"[$+-]*[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
 _MIXED = re.compile(rb"([0-9][0-9.,]*)([a-z]+)")
 PLAIN, NUM, UNIT, NAME = range(4)
+TYPED, CASELESS, WORDS = range(3)
 
 
 def kind_of(word: bytes, inside: bool) -> int:
@@ -51,14 +66,17 @@ def kind_of(word: bytes, inside: bool) -> int:
         return NUM
     if m := _MIXED.fullmatch(low):
         return NUM if m[2].decode() in UNITS else PLAIN
-    if low.decode("utf-8", "replace") in UNITS:
+    text = low.decode("utf-8", "replace")
+    if all(x in NUMBER_WORDS for x in text.split("-")):
+        return NUM
+    if text in UNITS:
         return UNIT
     text = bare.decode("utf-8", "replace")
     return NAME if inside and len(text) > 1 and text[0].isupper() and text[1:].islower() else PLAIN
 
 
 class Templates:
-    """Template codes of words, inside a sentence and at its start, and whether a word ends one; by a word's number."""
+    """Template codes of words by their numbers: inside a sentence, at its start, without placeholders; and whether a word ends one."""
 
     SLOTS = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
 
@@ -67,125 +85,181 @@ class Templates:
 
         self.slot_codes = {kind: xxhash.xxh64_intdigest(slot) | 1 for kind, slot in self.SLOTS.items()}
         self.limit, self.numbers = limit, {}
-        self.first, self.inner, self.last = np.zeros(limit, np.uint64), np.zeros(limit, np.uint64), np.zeros(limit, bool)
+        self.first, self.inner, self.words = (np.zeros(limit, np.uint64) for _ in range(3))
+        self.last = np.zeros(limit, bool)
 
     def _learn(self, words: set[bytes]) -> None:
         from xxhash import xxh64_intdigest as digest
 
         n = len(self.numbers)
         while n + len(words) > len(self.first):  # one text with more words than the limit
-            self.first, self.inner, self.last = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.last))
-        unit, name = self.slot_codes[UNIT], self.slot_codes[NAME]
-        first, inner, last = [], [], []
+            self.first, self.inner, self.words, self.last = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.words, self.last))
+        codes_of, name = self.slot_codes, self.slot_codes[NAME]
+        number_words, units = {x.encode() for x in NUMBER_WORDS}, {x.encode() for x in UNITS}
+        first, inner, last, plain = [], [], [], []
         for word in words:
             last.append(word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"))
             bare = word.strip(EDGE)
-            if bare.isalpha():  # ASCII letters, as most words are: no number, and a name only by its capital
+            if bare.isalpha():  # ASCII letters, as most words are: a number or a name only by the lists and its capital
                 low = bare.lower()
-                is_unit = low in BYTE_UNITS
-                code = unit if is_unit else digest(low) & ~1
+                plain.append(digest(low) & ~1)
+                code = codes_of[NUM] if low in number_words else codes_of[UNIT] if low in units else plain[-1]
                 first.append(code)
-                inner.append(name if low != bare and not is_unit and bare[1:].islower() else code)
+                inner.append(name if low != bare and code == plain[-1] and len(bare) > 1 and bare[1:].islower() else code)
                 continue
+            # the low bit of a slot is set; 0 is left for words of punctuation only
+            plain.append(digest(bare.decode("utf-8", "replace").lower()) & ~1 if bare else 0)
             for inside, codes in ((False, first), (True, inner)):
-                # the low bit of a slot is set; 0 is left for words of punctuation only
-                codes.append((self.slot_codes.get(kind_of(word, inside)) or digest(bare.decode("utf-8", "replace").lower()) & ~1) if bare else 0)
+                codes.append(codes_of.get(kind_of(word, inside), plain[-1]) if bare else 0)
         self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
-        self.first[n : n + len(words)], self.inner[n : n + len(words)], self.last[n : n + len(words)] = first, inner, last
+        for have, new in ((self.first, first), (self.inner, inner), (self.words, plain), (self.last, last)):
+            have[n : n + len(words)] = new
 
-    def codes(self, words: list[bytes], line_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """uint64 codes of the words that are not punctuation only, and their positions."""
+    def look_up(self, words: list[bytes]) -> np.ndarray:
         if len(self.numbers) > self.limit // 2:
             self.numbers.clear()
         if missing := set(words).difference(self.numbers):
             self._learn(missing)
-        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        last = self.last[numbers]
-        start = np.zeros(len(words), bool)
-        start[1:] = last[:-1]
-        start[line_starts] = True
-        codes = np.where(start, self.first[numbers], self.inner[numbers])
-        at = np.flatnonzero(codes)
-        return codes[at], at
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
 
 _templates = Templates()
 
 
-def template(text: bytes, amid: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words, and the codes and positions of those that count. amid: as if the text stood within a sentence."""
+class Reading:
+    """A text as template words, in one of the three ways: their codes, and the words that each of them stands for."""
+
+    def __init__(self, words: list[bytes], codes: np.ndarray, breaks: np.ndarray):
+        at = np.flatnonzero(codes)
+        codes, self.breaks = codes[at], breaks[at]
+        run = np.zeros(len(at), bool)
+        for kind in (NUM, NAME):
+            slot = codes == np.uint64(_templates.slot_codes[kind])
+            run[1:] |= slot[1:] & slot[:-1]
+        self.all_words, self.at, self.begins = words, at, np.flatnonzero(~run)
+        self.codes = codes[self.begins]
+
+    def value(self, i: int) -> str:
+        end = self.begins[i + 1] if i + 1 < len(self.begins) else len(self.at)
+        return " ".join(self.all_words[j].strip(EDGE).decode("utf-8", "replace").lower() for j in self.at[self.begins[i] : end])
+
+    def values(self, start: int, size: int, open_: int) -> list[str | None]:
+        """What stands in the slots and open words of a window, by place; None elsewhere."""
+        return [self.value(start + j) if open_ >> j & 1 or self.codes[start + j] & np.uint64(1) else None for j in range(size)]
+
+
+def readings(text: bytes, amid: bool = False, literal: bool = True) -> tuple[Reading, Reading, Reading | None, np.ndarray]:
+    """Typed, caseless, and by words alone; and where the caseless one has names. amid: as if the text stood within a sentence."""
     words, starts = [], []
     for line in text.split(b"\n"):
         starts.append(len(words))
         words += line.split()
-    starts = np.array([s for s in starts[amid:] if s < len(words)], np.int64)
-    return words, *_templates.codes(words, starts)
+    numbers, begins = _templates.look_up(words), np.zeros(len(words), bool)
+    begins[[s for s in starts if s < len(words)]] = True
+    begins[1:] |= _templates.last[numbers][:-1]
+    breaks = begins.copy()
+    if amid and len(words):
+        begins[0] = False
+    first, inner = _templates.first[numbers], _templates.inner[numbers]
+    typed = Reading(words, np.where(begins, first, inner), breaks)
+    caseless = Reading(words, first, breaks)
+    is_name = (np.where(begins, first, inner) == np.uint64(_templates.slot_codes[NAME]))[caseless.at[caseless.begins]]
+    return typed, caseless, Reading(words, _templates.words[numbers], breaks) if literal else None, is_name
 
 
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(7).integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 
 
-def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Of every size codes in a row: signed 64 bits."""
+def window_hashes(codes: np.ndarray, size: int, open_: int = 0, reading: int = TYPED) -> np.ndarray:
+    """Of every size codes in a row, without the open ones (bits): signed 64 bits."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        out = np.full(n, size, np.uint64)
-        for k in range(size):
-            out = (out ^ codes[k : k + n]) * _MULTIPLY
-            out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
-def slot_values(words: list[bytes], at: np.ndarray, codes: np.ndarray, start: int, size: int) -> list[str | None]:
-    """What stands in the slots of a window, by place; None where there is no slot."""
-    return [words[at[i]].strip(EDGE).decode("utf-8", "replace").lower() if codes[i] & np.uint64(1) else None for i in range(start, start + size)]
-
-
-def item_windows(items: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
-    """item_id, at, n_words, k (window length), h, slots."""
+    out = np.full(n, (reading << 40) + (size << 20) + open_, np.uint64)
+    for k in range(size):
+        if not open_ >> k & 1:
+            out += codes[k : k + n] * _FACTORS[k]
+    out = (out ^ (out >> np.uint64(31))) * _MIX
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+def sentence_hash(codes: np.ndarray) -> int:
+    """Of all the words of a short item, or of a run of sentences."""
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(codes.tobytes(), WORDS)], np.uint64).view(np.int64)[0])
+
+
+def item_windows(items: DataFrame, size: int = SIZE, least: int = LEAST, most_open: int = MOST_OPEN) -> DataFrame:
+    """item_id, reading, at, n_words, k (window length), open, h, slots."""
+    names = ["item_id", "reading", "at", "n_words", "k", "open", "h", "slots"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+    schema = f"item_id {items.schema['item_id'].dataType.simpleString()}, reading int, at int, n_words int, k int, open int, h long, slots array<string>"
+
+    def windows(text: bytes) -> Iterator[tuple]:
+        for amid in (False, True):  # a document may quote the item after words of its own
+            typed, caseless, words, is_name = readings(text, amid)
+            n = len(typed.codes)
+            if n < least:
+                if len(words.codes) and not amid:
+                    k = len(words.codes)
+                    yield WORDS, 0, k, k, 0, sentence_hash(words.codes), [None] * k
+                continue
+            for i, h in enumerate(window_hashes(typed.codes, min(size, n)).tolist()):
+                yield TYPED, i, n, min(size, n), 0, h, typed.values(i, min(size, n), 0)
+            if not amid:
+                n = len(caseless.codes)
+                k = min(size, n)
+                opens = np.zeros(max(n - k + 1, 0), np.int64)
+                for j in range(k):
+                    opens |= is_name[j : j + len(opens)].astype(np.int64) << j
+                for open_ in np.unique(opens).tolist():
+                    if open_.bit_count() <= min(most_open, k // 2):
+                        hashes = window_hashes(caseless.codes, k, open_, CASELESS)
+                        for i in np.flatnonzero(opens == open_).tolist():
+                            yield CASELESS, i, n, k, open_, int(hashes[i]), caseless.values(i, k, open_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                seen = set()
-                for amid in (False, True):  # a document may quote the item after words of its own
-                    words, codes, at = template(text or b"", amid)
-                    k = min(size, len(codes))
-                    if len(codes) >= least:
-                        for i, h in enumerate(window_hashes(codes, k).tolist()):
-                            if (i, h) not in seen:
-                                seen.add((i, h))
-                                rows.append((item, i, len(codes), k, h, slot_values(words, at, codes, i, k)))
+                rows += [(item, *w) for w in {(w[0], w[1], w[5]): w for w in windows(text or b"")}.values()]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([(names[0], batch.schema.field("item_id").type), *zip(names[1:], kinds, strict=True)]))
 
-    names = ["item_id", "at", "n_words", "k", "h", "slots"]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-    schema = f"item_id {items.schema['item_id'].dataType.simpleString()}, at int, n_words int, k int, h long, slots array<string>"
     return items.select("item_id", "text").mapInArrow(run, schema)
 
 
-def document_windows(documents: DataFrame, lengths: list[int], chosen: bytes, bits: int = BITS) -> DataFrame:
-    """doc_id, key, at, k, h, slots of the windows whose bit is set in chosen."""
+def document_windows(documents: DataFrame, patterns: list[tuple[int, int, int]], chosen: bytes, bits: int = BITS) -> DataFrame:
+    """doc_id, key, at, h, ours of the windows whose bit is set in chosen. patterns: reading, k and open of the items' windows."""
     common.small_batches(documents.sparkSession)
     rows = documents.select("doc_id", common.text_key().alias("key"), "text")
-    names = ["doc_id", "key", "at", "k", "h", "slots"]
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, at int, k int, h long, slots array<string>"
+    names = ["doc_id", "key", "at", "h", "ours"]
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, at int, h long, ours array<string>"
     sent = documents.sparkSession.sparkContext.broadcast(chosen)  # bits / 8 bytes, whatever the number of items
+    by_reading = {r: [(k, o) for x, k, o in patterns if x == r] for r in (TYPED, CASELESS)}
+    short = sorted(k for x, k, _ in patterns if x == WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_set = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
         for batch in batches:
             out = []
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                words, codes, at = template(text or b"")
-                for k in lengths:
-                    hashes = window_hashes(codes, k)
-                    for i in np.flatnonzero(is_set[hashes & (bits - 1)]).tolist():
-                        out.append((doc, key, i, k, int(hashes[i]), slot_values(words, at, codes, i, k)))
+                typed, caseless, words, is_name = readings(text or b"", literal=bool(short))
+                for number, reading in ((TYPED, typed), (CASELESS, caseless)):
+                    for k, open_ in by_reading[number]:
+                        hashes = window_hashes(reading.codes, k, open_, number)
+                        for i in np.flatnonzero(is_set[hashes & (bits - 1)]).tolist():
+                            out.append((doc, key, i, int(hashes[i]), reading.values(i, k, open_)))
+                if short:
+                    edges = np.append(np.flatnonzero(words.breaks), len(words.codes))
+                    is_edge = np.zeros(len(words.codes) + 1, bool)
+                    is_edge[edges] = True
+                    for k in short:
+                        for i in edges[edges + k <= len(words.codes)].tolist():
+                            if is_edge[i + k] and is_set[(h := sentence_hash(words.codes[i : i + k])) & (bits - 1)]:
+                                out.append((doc, key, i, h, [None] * k))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=pa.schema([("doc_id", batch.schema.field("doc_id").type), *zip(names[1:], kinds, strict=True)]))
 
     return rows.mapInArrow(run, schema)
@@ -200,37 +274,48 @@ def bit_map(windows: DataFrame, bits: int = BITS) -> bytes:
 
 
 def contaminated(documents: DataFrame, items: DataFrame, size: int = SIZE, least: int = LEAST, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
-    """doc_id, key (of the text), item_id, n_words of the item covered, n_item_words, n_slots, n_consistent."""
+    """doc_id, key (of the text), item_id, n_covered and n_item_words (template words), n_slots, n_consistent."""
     # repeated items are one
     wanted = common.spool(item_windows(items, size, least).distinct(), "item-windows")
-    lengths = sorted(r["k"] for r in wanted.select("k").distinct().collect())  # least to size
-    found = document_windows(documents, lengths, bit_map(wanted))
-    mine = wanted.select("item_id", F.col("at").alias("item_at"), "n_words", "k", "h", F.col("slots").alias("item_slots"))
-    met = common.spool(found.join(mine, ["k", "h"]).withColumn("shift", F.col("at") - F.col("item_at")), "window-matches")
-    # an alignment: one document, one item, one shift; at most n_words windows meet in it
-    alignment = ["doc_id", "key", "item_id", "shift"]
-    covered = met.select(*alignment, "n_words", F.explode(F.sequence("item_at", F.col("item_at") + F.col("k") - 1)).alias("word")).groupBy(*alignment).agg(F.count_distinct("word").alias("n_covered"), F.max("n_words").alias("n_item_words"))
-    pairs = met.select(*alignment, F.explode(F.arrays_zip(F.transform("item_slots", lambda x, i: F.col("item_at") + i).alias("word"), F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))).alias("s"))
-    pairs = pairs.where("s.theirs is not null").select(*alignment, "s.word", "s.theirs", "s.ours").groupBy(*alignment, "word").agg(F.min("theirs").alias("theirs"), F.min("ours").alias("ours"))
-    by = [*alignment]
-    votes = pairs.groupBy(*by, "theirs", "ours").agg(F.count("*").alias("n"))
+    patterns = sorted(tuple(r) for r in wanted.select("reading", "k", "open").distinct().collect())  # of windows: a bound set by size; and lengths of short items
+    found = document_windows(documents, patterns, bit_map(wanted))
+    mine = wanted.select("item_id", "reading", F.col("at").alias("item_at"), "n_words", "k", "h", F.col("slots").alias("theirs"))
+    met = common.spool(found.join(mine, "h").withColumn("shift", F.col("at") - F.col("item_at")), "window-matches")
+    # an alignment: one document, one item, one way of reading, and shifts that are neighbours
+    pair = ["doc_id", "key", "item_id", "reading"]
+    shifts = met.select(*pair, "shift").distinct()
+    ordered = Window.partitionBy(*pair).orderBy("shift")
+    apart = F.coalesce(F.col("shift") - F.lag("shift").over(ordered) > size, F.lit(False))
+    shifts = shifts.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(ordered)).drop("apart")
+    left, right = met.alias("m"), shifts.alias("s")
+    met = left.join(right, [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*pair, "shift"]]).select("m.*", "s.group")
+    alignment = [*pair, "group"]
+    words = met.select(*alignment, "n_words", F.posexplode(F.arrays_zip("theirs", "ours")).alias("j", "slot"), "item_at")
+    # each word of the item once
+    words = words.groupBy(*alignment, (F.col("item_at") + F.col("j")).alias("word")).agg(F.max("n_words").alias("n_words"), F.min("slot.theirs").alias("theirs"), F.min("slot.ours").alias("ours"))
+    votes = words.groupBy(*alignment, "theirs", "ours").agg(F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     # of each value the commonest partner counts, both ways
-    here = F.row_number().over(Window.partitionBy(*by, "theirs").orderBy(F.desc("n"), "ours"))
-    there = F.row_number().over(Window.partitionBy(*by, "ours").orderBy(F.desc("n"), "theirs"))
-    best = votes.withColumn("a", here).withColumn("b", there)
-    slots = best.groupBy(*by).agg(F.sum("n").alias("n_slots"), F.sum(F.when((F.col("a") == 1) & (F.col("b") == 1), F.col("n")).otherwise(0)).alias("n_consistent"))
-    left, right = covered.alias("c"), slots.alias("s")
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in alignment]
-    out = left.join(right, same, "left").select("c.*", F.coalesce("s.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("s.n_consistent", F.lit(0)).alias("n_consistent"))
+    here = F.row_number().over(Window.partitionBy(*alignment, "theirs").orderBy(F.desc("n"), "ours"))
+    there = F.row_number().over(Window.partitionBy(*alignment, "ours").orderBy(F.desc("n"), "theirs"))
+    best = votes.withColumn("best", (here == 1) & (there == 1))
+    slot = F.col("theirs").isNotNull()
+    out = best.groupBy(*alignment).agg(
+        F.sum("n").alias("n_covered"),
+        F.max("n_words").alias("n_item_words"),
+        F.coalesce(F.sum(F.when(slot, F.col("n"))), F.lit(0)).alias("n_slots"),
+        F.coalesce(F.sum(F.when(slot & F.col("best"), F.col("n"))), F.lit(0)).alias("n_consistent"),
+    )
     good = (F.col("n_covered") >= coverage * F.col("n_item_words")) & (F.col("n_consistent") >= consistent * F.col("n_slots"))
     return out.where(good).groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("n_covered", "n_consistent", "n_slots", "n_item_words")).alias("m")).select("doc_id", "key", "item_id", "m.n_covered", "m.n_item_words", "m.n_slots", "m.n_consistent")
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that match no item; columns as they came."""
-    gone = common.spool(contaminated(documents, items, **options).select("doc_id", "key").distinct(), "contaminated")
-    rows = documents.withColumn("__key", common.text_key())
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["__key"] == gone["key"]), "left_anti").select(*(documents[c] for c in documents.columns))
+    gone = contaminated(documents, items, **options).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    gone = common.spool(gone, "contaminated")
+    key = common.unused(documents.columns, "_key")
+    rows = documents.withColumn(key, common.text_key())
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["_d"]) & (rows[key] == gone["_k"]), "left_anti").select(*(rows[c] for c in documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

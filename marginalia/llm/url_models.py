@@ -5,8 +5,10 @@ over all contexts of up to ``order`` characters that were seen ``least`` times (
 characters followed a context, the more goes to the shorter one). The difference of the two log-likelihoods by
 character is calibrated by a logistic curve on URLs kept out of training; above 0.5 a URL is allowed.
 
-The models are fitted on the ``sample`` URLs of each class with the smallest hashes, of at most ``longest`` characters: a
-bounded sample, so the model that is sent to executors has a bound too. Every URL is judged, whole.
+The models count every different URL that a rule decides, but a fifth by hash that is kept for calibration: contexts and what
+followed them are summed by 64-bit hashes in Spark, so they grow with the input. What goes to executors does not: the
+counts are folded into ``SLOTS`` numbers a class and table, where hashes that fall together add up. Calibration takes the ``sample`` kept URLs of each
+class with the smallest hashes (a bounded sample). Every URL is judged, whole.
 
 Nulls and ties: a null URL, or one without "://", has an empty host and path; a null one is scored as empty (difference 0).
 If only one class has examples, its verdict holds for all that no rule decides; with none at all it is block. Repeated
@@ -15,8 +17,6 @@ rows are each judged. An empty table gives an empty result. Other columns are ig
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, LEAST, SAMPLE, LONGEST = 5, 2, 5000, 2000
-START, END, ALPHABET = "\x02", "\x03", 256
+ORDER, LEAST, SAMPLE, SLOTS = 5, 2, 5000, 1 << 21
+START, END, ALPHABET = 2, 3, 256
 
 #: Host, path, verdict.
 RULES = (
@@ -56,35 +56,94 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def characters(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all urls, each between START and END, and where each url starts."""
+    parts = [np.frombuffer(u.encode("utf-32-le", "replace"), "<u4") for u in urls]
+    starts = np.cumsum([0, *(len(x) + 2 for x in parts)])
+    out = np.full(starts[-1], START, np.uint64)
+    for x, a, b in zip(parts, starts[:-1], starts[1:], strict=True):
+        out[a + 1 : b - 1] = x
+        out[b - 1] = END
+    return out, starts[:-1]
+
+
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x ^ y) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def contexts(chars: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of context, shortest first: the places of characters that have it, its hash, and with the character."""
+    at = np.arange(len(chars))
+    inside = at - np.repeat(starts, np.diff(np.append(starts, len(chars))))
+    h = np.zeros(len(chars), np.uint64)
+    for k in range(order + 1):
+        places = np.flatnonzero(inside >= max(k, 1))
+        if k:  # one character further back
+            h[places] = mixed(h[places], chars[places - k] + np.uint64(k << 32))
+        yield places, h[places], mixed(h[places] + np.uint64(1), chars[places] + np.uint64(1 << 40))
+
+
+def counted(urls: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """accepted, kind (0: context, 1: context and character), h, n and, of contexts, kinds. urls: text, accepted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            accepted = batch.column("accepted").to_numpy(zero_copy_only=False).astype(bool)
+            texts = np.array(batch.column("text").to_pylist(), object)
+            for yes in (True, False):
+                if not len(mine := texts[accepted == yes].tolist()):
+                    continue
+                for _, context, pair in contexts(*characters(mine), order):
+                    found, first, n = np.unique(pair, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), yes)), pa.array(context[first].view(np.int64)), pa.array(found.view(np.int64)), pa.array(n)], ["accepted", "context", "pair", "n"])
+
+    pairs = urls.select("text", "accepted").mapInArrow(run, "accepted boolean, context long, pair long, n long").groupBy("accepted", "context", "pair").agg(F.sum("n").alias("n"))
+    pairs = common.spool(pairs, "url-pairs")
+    seen = common.spool(pairs.groupBy("accepted", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(F.col("n") >= least), "url-contexts")
+    kept = pairs.join(seen.select("accepted", "context"), ["accepted", "context"], "left_semi")
+    return seen.select("accepted", F.lit(0).alias("kind"), F.col("context").alias("h"), "n", "kinds").union(kept.select("accepted", F.lit(1), "pair", "n", F.lit(0)))
+
+
 class Markov:
-    """What followed each context: {context: (how often, kinds, {character: times})}, for two classes at once."""
-
-    def __init__(self, urls: Sequence[tuple[str, bool]], order: int = ORDER, least: int = LEAST):
-        counts: list[dict] = [defaultdict(lambda: defaultdict(int)) for _ in range(2)]
-        for url, accepted in urls:
-            mine, text = counts[accepted], START + url + END
-            for i in range(1, len(text)):
-                for k in range(min(order, i) + 1):
-                    mine[text[i - k : i]][text[i]] += 1
-        self.order = order
-        self.seen = [{c: (n, len(f), dict(f)) for c, f in m.items() if (n := sum(f.values())) >= least or not c} for m in counts]
-
-    def log_likelihood(self, url: str, accepted: bool) -> float:
-        text, seen, out = START + url + END, self.seen[accepted], 0.0
-        for i in range(1, len(text)):
-            p, c = 1 / ALPHABET, text[i]
-            for k in range(min(self.order, i) + 1):
-                found = seen.get(text[i - k : i])
-                if found is None:  # nor is any longer context kept
-                    break
-                n, kinds, followed = found
-                p = (followed.get(c, 0) + kinds * p) / (n + kinds)
-            out += math.log(p)
-        return out
-
-    def difference(self, url: str) -> float:
-        """By character, the end included."""
-        return (self.log_likelihood(url, True) - self.log_likelihood(url, False)) / (len(url) + 1) if url else 0.0
+    """Counts by slot: of contexts, of the kinds of characters that followed, of contexts with a character; for two classes."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER, slots: int = SLOTS):
+        folded = counts.groupBy("accepted", "kind", F.col("h").bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()  # 4 x slots rows at most
+        self.order, self.slots = order, slots
+        self.n, self.kinds, self.pairs = (np.zeros((2, slots), np.float32) for _ in range(3))
+        column = lambda c: folded.column(c).to_numpy()
+        accepted, kind, slot = column("accepted").astype(np.int64), column("kind"), column("slot")
+        for wanted, values, name in ((0, self.n, "n"), (0, self.kinds, "kinds"), (1, self.pairs, "n")):
+            rows = kind == wanted
+            values[accepted[rows], slot[rows]] = column(name)[rows]
+
+    def log_likelihoods(self, urls: Sequence[str]) -> np.ndarray:
+        """Of each url under the rejected and the accepted class."""
+        if not len(urls):
+            return np.zeros((2, 0))
+        chars, starts = characters(urls)
+        p = np.full((2, len(chars)), 1 / ALPHABET)
+        going = np.ones((2, len(chars)), bool)  # false: a context is not kept, nor is any longer one
+        last = np.uint64(self.slots - 1)
+        for places, context, pair in contexts(chars, starts, self.order):
+            a, b = (context & last).astype(np.int64), (pair & last).astype(np.int64)
+            for c in (0, 1):
+                n, kinds, followed = self.n[c, a], self.kinds[c, a], self.pairs[c, b]
+                going[c, places] &= n > 0
+                better = (np.minimum(followed, n) + kinds * p[c, places]) / np.maximum(n + kinds, 1)
+                p[c, places] = np.where(going[c, places], better, p[c, places])
+        p[:, starts] = 1.0  # nobody asks for START
+        return np.add.reduceat(np.log(p), starts, axis=1)
+
+    def differences(self, urls: Sequence[str]) -> np.ndarray:
+        """By character, the end included; 0 for an empty url."""
+        rejected, accepted = self.log_likelihoods(urls)
+        lengths = np.array([len(u) for u in urls], np.int64)
+        return np.where(lengths > 0, (accepted - rejected) / (lengths + 1), 0.0)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -102,16 +161,23 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return a / scale, b
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, order: int = ORDER) -> tuple[Markov | None, float, float]:
-    """labelled: text, accepted. Four fifths of the sample train the models, the rest calibrates."""
-    some = labelled.where(F.length("text") <= longest).distinct()
-    picked = [some.where(F.col("accepted") == F.lit(v)).orderBy(F.xxhash64("text"), "text").limit(sample).collect() for v in (True, False)]
-    if not picked[0] or not picked[1]:
-        return None, 0.0, 1.0 if picked[0] else -1.0
-    rows = [(r["text"], r["accepted"], i % 5 == 4) for part in picked for i, r in enumerate(part)]
-    model = Markov([r[:2] for r in rows if not r[2]], order)
-    kept = [r for r in rows if r[2]] or rows
-    return model, *calibrate(np.array([model.difference(r[0]) for r in kept]), np.array([r[1] for r in kept]))
+def fit(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> tuple[Markov | None, float, float]:
+    """labelled: text, accepted. All different texts but a fifth, by hash, train the models; of the others a sample calibrates."""
+    texts = common.spool(labelled.distinct(), "url-labelled")
+    fifth = F.pmod(F.xxhash64("text"), F.lit(5))
+    order_by = F.xxhash64("text", F.lit("calibration"))
+    picked = [texts.where((F.col("accepted") == F.lit(v)) & (fifth == 4)).orderBy(order_by, "text").limit(sample).collect() for v in (True, False)]
+    there = {r["accepted"] for r in texts.select("accepted").distinct().collect()}
+    if len(there) < 2:
+        return None, 0.0, 1.0 if True in there else -1.0
+    train = texts.where(fifth != 4)
+    if train.select("accepted").distinct().count() < 2:  # a handful of texts: they train and calibrate
+        train = texts
+    model = Markov(counted(train, order), order)
+    for i, v in enumerate((True, False)):
+        picked[i] = picked[i] or texts.where(F.col("accepted") == F.lit(v)).orderBy(order_by, "text").limit(sample).collect()
+    kept = [r for part in picked for r in part]
+    return model, *calibrate(model.differences([r["text"] for r in kept]), np.array([r["accepted"] for r in kept]))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
@@ -127,8 +193,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, sampl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, slope, offset = sent.value
         for batch in batches:
-            z = [None if r is not None else slope * (model.difference(t) if model else 0.0) + offset for r, t in zip(batch.column("ruled").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            score = pa.array([None if x is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z], pa.float64())
+            open_ = np.flatnonzero(batch.column("ruled").is_null().to_numpy(zero_copy_only=False))
+            texts = batch.column("text").take(pa.array(open_)).to_pylist()
+            scores = np.full(len(batch), np.nan)
+            for a in range(0, len(texts), 500):
+                z = slope * (model.differences(texts[a : a + 500]) if model else 0.0) + offset
+                scores[open_[a : a + 500]] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            score = pa.array(scores, pa.float64(), from_pandas=True)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), score], [*names, "score"])
 
     names = ["page_id", "host", "path", "rule", "ruled"]

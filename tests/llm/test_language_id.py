@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from marginalia.llm import language_id as li
 
@@ -41,3 +43,35 @@ def test_pieces_count_as_one(monkeypatch):
     monkeypatch.setattr(li, "PIECE", 7)
     got = li.n_grams(text)
     assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def brute_n_grams(text):
+    """Each n-gram of characters, with how often it occurs."""
+    from collections import Counter
+    from itertools import groupby
+
+    runs = ((k, "".join(g)) for k, g in groupby(text.lower(), str.isalpha))
+    letters = "".join(g if k else " " for k, g in runs)
+    return Counter(letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abÄéжЖ漢字かな한 ,1\n😀İ", max_size=60))
+def test_n_grams_are_of_characters(text):
+    at, n = li.n_grams(text)
+    want = brute_n_grams(text)
+    assert n.sum() == want.total() and len(at) <= len(want)
+    for gram, k in want.items():
+        (single,) = {int(b) for b in li.n_grams(gram)[0]} - {int(b) for x in brute_n_grams(gram) if len(x) < len(gram) for b in li.n_grams(x)[0]} or {None}
+        assert single is None or dict(zip(at.tolist(), n.tolist()))[single] >= k
+
+
+def test_other_scripts(spark):
+    r = np.random.default_rng(1)
+    words = {"ru": "и в не на я быть он что это она этот к но они мы весь который из у который", "bg": "и в не на аз съм той че това тя този към но те ние целият който от при ще", "zh": "的 一 是 不 了 在 人 有 我 他 这 个 们 中 来 上 大 为 和 国", "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として"}
+    text = lambda lang: " ".join(r.choice(words[lang].split(), 12))
+    rows = [(4 * i + k, text(lang), lang, 0.0, "x") for i in range(300) for k, lang in enumerate(words)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {x["doc_id"]: x for x in li.predict(docs, li.fit(docs)).collect()}
+    held = [(got[i]["lang_pred"], lang) for i, _, lang, *_ in rows if got[i]["held_out"]]
+    assert len(held) > 200 and np.mean([a == b for a, b in held]) >= 0.97

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from marginalia.llm import pii_disclosure as pii
 
-SCHEMA = "doc_id long, text string, near string, base string"
+SCHEMA = "doc_id long, text string, _key string, _spans string"
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
@@ -38,6 +38,72 @@ def test_stays_linear():
         pii.base_spans(text)
 
 
+def test_neighbours_stay_linear():
+    import time
+
+    took = []
+    for n in (4000, 8000, 16000):
+        text = "".join(f"word{i} u{i}@mail.example.com " for i in range(n))
+        spans, began = pii.base_spans(text), time.process_time()
+        assert len(pii.neighbours(text, spans)) > n
+        took.append(time.process_time() - began)
+    assert took[2] < 8 * took[0] + 0.5  # four times the text
+
+
+def brute_neighbours(text, spans, near=pii.NEAR):
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    free = [(a, b) for a, b in words if not any(s < b and a < e for s, _, e in spans)]
+    out = set()
+    for s, k, e in spans:
+        for a, b in [w for w in free if w[1] <= s][-near:] + [w for w in free if w[0] >= e][:near]:
+            if term := pii.term_of(text[a:b]):
+                out.add((pii.entity_of(text, s, k, e), pii.signed_hash(term)))
+    return out
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.co", "O'Brien", "x", "user_42,", "(zorb)", "1.2.3.4", "+49 30 1234567", "é", "--", "x:a@b.co,y", "long" * 100]), max_size=30))
+def test_neighbours_are_words_not_characters(parts):
+    text = " ".join(parts)
+    spans = pii.base_spans(text)
+    assert pii.neighbours(text, spans) == brute_neighbours(text, spans)
+
+
+def brute_terms(texts):
+    """Term spans of each text, by the definition, over different texts."""
+    import math
+
+    different = sorted(set(texts))
+    base = {t: pii.base_spans(t) for t in different}
+    entities = {t: {pii.entity_of(t, *x) for x in base[t]} for t in different}
+    words = {t: {pii.signed_hash(x) for w in re.findall(r"[^\x20\x09-\x0D]+", t) if (x := pii.term_of(w))} for t in different}
+    count = lambda sets: {x: sum(x in s for s in sets) for x in set().union(*sets)}
+    n_e, n_t, n_te = count(entities.values()), count(words.values()), count([brute_neighbours(t, base[t]) for t in different])
+    told, n = {}, len(different)
+    for (e, t), k in n_te.items():
+        if k >= pii.SUPPORT and n_e[e] < n and math.log(k * n / (n_t[t] * n_e[e])) / math.log(n / n_e[e]) >= pii.GENERALISE - 1e-12:
+            told.setdefault(e, set()).add(t)
+    out = {}
+    for t in different:
+        flagged = set().union(*(told.get(e, set()) for e in entities[t])) if entities[t] else set()
+        free = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if not any(s < m.end() and m.start() < e for s, _, e in base[t])]
+        out[t] = sorted(pii.term_span(t, a, b) for a, b in free if (x := pii.term_of(t[a:b])) and pii.signed_hash(x) in flagged)
+    return out
+
+
+def test_terms_of_all_documents(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    # as many again that share entities, so that there is something to find
+    people = [(10_000 + i, f"{['Zorblax', 'Quintle', 'Ox-4'][i % 3]} lives here. Write to user{i % 3}@mail.example.com now, said neighbour number {i} of {['the town', 'a village', 'some place'][i % 3]} who met {['zorblax', 'QUINTLE', 'ox-4'][i % 3]} in a very long walk on the road to nowhere at all in particular, again {['Zorblax', 'x', 'y'][i % 3]}.") for i in range(30)]
+    rows = rows.select("doc_id", "text").union(spark.createDataFrame(people, "doc_id long, text string"))
+    texts |= dict(people)
+    want = brute_terms(list(texts.values()))
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["all"] if x["kind"] == "term"] for r in pii.detect(rows).collect()}
+    assert {d: want[t] for d, t in texts.items()} == got
+    assert sum(map(len, got.values())) >= 60
+
+
 def test_documents(spark, sf):
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = pii.query(spark, sf).collect()

@@ -1,4 +1,8 @@
+import math
 import re
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from marginalia.llm import url_models as um
 
@@ -16,6 +20,49 @@ def brute(url):
     return host, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, None))
 
 
+class BruteMarkov:
+    """The models by dictionaries of contexts, one character at a time."""
+
+    def __init__(self, urls):
+        self.counts = [defaultdict(Counter), defaultdict(Counter)]
+        for url, accepted in urls:
+            text = "\x02" + url + "\x03"
+            for i in range(1, len(text)):
+                for k in range(min(um.ORDER, i) + 1):
+                    self.counts[accepted][text[i - k : i]][text[i]] += 1
+
+    def difference(self, url):
+        out, text = [0.0, 0.0], "\x02" + url + "\x03"
+        for c in (0, 1):
+            for i in range(1, len(text)):
+                p = 1 / um.ALPHABET
+                for k in range(min(um.ORDER, i) + 1):
+                    seen = self.counts[c].get(text[i - k : i], Counter())
+                    if seen.total() < um.LEAST:
+                        break
+                    p = (seen[text[i]] + len(seen) * p) / (seen.total() + len(seen))
+                out[c] += math.log(p)
+        return (out[1] - out[0]) / (len(url) + 1) if url else 0.0
+
+
+def test_models_are_those_of_the_definition(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").where("url is not null")
+    urls = sorted({r["url"] for r in rows.collect()})
+    ruled = [(u.split("://", 1)[-1], v == "allow") for u in urls if (v := brute(u)[3])]
+    assert len(ruled) > 20 and len({v for _, v in ruled}) == 2
+    model = um.Markov(um.counted(spark.createDataFrame(sorted(set(ruled)), "text string, accepted boolean")))
+    want = BruteMarkov(sorted(set(ruled)))
+    every = [u.split("://", 1)[-1] for u in urls] + ["", "x", "é漢字😀", "a" * 5000]
+    off = np.abs(model.differences(every) - [want.difference(u) for u in every])
+    assert np.median(off) < 1e-9 and off.max() < 0.05  # few slots are shared by chance
+
+
+def test_verdicts_follow_the_score(spark, sf):
+    got = um.judge(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    assert all((r["score"] is None) == (r["rule"] is not None) for r in got)
+    assert all(r["verdict"] == ("allow" if r["score"] > 0.5 else "block") for r in got if r["score"] is not None)
+
+
 def test_pages(spark, sf):
     rows = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = um.query(spark, sf).collect()
