@@ -111,14 +111,18 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def decide(measured: DataFrame, most_documents: int = MOST_DOCUMENTS, min_left: int = MIN_LEFT, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
-    """measured (a written table) without lines, with base_failed, n_removed (words), removed (hashes) and kept."""
+def decide(measured: DataFrame, most_documents: int = MOST_DOCUMENTS, min_left: int = MIN_LEFT, min_left_share: float = MIN_LEFT_SHARE, keep_first: bool = True) -> DataFrame:
+    """measured (a written table) without lines, with base_failed, n_removed (words), removed (hashes) and kept.
+
+    keep_first: a line above the limit stays in the host's first document that has it; otherwise it goes everywhere.
+    """
     host = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     lines = measured.select(host.alias("host"), "key", "doc_id", F.explode("lines").alias("line")).select("host", "key", "doc_id", "line.h", "line.n")
     # rows of a line in copies of one text collapse first, and each task does so before the shuffle
     counts = lines.groupBy("host", "h", "key").agg(F.min("doc_id").alias("first")).groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
     frequent = common.spool(counts.where(F.col("documents") > most_documents).select("host", "h", "first"), "frequent-lines")
-    gone = lines.join(frequent, ["host", "h"]).where("not (doc_id <=> first)")
+    gone = lines.join(frequent, ["host", "h"])
+    gone = gone.where("not (doc_id <=> first)") if keep_first else gone
     by_doc = common.spool(gone.groupBy("doc_id", "key", "host").agg(F.sum("n").alias("n_removed"), F.collect_set("h").alias("removed")), "removed-lines")
     rows = measured.drop("lines").withColumn("host", host)
     same = rows["doc_id"].eqNullSafe(by_doc["doc_id"]) & (rows["key"] == by_doc["key"]) & (rows["host"] == by_doc["host"])
@@ -128,23 +132,25 @@ def decide(measured: DataFrame, most_documents: int = MOST_DOCUMENTS, min_left:
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def judge(documents: DataFrame) -> DataFrame:
-    return decide(common.spool(measures(documents), "line-measures"))
+def judge(documents: DataFrame, **options) -> DataFrame:
+    return decide(common.spool(measures(documents), "line-measures"), **options)
 
 
-def clean(documents: DataFrame) -> DataFrame:
+def clean(documents: DataFrame, **options) -> DataFrame:
     """The documents kept, without their lines above the limit; columns as they came (n_chars, if there, is counted anew)."""
-    verdicts = common.spool(judge(documents).where("kept").select("doc_id", "source", "key", "removed").dropDuplicates(["doc_id", "source", "key"]), "line-verdicts")
-    rows = documents.withColumn("__key", common.text_key())
-    same = rows["doc_id"].eqNullSafe(verdicts["doc_id"]) & rows["source"].eqNullSafe(verdicts["source"]) & (rows["__key"] == verdicts["key"])
-    kept = rows.join(verdicts, same).select(*(documents[c] for c in documents.columns), F.col("removed").alias("__removed"))
     names = documents.columns
+    key, all_removed = common.unused(names, "_key"), common.unused(names, "_removed")
+    verdicts = judge(documents, **options).where("kept").dropDuplicates(["doc_id", "source", "key"])
+    verdicts = common.spool(verdicts.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("removed").alias("_r")), "line-verdicts")
+    rows = documents.withColumn(key, common.text_key())
+    same = rows["doc_id"].eqNullSafe(verdicts["_d"]) & rows["source"].eqNullSafe(verdicts["_s"]) & (rows[key] == verdicts["_k"])
+    kept = rows.join(verdicts, same).select(*(rows[c] for c in names), verdicts["_r"].alias(all_removed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = names.index("text")
             texts = batch.column("text").to_pylist()
-            for i, gone in enumerate(batch.column("__removed").to_pylist()):
+            for i, gone in enumerate(batch.column(all_removed).to_pylist()):
                 if gone:
                     bad = set(gone)
                     texts[i] = "\n".join(x for x in texts[i].split("\n") if not (b := x.encode()).split() or normal_hash(b) not in bad)
@@ -161,3 +167,36 @@ def clean(documents: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("n_removed").alias("n_removed_words"))
+
+
+#: The same in DuckDB SQL: lines are compared as they are normalised, not by hashes.
+ORACLE_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, pos, w, count(*) OVER (PARTITION BY doc_id, w) AS times FROM (
+    SELECT doc_id, pos, array_to_string(words[pos:pos + {WINDOW - 1}], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS pos FROM texts)
+  )
+), repeats AS (
+  SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + {WINDOW})) AS word FROM windows WHERE times > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id
+), normal AS (
+  SELECT doc_id, source, text, n, regexp_replace(array_to_string(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+'), ' '), '[0-9]', '0', 'g') AS line FROM lines
+), frequent AS (
+  SELECT source, line, min(doc_id) AS first FROM normal GROUP BY source, line HAVING count(DISTINCT text) > {MOST_DOCUMENTS}
+), removed AS (
+  SELECT n.doc_id, sum(n.n) AS n FROM normal n JOIN frequent f ON n.source IS NOT DISTINCT FROM f.source AND n.line = f.line WHERE n.doc_id <> f.first GROUP BY n.doc_id
+), measured AS (
+  SELECT t.doc_id, len(t.words)::BIGINT AS n_words, length(array_to_string(t.words, ''))::BIGINT AS word_chars,
+    (length(t.text) - length(translate(t.text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(x.n, 0)::BIGINT AS n_removed_words
+  FROM texts t LEFT JOIN dups d USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN removed x USING (doc_id)
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
+  AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {MIN_LEFT} OR n_words - n_removed_words < {MIN_LEFT_SHARE} * n_words)) AS kept
+FROM measured
+"""

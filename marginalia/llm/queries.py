@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE_SQL,
     "op5_source_mix": source_mix.ORACLE_SQL,
+    "op7_line_quality": line_quality.ORACLE_SQL,
 }

@@ -1,25 +1,23 @@
 r"""Secret scans by a trigram inverted index. DataFrame functions only on the executors.
 
 Each rule is a regular expression. ``trigram_query`` derives from it which trigrams any match must hold, as an OR of ANDs.
-The index has a posting (trigram, doc_id) for each trigram that some rule asks for; postings are intersected for
-each AND by a bit mask over (rule, clause, doc_id), and only documents that meet a rule's query are verified with its
-expression. Rules without a mandatory trigram, like runs of hex digits, scan every text.
+The index has a posting (trigram, doc_id, text key) for each trigram that some rule asks for; postings are intersected for
+each AND by a bit mask over (rule, clause, document), and only documents that meet a rule's query are verified with its
+expression. Rules without a mandatory trigram, like runs of hex digits, scan every text. Texts are read twice; only the
+candidates' texts can be shuffled, since what has none of the trigrams is left out where it is read.
 
-Positions of all matches come from the matches and the pieces between them, whose lengths add up. Matches are leftmost and
-do not overlap; those whose group is too short are dropped.
+Positions of all matches come from the lengths of the matches and of the pieces between them, by a running sum over the
+matches of a text. Matches are leftmost and do not overlap; those whose group is too short are dropped.
 
-Nulls and ties: a null text is empty; postings of rows with equal or null doc_id join, which makes more candidates and
-never fewer, since each row is verified by itself. Repeated rows are each returned. An empty table gives an empty result.
-Other columns are ignored.
+Nulls and ties: a null text is empty; rows with the same doc_id (null included) and text are the same document and get the
+same spans. Repeated rows are each returned. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _constants as sre
-from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,30 +53,84 @@ RULES = BASE + MORE
 MOST_ENDS = 16  # different strings kept for one run of literals
 
 
+#: Escaped letters that stand for a kind of character, or a place, and not for themselves.
+CLASSES, PLACES = set("dDwWsS"), set("bBAZ")
+
+
+def parse(pattern: str, at: int = 0) -> tuple[list[list[tuple]], int]:
+    """The alternatives of a regular expression, up to its end or closing bracket: lists of (what, least, most), where what
+    is a set of characters, a list of alternatives, or None (something else)."""
+    out: list[list[tuple]] = [[]]
+    while at < len(pattern) and pattern[at] != ")":
+        c, at = pattern[at], at + 1
+        what: object
+        if c == "|":
+            out.append([])
+            continue
+        if c in "^$":
+            continue
+        if c == "(":
+            if pattern[at : at + 2] == "?:":
+                at += 2
+            elif pattern[at : at + 1] == "?":
+                raise ValueError(f"not known: {pattern[at - 1 : at + 3]}")
+            what, at = parse(pattern, at)
+            at += 1
+        elif c == "[":
+            end = at + 1 + (pattern[at] == "^")
+            while pattern[end] != "]":
+                end += 1 + (pattern[end] == "\\")
+            inner, at = pattern[at:end], end + 1
+            what = None if inner[0] == "^" or "\\" in inner or "-" in inner[1:-1] else set(inner)
+        elif c == "\\":
+            c, at = pattern[at], at + 1
+            if c in PLACES:
+                continue
+            if c == "x":
+                c, at = chr(int(pattern[at : at + 2], 16)), at + 2
+                what = {c}
+            else:
+                what = None if c in CLASSES else {c}
+        else:
+            what = None if c == "." else {c}
+        least, most = 1, 1
+        if at < len(pattern) and pattern[at] in "?*+{":
+            if pattern[at] == "{":
+                end = pattern.index("}", at)
+                low, _, high = pattern[at + 1 : end].partition(",")
+                least, most, at = int(low), int(high or low) if high or "," not in pattern[at:end] else 1 << 30, end + 1
+            else:
+                least, most = {"?": (0, 1), "*": (0, 1 << 30), "+": (1, 1 << 30)}[pattern[at]]
+                at += 1
+            at += pattern[at : at + 1] in ("?", "+")  # lazy or possessive
+        out[-1].append((what, least, most))
+    return out, at
+
+
 def trigram_query(pattern: str) -> frozenset[frozenset[str]]:
     """Clauses of lower-cased trigrams: a text with a match holds all of some clause. Empty: no trigram is mandatory."""
     runs: list[set[str]] = []  # of literal strings, one of each set is in a match
 
-    def walk(items, ends: set[str]) -> set[str]:
-        for op, arg in items:
-            if op is sre.LITERAL:
-                ends = {e + chr(arg) for e in ends}
-            elif op is sre.SUBPATTERN:
-                ends = walk(arg[-1], ends)
-            elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) * len(ends) <= MOST_ENDS:
-                ends = {e + chr(c) for e in ends for _, c in arg}
-            elif op is sre.BRANCH and all(o is sre.LITERAL or o is sre.MAX_REPEAT for part in arg[1] for o, _ in part):
-                ends = {x for part in arg[1] for x in walk(part, ends)}
-            elif op is sre.MAX_REPEAT and arg[:2] == (0, 1) and len(arg[2]) == 1 and arg[2][0][0] is sre.LITERAL:
-                ends = ends | {e + chr(arg[2][0][1]) for e in ends}
-            elif op is sre.MAX_REPEAT and arg[0] == arg[1] and arg[0] < 9 and len(arg[2]) == 1 and arg[2][0][0] is sre.LITERAL:
-                ends = {e + chr(arg[2][0][1]) * arg[0] for e in ends}
+    def simple(parts: list[tuple]) -> bool:
+        return all(isinstance(what, set) and len(what) == 1 and most - least <= 1 and most < 9 for what, least, most in parts)
+
+    def walk(parts: list[tuple], ends: set[str]) -> set[str]:
+        for what, least, most in parts:
+            if isinstance(what, set) and (least, most) == (1, 1) and len(what) * len(ends) <= MOST_ENDS:
+                ends = {e + c for e in ends for c in what}
+            elif isinstance(what, set) and len(what) == 1 and most < 9 and most - least <= 1 and (most - least + 1) * len(ends) <= MOST_ENDS:
+                ends = {e + c * n for e in ends for c in what for n in range(least, most + 1)}
+            elif isinstance(what, list) and (least, most) == (1, 1) and all(map(simple, what)):
+                ends = {x for part in what for x in walk(part, ends)}
             else:  # anything else ends the run
                 runs.append(ends)
                 ends = {""}
         return ends
 
-    runs.append(walk(parser.parse(pattern), {""}))
+    alternatives, _ = parse(pattern)
+    if len(alternatives) > 1:
+        alternatives = [[(alternatives, 1, 1)]]
+    runs.append(walk(alternatives[0], {""}))
     clauses: set[frozenset[str]] = {frozenset()}
     for run in runs:
         options = {frozenset(s[i : i + 3].lower() for i in range(len(s) - 2)) for s in run}
@@ -88,57 +140,84 @@ def trigram_query(pattern: str) -> frozenset[frozenset[str]]:
     return frozenset() if frozenset() in clauses else frozenset(clauses)
 
 
-def postings(documents: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The index: (trigram, doc_id), for the trigrams given."""
-    lower = documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return lower.select("doc_id", F.explode(found).alias("trigram"))
+def postings(read: DataFrame) -> DataFrame:
+    """The index: (trigram, doc_id, key). read: the result of first_pass."""
+    return read.select("doc_id", "key", F.explode("trigrams").alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id and kinds: the rules whose trigram query the document meets."""
+    """doc_id, key and kinds: the rules whose trigram query the document meets."""
     asked = [(r.kind, k, t, 1 << i, (1 << len(c)) - 1) for r in rules for k, c in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) for i, t in enumerate(c)]
     query = index.sparkSession.createDataFrame(asked, "kind string, clause int, trigram string, bit long, need long")
     # the query table has a few rows for each rule, whatever the input
-    met = index.join(F.broadcast(query), "trigram").groupBy("doc_id", "kind", "clause").agg(F.bit_or("bit").alias("has"), F.max("need").alias("need")).where("has = need")
-    return met.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    met = index.join(F.broadcast(query), "trigram").groupBy("doc_id", "key", "kind", "clause").agg(F.bit_or("bit").alias("has"), F.max("need").alias("need")).where("has = need")
+    return met.groupBy("doc_id", "key").agg(F.collect_set("kind").alias("kinds"))
+
 
+def lengths(rule: Rule, number: int, check: Column) -> Column:
+    """Array of (number, i, before, long, group): lengths of the piece before match i, of the match and of its group; null without a match."""
+    pattern = F.lit(("(?i)" if rule.any_case else "") + rule.pattern)
+    all_of = lambda group: F.transform(F.regexp_extract_all("text", pattern, F.lit(group)), F.length)
+    pieces = F.transform(F.split("text", pattern, -1), F.length)
+    found = F.arrays_zip(pieces.alias("before"), all_of(0).alias("long"), all_of(rule.group).alias("group"))
+    rows = F.transform(found, lambda x, i: F.struct(F.lit(number).alias("number"), i.alias("i"), x["before"].alias("before"), x["long"].alias("long"), x["group"].alias("group")))
+    # most texts end at rlike, whatever the rule; the piece after the last match has no match
+    return F.when(check & F.rlike("text", pattern), F.filter(rows, lambda x: x["long"].isNotNull()))
 
-def spans(rule: Rule, number: int, matches: str, pieces: str, groups: str) -> Column:
-    """Array of (start, number, kind, end) from columns with the matches, the pieces between them and the groups."""
-    empty = F.expr("cast(array() as array<struct<start:int,number:int,kind:string,end:int>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        good = F.length(x["g"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+def together(found: list[Column]) -> Column:
+    """One array of all that is not null; null if nothing is there."""
+    none = F.expr("cast(array() as array<struct<number:int,i:int,before:int,long:int,group:int>>)")
+    out = F.concat(*[F.coalesce(x, none) for x in found]) if found else none
+    return F.when(F.size(out) > 0, out)
 
-    found = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(matches), F.lit(0))).alias("p"), F.col(matches).alias("m"), F.col(groups).alias("g"))
-    return F.when(F.size(matches) > 0, F.aggregate(found, start, step, lambda s: s["out"])).otherwise(empty)
+
+def first_pass(documents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, key, trigrams (of those that rules ask for) and free: the matches of rules without a mandatory one."""
+    asked = {r.kind: trigram_query(r.pattern) for r in rules}
+    wanted = sorted({t for q in asked.values() for c in q for t in c})
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", common.text_key().alias("key"), "text", F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
+    free = together([lengths(r, i, F.lit(True)) for i, r in enumerate(rules) if not asked[r.kind]])
+    return rows.select("doc_id", "key", held.alias("trigrams"), free.alias("free"))
+
+
+def second_pass(documents: DataFrame, meets: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, key and bound: the matches of the other rules in their candidates."""
+    low = F.lower("text")
+    meets_some = F.lit(False)
+    for r in rules:
+        for clause in sorted(map(sorted, trigram_query(r.pattern))):
+            holds = F.lit(True)
+            for t in clause:
+                holds = holds & F.contains(low, F.lit(t))
+            meets_some = meets_some | holds
+    # others can't be candidates, and need not be shuffled
+    texts = documents.where(meets_some).select("doc_id", common.text_key().alias("key"), "text")
+    meets = meets.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "kinds")
+    rows = texts.join(meets, texts["doc_id"].eqNullSafe(meets["d"]) & (texts["key"] == meets["k"])).select("doc_id", "key", "text", "kinds")
+    bound = together([lengths(r, i, F.array_contains("kinds", r.kind)) for i, r in enumerate(rules) if trigram_query(r.pattern)])
+    return rows.select("doc_id", "key", bound.alias("bound")).where("bound is not null")
 
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and found: array of (start, number, kind, end), by start, then rule."""
-    asked = {r.kind: trigram_query(r.pattern) for r in rules}
-    index = common.spool(postings(documents, sorted({t for q in asked.values() for c in q for t in c})), "secret-index")
-    meets = common.spool(candidates(index, rules), "secret-candidates")
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(meets, texts["doc_id"].eqNullSafe(meets["doc_id"]), "left").select(texts["doc_id"], "text", "kinds")
-    columns, found = {}, []
-    for i, rule in enumerate(rules):
-        pattern = F.lit(("(?i)" if rule.any_case else "") + rule.pattern)
-        check = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) if asked[rule.kind] else F.lit(True)
-        check = check & F.rlike("text", pattern)  # most texts end here, whatever the rule
-        columns[f"m{i}"] = F.when(check, F.regexp_extract_all("text", pattern, F.lit(0)))
-        columns[f"p{i}"] = F.when(F.size(f"m{i}") > 0, F.split("text", pattern, -1))
-        columns[f"g{i}"] = F.when(F.size(f"m{i}") > 0, F.regexp_extract_all("text", pattern, F.lit(rule.group)) if rule.group else F.col(f"m{i}"))
-        found.append(spans(rule, i, f"m{i}", f"p{i}", f"g{i}"))
-    for step in ("m", "p", "g"):
-        rows = rows.withColumns({c: x for c, x in columns.items() if c[0] == step})
-    return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
+    read = common.spool(first_pass(documents, rules), "secret-index")
+    meets = common.spool(candidates(postings(read), rules), "secret-candidates")
+    bound = second_pass(documents, meets, rules)
+    matches = read.where("free is not null").select("doc_id", "key", F.col("free").alias("x")).union(bound.select("doc_id", "key", "bound"))
+    # repeated rows once: their matches are the same, so the lengths are counted once for each rule and number
+    each = common.spool(matches.select("doc_id", "key", F.explode("x").alias("x")).select("doc_id", "key", "x.*").distinct(), "secret-matches")
+    upto = Window.partitionBy("doc_id", "key", "number").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("before") + F.col("long")).over(upto).cast("int")
+    table = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least")) for r in rules])
+    placed = each.withColumn("end", end).withColumn("rule", F.get(table, "number")).where("group >= rule.least")
+    span = F.struct((F.col("end") - F.col("long")).alias("start"), "number", F.col("rule.kind").alias("kind"), "end")
+    spans = placed.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_list(span)).alias("found"))
+    spans = common.spool(spans, "secret-spans")
+    out = read.join(spans, read["doc_id"].eqNullSafe(spans["d"]) & (read["key"] == spans["k"]), "left")
+    none = F.expr("cast(array() as array<struct<start:int,number:int,kind:string,end:int>>)")
+    return out.select("doc_id", F.coalesce("found", none).alias("found"))
 
 
 def written(found: Column) -> Column:

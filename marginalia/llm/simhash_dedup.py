@@ -314,11 +314,13 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERC
 def deduplicate(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of each component of similar texts the rows with its smallest doc_id stay, repeated rows once; one without any doc_id stays whole."""
     found = near_duplicates(documents, size, percent)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone"), "key").distinct()
-    rows = documents.withColumn("__key", common.text_key())
-    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone"]) & (rows["__key"] == gone["key"]), "left_anti")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
-    return kept.withColumn("__copy", copy).where("__copy = 1").drop("__copy", "__key")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    names = documents.columns
+    key, copy = common.unused(names, "_key"), common.unused(names, "_copy")
+    rows = documents.withColumn(key, common.text_key())
+    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_d"]) & (rows[key] == gone["_k"]), "left_anti").select(*(rows[c] for c in names), rows[key])
+    kept = kept.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(0))))
+    return kept.where(F.col(copy) == 1).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,9 +29,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def quality_weight(size: Column) -> Column:
-    """1 for texts with 4 to 12 characters a word, white space included; 0.25 for others (lists, runs of symbols)."""
+    """1 for texts with 6.5 characters a word, white space included, falling by an eighth for each character more or less, 0.05 at
+    least (lists, runs of symbols, texts without words)."""
     per_word = F.try_divide(F.length("text"), size)  # a text without words has none
-    return F.when(per_word.between(4, 12), F.lit(1.0)).otherwise(F.lit(0.25))
+    return F.coalesce(F.greatest(F.lit(0.05), F.lit(1.0) - F.abs(per_word - 6.5) / 8), F.lit(0.05))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -66,7 +67,7 @@ def takes(
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("long")
     rows = (
         documents.select("doc_id", "source", "text", size.alias("size"))
-        .select("doc_id", "source", common.text_key().alias("text_key"), "size", (-F.log((drawn + 0.5) / float(2**48)) / F.coalesce(quality_weight(F.col("size")), F.lit(0.25))).alias("key"))
+        .select("doc_id", "source", common.text_key().alias("text_key"), "size", (-F.log((drawn + 0.5) / float(2**48)) / quality_weight(F.col("size"))).alias("key"))
         .withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
         .withColumn("host", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     )
@@ -92,11 +93,13 @@ def takes(
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix, whole, each as often as it is taken; columns as they came."""
-    chosen = common.spool(takes(documents, whole=True, **options).where("copies > 0").groupBy("doc_id", "text_key").agg(F.max("copies").alias("__copies")), "mix-takes")
-    rows = documents.withColumn("__key", common.text_key())
-    same = rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["__key"] == chosen["text_key"])
-    out = rows.join(chosen, same).select(*(documents[c] for c in documents.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-    return out.drop("__copy")
+    chosen = takes(documents, whole=True, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.max("copies").alias("_n"))
+    chosen = common.spool(chosen, "mix-takes")
+    names = documents.columns
+    key, copy = common.unused(names, "_key"), common.unused(names, "_copy")
+    rows = documents.withColumn(key, common.text_key())
+    out = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_d"]) & (rows[key] == chosen["_k"]))
+    return out.select(*(rows[c] for c in names), F.explode(F.sequence(F.lit(1), chosen["_n"])).alias(copy)).drop(copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +114,7 @@ WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, length(coalesce(text, '')) AS chars FROM {table}
 ), drawn AS (
   SELECT *, -ln((('0x' || substr(md5(concat_ws(':', '{seed}', doc_id::VARCHAR)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
-    / CASE WHEN size > 0 AND chars / size BETWEEN 4 AND 12 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS key FROM sized
+    / CASE WHEN size > 0 THEN greatest(0.05::DOUBLE, 1.0::DOUBLE - abs(chars::DOUBLE / size - 6.5::DOUBLE) / 8::DOUBLE) ELSE 0.05::DOUBLE END AS key FROM sized
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END::DOUBLE AS w FROM sized GROUP BY source
 ), ranked AS (

@@ -51,6 +51,7 @@ NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 )
+NUMBER_BYTES, UNIT_BYTES = frozenset(x.encode() for x in NUMBER_WORDS), frozenset(x.encode() for x in UNITS)
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NUMBER = re.compile(rb"[$+-]*[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
 _MIXED = re.compile(rb"([0-9][0-9.,]*)([a-z]+)")
@@ -95,7 +96,6 @@ class Templates:
         while n + len(words) > len(self.first):  # one text with more words than the limit
             self.first, self.inner, self.words, self.last = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.words, self.last))
         codes_of, name = self.slot_codes, self.slot_codes[NAME]
-        number_words, units = {x.encode() for x in NUMBER_WORDS}, {x.encode() for x in UNITS}
         first, inner, last, plain = [], [], [], []
         for word in words:
             last.append(word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"))
@@ -103,7 +103,7 @@ class Templates:
             if bare.isalpha():  # ASCII letters, as most words are: a number or a name only by the lists and its capital
                 low = bare.lower()
                 plain.append(digest(low) & ~1)
-                code = codes_of[NUM] if low in number_words else codes_of[UNIT] if low in units else plain[-1]
+                code = codes_of[NUM] if low in NUMBER_BYTES else codes_of[UNIT] if low in UNIT_BYTES else plain[-1]
                 first.append(code)
                 inner.append(name if low != bare and code == plain[-1] and len(bare) > 1 and bare[1:].islower() else code)
                 continue

@@ -38,10 +38,16 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, n_records long, n_bytes long"
 
 
+#: Names that Spark's readers use for stores, and pyarrow's for the same.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "dbfs": "file", "": "file"}
+
+
 def _file_system(path: str):
+    """A pyarrow file system for a Hadoop path, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.rpartition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if scheme else path.replace("file:/", "/", 1))
 
 
 def record_id(page: object, url: str | None) -> str:
@@ -53,9 +59,14 @@ def record(kind: str, headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """A response, or a revisit that refers to page ``first``. Line breaks in a url would end its header: they are escaped."""
-    target = None if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in url or "\n" in url else url
+def header_url(url: str | None) -> str | None:
+    """Line breaks in a url would end its header: they are escaped."""
+    return None if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in url or "\n" in url else url
+
+
+def page_record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None) -> bytes:
+    """A response, or a revisit that refers to the record of page ``first``."""
+    target = header_url(url)
     shared = [
         ("WARC-Record-ID", record_id(page, url)), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Page-ID", page), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http; msgtype=response"),
@@ -63,7 +74,7 @@ def page_record(page: int | None, url: str | None, payload: bytes, digest: str,
     head = HTTP % len(payload)
     if first is None:
         return record("response", shared, head + payload)
-    return record("revisit", [*shared, ("WARC-Profile", REVISIT), ("X-Refers-To-Page", first)], head)
+    return record("revisit", [*shared, ("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(first, first_url)), ("WARC-Refers-To-Target-URI", header_url(first_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", first)], head)
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES):
@@ -76,8 +87,9 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES):
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """pages: page_id, url, payload (binary), digest, first (page_id of the response, or null). Returns the manifest."""
+    """pages: page_id, url, payload (binary), digest, first and first_url (of the response, or null). Returns the manifest."""
     common.small_batches(pages.sparkSession, 500)
+    names = ["page_id", "url", "payload", "digest", "first", "first_url"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -101,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             waiting.clear()
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first"))
+            columns = (batch.column(c).to_pylist() for c in names)
             for row in zip(*columns, strict=True):
                 data, n = page_record(*row), n + 1
                 if sink is not None:
@@ -117,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n], "n_bytes": [store.get_file_info(path).size]})
 
-    return common.spool(pages.select("page_id", "url", "payload", "digest", "first").mapInArrow(run, MANIFEST), "warc-manifest")
+    return common.spool(pages.select(*names).mapInArrow(run, MANIFEST), "warc-manifest")
 
 
 def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -181,16 +193,30 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
 
 
 def with_first(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, digest, first: where an equal payload of a smaller page_id stands, if any."""
+    """page_id, url, payload, digest, first and first_url: where an equal payload of a smaller page_id stands, if any."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).where("n > 1")
+    known = rows.where((F.length("payload") >= least) & F.col("page_id").isNotNull())
+    firsts = known.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "url")).alias("least")).where("n > 1")
     firsts = common.spool(firsts.select(F.col("digest").alias("same"), "least"), "warc-firsts")
     out = rows.join(firsts, rows["digest"] == firsts["same"], "left")
-    return out.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("least"), F.col("least")).alias("first"))
+    later = F.col("page_id") > F.col("least.page_id")
+    return out.select("page_id", "url", "payload", "digest", F.when(later, F.col("least.page_id")).alias("first"), F.when(later, F.col("least.url")).alias("first_url"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.shared_dir(spark, "op1-warc")
     manifest = write_archives(with_first(common.table(spark, sf_dir, "pages")), folder)
     return read_archives(manifest, folder)
+
+
+#: The result that the archives must give back, in DuckDB SQL.
+ORACLE_SQL = f"""
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first FROM payloads WHERE payload_bytes >= {LEAST} GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM payloads p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest
+"""

@@ -62,3 +62,12 @@ def test_limit_does_not_grow_with_the_host(spark):
     got = {r["doc_id"]: r for r in line_quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 60 for i in (*range(1, 11), 2000, 2001))
     assert all(got[i]["n_removed"] == 0 and got[i]["kept"] for i in (*range(11, 1500), 2002)) and not got[2001]["kept"]
+
+
+def test_first_holder_is_a_choice_and_columns_may_clash(spark):
+    rows = [(i, f"a line that is in all of them\n{' '.join(f'w{i}x{k}' for k in range(12))}", "en", "s", 0, "x", "y") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string, _removed string")
+    n = lambda **o: {r["doc_id"]: r["n_removed"] for r in line_quality.judge(docs, **o).collect()}
+    assert n()[0] == 0 and n(keep_first=False)[0] == 8 and n(most_documents=20)[1] == 0
+    out = line_quality.clean(docs)
+    assert out.columns == docs.columns and all(r["_key"] == "x" and r["n_chars"] == len(r["text"]) for r in out.collect())

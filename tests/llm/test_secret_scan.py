@@ -56,3 +56,15 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
     assert secret_scan.trigram_query("[0-9a-f]{24,}") == frozenset() == secret_scan.trigram_query("(abc|[0-9]+)x")
     assert secret_scan.trigram_query("a(bc|de)f") == {frozenset({"abc", "bcf"}), frozenset({"ade", "def"})}
+
+
+def test_many_matches_stay_linear(spark):
+    import time
+
+    took = []
+    for n in (8_000, 64_000):
+        docs = spark.createDataFrame([(1, "password=abcdef " * n, "x", "y")], SCHEMA)
+        began = time.time()
+        assert secret_scan.scan(docs).selectExpr("size(found) n").collect()[0]["n"] == n
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 5

@@ -62,5 +62,23 @@ def test_records_stand_alone_and_need_the_dictionary(spark, tmp_path):
         list(warc.read_records(io.BytesIO(data[:-5])))
 
 
+def test_revisits_refer_to_records(spark, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    pages = spark.createDataFrame([(7, "http://b", "z" * 300, "", ""), (3, "http://a\nx", "z" * 300, "", ""), (9, "http://c", "z" * 300, "", "")], SCHEMA)
+    heads = [h for r in warc.write_archives(warc.with_first(pages), folder).collect() for h, _ in warc.read_records(open(r["path"], "rb"))]
+    response = next(h for h in heads if h["WARC-Type"] == "response")
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2 and response["X-Page-ID"] == "3"
+    for h in revisits:
+        assert h["WARC-Refers-To"] == response["WARC-Record-ID"] and h["WARC-Refers-To-Target-URI"] == response["WARC-Target-URI"] == "http://a%0Ax"
+
+
+def test_file_systems_by_the_schemes_of_hadoop(tmp_path):
+    for uri in (f"file://{tmp_path}/a", f"file:{tmp_path}/a", f"{tmp_path}/a"):
+        store, path = warc._file_system(uri)
+        assert store.type_name == "local" and path == f"{tmp_path}/a"
+    assert warc.SCHEMES["s3a"] == "s3"
+
+
 def test_shared_dir_follows_the_session(spark):
     assert "marginalia/x-" in common.shared_dir(spark, "x")
