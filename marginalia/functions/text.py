@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words too common to count, for term statistics (English).
@@ -33,7 +33,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r\f]+")).cast("long")
 
 
 def tokens(text: Column, stop: Iterable[str] = STOPWORDS) -> Column:
@@ -52,24 +52,30 @@ def hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern)).cast("long")
 
 
+def whole_words(pattern: str) -> str:
+    """The pattern where no letter, digit or underscore of any script goes on, case aside."""
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
+
+
 def excerpt(text: Column, pattern: str, around: int = 30) -> Column:
-    """The first match with ``around`` characters on each side; null without a match."""
-    at = F.regexp_instr(F.lower(text), F.lit(pattern))
+    """The first match, case aside, with ``around`` characters on each side; null without a match. Positions are of
+    characters, whatever their script."""
+    pattern = f"(?iu){pattern}"
+    at = F.length(F.element_at(F.split(text, pattern, 2), 1)) + 1
     start = F.greatest(F.lit(1), at - around)
-    long = F.length(F.regexp_extract(F.lower(text), pattern, 0))
-    return F.when(at > 0, F.substring(text, start, at - start + long + around))
+    long = F.length(F.regexp_extract(text, pattern, 0))
+    return F.when(F.rlike(text, F.lit(pattern)), F.substring(text, start, at - start + long + around))
 
 
 def truncation_signals(text: Column, n_words: Column, median_words: Column) -> Column:
-    """Array of what speaks for a text that was cut off."""
-    bare = F.trim(F.regexp_replace(text, "[ \t\n\r\f]+", " "))
-    last = F.regexp_replace(F.lower(F.element_at(F.split(bare, " "), -1)), "[.,;:]+$", "")
-    unfinished = F.lit(False)
-    for phrase in UNFINISHED:
-        unfinished = unfinished | F.contains(F.lower(bare), F.lit(phrase))
+    """Array of what speaks for a text that was cut off. Only the end of the text is read, but for the phrases."""
+    end = F.btrim(F.regexp_extract(text, r"[^ \t\n\r\f]*[ \t\n\r\f]*$", 0), F.lit(" \t\n\r\f"))
+    last_three = F.right(F.rtrim(F.regexp_replace(F.right(text, F.lit(64)), "[ \t\n\r\f]+", " ")), F.lit(3))
+    last = F.regexp_replace(F.lower(end), "[.,;:]+$", "")
+    unfinished = F.rlike(text, F.lit("(?i)" + "|".join(p.replace(" ", r"[ \t\n\r\f]+") for p in UNFINISHED)))
     return F.array_compact(
         F.array(
-            F.when(~F.rlike(F.right(bare, F.lit(3)), F.lit(r"[.?!\"')\]]")), "no_terminal_punct"),
+            F.when(~F.rlike(last_three, F.lit(r"[.?!\"')\]]")), "no_terminal_punct"),
             F.when(last.isin(*TRAILING), "trailing_conjunction"),
             F.when(unfinished, "explicit_incomplete"),
             F.when((median_words > 0) & (n_words < median_words * 0.5), "below_median"),
@@ -82,37 +88,51 @@ def is_truncated(signals: Column) -> Column:
     return has("explicit_incomplete") | (has("no_terminal_punct") & (has("trailing_conjunction") | has("below_median")))
 
 
-def bare_words(text: Column) -> Column:
-    """Words of three characters or more once their edge punctuation is off."""
-    return F.filter(F.transform(words(text), lambda w: F.btrim(w, F.lit(EDGE_PUNCTUATION))), lambda w: F.length(w) >= 3)
-
-
-def gibberish_reason(text: Column) -> Column:
-    """Why a text is no language: placeholder text, keyboard runs, words without vowels, or repetition; null if none.
-    Texts under 15 words are not judged."""
-    rows = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-    runs = [r[i : i + 5] for x in rows for r in (x, x[::-1]) for i in range(len(r) - 4)]
-    every, bare = words(text), bare_words(text)
-    n, n_bare = F.size(every), F.size(bare)
-    keyboard = F.size(F.filter(bare, lambda w: F.rlike(F.lower(w), F.lit("|".join(runs)))))
-    vowelless = F.size(F.filter(bare, lambda w: ~F.rlike(F.lower(w), F.lit("[aeiouyáéíóúüäöàèìòùâêîôûñ]"))))
-    folded = F.transform(every, lambda w: F.btrim(F.lower(w), F.lit(".,!?;:'\"()-")))
-    distinct = F.size(F.array_distinct(folded))
-    ordered = F.array_sort(folded)
-    most = F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-        lambda a, w: F.struct(w.alias("w"), F.when(w == a["w"], a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["best"], F.when(w == a["w"], a["n"] + 1).otherwise(1)).alias("best")),
-        lambda a: a["best"],
+#: What the gibberish rules go by.
+PLACEHOLDERS = r"lorem\s+ipsum|dolor\s+sit\s+amet|consectetur\s+adipiscing"
+KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+VOWELS = "aeiouyáéíóúàèìòùäëïöü"
+FOLDED_PUNCTUATION = ".,!?;:'\"()-"
+LEAST_WORDS, KEY_RUN, MASHED, VOWELLESS, ONE_WORD, FEW_WORDS = 15, 5, 0.4, 0.5, 0.4, 0.12
+
+
+def key_walk(length: int = KEY_RUN) -> str:
+    """A pattern for ``length`` keys in a row, each the same as or next to the one before it."""
+    def after(row: str, i: int, n: int) -> str:
+        if n == 0:
+            return ""
+        near = row[max(0, i - 1) : i + 2]
+        return "[" + near + "]" if n == 1 else "(?:" + "|".join(row[j] + after(row, j, n - 1) for j in range(max(0, i - 1), min(len(row), i + 2))) + ")"
+
+    return "|".join(row[i] + after(row, i, length - 1) for row in KEY_ROWS for i in range(len(row)))
+
+
+def gibberish_reason(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key and reason why a text is no language: placeholder text, keyboard walks, words without vowels, or repetition; null
+    if none. Texts under 15 words are not judged. Words are counted, and judged, once for each different one of a text."""
+    each = rows.select(F.monotonically_increasing_id().alias("_row"), key, F.col(text).alias("_text"))
+    each = each.select("_row", key, F.rlike("_text", F.lit("(?i)" + PLACEHOLDERS)).alias("placeholder"), words(F.lower("_text")).alias("w"))
+    # counts by different words: sorted, equal words are neighbours
+    counted = each.select("_row", key, "placeholder", F.size("w").alias("n"), F.explode_outer("w").alias("word")).groupBy("_row", key, "placeholder", "n", "word").agg(F.count("word").alias("times"))
+    counted = counted.select("*", F.btrim("word", F.lit(EDGE_PUNCTUATION)).alias("bare"), F.btrim("word", F.lit(FOLDED_PUNCTUATION)).alias("folded"))
+    long = F.length("bare") >= 3
+    by_fold = counted.groupBy("_row", key, "placeholder", "n", "folded").agg(
+        F.sum("times").alias("times"),
+        F.sum(F.when(long, F.col("times")).otherwise(0)).alias("bare"),
+        F.sum(F.when(long & F.rlike("bare", F.lit(key_walk())), F.col("times")).otherwise(0)).alias("mashed"),
+        F.sum(F.when(long & ~F.rlike("bare", F.lit(f"[{VOWELS}]")), F.col("times")).otherwise(0)).alias("vowelless"),
     )
-    return (
-        F.when(n < 15, F.lit(None))
-        .when(F.rlike(F.lower(text), F.lit(r"lorem\s+ipsum")), "lorem_ipsum")
-        .when((n_bare > 0) & (keyboard > 0.4 * n_bare), "keyboard_mash")
-        .when((n_bare > 10) & (vowelless > 0.5 * n_bare), "keyboard_mash")
-        .when((n > 20) & (most > 0.4 * n), "repetition_spam")
-        .when((n > 30) & (distinct < 0.12 * n), "repetition_spam")
+    sums = by_fold.groupBy("_row", key, "placeholder", "n").agg(F.sum("bare").alias("bare"), F.sum("mashed").alias("mashed"), F.sum("vowelless").alias("vowelless"), F.max("times").alias("most"), F.count("folded").alias("different"))
+    n, bare = F.col("n"), F.col("bare")
+    reason = (
+        F.when((n < LEAST_WORDS) | n.isNull(), F.lit(None))
+        .when(F.col("placeholder"), "lorem_ipsum")
+        .when((bare > 0) & (F.col("mashed") > MASHED * bare), "keyboard_mash")
+        .when((bare > 10) & (F.col("vowelless") > VOWELLESS * bare), "keyboard_mash")
+        .when((n > 20) & (F.col("most") > ONE_WORD * n), "repetition_spam")
+        .when((n > 30) & (F.col("different") < FEW_WORDS * n), "repetition_spam")
     )
+    return sums.select(key, reason.alias("reason"))
 
 
 def iso_timestamp(text: Column) -> Column:

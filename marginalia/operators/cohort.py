@@ -2,8 +2,10 @@
 
 Four order-statistic rules are in use and must not be exchanged: nearest index (peer_stats), linear interpolation
 (distribution), exclusive quartiles (feature_baseline) and the upper median. All work on (value, count) pairs within a cohort,
-which partial aggregation makes before any shuffle: a cohort that holds a third of all rows costs its distinct values, not
-its rows. Quantise continuous scores first where that matters.
+which partial aggregation makes before any shuffle, and running counts are made by range of value: a cohort that holds a third
+of all rows, with a different value in each, is many small sorts and not one.
+
+Rows without a cohort are a cohort of their own. A null value takes no part in the statistics; its row stays, with null ranks.
 """
 
 from __future__ import annotations
@@ -11,12 +13,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources import io
+
+RANGES = 256
+
 
-def value_counts(rows: DataFrame, cohort: str, value: str) -> DataFrame:
-    """cohort, value, n, below (rows with a smaller value) and total."""
+def value_counts(rows: DataFrame, cohort: str, value: str, ranges: int = RANGES) -> DataFrame:
+    """cohort, value, n, below (rows with a smaller value) and total. value is a number."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(cohort, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(cohort).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("below", upto - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy(cohort)))
+    bounds = counts.groupBy(cohort).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    place = F.least(F.lit(ranges - 1), F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges)).cast("int")
+    cut = io.join_same(counts, bounds, [cohort]).withColumn("_range", F.when(F.col("_high") > F.col("_low"), place).otherwise(0)).drop("_low", "_high")
+    sums = cut.groupBy(cohort, "_range").agg(F.sum("n").alias("_n"))  # a cohort has ``ranges`` of them at most
+    earlier = F.sum("_n").over(Window.partitionBy(cohort).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(cohort, "_range", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(cohort)).alias("total"))
+    within = F.sum("n").over(Window.partitionBy(cohort, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = io.join_same(cut, sums, [cohort, "_range"]).withColumn("below", F.col("_before") + within - F.col("n"))
+    return placed.select(cohort, value, "n", "below", "total")
 
 
 def nth(value: str, index: Column) -> Column:
@@ -42,7 +55,7 @@ def peer_stats(rows: DataFrame, cohort: str, value: str, percentile: float = 90.
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    return moments(rows, cohort, value).join(order, cohort).withColumn("iqr", F.col("q3") - F.col("q1"))
+    return io.join_same(moments(rows, cohort, value), order, [cohort]).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def distribution(rows: DataFrame, cohort: str, value: str) -> DataFrame:
@@ -55,7 +68,7 @@ def distribution(rows: DataFrame, cohort: str, value: str) -> DataFrame:
         return low + (high - low) * share
 
     order = value_counts(rows, cohort, value).groupBy(cohort).agg(*[linear(p).alias(f"p{int(100 * p)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)])
-    out = moments(rows, cohort, value).join(order, cohort)
+    out = io.join_same(moments(rows, cohort, value), order, [cohort])
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
@@ -75,16 +88,19 @@ def feature_baseline(rows: DataFrame, cohort: str, value: str, least: int = 4, d
 def ranked(rows: DataFrame, cohort: str, value: str, name: str) -> DataFrame:
     """rows with <name>_pct (share strictly below, 0 to 100) and <name>_z (0 where all are equal)."""
     below = value_counts(rows, cohort, value).select(cohort, value, (100.0 * F.col("below") / F.col("total")).alias(f"{name}_pct"))
-    stats = moments(rows, cohort, value).select(cohort, F.col("mean").alias("__mean"), F.col("stdev").alias("__sd"))
-    out = rows.join(below, [cohort, value]).join(stats, cohort)
-    return out.withColumn(f"{name}_z", F.when(F.col("__sd") > 0, (F.col(value) - F.col("__mean")) / F.col("__sd")).otherwise(F.lit(0.0))).drop("__mean", "__sd")
+    stats = moments(rows, cohort, value).select(cohort, F.col("mean").alias("_mean"), F.col("stdev").alias("_sd"))
+    out = io.join_same(io.join_same(rows, below, [cohort, value]), stats, [cohort])
+    z = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd")).when(F.col(value).isNotNull(), F.lit(0.0))
+    return out.withColumn(f"{name}_z", z).drop("_mean", "_sd")
 
 
 def peer_outliers(rows: DataFrame, cohort: str, score: str, trust: str, percentile: float = 90.0, z: float = 2.0, least: int = 3) -> DataFrame:
-    """rows with ranks and reasons: why a row stands out among its peers; none in cohorts under ``least`` rows."""
+    """rows with ranks and reasons: why a row stands out among its peers. In cohorts under ``least`` rows there are no
+    reasons, and all ranks are 0."""
     both = ranked(ranked(rows, cohort, score, "score"), cohort, trust, "trust")
     fence = peer_stats(rows, cohort, score, percentile).select(cohort, F.col("n").alias("n_peers"), (F.col("q3") + 1.5 * F.col("iqr")).alias("fence"))
-    out = both.join(fence, cohort)
+    out = io.join_same(both, fence, [cohort])
+    enough = F.coalesce(F.col("n_peers") >= least, F.lit(False))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("score_pct") >= percentile, "top_percentile"),
@@ -94,16 +110,21 @@ def peer_outliers(rows: DataFrame, cohort: str, score: str, trust: str, percenti
             F.when((F.col("score_pct") >= 75) & (F.col("trust_pct") <= 25), "high_score_low_trust"),
         )
     )
-    return out.withColumn("reasons", F.when(F.col("n_peers") >= least, reasons).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("reasons", F.when(enough, reasons).otherwise(F.array().cast("array<string>")))
+    return out.withColumns({c: F.when(enough, F.col(c)).otherwise(F.lit(0.0)) for c in ("score_pct", "score_z", "trust_pct", "trust_z", "fence")})
 
 
 def threshold_outliers(rows: DataFrame, cohort: str, score: str, trust: str, percentile: float = 90.0, z: float = 2.0) -> DataFrame:
     """The other rule: above the threshold's value, z over 2, or trust under mean - 1.5 deviations."""
     stats = peer_stats(rows, cohort, score, percentile).select(cohort, "upper", F.col("mean").alias("m"), F.col("stdev").alias("sd"))
     trusts = moments(rows, cohort, trust).select(cohort, F.col("mean").alias("tm"), F.col("stdev").alias("tsd"))
-    out = rows.join(stats, cohort).join(trusts, cohort)
+    out = io.join_same(io.join_same(rows, stats, [cohort]), trusts, [cohort])
     above = (F.col("sd") > 0) & ((F.col(score) - F.col("m")) > z * F.col("sd"))
-    return out.withColumn("is_outlier", (F.col(score) > F.col("upper")) | above | (F.col(trust) < F.col("tm") - 1.5 * F.col("tsd"))).drop("m", "sd", "tm", "tsd")
+    rules = (F.col(score) > F.col("upper"), above, F.col(trust) < F.col("tm") - 1.5 * F.col("tsd"))
+    is_outlier = F.lit(False)
+    for r in rules:
+        is_outlier = is_outlier | F.coalesce(r, F.lit(False))
+    return out.withColumn("is_outlier", is_outlier).drop("m", "sd", "tm", "tsd")
 
 
 def percentile_label(value: Column, p10: Column, p25: Column, p75: Column) -> Column:
@@ -128,7 +149,7 @@ def mean_cohort_z(rows: DataFrame, cohort: str, key: str, signals: list[str]) ->
     stats = rows.groupBy(cohort).agg(*[x for s in signals for x in (F.avg(s).alias(f"{s}_m"), F.stddev_samp(s).alias(f"{s}_sd"))])
     z = F.array_compact(F.array(*[F.when(F.col(f"{s}_sd") > 0, (F.col(s) - F.col(f"{s}_m")) / F.col(f"{s}_sd")) for s in signals]))
     total = F.aggregate(z, F.lit(0.0), lambda a, x: a + x)
-    return rows.join(stats, cohort).select(cohort, key, F.when(F.size(z) > 0, total / F.size(z)).alias("mean_z"))
+    return io.join_same(rows, stats, [cohort]).select(cohort, key, F.when(F.size(z) > 0, total / F.size(z)).alias("mean_z"))
 
 
 def effect_size(rows: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 GRADED = ("graded", "unsubmitted", "not_submitted")
 
@@ -48,7 +49,7 @@ def roster_outcome(roster: DataFrame, submissions: DataFrame, key: str, complete
 
 
 def threaded(entries: DataFrame, thread: str, order: str, author: str, text: str = "text") -> DataFrame:
-    """Discussion rows with n_words, is_post (first of its thread) and the message answered."""
+    """Rows of discussions that do not branch: each entry answers the one before it. See with_parents for those that do."""
     window = Window.partitionBy(thread).orderBy(order)
     return entries.withColumn("n_words", T.word_count(T.strip_html(F.col(text)))).withColumn("is_post", F.row_number().over(window) == 1).withColumn("parent_text", F.lag(text).over(window)).withColumn("parent_author", F.lag(author).over(window))
 
@@ -83,19 +84,29 @@ def credit(entries: DataFrame, seen: DataFrame, scope: list[str], entry: str, le
 
 
 def reply_tree(entries: DataFrame, thread: str, entry: str, parent: str, deleted: str) -> DataFrame:
-    """thread, entry, depth and path (entries from the root, which sorts as pre-order) of what hangs on no deleted entry."""
-    rows = entries.where(~F.coalesce(F.col(deleted), F.lit(False))).select(F.col(thread).alias("thread"), F.col(entry).alias("entry"), F.col(parent).alias("parent"))
-    tree = entries.sparkSession.sql(
-        """
-        WITH RECURSIVE tree AS (
-          SELECT thread, entry, 0 AS depth, array(entry) AS path FROM {rows} WHERE parent IS NULL
-          UNION ALL
-          SELECT r.thread, r.entry, t.depth + 1, concat(t.path, array(r.entry)) FROM {rows} r JOIN tree t ON r.thread = t.thread AND r.parent = t.entry
-        ) SELECT * FROM tree
-        """,
-        rows=rows,
-    )
-    return tree.select(F.col("thread").alias(thread), F.col("entry").alias(entry), "depth", "path")
+    """thread, entry, depth and path (entries from the root, which sorts as pre-order) of what hangs on no deleted entry.
+
+    Pointers are doubled: each round an entry's path takes over that of the ancestor where it ends, so a tree of depth d needs
+    log2(d) joins, each written. Entries that hang on nothing, or on each other in a circle, are left out.
+    """
+    rows = entries.where(~F.coalesce(F.col(deleted), F.lit(False))).select(F.col(thread).alias("thread"), F.col(entry).alias("entry"), F.col(parent).alias("up"))
+    most = rows.groupBy("thread").agg(F.count("*").alias("most"))
+    rows = io.join_same(rows, most, ["thread"])
+    now = io.written(rows.select("thread", "entry", "up", "most", F.array("entry").alias("path")), "reply-tree")
+    while not now.where("up is not null").isEmpty():
+        open_, done = now.where("up is not null"), now.where("up is null")
+        above = now.select("thread", F.col("entry").alias("up"), F.col("up").alias("next"), F.col("path").alias("upper"))
+        joined = io.join_same(open_, above, ["thread", "up"], "inner")
+        more = joined.select("thread", "entry", F.col("next").alias("up"), "most", F.concat("upper", "path").alias("path"))
+        now = io.written(done.unionByName(more.where(F.size("path") <= F.col("most"))), "reply-tree")  # longer: a circle
+    return now.select(F.col("thread").alias(thread), F.col("entry").alias(entry), (F.size("path") - 1).alias("depth"), "path")
+
+
+def with_parents(entries: DataFrame, thread: str, entry: str, parent: str, author: str, text: str = "text") -> DataFrame:
+    """Discussion rows with n_words, is_post (they answer nothing) and the message and author that they answer, by id."""
+    above = entries.select(thread, F.col(entry).alias(parent), F.col(text).alias("parent_text"), F.col(author).alias("parent_author"))
+    out = entries.withColumn("n_words", T.word_count(T.strip_html(F.col(text)))).withColumn("is_post", F.col(parent).isNull())
+    return out.join(above, [thread, parent], "left")
 
 
 def deadline_bucket(due: Column, now: Column) -> Column:

@@ -72,13 +72,27 @@ def circular_hours(a: Column, b: Column) -> Column:
     return F.least(F.abs(a - b), 24 - F.abs(a - b))
 
 
-def hour_shift(rows: DataFrame, key: str, ts: str, shift: float = 4.0) -> DataFrame:
-    """key, usual_hour (upper median s[n//2] of all but the last), last_hour, shifted, late_night."""
-    hour = F.hour(ts) + F.minute(ts) / 60.0
-    series = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts), hour.alias("h")))), lambda x: x["h"]).alias("h")).where(F.size("h") >= 2)
-    before = F.array_sort(F.slice("h", 1, F.size("h") - 1))
-    out = series.select(key, F.element_at(before, F.floor(F.size(before) / 2).cast("int") + 1).alias("usual_hour"), F.element_at("h", -1).alias("last_hour"))
-    return out.withColumn("shifted", circular_hours(F.col("usual_hour"), F.col("last_hour")) >= shift).withColumn("late_night", (F.col("last_hour") >= 22) | (F.col("last_hour") < 4))
+def hour_shift(rows: DataFrame, key: str, ts: str, shift: float = 4.0, tie: str | None = None, least: int = 2, steady: float | None = None) -> DataFrame:
+    """key, usual_hour (upper median s[n//2] of all but the last), last_hour, shifted, late_night. From counts by minute of the day, of
+    which a key has 1,440 at most. steady: no shift where the earlier hours themselves deviate by more than this."""
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    last = rows.groupBy(key).agg(F.max(F.struct(ts, *[tie] if tie else [])).alias("_last"), F.count("*").alias("n")).where(F.col("n") >= least)
+    last = last.select(key, "n", (F.hour(F.col("_last")[ts]) * 60 + F.minute(F.col("_last")[ts])).alias("last"))
+    counts = rows.groupBy(key, minute.alias("minute")).agg(F.count("*").alias("k")).join(last, key)
+    counts = counts.withColumn("k", F.col("k") - (F.col("minute") == F.col("last")).cast("long")).where("k > 0")
+    upto = F.sum("k").over(Window.partitionBy(key).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.floor((F.col("n") - 1) / 2)
+    hour = F.col("minute") / 60.0
+    at = counts.withColumn("upto", upto)
+    out = at.groupBy(key).agg(
+        F.max(F.when((F.col("upto") > middle) & (F.col("upto") - F.col("k") <= middle), hour)).alias("usual_hour"),
+        (F.max("last") / 60.0).alias("last_hour"),
+        (F.sum(F.col("k") * hour * hour) / F.sum("k") - F.pow(F.sum(F.col("k") * hour) / F.sum("k"), 2)).alias("variance"),
+    )
+    moved = circular_hours(F.col("usual_hour"), F.col("last_hour")) >= shift
+    if steady is not None:
+        moved = moved & (F.sqrt(F.greatest(F.lit(0.0), F.col("variance"))) <= steady)
+    return out.select(key, "usual_hour", "last_hour", moved.alias("shifted"), ((F.col("last_hour") >= 22) | (F.col("last_hour") < 4)).alias("late_night"))
 
 
 def inflections(rows: DataFrame, key: str, idx: str, value: str, label: str, jump: float = 0.4) -> DataFrame:

@@ -49,3 +49,8 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as discussions: thread conv_id, entries in order of turn, each answering the one before."""
     return io.table(spark, sf_dir, "conversations")
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """submissions without their texts, written once: texts are scanned and matched one time, however many branches a plan has."""
+    return io.written(submissions(spark, sf_dir).drop("text"), "submissions")

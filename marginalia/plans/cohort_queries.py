@@ -7,48 +7,48 @@ from pyspark.sql import functions as F
 from marginalia.operators import cohort, similarity
 from marginalia.sources import io
 
-from .bindings import SUBMISSIONS, query, results, submissions
+from .bindings import SUBMISSIONS, measured, query, results
 
 SORTED = "list_sort(list(score))"
 PEERS = f"""peers AS (SELECT source, count(*) AS n, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS stdev, {SORTED}[(count(*) // 4) + 1] AS q1, {SORTED}[((3 * count(*)) // 4) + 1] AS q3,
   median(score) AS median, {SORTED}[least((count(*) * 90) // 100, count(*) - 1) + 1] AS upper, {SORTED}[(count(*) * 10) // 100 + 1] AS lower, min(score) AS min, max(score) AS max FROM subs GROUP BY source)"""
 RANKS = f"""{SUBMISSIONS}, {PEERS}, tp AS (SELECT source, avg(trust) AS tm, coalesce(stddev_samp(trust), 0) AS tsd FROM subs GROUP BY source),
-ranks AS (SELECT doc_id, source, score, trust, 100.0::DOUBLE * (rank() OVER (PARTITION BY source ORDER BY score) - 1) / count(*) OVER (PARTITION BY source) AS score_pct,
-  CASE WHEN stdev > 0 THEN (score - mean) / stdev ELSE 0 END AS score_z, 100.0::DOUBLE * (rank() OVER (PARTITION BY source ORDER BY trust) - 1) / count(*) OVER (PARTITION BY source) AS trust_pct,
-  CASE WHEN tsd > 0 THEN (trust - tm) / tsd ELSE 0 END AS trust_z, n, q3 + 1.5::DOUBLE * (q3 - q1) AS fence, upper, mean, stdev, tm, tsd FROM subs JOIN peers USING (source) JOIN tp USING (source))"""
+ranks AS (SELECT doc_id, subs.source AS source, score, trust, 100.0::DOUBLE * (rank() OVER (PARTITION BY subs.source ORDER BY score) - 1) / count(*) OVER (PARTITION BY subs.source) AS score_pct,
+  CASE WHEN stdev > 0 THEN (score - mean) / stdev ELSE 0 END AS score_z, 100.0::DOUBLE * (rank() OVER (PARTITION BY subs.source ORDER BY trust) - 1) / count(*) OVER (PARTITION BY subs.source) AS trust_pct,
+  CASE WHEN tsd > 0 THEN (trust - tm) / tsd ELSE 0 END AS trust_z, n, q3 + 1.5::DOUBLE * (q3 - q1) AS fence, upper, mean, stdev, tm, tsd FROM subs JOIN peers ON subs.source IS NOT DISTINCT FROM peers.source JOIN tp ON subs.source IS NOT DISTINCT FROM tp.source)"""
 
 
 @query("w3_peer_outliers", f"""WITH {RANKS} SELECT doc_id, source, score_pct, round(score_z, 6) AS score_z, trust_pct, round(trust_z, 6) AS trust_z,
  array_to_string(list_filter([CASE WHEN score_pct >= 90 THEN 'top_percentile' END, CASE WHEN score_z > 2 THEN 'z_score' END, CASE WHEN trust_z < -1.5 THEN 'low_trust' END, CASE WHEN score > fence THEN 'beyond_fence' END, CASE WHEN score_pct >= 75 AND trust_pct <= 25 THEN 'high_score_low_trust' END], lambda x: x IS NOT NULL), ',') AS reasons FROM ranks""")
 def peer_outliers(spark, sf_dir):
-    out = cohort.peer_outliers(submissions(spark, sf_dir).drop("text"), "source", "score", "trust")
+    out = cohort.peer_outliers(measured(spark, sf_dir), "source", "score", "trust")
     return out.select("doc_id", "source", "score_pct", F.round("score_z", 6).alias("score_z"), "trust_pct", F.round("trust_z", 6).alias("trust_z"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("w4_threshold_outliers", f"WITH {RANKS} SELECT doc_id, source, score > upper OR (stdev > 0 AND score - mean > 2 * stdev) OR trust < tm - 1.5::DOUBLE * tsd AS is_outlier FROM ranks")
 def threshold_outliers(spark, sf_dir):
-    return cohort.threshold_outliers(submissions(spark, sf_dir).drop("text"), "source", "score", "trust").select("doc_id", "source", "is_outlier")
+    return cohort.threshold_outliers(measured(spark, sf_dir), "source", "score", "trust").select("doc_id", "source", "is_outlier")
 
 
 @query("w1_percentile_rank", f"WITH {SUBMISSIONS} SELECT doc_id, round(100.0::DOUBLE * (rank() OVER (PARTITION BY source ORDER BY score) - 1) / count(*) OVER (PARTITION BY source), 6) AS pct FROM subs")
 def percentile_rank(spark, sf_dir):
-    return cohort.ranked(submissions(spark, sf_dir).drop("text"), "source", "score", "s").select("doc_id", F.round("s_pct", 6).alias("pct"))
+    return cohort.ranked(measured(spark, sf_dir), "source", "score", "s").select("doc_id", F.round("s_pct", 6).alias("pct"))
 
 
 @query("w2_z_score", f"WITH {RANKS} SELECT doc_id, round(score_z, 6) AS z FROM ranks")
 def z_score(spark, sf_dir):
-    return cohort.ranked(submissions(spark, sf_dir).drop("text"), "source", "score", "s").select("doc_id", F.round("s_z", 6).alias("z"))
+    return cohort.ranked(measured(spark, sf_dir), "source", "score", "s").select("doc_id", F.round("s_z", 6).alias("z"))
 
 
 @query("a17_peer_stats", f"WITH {SUBMISSIONS}, {PEERS} SELECT source, n, round(mean, 6) AS mean, round(stdev, 6) AS stdev, q1, q3, median, q3 - q1 AS iqr, min, max FROM peers")
 def peer_stats(spark, sf_dir):
-    out = cohort.peer_stats(submissions(spark, sf_dir).drop("text"), "source", "score")
+    out = cohort.peer_stats(measured(spark, sf_dir), "source", "score")
     return out.select("source", "n", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "q1", "q3", "median", "iqr", "min", "max")
 
 
 @query("a18_thresholds", f"WITH {SUBMISSIONS}, {PEERS} SELECT source, upper, lower FROM peers")
 def thresholds(spark, sf_dir):
-    return cohort.peer_stats(submissions(spark, sf_dir).drop("text"), "source", "score").select("source", "upper", "lower")
+    return cohort.peer_stats(measured(spark, sf_dir), "source", "score").select("source", "upper", "lower")
 
 
 LINEAR = "dist AS (SELECT source, count(*) AS n, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS stdev, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, quantile_cont(score, 0.9) AS p90 FROM subs GROUP BY source)"
@@ -56,32 +56,32 @@ LINEAR = "dist AS (SELECT source, count(*) AS n, avg(score) AS mean, coalesce(st
 
 @query("a19_cohort_distribution", f"WITH {SUBMISSIONS}, {LINEAR} SELECT source, n, round(mean, 4) AS mean, round(stdev, 4) AS stdev, round(p10, 4) AS p10, round(p25, 4) AS p25, round(p50, 4) AS p50, round(p75, 4) AS p75, round(p90, 4) AS p90, round(p75 - p25, 4) AS iqr FROM dist")
 def distribution(spark, sf_dir):
-    out = cohort.distribution(submissions(spark, sf_dir).drop("text"), "source", "score")
+    out = cohort.distribution(measured(spark, sf_dir), "source", "score")
     return out.select("source", "n", *[F.round(c, 4).alias(c) for c in ("mean", "stdev", "p10", "p25", "p50", "p75", "p90", "iqr")])
 
 
 @query("a20_feature_baseline", f"""WITH {SUBMISSIONS}, s AS (SELECT source, count(*) AS n, median(score) AS median, list_sort(list(score)) AS l FROM subs GROUP BY source), q AS (SELECT *, least(greatest(floor((n + 1) * 0.25::DOUBLE), 1), n - 1)::BIGINT AS i, least(greatest(floor((n + 1) * 0.75::DOUBLE), 1), n - 1)::BIGINT AS j FROM s)
 SELECT source, n, median, CASE WHEN n >= 4 THEN round(l[j] + (l[j + 1] - l[j]) * ((n + 1) * 0.75::DOUBLE - j) - l[i] - (l[i + 1] - l[i]) * ((n + 1) * 0.25::DOUBLE - i), 6) ELSE 2.0 END AS iqr FROM q""")
 def feature_baseline(spark, sf_dir):
-    return cohort.feature_baseline(submissions(spark, sf_dir).drop("text"), "source", "score").withColumn("iqr", F.round("iqr", 6))
+    return cohort.feature_baseline(measured(spark, sf_dir), "source", "score").withColumn("iqr", F.round("iqr", 6))
 
 
-@query("w5_percentile_label", f"WITH {SUBMISSIONS}, {LINEAR} SELECT doc_id, CASE WHEN score < p10 THEN 'conversation_opportunity' WHEN score < p25 THEN 'worth_monitoring' WHEN score <= p75 THEN 'typical' ELSE 'strong_engagement' END AS label FROM subs JOIN dist USING (source)")
+@query("w5_percentile_label", f"WITH {SUBMISSIONS}, {LINEAR} SELECT doc_id, CASE WHEN score < p10 THEN 'conversation_opportunity' WHEN score < p25 THEN 'worth_monitoring' WHEN score <= p75 THEN 'typical' ELSE 'strong_engagement' END AS label FROM subs JOIN dist ON subs.source IS NOT DISTINCT FROM dist.source")
 def percentile_label(spark, sf_dir):
-    s = submissions(spark, sf_dir).drop("text")
-    out = s.join(cohort.distribution(s, "source", "score"), "source")
+    s = measured(spark, sf_dir)
+    out = io.join_same(s, cohort.distribution(s, "source", "score"), ["source"])
     return out.select("doc_id", cohort.percentile_label(F.col("score"), F.col("p10"), F.col("p25"), F.col("p75")).alias("label"))
 
 
 @query("w6_mean_cohort_z", f"""WITH {SUBMISSIONS}, m AS (SELECT source, avg(score) AS a, stddev_samp(score) AS b, avg(trust) AS c, stddev_samp(trust) AS d FROM subs GROUP BY source)
-SELECT source, doc_id, round(list_avg(list_filter([CASE WHEN b > 0 THEN (score - a) / b END, CASE WHEN d > 0 THEN (trust - c) / d END], lambda x: x IS NOT NULL)), 6) AS mean_z FROM subs JOIN m USING (source)""")
+SELECT subs.source, doc_id, round(list_avg(list_filter([CASE WHEN b > 0 THEN (score - a) / b END, CASE WHEN d > 0 THEN (trust - c) / d END], lambda x: x IS NOT NULL)), 6) AS mean_z FROM subs JOIN m ON subs.source IS NOT DISTINCT FROM m.source""")
 def mean_cohort_z(spark, sf_dir):
-    return cohort.mean_cohort_z(submissions(spark, sf_dir).drop("text"), "source", "doc_id", ["score", "trust"]).withColumn("mean_z", F.round("mean_z", 6))
+    return cohort.mean_cohort_z(measured(spark, sf_dir), "source", "doc_id", ["score", "trust"]).withColumn("mean_z", F.round("mean_z", 6))
 
 
 @query("w7_cold_start", f"WITH {SUBMISSIONS} SELECT source, lang, round((count(*) * avg(score) + greatest(10, 25 - count(*)) * 250.0::DOUBLE) / (count(*) + greatest(10, 25 - count(*))), 4) AS shrunk FROM subs GROUP BY source, lang")
 def cold_start(spark, sf_dir):
-    g = submissions(spark, sf_dir).groupBy("source", "lang").agg(F.avg("score").alias("m"), F.count("*").alias("n"))
+    g = measured(spark, sf_dir).groupBy("source", "lang").agg(F.avg("score").alias("m"), F.count("*").alias("n"))
     return g.select("source", "lang", F.round(cohort.shrunk(F.col("m"), F.col("n"), F.lit(250.0)), 4).alias("shrunk"))
 
 

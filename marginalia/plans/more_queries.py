@@ -103,16 +103,6 @@ def low_connection(spark, sf_dir):
     return s.select("source", F.round("share", 6).alias("share"), F.when(F.col("share") > 0.3, "many").when(F.col("share") > 0.1, "some").otherwise("few").alias("note"))
 
 
-FEATURES = {n: f"({x} > 0)" for n, x in HIT.items()}
-
-
-@query("a21_feature_sets", "WITH f AS (SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {x} THEN '{n}' END" for n, x in sorted(FEATURES.items())) + "], lambda v: v IS NOT NULL), '+') AS s FROM documents) SELECT s AS features, count(*) AS n FROM f WHERE contains(s, '+') GROUP BY s HAVING count(*) >= 2 ORDER BY n DESC, s LIMIT 3")
-def feature_sets(spark, sf_dir):
-    have = F.array_compact(F.array(*[F.when(T.hits(F.col("text"), LEXICON[n]) > 0, n) for n in sorted(LEXICON)]))
-    rows = io.table(spark, sf_dir, "documents").select(F.array_join(have, "+").alias("features")).where(F.contains("features", F.lit("+")))
-    return rows.groupBy("features").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "features").limit(3)
-
-
 @query("a36_concern_histogram", f"WITH {DAILY} SELECT label, count(*) AS n, count(DISTINCT user_id) AS n_users FROM daily GROUP BY label")
 def concern_histogram(spark, sf_dir):
     return daily(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))

@@ -60,20 +60,6 @@ def presence(spark, sf_dir):
     return scoring.presence(io.table(spark, sf_dir, "documents"), "doc_id", PRESENCE, {}).select("doc_id", F.round("total", 6).alias("total"), "band")
 
 
-@query("r14_citations", r"""WITH c AS (SELECT page_id, 'url' AS kind, unnest(list_transform(regexp_extract_all(url || ' "' || left(regexp_replace(html, '<[^>]+>|"', '', 'g'), 60) || '"', 'https?://[^\s<>")\]]+'), lambda x: regexp_replace(x, '[.,;:!?]+$', ''))) AS reference FROM pages UNION ALL SELECT page_id, 'quoted_title', unnest(regexp_extract_all(url || ' "' || left(regexp_replace(html, '<[^>]+>|"', '', 'g'), 60) || '"', '"([^"]{5,80})"', 1)) FROM pages)
-SELECT kind, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT DISTINCT * FROM c) GROUP BY kind""")
-def citations(spark, sf_dir):
-    text = F.concat("url", F.lit(' "'), F.left(F.regexp_replace("html", '<[^>]+>|"', ""), F.lit(60)), F.lit('"'))
-    found = scoring.citations(io.table(spark, sf_dir, "pages").select("page_id", text.alias("text")), "page_id")
-    return found.where("kind in ('url', 'quoted_title')").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
-
-
-@query("a15_citation_report", r"SELECT 'url' AS kind, lower('http://' || regexp_extract(url, '://([^/]*)', 1)) AS reference, count(DISTINCT page_id) AS n_rows FROM pages GROUP BY ALL ORDER BY n_rows DESC, reference LIMIT 10")
-def citation_report(spark, sf_dir):
-    text = F.concat(F.lit("see http://"), F.regexp_extract("url", "://([^/]*)", 1), F.lit(" ."))
-    return scoring.citation_report(scoring.citations(io.table(spark, sf_dir, "pages").select("page_id", text.alias("text")), "page_id"), "page_id")
-
-
 @query("u1_longest_names", "WITH n AS (SELECT DISTINCT p_brand, p_type AS name FROM part) SELECT p_brand, name FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.p_brand = n.p_brand AND ((length(m.name) > length(n.name) AND contains(lower(m.name), lower(n.name))) OR (lower(m.name) = lower(n.name) AND m.name < n.name)))")
 def longest_names(spark, sf_dir):
     return scoring.longest_names(io.table(spark, sf_dir, "part"), "p_brand", "p_type")

@@ -52,10 +52,12 @@ def latest_with_ties(spark, sf_dir):
     return trajectory.latest_ties(results(spark, sf_dir), "event_type", "day").select("event_type", "event_id", "user_id")
 
 
-@query("w13_student_series", "SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(event_type, '>' ORDER BY ts, event_id) AS path FROM events GROUP BY user_id")
+@query("w13_student_series", "SELECT user_id, event_id, event_type, row_number() OVER w AS position, date_diff('second', lag(ts) OVER w, ts) // 3600 AS hours_since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def student_series(spark, sf_dir):
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), ">")
-    return results(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), path.alias("path"))
+    """A row for each result with its place in the student's series: no series is gathered in one value."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    since = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(w).cast("timestamp"))) / 3600)
+    return results(spark, sf_dir).select("user_id", "event_id", "event_type", F.row_number().over(w).cast("long").alias("position"), since.alias("hours_since"))
 
 
 THEMES = f"{RUNS}, th AS (SELECT DISTINCT 'Theme ' || (user_id % 40) AS theme, idx FROM r WHERE value > 60), n AS (SELECT count(*) AS total FROM runs)"
@@ -73,7 +75,7 @@ def theme_life_cycle(spark, sf_dir):
 @query("w15_arcs", f"WITH {DAILY}, u AS (SELECT DISTINCT user_id FROM daily) SELECT u.user_id, string_agg(coalesce(round(v)::BIGINT::VARCHAR, '-'), ',' ORDER BY runs.idx) AS series FROM u CROSS JOIN runs LEFT JOIN daily ON daily.user_id = u.user_id AND daily.idx = runs.idx GROUP BY u.user_id")
 def arcs(spark, sf_dir):
     d = daily(spark, sf_dir)
-    n = d.agg(F.max("idx")).first()[0] + 1
+    n = (d.agg(F.max("idx")).first()[0] or 0) + 1
     out = trajectory.arcs(d, "user_id", "idx", "v", n)
     return out.select("user_id", F.array_join(F.transform("series", lambda x: F.coalesce(F.round(x).cast("long").cast("string"), F.lit("-"))), ",").alias("series"))
 
@@ -81,7 +83,7 @@ def arcs(spark, sf_dir):
 @query("w16_hour_shift", """WITH h AS (SELECT user_id, ts, hour(ts) + minute(ts) / 60.0::DOUBLE AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), s AS (SELECT user_id, list_sort(list(h) FILTER (k > 1)) AS l, max(h) FILTER (k = 1) AS last FROM h GROUP BY user_id HAVING count(*) >= 2), x AS (SELECT user_id, l[len(l) // 2 + 1] AS usual, last FROM s)
 SELECT user_id, round(usual, 6) AS usual_hour, round(last, 6) AS last_hour, least(abs(usual - last), 24 - abs(usual - last)) >= 4 AS shifted, last >= 22 OR last < 4 AS late_night FROM x""")
 def hour_shift(spark, sf_dir):
-    return trajectory.hour_shift(results(spark, sf_dir), "user_id", "ts").withColumns({c: F.round(c, 6) for c in ("usual_hour", "last_hour")})
+    return trajectory.hour_shift(results(spark, sf_dir), "user_id", "ts", tie="event_id").withColumns({c: F.round(c, 6) for c in ("usual_hour", "last_hour")})
 
 
 @query("w25_inflections", f"""WITH {DAILY}, p AS (SELECT *, avg(v) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, lag(label) OVER (PARTITION BY user_id ORDER BY idx) AS l FROM daily),
@@ -234,9 +236,10 @@ def sliding(spark, sf_dir):
     return stream.sliding(spark, sf_dir)
 
 
-@query("st_sessions")
+@query("st_sessions", """WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM n GROUP BY user_id, k""")
 def sessions(spark, sf_dir):
-    return stream.sessions(spark, sf_dir)
+    return stream.sessions(spark, sf_dir).drop("is_open")
 
 
 @query("st_dedup", "SELECT event_id, user_id, event_type FROM events")

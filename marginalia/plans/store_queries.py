@@ -98,9 +98,12 @@ def threads(spark, sf_dir):
     return grading.threaded(turns(spark, sf_dir), "conv_id", "turn", "role")
 
 
-@query("g2_posts_and_replies", f"WITH {THREADS} SELECT conv_id, turn, n_words, is_post, length(parent_text) AS parent_chars, parent_role AS parent_author FROM t")
+@query("g2_posts_and_replies", r"""WITH e AS (SELECT *, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent FROM conversations) SELECT e.conv_id, e.turn, len(regexp_extract_all(regexp_replace(e.text, '<[^>]+>', ' ', 'g'), '[^ \t\n\r\f]+')) AS n_words, e.parent IS NULL AS is_post, length(p.text) AS parent_chars, p.role AS parent_author FROM e LEFT JOIN conversations p ON p.conv_id = e.conv_id AND p.turn = e.parent""")
 def posts_and_replies(spark, sf_dir):
-    return threads(spark, sf_dir).select("conv_id", "turn", "n_words", "is_post", F.length("parent_text").cast("long").alias("parent_chars"), "parent_author")
+    """Turns as a branching tree: turns 2k + 1 and 2k + 2 answer turn k."""
+    e = turns(spark, sf_dir).withColumn("parent", F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)))
+    out = grading.with_parents(e, "conv_id", "turn", "parent", "role")
+    return out.select("conv_id", "turn", "n_words", "is_post", F.length("parent_text").cast("long").alias("parent_chars"), "parent_author")
 
 
 POINTS = f"""{THREADS}, s AS (SELECT conv_id, role, count(*) FILTER (is_post AND n_words >= 20) AS n_posts, count(*) FILTER (NOT is_post AND n_words >= 10) AS n_replies, sum(n_words)::BIGINT AS n_words FROM t GROUP BY ALL)"""
@@ -175,16 +178,17 @@ def date_shift(spark, sf_dir):
     return store.shift_dates(o, ["due"], 14)
 
 
-@query("u5_new_groups", "SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 3)")
+@query("u5_new_groups", "SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size < 3)")
 def new_groups(spark, sf_dir):
     p = io.table(spark, sf_dir, "part")
-    return p.select("p_brand").distinct().join(p.where("p_size < 3").select("p_brand").distinct(), "p_brand", "left_anti")
+    return p.select("p_type").distinct().join(p.where("p_size < 3").select("p_type").distinct(), "p_type", "left_anti")
 
 
 @query("u6_ordered_distinct", "SELECT o_custkey, string_agg(o_orderpriority, '>' ORDER BY first) AS path FROM (SELECT o_custkey, o_orderpriority, min((o_orderdate, o_orderkey)) AS first FROM orders GROUP BY ALL) GROUP BY o_custkey")
 def ordered_distinct(spark, sf_dir):
-    path = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]))
-    return orders(spark, sf_dir).groupBy("o_custkey").agg(F.array_join(path, ">").alias("path"))
+    firsts = orders(spark, sf_dir).groupBy("o_custkey", "o_orderpriority").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("first", "o_orderpriority"))), lambda x: x["o_orderpriority"])  # of different values
+    return firsts.groupBy("o_custkey").agg(F.array_join(path, ">").alias("path"))
 
 
 @query("j16_override_levels", "SELECT c_custkey, greatest(c_nationkey % 3, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END)::BIGINT AS level FROM customer")

@@ -84,10 +84,9 @@ def pattern_counts(spark, sf_dir):
 
 
 @query("r7_context_excerpt", r"""WITH x AS (SELECT doc_id, text, instr(lower(text), 'that ') AS pos FROM documents)
-SELECT doc_id, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 30), pos - greatest(1, pos - 30) + 5 + 30) END AS excerpt FROM x WHERE pos > 0 AND text = regexp_replace(text, '[^\x00-\x7F]', '', 'g')""")
+SELECT doc_id, substr(text, greatest(1, pos - 30), pos - greatest(1, pos - 30) + 5 + 30) AS excerpt FROM x WHERE pos > 0""")
 def context_excerpt(spark, sf_dir):
-    rows = io.table(spark, sf_dir, "documents")
-    return rows.select("doc_id", "text", T.excerpt(F.col("text"), "that ").alias("excerpt")).where(F.col("excerpt").isNotNull() & (F.length("text") == F.octet_length("text"))).drop("text")
+    return io.table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text"), "that ").alias("excerpt")).where("excerpt is not null")
 
 
 LAST = r"regexp_replace(lower(list_extract(string_split(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' '), -1)), '[.,;:]+$', '')"
@@ -100,15 +99,27 @@ f AS (SELECT doc_id, NOT regexp_matches(right(trim(regexp_replace(text, '[ \t\n\
  median > 0 AND n_words < median * 0.5::DOUBLE AS d FROM subs JOIN m USING (source))
 SELECT doc_id, (a::INT + b::INT + c::INT + d::INT)::BIGINT AS n_signals, c OR (a AND (b OR d)) AS truncated FROM f""")
 def truncation(spark, sf_dir):
+    # signals that need no median first: texts are read once
+    zero = F.lit(0.0)
     s = submissions(spark, sf_dir)
-    medians = s.groupBy("source").agg(F.percentile("score", 0.5).alias("median"))
-    out = s.join(medians, "source").select("doc_id", T.truncation_signals(F.col("text"), F.col("n_words"), F.col("median")).alias("s"))
+    s = io.written(s.select("doc_id", "source", "n_words", T.truncation_signals(F.col("text"), F.col("n_words"), zero).alias("s")), "truncation")
+    medians = s.groupBy("source").agg(F.percentile("n_words", 0.5).alias("median"))
+    below = F.when((F.col("median") > 0) & (F.col("n_words") < F.col("median") * 0.5), F.lit("below_median"))
+    out = io.join_same(s, medians, ["source"]).select("doc_id", F.array_compact(F.concat("s", F.array(below))).alias("s"))
     return out.select("doc_id", F.size("s").cast("long").alias("n_signals"), T.is_truncated(F.col("s")).alias("truncated"))
 
 
-@query("r9_gibberish")
+FOLD = "trim(w, '" + T.FOLDED_PUNCTUATION.replace("'", "''") + "')"
+BARE = "trim(w, '" + T.EDGE_PUNCTUATION.replace("'", "''") + "')"
+
+
+@query("r9_gibberish", rf"""WITH x AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\r\f]+') AS words FROM documents),
+e AS (SELECT doc_id, unnest(words) AS w FROM x), c AS (SELECT doc_id, {FOLD} AS folded, count(*) AS times FROM e GROUP BY ALL), m AS (SELECT doc_id, max(times) AS most, count(*) AS different FROM c GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS bare, count(*) FILTER (regexp_matches({BARE}, '{T.key_walk()}')) AS mashed, count(*) FILTER (NOT regexp_matches({BARE}, '[{T.VOWELS}]')) AS vowelless FROM e WHERE length({BARE}) >= 3 GROUP BY doc_id)
+SELECT x.doc_id, CASE WHEN len(words) < 15 THEN NULL WHEN regexp_matches(text, '(?i){T.PLACEHOLDERS}') THEN 'lorem_ipsum' WHEN bare > 0 AND mashed > 0.4::DOUBLE * bare THEN 'keyboard_mash' WHEN bare > 10 AND vowelless > 0.5::DOUBLE * bare THEN 'keyboard_mash'
+ WHEN len(words) > 20 AND most > 0.4::DOUBLE * len(words) THEN 'repetition_spam' WHEN len(words) > 30 AND different < 0.12::DOUBLE * len(words) THEN 'repetition_spam' END AS reason FROM x LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def gibberish(spark, sf_dir):
-    return io.table(spark, sf_dir, "documents").select("doc_id", T.gibberish_reason(F.col("text")).alias("reason"))
+    return T.gibberish_reason(io.table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("r19_artifacts", r"""SELECT *, n_headers >= 3 OR n_list_items >= 10 OR n_bold >= 5 OR n_entities > 0 OR n_markdown >= 2 AS looks_pasted FROM (
@@ -153,13 +164,3 @@ def prompt_similarity(spark, sf_dir):
 def shared_references(spark, sf_dir):
     rows = io.table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0)).alias("found"))
     return lexicon.shared_terms(rows, "doc_id", "found")
-
-
-@query("a10_register_distribution", f"""WITH x AS (SELECT source, {N_WORDS} AS n, ({HIT["the"]} - {HIT["and"]})::DOUBLE / greatest(1, {N_WORDS}) AS c FROM documents)
-SELECT source, CASE WHEN n < 50 AND abs(c) < 0.2::DOUBLE THEN 'perfunctory' WHEN c >= 0.03::DOUBLE THEN 'passionate' WHEN c <= -0.03::DOUBLE THEN 'urgent' WHEN abs(c) < 0.015::DOUBLE THEN 'analytical' ELSE 'reflective' END AS register, count(*) AS n FROM x GROUP BY ALL""")
-def register_distribution(spark, sf_dir):
-    n = T.word_count(F.col("text"))
-    c = (T.hits(F.col("text"), "the") - T.hits(F.col("text"), "and")).cast("double") / F.greatest(F.lit(1), n)
-    x = io.table(spark, sf_dir, "documents").select("source", n.alias("n"), c.alias("c"))
-    register = F.when((F.col("n") < 50) & (F.abs("c") < 0.2), "perfunctory").when(F.col("c") >= 0.03, "passionate").when(F.col("c") <= -0.03, "urgent").when(F.abs("c") < 0.015, "analytical").otherwise("reflective")
-    return x.groupBy("source", register.alias("register")).agg(F.count("*").alias("n"))

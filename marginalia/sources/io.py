@@ -16,13 +16,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset a temporary one serves a
+    local session; on a cluster other machines would not see it, so this fails."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="marginalia-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and executors share")
+        if "dir" not in _own:
+            _own["dir"] = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        base = _own["dir"]
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written and read back: what several branches of a plan read is computed once, and lost executors re-read it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left joined with right on equal keys, where null equals null; the keys are left's."""
+    renamed = {k: free_name(left, f"_{k}") for k in keys}
+    right = right.withColumnsRenamed(renamed)
+    on = None
+    for k, r in renamed.items():
+        same = F.col(k).eqNullSafe(F.col(r))
+        on = same if on is None else on & same
+    out = left.join(right, on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*renamed.values())
+
+
 def round_trip_csv(df: DataFrame, name: str = "csv") -> DataFrame:
     """Write with a header and read back with the schema; values that can't be cast are null."""
     path = shared_dir(df.sparkSession, name)
@@ -41,17 +73,17 @@ def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def systematic_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """Every len // n-th row by order, n at most: the sample is fixed by the data. Ranks are made by range, not in one task."""
-    total = rows.count()
-    step = max(1, total // n)
-    ranged = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    starts, at = {}, 0
-    for part in sorted(sizes):
-        starts[part], at = at, at + sizes[part]
-    before = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else None
-    if before is None:
+    """Every len // n-th row by order, n at most: the sample is fixed by the data. Ranks are made by range, not in one task;
+    the ranges are written once, so that their sizes and their rows belong together."""
+    part, rank = free_name(rows, "_part"), free_name(rows, "_rank")
+    ranged = written(rows.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranged")
+    sizes = {r[part]: r["n"] for r in ranged.groupBy(part).agg(F.count("*").alias("n")).collect()}  # a row for each range
+    if not sizes:
         return rows.limit(0)
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1 + F.try_element_at(before, F.col("__part"))
-    picked = ranged.withColumn("__rank", rank).where((F.col("__rank") % step == 0) & (F.col("__rank") / step < n))
-    return picked.drop("__part", "__rank")
+    step, starts, at = max(1, sum(sizes.values()) // n), {}, 0
+    for k in sorted(sizes):
+        starts[k], at = at, at + sizes[k]
+    before = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1 + F.try_element_at(before, F.col(part))
+    picked = ranged.withColumn(rank, place).where((F.col(rank) % step == 0) & (F.col(rank) / step < n))
+    return picked.select(*rows.columns)

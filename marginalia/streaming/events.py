@@ -17,18 +17,19 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a zone
 
 
-def run(stream: DataFrame, name: str, mode: str, keys: list[str]) -> DataFrame:
+def run(stream: DataFrame, name: str, mode: str, keys: list[str], path: str | None = None) -> DataFrame:
     """Write each batch under its number; of a key that later batches update, the last state counts."""
     spark = stream.sparkSession
-    path = io.shared_dir(spark, name)
-    put = lambda df, n: df.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+    path = path or io.shared_dir(spark, name)
+    number = io.free_name(stream, "_batch")
+    put = lambda df, n: df.withColumn(number, F.lit(n)).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows").drop("batch")
     if mode == "append":
-        return rows.drop("__batch")
-    rest = [c for c in rows.columns if c not in (*keys, "__batch")]
-    return rows.groupBy(*keys).agg(F.max(F.struct("__batch", *rest)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest])
+        return rows.drop(number)
+    rest = [c for c in rows.columns if c not in (*keys, number)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(number, *rest)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest])
 
 
 def tumbling(spark: SparkSession, sf_dir: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -43,11 +44,14 @@ def sliding(spark: SparkSession, sf_dir: str, width: str = "2 days", step: str =
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n_events")
 
 
-def sessions(spark: SparkSession, sf_dir: str, gap: str = "30 minutes") -> DataFrame:
-    """Closed and open sessions of each user."""
-    found = read_events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n_events"))
-    out = run(found, "sessions", "append", [])
-    return out.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
+def sessions(spark: SparkSession, sf_dir: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """Closed and open sessions of each user: what the stream has given out, and what its state still holds."""
+    found = read_events(spark, sf_dir).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n_events"))
+    path = io.shared_dir(spark, "sessions")
+    closed = run(found, "sessions", "append", [], path)
+    state = spark.read.format("statestore").option("path", f"{path}/checkpoint").load()
+    both = closed.select("user_id", "s", "n_events", F.lit(False).alias("is_open")).unionAll(state.select("value.user_id", "value.session_window", "value.count", F.lit(True)))
+    return both.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events", "is_open")
 
 
 def once(spark: SparkSession, sf_dir: str) -> DataFrame:
