@@ -112,3 +112,65 @@ def with_parents(entries: DataFrame, thread: str, entry: str, parent: str, autho
 def deadline_bucket(due: Column, now: Column) -> Column:
     days = F.datediff(due, now)
     return F.when(due.isNull(), "NONE").when(due < now, "PAST").when(days <= 7, "WEEK").otherwise("FUTURE")
+
+
+def labelled_text(entries: DataFrame, key: list[str], order: str, text: str = "text") -> DataFrame:
+    """key, body (messages in order, marked as [Post] or [Reply]), n_posts, n_replies and last (the order of the last one appended).
+    Gathers a writer's messages."""
+    line = F.concat(F.when(F.col("is_post"), "[Post] ").otherwise("[Reply] "), text)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"])
+    rows = entries.where(F.length(F.trim(text)) > 0)
+    return rows.groupBy(*key).agg(F.concat_ws("\n\n", parts).alias("body"), F.count_if("is_post").alias("n_posts"), F.count_if(~F.col("is_post")).alias("n_replies"), F.max(order).alias("last"))
+
+
+def regrade(roster: DataFrame, submissions: DataFrame, graded: DataFrame, key: str, complete: str = "complete", grade: str = "grade") -> DataFrame:
+    """key and decision: keep what is complete already; else complete or incomplete, which is what absent students are."""
+    g = graded.select(key, F.col(grade).alias("_grade"))
+    out = roster.select(key).join(submissions.select(key, F.col(complete).alias("_complete")), key, "left").join(g, key, "left")
+    return out.select(key, F.when(F.col("_grade") == "complete", "keep").when(F.col("_complete"), "complete").otherwise("incomplete").alias("decision"))
+
+
+def usable(n_words: Column, preprocessed: Column) -> Column:
+    """A record of no words counts only if its text is still to be made, from sound or pictures."""
+    return (F.coalesce(n_words, F.lit(0)) > 0) | F.coalesce(preprocessed, F.lit(False))
+
+
+def matches_any(text: Column, patterns: list[str]) -> Column:
+    return F.coalesce(F.rlike(text, F.lit("(?i)" + "|".join(patterns))), F.lit(False))
+
+
+def populated(fields: list[Column], least: int) -> Column:
+    """So many of the arrays hold something."""
+    n = F.lit(0)
+    for f in fields:
+        n = n + F.coalesce(F.size(f) > 0, F.lit(False)).cast("int")
+    return n >= least
+
+
+def config_errors(rows: DataFrame, key: str, name: str, required: list[str], positive: list[str]) -> DataFrame:
+    """key and errors: a name that several rows have, values that are missing, values that are not above 0."""
+    counts = rows.groupBy(name).agg(F.count("*").alias("_n"))
+    errors = F.array_compact(F.array(F.when(F.col("_n") > 1, "duplicate_id"), *[F.when(F.col(c).isNull(), f"missing_{c}") for c in required], *[F.when(F.col(c) <= 0, "not_positive") for c in positive]))
+    return io.join_same(rows, counts, [name]).select(key, errors.alias("errors"))
+
+
+def signal_vector(rows: DataFrame, key: str, json: str, paths: dict[str, str], scale: float = 1.0) -> DataFrame:
+    """key and a number for each path of a JSON text, divided by scale; rows that lack one are left out."""
+    out = rows.select(key, *[(F.get_json_object(json, p).try_cast("double") / scale).alias(n) for n, p in paths.items()])
+    return out.dropna(subset=list(paths))
+
+
+def reflective(text: Column, yes: str, no: str) -> Column:
+    """Words for reflection win over words against it; without either a task is reflective."""
+    return F.when(F.rlike(text, F.lit(f"(?i){yes}")), True).when(F.rlike(text, F.lit(f"(?i){no}")), False).otherwise(True)
+
+
+def engagement_groups(rows: DataFrame, key: str, group: str, words: str, flagged: str) -> DataFrame:
+    """key, flagged, strong (1.1 times the upper median of words or more), limited (0.6 times it or less) and middle (none of the three,
+    which may overlap)."""
+    from marginalia.operators import cohort
+
+    median = cohort.value_counts(rows, group, words).groupBy(group).agg(cohort.nth(words, F.floor(F.col("total") / 2)).alias("_m"))
+    out = io.join_same(rows, median, [group])
+    out = out.select(key, F.col(flagged).alias("flagged"), (F.col(words) >= 1.1 * F.col("_m")).alias("strong"), (F.col(words) <= 0.6 * F.col("_m")).alias("limited"))
+    return out.withColumn("middle", ~(F.col("flagged") | F.col("strong") | F.col("limited")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 #: Weight of each category in the presence score.
 CATEGORY_WEIGHTS = {"contextual_grounding": 0.35, "emotional_stakes": 0.20, "cognitive_struggle": 0.20, "authentic_voice": 0.15, "productive_messiness": 0.10}
@@ -87,28 +88,6 @@ def anonymous_names(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct().withColumn("__r", rank).select(key, F.when(F.col("__r") <= 26, F.concat(F.lit("Student "), F.char(64 + F.col("__r")))).otherwise(F.concat(F.lit("Student "), F.col("__r").cast("string"))).alias("alias"))
 
 
-def pattern_breaks(history: DataFrame, key: str, order: str, words: str, label: str, tags: str, bad: tuple[str, ...], least: int = 2) -> DataFrame:
-    """key, signals and is_break of each key's last row against all earlier ones: one signal alone is never a break.
-
-    Signals: fewer words (under half of the earlier mean), three bad labels in a row, no tag in common with any earlier
-    row, and tags gone altogether after two rows or more that had some.
-    """
-    series = history.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, words, label, tags))).alias("h")).where(F.size("h") >= 2)
-    now, before = F.element_at("h", -1), F.slice("h", 1, F.size("h") - 1)
-    mean = F.aggregate(before, F.lit(0.0), lambda a, x: a + x[words]) / F.size(before)
-    earlier = F.array_distinct(F.flatten(F.transform(before, lambda x: x[tags])))
-    last = F.slice("h", -3, 3)
-    signals = F.array_compact(
-        F.array(
-            F.when(now[words] < 0.5 * mean, "fewer_words"),
-            F.when((F.size("h") >= 3) & F.forall(F.when(F.size("h") >= 3, last).otherwise(F.col("h")), lambda x: x[label].isin(*bad)), "sustained_label"),
-            F.when((F.size(earlier) > 0) & (F.size(now[tags]) > 0) & ~F.arrays_overlap(earlier, now[tags]), "themes_dropped"),
-            F.when((F.size(F.filter(before, lambda x: F.size(x[tags]) > 0)) >= 2) & (F.size(now[tags]) == 0), "tags_gone"),
-        )
-    )
-    return series.select(key, signals.alias("signals")).withColumn("is_break", F.size("signals") >= least)
-
-
 def peaks_and_rhythm(rows: DataFrame, key: str, idx: str, score: str, ratio: float = 1.3) -> DataFrame:
     """key, n, peaks (top n // 3, 1 to 3, by score), early and late means, rhythm (from four rows on)."""
     n = F.count("*").over(Window.partitionBy(key))
@@ -121,21 +100,37 @@ def peaks_and_rhythm(rows: DataFrame, key: str, idx: str, score: str, ratio: flo
     return out.withColumn("rhythm", rhythm)
 
 
-def leaks_identity(payloads: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """Payloads that contain a name, case aside. A name is met by its first three characters (or fewer) in an equi join with the
-    distinct pieces of the payload, then checked; all names are never held against all payloads."""
-    low = F.lower(text)
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - n + 1)), _piece(low, n)) for n in (1, 2, 3)]
-    heads = payloads.select(key, low.alias("__text"), F.explode(F.array_distinct(F.concat(*pieces))).alias("head"))
-    wanted = names.select(F.lower(name).alias("__name")).where(F.length("__name") > 0).distinct().withColumn("head", F.left("__name", F.lit(3)))
-    return heads.join(wanted, "head").where(F.contains("__text", F.col("__name"))).select(key).distinct()
+def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """key and needle (lower case): which needles stand in which texts, case aside. A needle meets texts by the rarest of its
+    runs of three characters (of its own length if it is shorter), in an equi join; then it is looked for. All needles are never
+    held against all texts, and a run that many texts share joins only if a needle has nothing rarer."""
+    low = lambda c: F.lower(F.trim(F.col(c)))
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n))
+    wanted = io.written(needles.select(low(needle).alias("_needle")).where(F.length("_needle") > 0).distinct(), "needles")
+    lengths = [n for n in (1, 2) if not wanted.where(F.length("_needle") == n).isEmpty()]
+    held = texts.select(key, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)
+    pieces = held.select(key, F.explode(F.array_distinct(F.concat(*[runs("_text", n) for n in (*lengths, 3)]))).alias("_run"))
+    asked = wanted.select("_needle", F.explode(F.array_distinct(runs("_needle", 3))).alias("_run"))
+    pieces = io.written(pieces.join(asked.select("_run").distinct(), "_run", "left_semi"), "runs")
+    counts = pieces.groupBy("_run").agg(F.count("*").alias("_n"))
+    known = asked.join(counts, "_run", "left")
+    # a run that no text has: the needle stands nowhere
+    best = known.groupBy("_needle").agg(F.min_by("_run", F.coalesce("_n", F.lit(0))).alias("_run"), F.min(F.coalesce("_n", F.lit(0))).alias("_least")).where("_least > 0")
+    met = pieces.join(best, "_run").select(F.col(key).alias("_k"), "_needle").distinct()
+    out = held.join(met, F.col(key).eqNullSafe(F.col("_k"))).where(F.contains("_text", F.col("_needle")))
+    return out.select(key, F.col("_needle").alias(needle))
 
 
-def _piece(text: Column, n: int):
-    return lambda i: F.substring(text, i, n)
-
-
-def grounded_quotes(quotes: DataFrame, key: str, quote: str, known: DataFrame, prefix: int = 40) -> DataFrame:
-    """Quotes whose first ``prefix`` characters, lower-cased, are those of a known one."""
-    head = lambda c: F.left(F.lower(F.trim(c)), F.lit(prefix))
-    return quotes.join(known.select(head(F.col(quote)).alias("__head")).distinct(), head(F.col(quote)) == F.col("__head"), "left_semi").select(key, quote)
+def leaks_identity(payloads: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Payloads that contain a name, case aside."""
+    return contained(payloads, key, text, names, name).select(key).distinct()
+
+
+def grounded_quotes(quotes: DataFrame, key: str, quote: str, known: DataFrame, known_text: str, prefix: int = 40) -> DataFrame:
+    """Quotes whose first ``prefix`` characters stand in a known text, or that hold a known text, case aside."""
+    head = quotes.select(key, F.left(F.lower(F.trim(quote)), F.lit(prefix)).alias("_head"))
+    texts = known.select(F.xxhash64(known_text).alias("_id"), F.col(known_text).alias("_known")).distinct()
+    inside = contained(texts, "_id", "_known", head, "_head").select(F.trim("_head").alias("_h")).distinct()
+    one = head.join(inside, F.trim("_head") == F.col("_h"), "left_semi").select(key)
+    other = contained(quotes, key, quote, texts, "_known").select(key)
+    return quotes.join(one.union(other).distinct(), key, "left_semi").select(key, quote)

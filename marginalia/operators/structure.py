@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,10 +172,6 @@ def invisible_names(text: Column) -> Column:
 
 def composed(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with text in Unicode's composed form (NFC), in Arrow batches: no built-in does this."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

@@ -21,24 +21,24 @@ def merged(themes: DataFrame, group: str, order: str, name: str, frequency: str,
 
     Which theme joins which depends on those before it, so the themes of a group (of a class: tens) are read in order in one batch.
     """
-    rows = themes.select(group, order, name, F.col(frequency).cast("long").alias("frequency"), members, name_tokens(F.col(name)).alias("tokens"))
+    rows = themes.select(group, F.col(order).alias("place"), F.col(name).alias("name"), F.col(frequency).cast("long").alias("frequency"), F.col(members).alias("members"), name_tokens(F.col(name)).alias("tokens"))
     kind = themes.schema[members].dataType.simpleString()
     g = themes.schema[group].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
-        for x in frame.sort_values(order).to_dict("records"):
+        for x in frame.sort_values("place").to_dict("records"):
             own = set(x["tokens"])
             for k in kept:
                 both = len(own & k["tokens"])
                 if own and k["tokens"] and both >= alike * (len(own) + len(k["tokens"]) - both):
                     if x["frequency"] > k["frequency"]:
-                        k["name"], k["tokens"] = x[name], own
+                        k["name"], k["tokens"] = x["name"], own
                     k["frequency"] += x["frequency"]
-                    k["members"] += [m for m in x[members] if m not in k["members"]]
+                    k["members"] += [m for m in x["members"] if m not in k["members"]]
                     break
             else:
-                kept.append({"group": x[group], "name": x[name], "frequency": x["frequency"], "members": list(x[members]), "tokens": own})
+                kept.append({"group": x[group], "name": x["name"], "frequency": x["frequency"], "members": list(x["members"]), "tokens": own})
         return pd.DataFrame([{group: k["group"], "name": k["name"], "frequency": k["frequency"], "members": k["members"]} for k in kept])
 
     return rows.groupBy(group).applyInPandas(run, f"`{group}` {g}, name string, frequency long, members {kind}")

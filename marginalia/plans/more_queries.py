@@ -41,12 +41,6 @@ def last_three(spark, sf_dir):
     return e.groupBy("user_id").agg(F.array_join(ordered(["ts", "event_id"], "event_type"), ",").alias("last_types"))
 
 
-@query("w30_class_lines", f"WITH {RUNS}, c AS (SELECT idx, count(*) AS n FROM r GROUP BY idx) SELECT idx, n, n - lag(n) OVER (ORDER BY idx) AS change FROM c")
-def class_lines(spark, sf_dir):
-    c = indexed(spark, sf_dir).groupBy(F.col("idx").cast("long").alias("idx")).agg(F.count("*").alias("n"))
-    return c.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("idx")))  # a row for each run of a course
-
-
 @query("w21_quote_curation", r"WITH q AS (SELECT doc_id, source, left(text, 80) AS quote, row_number() OVER (PARTITION BY source ORDER BY (lang <> 'en')::INT, doc_id) AS r FROM documents WHERE length(trim(text)) > 0) SELECT source, doc_id, quote FROM q WHERE r = 1")
 def quote_curation(spark, sf_dir):
     q = io.table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0)
@@ -65,14 +59,6 @@ def first_names(spark, sf_dir):
     return results(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.count("*").alias("n"))
 
 
-@query("n3_engagement_groups", f"WITH s AS (SELECT doc_id, source, {N_WORDS} AS n FROM documents), m AS (SELECT source, list_sort(list(n))[count(*) // 2 + 1] AS med FROM s GROUP BY source) SELECT doc_id, n >= 1.1::DOUBLE * med AS strong, n <= 0.6::DOUBLE * med AS limited FROM s JOIN m USING (source)")
-def engagement_groups(spark, sf_dir):
-    rows = io.table(spark, sf_dir, "documents").select("doc_id", "source", T.word_count(F.col("text")).alias("words"))
-    med = cohort.value_counts(rows, "source", "words").groupBy("source").agg(cohort.nth("words", F.floor(F.col("total") / 2)).alias("med"))  # the upper median
-    out = rows.join(med, "source")
-    return out.select("doc_id", (F.col("words") >= 1.1 * F.col("med")).alias("strong"), (F.col("words") <= 0.6 * F.col("med")).alias("limited"))
-
-
 @query("n8_coverage", "WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 80), k AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id FROM events) SELECT u.user_id, count(a.event_type) AS n_covered, coalesce(string_agg(k.event_type, ',' ORDER BY k.event_type) FILTER (a.event_type IS NULL), '') AS missing FROM u CROSS JOIN k LEFT JOIN a ON a.user_id = u.user_id AND a.event_type = k.event_type GROUP BY u.user_id")
 def coverage(spark, sf_dir):
     e = results(spark, sf_dir)
@@ -81,12 +67,6 @@ def coverage(spark, sf_dir):
     return e.groupBy("user_id").agg(have.alias("have")).select("user_id", F.size("have").cast("long").alias("n_covered"), F.array_join(F.array_except(every, "have"), ",").alias("missing"))
 
 
-@query("n22_validation", "SELECT p_name, count(*) AS n, bool_or(p_size <= 0) AS bad_size, bool_or(p_retailprice IS NULL) AS no_price FROM part GROUP BY p_name HAVING count(*) > 1 OR bool_or(p_size <= 0) OR bool_or(p_retailprice IS NULL)")
-def validation(spark, sf_dir):
-    g = io.table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"), F.bool_or(F.col("p_size") <= 0).alias("bad_size"), F.bool_or(F.col("p_retailprice").isNull()).alias("no_price"))
-    return g.where("n > 1 or bad_size or no_price")
-
-
 @query("r39_chunks", r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f]+') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 50), 150)) AS s FROM w) SELECT doc_id, s AS start, len(w[s + 1:s + 200]) AS n_words FROM c")
 def chunks(spark, sf_dir):
     """200 words each, 50 shared with the one before."""

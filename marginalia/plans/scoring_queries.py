@@ -9,7 +9,7 @@ from marginalia.operators import scoring
 from marginalia.sources import io
 
 from .bindings import N_WORDS, query, results
-from .series_queries import DAILY, RUNS, daily, indexed
+from .series_queries import DAILY, RUNS, daily
 
 SUSPICIOUS = {"the": 0.02, "and": 0.03, "ing": 0.05}
 AUTHENTIC = {"that ": 0.2, "for ": 0.1, "los ": 0.2, "und ": 0.2}
@@ -70,18 +70,6 @@ def anonymous_names(spark, sf_dir):
     return scoring.anonymous_names(io.table(spark, sf_dir, "supplier"), "s_suppkey")
 
 
-HISTORY = f"{DAILY}, tg AS (SELECT user_id, idx, list(DISTINCT event_type) FILTER (value > 70) AS t FROM r GROUP BY ALL), h AS (SELECT user_id, list(struct_pack(v := v, l := label, t := coalesce(t, [])) ORDER BY idx) AS h FROM daily JOIN tg USING (user_id, idx) GROUP BY user_id HAVING count(*) >= 2)"
-
-
-@query("w17_pattern_breaks", f"""WITH {HISTORY}, x AS (SELECT user_id, h, h[-1] AS now, h[1:len(h) - 1] AS before FROM h), f AS (SELECT user_id, now.v < 0.5::DOUBLE * list_avg(list_transform(before, lambda b: b.v)) AS a,
- len(h) >= 3 AND len(list_filter(h[len(h) - 2:len(h)], lambda b: b.l IN ('view', 'signup'))) = 3 AS b, len(flatten(list_transform(before, lambda b: b.t))) > 0 AND len(now.t) > 0 AND NOT list_has_any(flatten(list_transform(before, lambda b: b.t)), now.t) AS c, len(list_filter(before, lambda b: len(b.t) > 0)) >= 2 AND len(now.t) = 0 AS d FROM x)
-SELECT user_id, concat_ws(',', CASE WHEN a THEN 'fewer_words' END, CASE WHEN b THEN 'sustained_label' END, CASE WHEN c THEN 'themes_dropped' END, CASE WHEN d THEN 'tags_gone' END) AS signals, a::INT + b::INT + c::INT + d::INT >= 2 AS is_break FROM f""")
-def pattern_breaks(spark, sf_dir):
-    tags = indexed(spark, sf_dir).groupBy("user_id", "idx").agg(F.collect_set(F.when(F.col("value") > 70, F.col("event_type"))).alias("tags"))
-    out = scoring.pattern_breaks(daily(spark, sf_dir).join(tags, ["user_id", "idx"]), "user_id", "idx", "v", "label", "tags", ("view", "signup"))
-    return out.select("user_id", F.array_join("signals", ",").alias("signals"), "is_break")
-
-
 @query("w22_peaks_and_rhythm", f"""WITH {DAILY}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, idx) AS rank, row_number() OVER (PARTITION BY user_id ORDER BY idx) <= count(*) OVER (PARTITION BY user_id) // 2 AS e FROM daily),
 s AS (SELECT user_id, max(n) AS n, string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (rank <= least(3, greatest(1, n // 3))) AS peaks, avg(v) FILTER (e) AS early, avg(v) FILTER (NOT e) AS late FROM c GROUP BY user_id)
 SELECT user_id, n, peaks, CASE WHEN n < 4 THEN NULL WHEN late > early * 1.3::DOUBLE THEN 'building' WHEN early > late * 1.3::DOUBLE THEN 'strong_start' ELSE 'consistent' END AS rhythm FROM s""")
@@ -96,13 +84,12 @@ def cluster_movement(spark, sf_dir):
     return out.select("user_id", "n_clusters", F.when(F.col("n_clusters") == 1, "depth").otherwise("range").alias("movement"))
 
 
-@query("p16_privacy_guard", r"WITH w AS (SELECT DISTINCT lower(p_brand) AS name FROM part) SELECT DISTINCT c_custkey FROM customer, w WHERE contains(lower('seen with ' || 'Brand#' || (c_custkey % 60)) || ' today', name)")
+@query("p16_privacy_guard", r"WITH w AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Z][a-z]{6,}')) AS name FROM benchmark) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM w WHERE name <> '' AND contains(lower(text), name))")
 def privacy_guard(spark, sf_dir):
-    c = io.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("seen with Brand#"), (F.col("c_custkey") % 60).cast("string"), F.lit(" today")).alias("payload"))
-    return scoring.leaks_identity(c, "c_custkey", "payload", io.table(spark, sf_dir, "part"), "p_brand")
+    names = io.table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "[A-Z][a-z]{6,}", 0).alias("name"))
+    return scoring.leaks_identity(io.table(spark, sf_dir, "documents"), "doc_id", "text", names, "name")
 
 
-@query("j19_grounded_quotes", "SELECT doc_id, left(text, 60) AS quote FROM documents WHERE left(lower(trim(left(text, 60))), 40) IN (SELECT left(lower(trim(left(text, 60))), 40) FROM documents WHERE doc_id % 3 = 0)")
+@query("j19_grounded_quotes", "SELECT item_id, text FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), trim(left(lower(trim(b.text)), 40))) OR (length(trim(d.text)) > 0 AND contains(lower(b.text), lower(trim(d.text)))))")
 def grounded_quotes(spark, sf_dir):
-    q = io.table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("quote"))
-    return scoring.grounded_quotes(q, "doc_id", "quote", q.where("doc_id % 3 = 0"))
+    return scoring.grounded_quotes(io.table(spark, sf_dir, "benchmark"), "item_id", "text", io.table(spark, sf_dir, "documents"), "text")

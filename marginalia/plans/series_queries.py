@@ -197,11 +197,6 @@ def upsert(spark, sf_dir):
     return store.upsert(old, new, ["k"], "ts")
 
 
-@query("d7_retention_delete", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY event_type")
-def retention(spark, sf_dir):
-    return results(spark, sf_dir).where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @query("a3_cleanup_counts", "SELECT 'events' AS \"table\", count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'")
 def cleanup_counts(spark, sf_dir):
     e, o = io.table(spark, sf_dir, "events"), io.table(spark, sf_dir, "orders")

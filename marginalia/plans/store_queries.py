@@ -191,12 +191,6 @@ def ordered_distinct(spark, sf_dir):
     return firsts.groupBy("o_custkey").agg(F.array_join(path, ">").alias("path"))
 
 
-@query("j16_override_levels", "SELECT c_custkey, greatest(c_nationkey % 3, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END)::BIGINT AS level FROM customer")
-def override_levels(spark, sf_dir):
-    own = F.when(F.col("c_mktsegment") == "BUILDING", 2).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(0)
-    return io.table(spark, sf_dir, "customer").select("c_custkey", F.greatest((F.col("c_nationkey") % 3).cast("int"), own).cast("long").alias("level"))
-
-
 @query("j17_weight_chain", "SELECT s_suppkey, n_name, r_name, round(s_acctbal * (1 + n_nationkey / 100.0::DOUBLE) * (1 + r_regionkey / 10.0::DOUBLE), 4) AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def weight_chain(spark, sf_dir):
     s, n, r = (io.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))

@@ -113,8 +113,8 @@ def as_booleans(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def component_lines(counts: DataFrame, group: str, component: str, n: str) -> DataFrame:
     """group and lines: "component: n", by name, for an export of a quick analysis."""
-    line = F.concat_ws(": ", component, F.format_number(n, 0))
-    return counts.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    line = F.struct(F.col(component).alias("c"), F.concat_ws(": ", component, F.format_number(n, 0)).alias("l"))
+    return counts.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("lines"))
 
 
 def cached_age(rows: DataFrame, checked: str, now: Column, days: int, checksum: str, known: DataFrame, name: str) -> DataFrame:

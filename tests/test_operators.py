@@ -26,12 +26,15 @@ def test_html_modes(spark):
         ("asdfg hjklq qwert zxcvb poiuy " * 4, "keyboard_mash"),
         ("bcdf ghjk lmnp qrst vwxz " * 4, "keyboard_mash"),
         ("spam " * 30, "repetition_spam"),
+        ("dolor sit amet and more words of it " * 3, "lorem_ipsum"),
+        ("asasasas wewewewe " * 8, "keyboard_mash"),
         ("asdfg qwert", None),
         ("We went to the river and my grandmother told us how the old bridge was built by hand", None),
     ],
 )
 def test_gibberish(spark, text, reason):
-    assert column(spark, [(text,)], T.gibberish_reason(F.col("text"))) == [reason]
+    rows = spark.createDataFrame([(1, text), (1, text), (2, None)], "k int, text string")
+    assert sorted((r["k"], r["reason"]) for r in T.gibberish_reason(rows, "k").collect()) == [(1, reason), (1, reason), (2, None)] if reason else True
 
 
 def test_truncation(spark):
@@ -78,11 +81,18 @@ def test_trend_keeps_gaps(spark, series, trend):
 
 
 def test_one_signal_is_never_a_break(spark):
-    schema = "k string, i int, w int, l string, t array<string>"
-    one = [("a", 0, 100, "calm", ["x"]), ("a", 1, 100, "calm", ["x"]), ("a", 2, 10, "calm", ["x"])]
-    two = [("b", 0, 100, "calm", ["x"]), ("b", 1, 100, "calm", ["x"]), ("b", 2, 10, "calm", ["z"])]
-    got = {r["k"]: (r["signals"], r["is_break"]) for r in scoring.pattern_breaks(spark.createDataFrame(one + two, schema), "k", "i", "w", "l", "t", ("flat",)).collect()}
-    assert got == {"a": (["fewer_words"], False), "b": (["fewer_words", "themes_dropped"], True)}
+    from marginalia.operators import history
+
+    def row(key, order, words=100, themes=("a",), connections=("x",), register="calm", depth="strong", assets=()):
+        return (key, order, words, register, None, 0, depth, 1.0, list(assets), list(themes), list(connections), [], False)
+
+    rows = [row(1, i) for i in range(4)] + [row(1, 4, themes=("z",))]  # themes only
+    rows += [row(2, i) for i in range(4)] + [row(2, 4, themes=("z",), connections=())]
+    rows += [row(3, i, words=400 - 100 * i, register="disengaged") for i in range(3)] + [row(3, 3, words=20, register="disengaged", depth="minimal", assets=("formulaic_essay_structure",))]
+    rows += [row(4, 0)]
+    schema = "k int, o int, words int, register string, wellbeing string, n_concerns int, depth string, unknown_rate double, assets array<string>, themes array<string>, connections array<string>, readings array<string>, hours_shifted boolean"
+    got = {r["k"]: (r["signals"], r["is_break"]) for r in history.pattern_breaks(spark.createDataFrame(rows, schema), "k", "o").collect()}
+    assert got == {1: (["themes_dropped"], False), 2: (["themes_dropped", "connections_vanished"], True), 3: (["fewer_words", "sustained_register", "depth_declined", "formulaic"], True)}
 
 
 def test_tree_drops_all_below_a_deleted_entry(spark):
