@@ -138,3 +138,10 @@ def gibberish_reason(rows: DataFrame, key: str, text: str = "text") -> DataFrame
 def iso_timestamp(text: Column) -> Column:
     """ISO 8601, with Z or an offset; null if it can't be read."""
     return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def head_and_tail(text: Column, head: int = 10, tail: int = 10) -> Column:
+    """A short text as it is (its words, one space between), a long one by its first and last words."""
+    w = words(text)
+    first, last = F.array_join(F.slice(w, 1, head), " "), F.array_join(F.slice(w, F.greatest(F.size(w) - tail + 1, F.lit(1)), tail), " ")
+    return F.when(F.size(w) <= head + tail, F.array_join(w, " ")).otherwise(F.concat(first, F.lit(" ... "), last))

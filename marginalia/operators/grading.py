@@ -33,15 +33,21 @@ def timing_bucket(submitted: Column, due: Column) -> Column:
     return F.when(submitted.isNull(), F.lit(None)).when(due.isNull() | (late <= 0), "on_time").when(late <= 86_400, "late").otherwise("very_late")
 
 
-def completeness(rows: DataFrame, key: str, n_words: Column, submitted: Column, kind: Column, accepted: list[str], least: int) -> DataFrame:
-    """key, flags (what is missing) and complete."""
+def completeness(rows: DataFrame, key: str, n_words: Column, submitted: Column, kind: Column, accepted: list[str], least: int, annotated: Column | None = None) -> DataFrame:
+    """key, flags (what is missing) and complete. annotated: work on a given file, which is complete as it is."""
     flags = F.array_compact(F.array(F.when(n_words <= 0, "empty"), F.when(~submitted, "not_submitted"), F.when(~kind.isin(*accepted), "wrong_type"), F.when((n_words > 0) & (n_words < least), "below_minimum")))
+    if annotated is not None:
+        flags = F.when(F.coalesce(annotated, F.lit(False)), F.array().cast("array<string>")).otherwise(flags)
     return rows.select(key, flags.alias("flags")).withColumn("complete", F.size("flags") == 0)
 
 
-def roster_outcome(roster: DataFrame, submissions: DataFrame, key: str, complete: str, never_incomplete: bool = False) -> DataFrame:
+def roster_outcome(roster: DataFrame, submissions: DataFrame, key: str, complete: str, never_incomplete: bool = False, graded: DataFrame | None = None) -> DataFrame:
     """key, outcome and review for everyone on the roster. never_incomplete: submitted work is complete in any case, with a
-    review where it falls short; absent students are incomplete under both policies."""
+    review where it falls short; absent students are incomplete under both policies. graded: keys whose grade stays as it is."""
+    if graded is not None:
+        kept = graded.select(key).distinct()
+        rest = roster_outcome(roster.join(kept, key, "left_anti"), submissions, key, complete, never_incomplete)
+        return rest.unionByName(roster.select(key).join(kept, key, "left_semi").select(key, F.lit("kept").alias("outcome"), F.lit(False).alias("review")))
     out = roster.select(key).join(submissions.select(key, F.col(complete).alias("__c")), key, "left")
     short = F.coalesce(~F.col("__c"), F.lit(False))
     outcome = F.when(F.col("__c").isNull(), "incomplete").when(F.col("__c") | F.lit(never_incomplete), "complete").otherwise("incomplete")

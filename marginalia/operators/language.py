@@ -123,3 +123,13 @@ def unknown_word_rate(rows: DataFrame, key: str, words: DataFrame, word: str, te
     known = words.select(F.lower(word).alias("_w"), F.lit(True).alias("known")).distinct()
     out = each.join(known, "_w", "left").groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("unknown"))
     return rows.select(key).join(out, key, "left").select(key, F.when(F.col("n") >= least, 100.0 * F.col("unknown") / F.col("n")).alias("rate"))
+
+
+def cascade(found: DataFrame, texts: DataFrame, key: str, parser: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key and features, with those of a parser (texts to key and features) for rows that have some already: a slow parser sees few texts, and
+    adds only features with new names."""
+    some = texts.join(found.where(F.size("features") > 0).select(key), key, "left_semi")
+    more = parser(some).select(key, F.col("features").alias("_more"))
+    names = F.transform("features", lambda x: x["name"])
+    new = F.filter(F.coalesce("_more", F.expr(f"cast(array() as array<{FEATURE}>)")), lambda x: ~F.array_contains(names, x["name"]))
+    return found.join(more, key, "left").select(key, F.concat("features", new).alias("features"))

@@ -155,3 +155,20 @@ def echo(sent: DataFrame, stored: DataFrame, keys: list[str], value: str, off: f
     s = stored.select(*keys, F.col(value).alias("stored"))
     out = sent.select(*keys, F.col(value).alias("sent")).join(s, keys, "left")
     return out.where(F.col("stored").isNull() | (F.abs(F.col("sent") - F.col("stored")) > off))
+
+
+def pattern_set(enabled: Column, add: Column, remove: Column) -> Column:
+    """A list of patterns with some more and without some, each once, in order."""
+    none = F.array().cast("array<string>")
+    return F.array_except(F.array_union(F.coalesce(enabled, none), F.coalesce(add, none)), F.coalesce(remove, none))
+
+
+def profile_fragment(parts: dict[str, Column]) -> Column:
+    """"name: a, b" for each list that holds something, a line each."""
+    return F.concat_ws("\n", *[F.when(F.size(c) > 0, F.concat(F.lit(f"{k}: "), F.array_join(c, ", "))) for k, c in parts.items()])
+
+
+def next_stage(done: Column, stages: list[str]) -> Column:
+    """The first stage that is not done, null if all are: where a run goes on after a crash."""
+    left = F.filter(F.array(*map(F.lit, stages)), lambda s: ~F.array_contains(F.coalesce(done, F.array().cast("array<string>")), s))
+    return F.get(left, F.lit(0))

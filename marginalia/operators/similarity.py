@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
+
 
 def unit(rows: DataFrame, vector: str) -> DataFrame:
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -78,3 +80,46 @@ def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key and verdict: agree, left_only, right_only."""
     a, b = left.select(key).distinct().withColumn("__a", F.lit(1)), right.select(key).distinct().withColumn("__b", F.lit(1))
     return a.join(b, key, "full_outer").select(key, F.when(F.col("__b").isNull(), "left_only").when(F.col("__a").isNull(), "right_only").otherwise("agree").alias("verdict"))
+
+
+def level(mean: Column) -> Column:
+    """How alike a class's texts are, by their mean cosine."""
+    return F.when(mean >= 0.80, "very_high").when(mean >= 0.65, "high").when(mean >= 0.50, "moderate").otherwise("low")
+
+
+def cluster_profile(rows: DataFrame, cohort: str, key: str, vector: str, texts: DataFrame, text: str = "text", k: int = 5, chars: int = 150) -> DataFrame:
+    """cohort, size, nearest, snippet (the first characters of the text nearest to the centre) and terms (the k commonest words)."""
+    summary = cluster_summary(rows, cohort, key, vector)
+    near = texts.select(F.col(key).alias("nearest"), F.left(text, F.lit(chars)).alias("snippet"))
+    words = rows.select(cohort, key).join(texts.select(key, F.explode(T.tokens(F.col(text))).alias("term")), key).groupBy(cohort, "term").agg(F.count("*").alias("n"))
+    top = words.withColumn("_r", F.row_number().over(Window.partitionBy(cohort).orderBy(F.desc("n"), "term"))).where(F.col("_r") <= k)
+    terms = top.groupBy(cohort).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda x: x["term"]).alias("terms"))
+    return summary.join(near, "nearest", "left").join(terms, cohort, "left").select(cohort, "size", "nearest", "snippet", "terms")
+
+
+def kmeans(rows: DataFrame, key: str, vector: str, seed: int = 42, starts: int = 10, least: int = 4) -> DataFrame:
+    """key and cluster, of k = max(2, min(8, root of n)) clusters: of ``starts`` runs from different starts, the one with the least cost. Under
+    ``least`` rows all are one cluster."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select(key, array_to_vector(vector).alias("features")).persist()
+    try:
+        n = data.count()
+        if n < least:
+            return rows.select(key, F.lit(0).alias("cluster"))
+        models = [KMeans(k=max(2, min(8, int(n**0.5))), seed=seed + i).fit(data) for i in range(starts)]
+    finally:
+        data.unpersist()
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(data).select(key, F.col("prediction").alias("cluster"))
+
+
+def phrase_matches(rows: DataFrame, key: str, vector: str, phrases: list[list[float]], least: float = 0.68, known: Column | None = None) -> DataFrame:
+    """key, phrase (number) and cosine of the nearest of a few phrases, if it is near enough; rows that are known already (a pattern has found them) are left
+    out. The phrases are a short list, part of the plan."""
+    unit_of = [[float(x) / (sum(y * y for y in p) ** 0.5 or 1.0) for x in p] for p in phrases]
+    dot = lambda p: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, p)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    found = unit(rows.where(~F.coalesce(known, F.lit(False))) if known is not None else rows, vector)
+    best = F.array_max(F.array(*[F.struct(dot(p).alias("cosine"), F.lit(-i).alias("i")) for i, p in enumerate(unit_of)]))
+    return found.select(key, best.alias("b")).select(key, (-F.col("b.i")).alias("phrase"), F.col("b.cosine").alias("cosine")).where(F.col("cosine") >= least)

@@ -124,3 +124,10 @@ def theme_shift(rows: DataFrame, key: str, idx: str, theme: str) -> DataFrame:
         pick((F.col("e") == 0) & (F.col("l") > 0)).alias("emerging"),
         pick((F.col("e") >= 2) & (F.col("l") == 0)).alias("faded"),
     )
+
+
+def exhaustion(rows: DataFrame, idx: str, key: str, value: str, bucket: str, roster: int, short: float = 0.4) -> DataFrame:
+    """idx, n, n_late (late or very late), n_short (under 0.4 of the run's median) and n_missing (of the roster)."""
+    medians = rows.groupBy(idx).agg(F.percentile(value, 0.5).alias("_m"))
+    out = rows.join(medians, idx).groupBy(idx).agg(F.count("*").alias("n"), F.count_if(F.col(bucket).isin("late", "very_late")).alias("n_late"), F.count_if(F.col(value) < short * F.col("_m")).alias("n_short"), F.count_distinct(key).alias("_k"))
+    return out.withColumn("n_missing", F.greatest(F.lit(0), F.lit(roster) - F.col("_k"))).drop("_k")

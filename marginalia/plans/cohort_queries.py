@@ -129,13 +129,7 @@ def cluster_summary(spark, sf_dir):
 
 @query("v1_kmeans")
 def kmeans(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = io.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    n = rows.count()
-    model = KMeans(k=max(2, min(8, int(n**0.5))), seed=42).fit(rows)
-    return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+    return similarity.kmeans(io.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 @query("j10_theme_match", """WITH x AS (SELECT DISTINCT event_type, user_id FROM events WHERE value > 50), y AS (SELECT DISTINCT 'k' || (event_id % 7) AS k, user_id FROM events), nx AS (SELECT event_type, count(*) AS nx FROM x GROUP BY 1), ny AS (SELECT k, count(*) AS ny FROM y GROUP BY 1),

@@ -6,12 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import cohort
+from marginalia.operators import connection
 from marginalia.sources import io
 
 from .bindings import N_WORDS, query, results
 from .series_queries import DAILY, RUNS, daily, indexed
-from .text_queries import HIT, LEXICON
 
 
 def ordered(order, value):
@@ -76,11 +75,10 @@ def chunks(spark, sf_dir):
     return out.select("doc_id", F.col("s").cast("long").alias("start"), F.size(F.slice("w", F.col("s") + 1, 200)).cast("long").alias("n_words"))
 
 
-@query("a16_low_connection", f"WITH o AS (SELECT source, {HIT['the']}::DOUBLE / greatest(1, {N_WORDS}) AS x FROM documents), s AS (SELECT source, avg((x < 0.1)::INT) AS share FROM o GROUP BY source) SELECT source, round(share, 6) AS share, CASE WHEN share > 0.3 THEN 'many' WHEN share > 0.1 THEN 'some' ELSE 'few' END AS note FROM s")
+@query("a16_low_connection", "WITH o AS (SELECT doc_id % 20 AS item_id, (n_chars % 100) / 200.0::DOUBLE AS x FROM documents), s AS (SELECT item_id, avg((x < 0.1)::INT) AS share FROM o GROUP BY 1) SELECT item_id, round(share, 6) AS share, CASE WHEN share > 0.3 THEN 'many' WHEN share > 0.1 THEN 'some' ELSE 'few' END AS note FROM s")
 def low_connection(spark, sf_dir):
-    x = T.hits(F.col("text"), "the").cast("double") / F.greatest(F.lit(1), T.word_count(F.col("text")))
-    s = io.table(spark, sf_dir, "documents").select("source", x.alias("x")).groupBy("source").agg(F.avg((F.col("x") < 0.1).cast("int")).alias("share"))
-    return s.select("source", F.round("share", 6).alias("share"), F.when(F.col("share") > 0.3, "many").when(F.col("share") > 0.1, "some").otherwise("few").alias("note"))
+    o = io.table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("item_id"), ((F.col("n_chars") % 100) / 200.0).alias("overlap"))
+    return connection.class_note(o, "item_id").withColumn("share", F.round("share", 6))
 
 
 @query("a36_concern_histogram", f"WITH {DAILY} SELECT label, count(*) AS n, count(DISTINCT user_id) AS n_users FROM daily GROUP BY label")

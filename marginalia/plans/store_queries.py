@@ -50,10 +50,11 @@ def roster_outcome(spark, sf_dir):
     return grading.roster_outcome(io.table(spark, sf_dir, "customer"), s, "c_custkey", "c")
 
 
-@query("p21_automated_outcome", "WITH s AS (SELECT o_custkey, max((o_totalprice > 100000)::INT) = 1 AS c FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN c IS NULL THEN 'incomplete' ELSE 'complete' END AS outcome, coalesce(NOT c, false) AS review FROM customer LEFT JOIN s ON o_custkey = c_custkey")
+@query("p21_automated_outcome", "WITH s AS (SELECT o_custkey, max((o_totalprice > 100000)::INT) = 1 AS c FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'kept' WHEN c IS NULL THEN 'incomplete' ELSE 'complete' END AS outcome, c_custkey % 11 <> 0 AND coalesce(NOT c, false) AS review FROM customer LEFT JOIN s ON o_custkey = c_custkey")
 def automated_outcome(spark, sf_dir):
     s = orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("o_totalprice") > 100000).alias("c"))
-    return grading.roster_outcome(io.table(spark, sf_dir, "customer"), s, "c_custkey", "c", never_incomplete=True)
+    c = io.table(spark, sf_dir, "customer")
+    return grading.roster_outcome(c, s, "c_custkey", "c", never_incomplete=True, graded=c.where("c_custkey % 11 = 0"))
 
 
 STATE = "CASE o_orderstatus WHEN 'F' THEN 'graded' WHEN 'P' THEN 'unsubmitted' ELSE 'submitted' END"
@@ -241,6 +242,4 @@ def group_sections(spark, sf_dir):
 
 @query("r42_head_and_tail", r"WITH x AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f]+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) <= 20 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:10], ' ') || ' ... ' || array_to_string(w[len(w) - 9:len(w)], ' ') END AS excerpt FROM x")
 def head_and_tail(spark, sf_dir):
-    w = T.words(F.col("text"))
-    short = F.size(w) <= 20
-    return io.table(spark, sf_dir, "documents").select("doc_id", F.when(short, F.array_join(w, " ")).otherwise(F.concat(F.array_join(F.slice(w, 1, 10), " "), F.lit(" ... "), F.array_join(F.slice(w, F.greatest(F.size(w) - 9, F.lit(1)), 10), " "))).alias("excerpt"))
+    return io.table(spark, sf_dir, "documents").select("doc_id", T.head_and_tail(F.col("text")).alias("excerpt"))

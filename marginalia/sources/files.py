@@ -128,3 +128,21 @@ def append(rows: DataFrame, path: str, **fields: object) -> None:
     """Telemetry and logs: rows at the end of a table, with the fields of the event. A repeated task leaves one copy: Spark commits a job's files together."""
     rows.withColumns({k: F.lit(v) for k, v in fields.items()}).write.mode("append").parquet(path)
 
+
+def bar(share: Column, width: int = 10) -> Column:
+    """A share of 0 to 1 as signs."""
+    return F.rpad(F.repeat(F.lit("#"), F.round(share * width).cast("int")), width, ".")
+
+
+def marker_text(counts: Column) -> Column:
+    """"a (2), b (1)" of a map of counts, by name."""
+    entries = F.array_sort(F.map_entries(counts))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(" ("), e["value"].cast("string"), F.lit(")"))), ", ")
+
+
+def demo_cohort(spark: SparkSession, n: int, runs: int) -> DataFrame:
+    """student, run, words, register: a class for demonstrations, the same each time, from arithmetic alone."""
+    i = F.col("id")
+    names = F.array(*map(F.lit, ("analytical", "personal", "reflective", "urgent")))
+    rows = spark.range(n * runs).select((i % n).alias("student"), F.floor(i / n).alias("run"), (80 + (i * 7919 + 13) % 400).alias("words"), F.get(names, ((i * 31) % 4).cast("int")).alias("register"))
+    return rows

@@ -5,8 +5,12 @@ Each function runs what is there (availableNow) and returns the written result,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.sources import io
 
@@ -59,3 +63,19 @@ def once(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_events(spark, sf_dir)
     again = rows.unionAll(read_events(spark, sf_dir)).withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["event_id"])
     return run(again.select("event_id", "user_id", "event_type"), "dedup", "append", [])
+
+
+def running_mean(spark: SparkSession, sf_dir: str, alpha: float = 0.3) -> DataFrame:
+    """user_id, n and ema: an exponential moving average of each user's values, kept as state between batches. Values of a batch
+    come in order of time; a user's are folded as they come, a few at a time."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, ema = state.get if state.exists else (0, 0.0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for x in rows["value"].dropna().tolist():
+            n, ema = n + 1, x if n == 0 else alpha * x + (1 - alpha) * ema
+        state.update((n, ema))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ema": [ema]})
+
+    found = read_events(spark, sf_dir).groupBy("user_id").applyInPandasWithState(fold, "user_id long, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
+    return run(found, "ema", "update", ["user_id"])
