@@ -301,7 +301,7 @@ def preflight(spark, sf_dir):
     return io.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: x["rule"]), ",").alias("rules"))
 
 
-@query("n22_config_errors", "WITH c AS (SELECT p_partkey, count(*) OVER (PARTITION BY p_name) AS k, p_size, p_retailprice FROM part) SELECT p_partkey, concat_ws(',', CASE WHEN k > 1 THEN 'duplicate_id' END, CASE WHEN p_size % 10 = 0 THEN 'missing_threshold' END, CASE WHEN p_retailprice < 950 THEN 'not_positive' END) AS errors FROM c")
+@query("n22_config_errors", "WITH c AS (SELECT p_partkey, count(*) OVER (PARTITION BY p_name) AS k, p_size, p_retailprice FROM part) SELECT p_partkey, concat_ws(',', CASE WHEN k > 1 THEN 'duplicate_id' END, CASE WHEN p_size % 10 = 0 THEN 'missing_threshold' END, CASE WHEN p_retailprice <= 950 THEN 'not_positive' END) AS errors FROM c")
 def config_errors(spark, sf_dir):
     p = io.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("threshold"), (F.col("p_retailprice") - 950).alias("points"))
     out = grading.config_errors(p, "p_partkey", "p_name", ["threshold"], ["points"])

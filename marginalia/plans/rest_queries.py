@@ -98,7 +98,7 @@ def new_groups_by_course(spark, sf_dir):
     return io.remaining(p.select("p_brand", "p_type").distinct(), p.where("p_size < 25"), ["p_brand", "p_type"])
 
 
-@query("n35_parser_cascade", rf"WITH d AS (SELECT doc_id, len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{14,}}'))) > 0 AS a, contains(coalesce(text, ''), 'heed') AS b FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN a THEN 'rare' END, CASE WHEN a AND b THEN 'parsed' END) AS names FROM d")
+@query("n35_parser_cascade", rf"WITH d AS (SELECT doc_id, len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{14,}}'))) > 0 AS a, contains(lower(coalesce(text, '')), 'heed') AS b FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN a THEN 'rare' END, CASE WHEN a AND b THEN 'parsed' END) AS names FROM d")
 def parser_cascade(spark, sf_dir):
     """A second detector stands in for a slow parser."""
     d = io.table(spark, sf_dir, "documents")
