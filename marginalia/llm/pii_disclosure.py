@@ -190,8 +190,11 @@ def find(documents: DataFrame) -> DataFrame:
 
 
 def term_counts(documents: DataFrame, chosen: bytes, copied: bytes, bits: int = BITS) -> DataFrame:
-    """t and n: how many different texts have the term, for terms whose bit is set. copied: bits of the texts with copies."""
+    """t and n: how many different texts have the term, for terms whose bit is set. copied: bits of the texts with copies, whose
+    terms are sent in one row each and counted once for each text."""
     sent = documents.sparkSession.sparkContext.broadcast((chosen, copied))  # 2 bits / 8 bytes, whatever the input
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names = ["key", "terms", "t", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_set, is_copied = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").view(bool) for x in sent.value)
@@ -199,25 +202,21 @@ def term_counts(documents: DataFrame, chosen: bytes, copied: bytes, bits: int =
         counts: dict[int, int] = {}
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            by_text: list[tuple[int, int]] = []
+            by_text: dict[int, list[int]] = {}
             for key, text in zip(keys, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words = set((text or b"").split())
                 for word in [w for w in words if w not in known]:
                     term = term_of(word.decode("utf-8", "replace"))
                     h = signed_hash(term) if term else None
                     known[word] = h if h is not None and is_set[h & (bits - 1)] else None
-                for h in set(map(known.__getitem__, words)):
-                    if h is None:
-                        continue
-                    if is_copied[key & (bits - 1)]:
-                        by_text.append((key, h))
-                    else:
+                terms = set(map(known.__getitem__, words)) - {None}
+                if is_copied[key & (bits - 1)]:
+                    by_text[key] = list(terms)
+                else:
+                    for h in terms:
                         counts[h] = counts.get(h, 0) + 1
-                if len(by_text) > 200_000:
-                    yield of_texts(by_text)
-                    by_text = []
             if by_text:
-                yield of_texts(by_text)
+                yield made([list(by_text), list(by_text.values()), [None] * len(by_text), [None] * len(by_text)])
             if len(known) > 400_000:
                 known.clear()
             if len(counts) > 200_000:
@@ -226,15 +225,15 @@ def term_counts(documents: DataFrame, chosen: bytes, copied: bytes, bits: int =
         if counts:
             yield flushed(counts)
 
-    def flushed(counts: dict[int, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.int64()), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["key", "t", "n"])
+    def made(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def of_texts(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        keys, terms = np.array(pairs, np.int64).T
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(terms), pa.array(np.ones(len(pairs), np.int64))], ["key", "t", "n"])
+    def flushed(counts: dict[int, int]) -> pa.RecordBatch:
+        return made([[None] * len(counts), [None] * len(counts), list(counts), list(counts.values())])
 
-    counted = documents.select(common.text_key().alias("key"), "text").mapInArrow(run, "key long, t long, n long").groupBy("key", "t").agg(F.sum("n").alias("n"))
-    return counted.groupBy("t").agg(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(1)).alias("n"))
+    counted = common.spool(documents.select(common.text_key().alias("key"), "text").mapInArrow(run, "key long, terms array<bigint>, t long, n long"), "pii-term-counts")
+    once = counted.where("key is not null").groupBy("key").agg(F.first("terms").alias("terms")).select(F.explode("terms").alias("t"), F.lit(1).cast("long").alias("n"))
+    return counted.where("key is null").select("t", "n").unionAll(once).groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def occurrences(documents: DataFrame, chosen: bytes, bits: int = BITS) -> DataFrame:
