@@ -105,7 +105,8 @@ def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle:
     runs of three characters (of its own length if it is shorter), in an equi join; then it is looked for. All needles are never
     held against all texts, and a run that many texts share joins only if a needle has nothing rarer."""
     low = lambda c: F.lower(F.trim(F.col(c)))
-    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n))
+    # all runs, also those that overlap, in one pass; what is shorter is its own run
+    runs = lambda c, n: F.when(F.length(c) < n, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
     wanted = io.written(needles.select(low(needle).alias("_needle")).where(F.length("_needle") > 0).distinct(), "needles")
     lengths = [n for n in (1, 2) if not wanted.where(F.length("_needle") == n).isEmpty()]
     held = texts.select(key, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)

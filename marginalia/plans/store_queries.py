@@ -179,10 +179,10 @@ def date_shift(spark, sf_dir):
     return store.shift_dates(o, ["due"], 14)
 
 
-@query("u5_new_groups", "SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size < 3)")
+@query("u5_new_groups", "SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size < 3 AND p_partkey % 10 = 0)")
 def new_groups(spark, sf_dir):
     p = io.table(spark, sf_dir, "part")
-    return p.select("p_type").distinct().join(p.where("p_size < 3").select("p_type").distinct(), "p_type", "left_anti")
+    return p.select("p_type").distinct().join(p.where("p_size < 3 and p_partkey % 10 = 0").select("p_type").distinct(), "p_type", "left_anti")
 
 
 @query("u6_ordered_distinct", "SELECT o_custkey, string_agg(o_orderpriority, '>' ORDER BY first) AS path FROM (SELECT o_custkey, o_orderpriority, min((o_orderdate, o_orderkey)) AS first FROM orders GROUP BY ALL) GROUP BY o_custkey")
