@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +77,19 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = BATCH_BYTES
             spark.conf.set(key, str(most))
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str | None, make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps from one task to the next, by name. Workers serve one operator after the other, so
+    only the last one asked for is kept; None: nothing is."""
+    if name not in _held:
+        _held.clear()
+        if name is not None:
+            _held[name] = make()
+    return _held.get(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

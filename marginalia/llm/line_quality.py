@@ -96,6 +96,7 @@ def measures(documents: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held(None)
         for batch in batches:
             found = [measure(t.as_py() or "") for t in batch.column("text")]
             ends = np.cumsum([0] + [len(x[5]) for x in found]).astype(np.int32)

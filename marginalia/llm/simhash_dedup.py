@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 42
-BLOCK = 1024
+BLOCK, SKETCH_BLOCK = 1024, 8192
 PERCENT, WORDS, ROWS, BANDS, BITS = 80, 5, 5, 32, 28
 _rng = np.random.default_rng(SEED)
 TIMES, PLUS = (_rng.integers(0, 2**64, ROWS * BANDS, np.uint64) | np.uint64(1), _rng.integers(0, 2**64, ROWS * BANDS, np.uint64))
@@ -197,6 +197,7 @@ def sketches(documents: DataFrame, size: int = WORDS) -> DataFrame:
     names = ["doc_id", "key", "fp", "s0", "s1", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held(None)
         for batch in batches:
             words = [(t.as_py() or b"").lower().split() for t in batch.column("text").cast(pa.binary())]
             fps = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64)
@@ -231,17 +232,23 @@ def alike(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
 
 
 def overlapping(fps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Stars of sets whose Jaccard similarity is so many percent or more."""
+    """Stars of sets whose Jaccard similarity is so many percent or more. As groups are found, only the rest is compared on."""
     sizes = np.array([len(x) for x in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1).astype(np.int32)
     starts = np.cumsum(sizes) - sizes
+    own_codes = [codes[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     marked = np.zeros(codes.max() + 1, bool)
+    held = np.arange(len(fps))  # whose codes are in codes, in order
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
-        own = codes[starts[i] : starts[i] + sizes[i]]
-        marked[own] = True
-        shared = np.add.reduceat(marked[codes], starts, dtype=np.int64)[rest]
-        marked[own] = False
+        nonlocal codes, starts, held
+        if 2 * len(rest) < len(held):
+            held = rest
+            codes = np.concatenate([own_codes[k] for k in held.tolist()])
+            starts = np.cumsum(sizes[held]) - sizes[held]
+        marked[own_codes[i]] = True
+        shared = np.add.reduceat(marked[codes], starts, dtype=np.int64)[np.searchsorted(held, rest)]
+        marked[own_codes[i]] = False
         return 100 * shared >= percent * (sizes[i] + sizes[rest] - shared)
 
     return stars(fps, near)
@@ -274,7 +281,7 @@ def in_cells(rows: DataFrame, group: list[str], carried: list[str], compare: Cal
     return cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long")
 
 
-def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+def candidates(nodes: DataFrame, block: int = SKETCH_BLOCK) -> DataFrame:
     """a and b: links enough to join every two fp of a band whose bits are alike. nodes: distinct fp, with s0, s1, bands."""
     rows = nodes.select("fp", "s0", "s1", F.posexplode("bands").alias("t", "band"))
     # of two members, the exclusive or of s0 is what they differ in

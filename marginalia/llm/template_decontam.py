@@ -81,10 +81,15 @@ class Templates:
 
     SLOTS = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
 
-    def __init__(self, limit: int = 800_000):
+    @staticmethod
+    def code_of(kind: int) -> int:
+        """The low bit of a slot is set."""
         import xxhash
 
-        self.slot_codes = {kind: xxhash.xxh64_intdigest(slot) | 1 for kind, slot in self.SLOTS.items()}
+        return xxhash.xxh64_intdigest(Templates.SLOTS[kind]) | 1
+
+    def __init__(self, limit: int = 800_000):
+        self.slot_codes = {kind: self.code_of(kind) for kind in self.SLOTS}
         self.limit, self.numbers = limit, {}
         self.first, self.inner, self.words = (np.zeros(limit, np.uint64) for _ in range(3))
         self.last = np.zeros(limit, bool)
@@ -107,7 +112,7 @@ class Templates:
                 first.append(code)
                 inner.append(name if low != bare and code == plain[-1] and len(bare) > 1 and bare[1:].islower() else code)
                 continue
-            # the low bit of a slot is set; 0 is left for words of punctuation only
+            # 0 is left for words of punctuation only
             plain.append(digest(bare.decode("utf-8", "replace").lower()) & ~1 if bare else 0)
             for inside, codes in ((False, first), (True, inner)):
                 codes.append(codes_of.get(kind_of(word, inside), plain[-1]) if bare else 0)
@@ -123,7 +128,12 @@ class Templates:
         return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
 
-_templates = Templates()
+def templates() -> Templates:
+    """One for each Python worker."""
+    return common.held("templates", Templates)
+
+
+SLOT_NUM, SLOT_NAME = (np.uint64(Templates.code_of(k)) for k in (NUM, NAME))
 
 
 class Reading:
@@ -133,8 +143,8 @@ class Reading:
         at = np.flatnonzero(codes)
         codes, self.breaks = codes[at], breaks[at]
         run = np.zeros(len(at), bool)
-        for kind in (NUM, NAME):
-            slot = codes == np.uint64(_templates.slot_codes[kind])
+        for code in (SLOT_NUM, SLOT_NAME):
+            slot = codes == code
             run[1:] |= slot[1:] & slot[:-1]
         self.all_words, self.at, self.begins = words, at, np.flatnonzero(~run)
         self.codes = codes[self.begins]
@@ -154,17 +164,18 @@ def readings(text: bytes, amid: bool = False, literal: bool = True) -> tuple[Rea
     for line in text.split(b"\n"):
         starts.append(len(words))
         words += line.split()
-    numbers, begins = _templates.look_up(words), np.zeros(len(words), bool)
+    known = templates()
+    numbers, begins = known.look_up(words), np.zeros(len(words), bool)
     begins[[s for s in starts if s < len(words)]] = True
-    begins[1:] |= _templates.last[numbers][:-1]
+    begins[1:] |= known.last[numbers][:-1]
     breaks = begins.copy()
     if amid and len(words):
         begins[0] = False
-    first, inner = _templates.first[numbers], _templates.inner[numbers]
+    first, inner = known.first[numbers], known.inner[numbers]
     typed = Reading(words, np.where(begins, first, inner), breaks)
     caseless = Reading(words, first, breaks)
-    is_name = (np.where(begins, first, inner) == np.uint64(_templates.slot_codes[NAME]))[caseless.at[caseless.begins]]
-    return typed, caseless, Reading(words, _templates.words[numbers], breaks) if literal else None, is_name
+    is_name = (np.where(begins, first, inner) == SLOT_NAME)[caseless.at[caseless.begins]]
+    return typed, caseless, Reading(words, known.words[numbers], breaks) if literal else None, is_name
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

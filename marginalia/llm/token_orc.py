@@ -138,14 +138,9 @@ class WordIds:
         return out
 
 
-_words: dict[str, WordIds] = {}
-
-
 def word_ids(tokenizer_path: str) -> WordIds:
     """One for each Python worker: workers are used again, and so is what they have looked up."""
-    if tokenizer_path not in _words:
-        _words[tokenizer_path] = WordIds(tokenizer_path)
-    return _words[tokenizer_path]
+    return common.held(f"words of {tokenizer_path}", lambda: WordIds(tokenizer_path))
 
 
 def encode(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
