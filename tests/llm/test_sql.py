@@ -11,7 +11,7 @@ from marginalia.llm.queries import ORACLE_SQL, QUERIES
 def test_query(spark, sf, name, size):
     sf = sf.replace("sf0.001", size)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     want = con.sql(ORACLE_SQL[name])
