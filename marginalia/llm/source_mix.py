@@ -6,7 +6,8 @@ by cap / weight). A document has the key -ln(u) / w, with u from a hash of its i
 it, the first k are a weighted sample without replacement. Complete epochs come first; what is left of the target goes to
 the documents by key, as their running sum of words allows.
 
-The running sum never needs a source in one task: keys are cut into ``buckets`` ranges, whose sums give each range its
+The running sum never needs a source in one task: rows are cut into ranges of about ``rows`` by source and key (by rank, from
+Spark's samples, so whatever the weights do to the keys no range is larger than others), whose sums give each range its
 offset, and only the rows of one range of one source are sorted together. Texts are read once; the written
 table of (id, source, size, key) serves the rest.
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WEIGHTS, SHARE, MOST, SEED, BUCKETS = (5, 2, 1), 1.5, 2.0, "mix-1", 4096
+WEIGHTS, SHARE, MOST, SEED, ROWS = (5, 2, 1), 1.5, 2.0, "mix-1", 200_000
 WORD = r"[^\x20\x09-\x0D]+"
+ORDER = ("host", "key", "doc_id", "text_key", "row")
 
 
 def quality_weight(size: Column) -> Column:
@@ -49,6 +51,22 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return level.withColumn("final", final).select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
+def ranged(documents: DataFrame, seed: str = SEED, ranges: int | None = None) -> DataFrame:
+    """host, doc_id, text_key, size, key, row and bucket, its range: of one source or a few, and of about as many rows as others."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("long")
+    rows = (
+        documents.select("doc_id", "source", "text", size.alias("size"))
+        .select("doc_id", "source", common.text_key().alias("text_key"), "size", (-F.log((drawn + 0.5) / float(2**48)) / quality_weight(F.col("size"))).alias("key"))
+        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("host", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    )
+    rows = common.spool(rows.drop("source"), "mix-sizes")
+    ranges = ranges or max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS)
+    rows = rows.repartitionByRange(ranges, *ORDER).withColumn("bucket", F.spark_partition_id())
+    return common.spool(rows, "mix-ranges")
+
+
 def takes(
     documents: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -56,22 +74,14 @@ def takes(
     most: float = MOST,
     seed: str = SEED,
     whole: bool = False,
-    buckets: int = BUCKETS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """doc_id, text_key, size, source_size, target, taken and copies for every row.
 
     whole: the document at the edge of the budget is taken whole if that comes nearer to the target, else not; otherwise
-    its first words fill the budget to the word.
+    its first words fill the budget to the word. ranges: how many, if not by the number of rows.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("long")
-    rows = (
-        documents.select("doc_id", "source", "text", size.alias("size"))
-        .select("doc_id", "source", common.text_key().alias("text_key"), "size", (-F.log((drawn + 0.5) / float(2**48)) / quality_weight(F.col("size"))).alias("key"))
-        .withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
-        .withColumn("host", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-    )
-    rows = common.spool(rows.drop("source"), "mix-sizes")
+    rows = ranged(documents, seed, ranges)
     sums = common.spool(rows.groupBy("host", "bucket").agg(F.sum("size").alias("words")), "mix-sums")
     source = F.when(~F.col("host.none"), F.col("host.name")).alias("source")
     goals = targets(sums.groupBy("host").agg(F.sum("words").alias("source_size")).select(source, "source_size"), weights, share, most)
@@ -80,7 +90,7 @@ def takes(
     goals = goals.withColumn("host", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))).drop("source")
     earlier = F.sum("words").over(Window.partitionBy("host").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("host", "bucket", F.coalesce(earlier, F.lit(0)).alias("offset")).join(goals, "host")
-    within = F.sum("size").over(Window.partitionBy("host", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("host", "bucket").orderBy(*ORDER[1:]).rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.join(offsets, ["host", "bucket"]).withColumn("before", F.col("offset") + within - F.col("size"))
     if whole:
         extra = F.when(F.col("before") + F.col("size") / 2 <= F.col("budget"), F.col("size")).otherwise(F.lit(0))

@@ -53,3 +53,13 @@ def test_better_documents_come_first(spark):
     got = source_mix.takes(spark.createDataFrame(rows, SCHEMA), weights=(1, 1), share=0.5).select("doc_id", "taken").collect()
     good, bad = (sum(r["taken"] for r in got if r["doc_id"] % 2 == k) for k in (1, 0))
     assert good > 1.5 * bad > 0
+
+
+def test_no_range_is_large(spark):
+    """A source of texts without spaces has the least weight throughout, so its keys lie far out; a repeated id has one key."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('你好世界', 30) as text", "'zh' as source", "'x' as taken")
+    docs = docs.union(spark.range(5_000).selectExpr("7 as doc_id", "'a few words' as text", "'one' as source", "'x' as taken"))
+    found = source_mix.ranged(docs, ranges=25).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in found) == 25_000 and max(r["count"] for r in found) <= 2_000
+    got = source_mix.takes(docs, ranges=25).groupBy("source_size", "target").sum("taken").collect()
+    assert all(abs(r["sum(taken)"] - r["target"]) <= 1 for r in got) and len(got) == 2
