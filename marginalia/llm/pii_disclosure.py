@@ -1,20 +1,20 @@
 r"""Personal data, and the terms that reveal it.
 
 Base spans (email, ip, card, phone) come from patterns, each in one pass that stays linear on any text. The method then
-asks which words give an entity away: over the whole corpus it counts the texts with entity e, with term t, and
-with t within ``near`` words of e, and takes
+asks which words give an entity away. Terms within ``near`` words of an entity in ``support`` different texts are asked about; for
+these it counts, over the whole corpus, the texts with entity e, with term t, and with both wherever they stand, and takes
 
     disclosure = PMI(t; e) / IC(e) = log(n_te N / (n_t n_e)) / log(N / n_e)
 
 the share of the entity's information that the term carries (1: whoever sees the term knows the entity). Terms at
-``generalise`` or more become "<term>", at ``remove`` or more they go; a pair counts if ``support`` different texts have it.
+``generalise`` or more become "<term>", at ``remove`` or more they go.
 A disclosing term is found wherever it stands in a text that holds its entity, near it or not.
 
 A term is a word without its edge punctuation and in lower case, that has a letter and two characters or more; words that
 touch a base span are none. Only terms that stand near some entity are counted over all documents: a bit map of fixed size
 tells the counting tasks which words may matter, and the exact counts are joined afterwards. All four counts are of
-different texts: a second bit map tells which texts may have copies, and the terms of these are counted by text. The
-occurrences of disclosing terms are found the same way: a bit map in the task, an exact join after it.
+different texts: a second bit map tells which texts may have copies, and the terms of these are counted by text. Pairs are counted
+in the same way, by a bit map of pairs. The occurrences of disclosing terms are found the same way: a bit map in the task, an exact join after it.
 
 Nulls and ties: a null text is empty; rows with the same doc_id and text are the same text, and get the same spans. Equal
 spans of two kinds stay both, in the order of kinds. An empty table gives an empty result. Other columns are ignored, or
@@ -236,6 +236,75 @@ def term_counts(documents: DataFrame, chosen: bytes, copied: bytes, bits: int =
     return counted.where("key is null").select("t", "n").unionAll(once).groupBy("t").agg(F.sum("n").alias("n"))
 
 
+def pair_bit(e, t, bits: int = BITS):
+    """The place of a pair in a bit map; for numbers or arrays of 64 bits."""
+    with np.errstate(over="ignore"):
+        x = np.uint64(e) * np.uint64(0x9E3779B97F4A7C15) ^ np.asarray(t, np.int64).view(np.uint64)
+        return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def pair_map(pairs: DataFrame, bits: int = BITS) -> bytes:
+    """bits / 8 bytes: which (e, t) may count. The places are made by tasks; at most ``bits`` of them come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, t = (batch.column(c).to_numpy().astype(np.int64) for c in ("e", "t"))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_bit(e.view(np.uint64), t, bits).astype(np.int64))], ["b"])
+
+    at = pairs.select("e", "t").mapInArrow(run, "b long").distinct().toArrow().column("b").to_numpy()
+    out = np.zeros(bits, bool)
+    out[at] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def pair_counts(documents: DataFrame, chosen: bytes, copied: bytes, bits: int = BITS) -> DataFrame:
+    """e, t and n: in how many different texts both stand, for pairs whose bit is set."""
+    sent = documents.sparkSession.sparkContext.broadcast((chosen, copied))  # 2 bits / 8 bytes, whatever the input
+    both = pa.struct([("e", pa.int64()), ("t", pa.int64())])
+    kinds = [pa.int64(), pa.list_(both), pa.int64(), pa.int64(), pa.int64()]
+    names = ["key", "pairs", "e", "t", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_set, is_copied = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").view(bool) for x in sent.value)
+        known: dict[str, int | None] = {}
+        counts: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            by_text: dict[int, list[dict]] = {}
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if key in by_text or not (entities := {entity_of(text, *x) for x in base_spans(text)}):
+                    continue
+                words = set(WORD.findall(text))
+                for word in [w for w in words if w not in known]:
+                    known[word] = signed_hash(term) if (term := term_of(word)) else None
+                terms = np.array(list(set(map(known.__getitem__, words)) - {None}), np.int64)
+                found = [(e, t) for e in entities for t in terms[is_set[pair_bit(np.int64(e).view(np.uint64), terms, bits)]].tolist()]
+                if is_copied[key & (bits - 1)]:
+                    by_text[key] = [{"e": e, "t": t} for e, t in found]
+                else:
+                    for x in found:
+                        counts[x] = counts.get(x, 0) + 1
+            if by_text:
+                yield made([list(by_text), list(by_text.values()), *[[None] * len(by_text)] * 3])
+            if len(known) > 400_000:
+                known.clear()
+            if len(counts) > 200_000:
+                yield flushed(counts)
+                counts = {}
+        if counts:
+            yield flushed(counts)
+
+    def made(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def flushed(counts: dict[tuple[int, int], int]) -> pa.RecordBatch:
+        return made([*[[None] * len(counts)] * 2, [e for e, _ in counts], [t for _, t in counts], list(counts.values())])
+
+    rows = documents.where(F.rlike("text", F.lit(MAY_HOLD))).select(common.text_key().alias("key"), "text")
+    counted = common.spool(rows.mapInArrow(run, "key long, pairs array<struct<e:bigint,t:bigint>>, e long, t long, n long"), "pii-pair-counts")
+    once = counted.where("key is not null").groupBy("key").agg(F.first("pairs").alias("pairs")).select(F.explode("pairs").alias("x")).select("x.e", "x.t", F.lit(1).cast("long").alias("n"))
+    return counted.where("key is null").select("e", "t", "n").unionAll(once).groupBy("e", "t").agg(F.sum("n").alias("n"))
+
+
 def occurrences(documents: DataFrame, chosen: bytes, bits: int = BITS) -> DataFrame:
     """doc_id, key, t, start and end of every term whose bit is set, in the texts that may hold an entity."""
     sent = documents.sparkSession.sparkContext.broadcast(chosen)  # bits / 8 bytes, whatever the input
@@ -280,13 +349,14 @@ def disclosures(documents: DataFrame, found: DataFrame, support: int = SUPPORT,
     """e, t and disclosure, of pairs at the threshold or above. found: the written result of find()."""
     # copies of a text say nothing new: texts are counted, not rows
     near = found.select("key", F.explode("near").alias("x")).select("key", "x.e", "x.t").distinct()
-    pairs = common.spool(near.groupBy("e", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pii-pairs")
+    asked = common.spool(near.groupBy("e", "t").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("e", "t"), "pii-asked")
     n_e = found.select("key", F.explode("entities").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     n_e = common.spool(n_e.where(F.col("n_e") >= support), "pii-entities")
     copies = common.spool(found.groupBy("key").agg(F.count("*").alias("n")), "pii-texts")
     total = copies.count()
     copied = bit_map(copies.where("n > 1").select(F.col("key").alias("t")))
-    n_t = common.spool(term_counts(documents, bit_map(pairs), copied), "pii-terms").withColumnRenamed("n", "n_t")
+    pairs = common.spool(pair_counts(documents, pair_map(asked), copied).join(asked, ["e", "t"], "left_semi").withColumnRenamed("n", "n_te"), "pii-pairs")
+    n_t = common.spool(term_counts(documents, bit_map(asked), copied), "pii-terms").withColumnRenamed("n", "n_t")
     score = F.try_divide(F.log(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e").cast("double"))), F.log(F.lit(float(total)) / F.col("n_e")))
     return pairs.join(n_e, "e").join(n_t, "t").select("e", "t", F.least(F.lit(1.0), score).alias("disclosure")).where(F.col("disclosure") >= generalise)
 

@@ -78,10 +78,11 @@ def brute_terms(texts):
     entities = {t: {pii.entity_of(t, *x) for x in base[t]} for t in different}
     words = {t: {pii.signed_hash(x) for w in re.findall(r"[^\x20\x09-\x0D]+", t) if (x := pii.term_of(w))} for t in different}
     count = lambda sets: {x: sum(x in s for s in sets) for x in set().union(*sets)}
-    n_e, n_t, n_te = count(entities.values()), count(words.values()), count([brute_neighbours(t, base[t]) for t in different])
+    n_e, n_t, near = count(entities.values()), count(words.values()), count([brute_neighbours(t, base[t]) for t in different])
     told, n = {}, len(different)
-    for (e, t), k in n_te.items():
-        if k >= pii.SUPPORT and n_e[e] < n and math.log(k * n / (n_t[t] * n_e[e])) / math.log(n / n_e[e]) >= pii.GENERALISE - 1e-12:
+    for (e, t), seen in near.items():
+        k = sum(e in entities[x] and t in words[x] for x in different) if seen >= pii.SUPPORT else 0
+        if k and n_e[e] < n and math.log(k * n / (n_t[t] * n_e[e])) / math.log(n / n_e[e]) >= pii.GENERALISE - 1e-12:
             told.setdefault(e, set()).add(t)
     out = {}
     for t in different:
@@ -142,3 +143,12 @@ def test_copies_change_no_span(spark):
     once, often = spans(rows), spans(rows + copies)
     assert any(x["kind"] == "term" for x in once[0]) and {i: often[i] for i in once} == once
     assert all(often[10_000 + 100 * d + k] == once[d] for d in range(3) for k in range(100))
+
+
+def test_one_population(spark):
+    """A term in 20 texts, each of which holds the entity, tells it, though it stands near it in 10 of them only."""
+    filler = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{'Zorblax met' if i < 10 else 'Zorblax ' + filler} zorb@mail.example.com on day{i} of the year", "x", "y") for i in range(20)]
+    rows += [(100 + i, f"Others write about the weather on day{i} of the year", "x", "y") for i in range(180)]
+    got = {r["doc_id"]: [x for x in r["disclosed"] if x["start"] == 0] for r in pii.detect(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] and abs(got[i][0]["disclosure"] - 1) < 1e-9 for i in range(20))
