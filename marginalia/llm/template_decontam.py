@@ -5,10 +5,12 @@ placeholders (<num>, <unit>, <name>); neighbouring numbers, or names, are one. S
 other numbers, names or units have one template. Windows of ``size`` template words are hashed; the windows of documents
 and items meet in a hash join. Each text is read in two ways:
 
-* typed: a capital inside a sentence makes a name. This is what finds "New York" for "Boston".
+* typed: a capital inside a sentence makes a name (Boston, McDonald, O'Brien, iPhone), and so do up to ``MOST_CAPITALS`` words in a row of
+  capitals only (ESA, JAXA); more of these are no names but a text in capitals. This is what finds "New York" for "Boston".
 * caseless: names of the item are known by its capitals, and its windows leave them open, for whatever word stands there;
   documents are hashed once for each pattern of open words that some item has. This finds copies in lower or upper case.
-  Windows with more than ``MOST_OPEN`` open words say too little and are left out; their words can be covered by others.
+  Every place also has a window with nothing open, so a verbatim copy in any case is found however many names it has. Windows
+  with more than ``MOST_OPEN`` open words say too little: there the closed window stands alone.
 
 A document matches an item if, in one way of reading, the windows that they share cover ``coverage`` of the item and their
 slots are consistent: each value of the item stands for one value of the document and the other way round, in
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SIZE, LEAST, COVERAGE, CONSISTENT, BITS, MOST_OPEN = 8, 5, 0.8, 0.9, 1 << 22, 3
+SIZE, LEAST, COVERAGE, CONSISTENT, BITS, MOST_OPEN, MOST_CAPITALS = 8, 5, 0.8, 0.9, 1 << 22, 3, 3
 
 #: Units of measure: symbols and words, and those that take the prefixes of the metric system.
 PLAIN_UNITS = "inch inches foot feet yard yards mile miles mph kph ounce ounces oz pound pounds lb lbs ton tons tonnes second seconds sec minute minutes min hour hours hr hrs day days week weeks month months year years gallon gallons cent cents dollar dollars euro euros usd eur percent degree degrees celsius fahrenheit kelvin"
@@ -73,7 +75,17 @@ def kind_of(word: bytes, inside: bool) -> int:
     if text in UNITS:
         return UNIT
     text = bare.decode("utf-8", "replace")
-    return NAME if inside and len(text) > 1 and text[0].isupper() and text[1:].islower() else PLAIN
+    return NAME if inside and has_capital(text) else PLAIN
+
+
+def has_capital(text: str) -> bool:
+    """A capital among other letters: what is in capitals throughout is judged with its neighbours."""
+    return len(text) > 1 and text[0].isalpha() and not text.isupper() and any(map(str.isupper, text))
+
+
+def is_capitals(text: str) -> bool:
+    """Two letters or more, all of them capitals; digits, dots and hyphens may stand between them."""
+    return len(text) > 1 and text.isupper() and sum(map(str.isalpha, text)) > 1
 
 
 class Templates:
@@ -92,16 +104,16 @@ class Templates:
         self.slot_codes = {kind: self.code_of(kind) for kind in self.SLOTS}
         self.limit, self.numbers = limit, {}
         self.first, self.inner, self.words = (np.zeros(limit, np.uint64) for _ in range(3))
-        self.last = np.zeros(limit, bool)
+        self.last, self.capitals = np.zeros(limit, bool), np.zeros(limit, bool)
 
     def _learn(self, words: set[bytes]) -> None:
         from xxhash import xxh64_intdigest as digest
 
         n = len(self.numbers)
         while n + len(words) > len(self.first):  # one text with more words than the limit
-            self.first, self.inner, self.words, self.last = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.words, self.last))
+            self.first, self.inner, self.words, self.last, self.capitals = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.words, self.last, self.capitals))
         codes_of, name = self.slot_codes, self.slot_codes[NAME]
-        first, inner, last, plain = [], [], [], []
+        first, inner, last, plain, capitals = [], [], [], [], []
         for word in words:
             last.append(word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"))
             bare = word.strip(EDGE)
@@ -110,14 +122,17 @@ class Templates:
                 plain.append(digest(low) & ~1)
                 code = codes_of[NUM] if low in NUMBER_BYTES else codes_of[UNIT] if low in UNIT_BYTES else plain[-1]
                 first.append(code)
-                inner.append(name if low != bare and code == plain[-1] and len(bare) > 1 and bare[1:].islower() else code)
+                loud = bare.isupper() and len(bare) > 1 and code == plain[-1]
+                inner.append(name if low != bare and code == plain[-1] and len(bare) > 1 and not loud else code)
+                capitals.append(loud)
                 continue
             # 0 is left for words of punctuation only
-            plain.append(digest(bare.decode("utf-8", "replace").lower()) & ~1 if bare else 0)
+            plain.append(digest(bare.decode("utf-8", "replace").casefold()) & ~1 if bare else 0)
             for inside, codes in ((False, first), (True, inner)):
                 codes.append(codes_of.get(kind_of(word, inside), plain[-1]) if bare else 0)
+            capitals.append(bool(bare) and first[-1] == plain[-1] and is_capitals(bare.decode("utf-8", "replace")))
         self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
-        for have, new in ((self.first, first), (self.inner, inner), (self.words, plain), (self.last, last)):
+        for have, new in ((self.first, first), (self.inner, inner), (self.words, plain), (self.last, last), (self.capitals, capitals)):
             have[n : n + len(words)] = new
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
@@ -151,7 +166,7 @@ class Reading:
 
     def value(self, i: int) -> str:
         end = self.begins[i + 1] if i + 1 < len(self.begins) else len(self.at)
-        return " ".join(self.all_words[j].strip(EDGE).decode("utf-8", "replace").lower() for j in self.at[self.begins[i] : end])
+        return " ".join(self.all_words[j].strip(EDGE).decode("utf-8", "replace").casefold() for j in self.at[self.begins[i] : end])
 
     def values(self, start: int, size: int, open_: int) -> list[str | None]:
         """What stands in the slots and open words of a window, by place; None elsewhere."""
@@ -172,9 +187,16 @@ def readings(text: bytes, amid: bool = False, literal: bool = True) -> tuple[Rea
     if amid and len(words):
         begins[0] = False
     first, inner = known.first[numbers], known.inner[numbers]
-    typed = Reading(words, np.where(begins, first, inner), breaks)
+    seen = np.where(begins, first, inner)
+    loud = known.capitals[numbers]
+    if loud.any():  # a few in a row are names, at the start of a sentence too
+        edges = np.flatnonzero(np.diff(loud.astype(np.int8), prepend=0, append=0))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a <= MOST_CAPITALS:
+                seen[a:b] = SLOT_NAME
+    typed = Reading(words, seen, breaks)
     caseless = Reading(words, first, breaks)
-    is_name = (np.where(begins, first, inner) == SLOT_NAME)[caseless.at[caseless.begins]]
+    is_name = (seen == SLOT_NAME)[caseless.at[caseless.begins]]
     return typed, caseless, Reading(words, known.words[numbers], breaks) if literal else None, is_name
 
 
@@ -225,7 +247,9 @@ def item_windows(items: DataFrame, size: int = SIZE, least: int = LEAST, most_op
                 opens = np.zeros(max(n - k + 1, 0), np.int64)
                 for j in range(k):
                     opens |= is_name[j : j + len(opens)].astype(np.int64) << j
-                for open_ in np.unique(opens).tolist():
+                for i, h in enumerate(window_hashes(caseless.codes, k, 0, CASELESS).tolist()):
+                    yield CASELESS, i, n, k, 0, h, caseless.values(i, k, 0)
+                for open_ in np.unique(opens[opens > 0]).tolist():
                     if open_.bit_count() <= min(most_open, k // 2):
                         hashes = window_hashes(caseless.codes, k, open_, CASELESS)
                         for i in np.flatnonzero(opens == open_).tolist():

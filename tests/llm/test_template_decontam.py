@@ -81,3 +81,53 @@ def test_edges(spark):
     assert got == {(4, 1), (4, None)}
     assert td.contaminated(docs.limit(0), items).count() == 0 and td.contaminated(docs, items.limit(0)).count() == 0
     assert td.decontaminate(docs, items.limit(0)).count() == 5
+
+
+PEOPLE = ["O'Brien", "McDonald", "DeWitt", "Anna", "Boris", "Chloe", "Dmitri", "Elena", "Farid", "Greta", "Hiro", "Ines"]
+OTHERS = ["O'Neill", "MacArthur", "LaRue", "Jonas", "Kira", "Liam", "Mona", "Nils", "Olga", "Petra", "Quentin", "Rosa"]
+ACRONYMS, OTHER_ACRONYMS = ["ESA", "NASA", "CERN", "UNESCO"], ["JAXA", "ISRO", "DESY", "UNICEF"]
+
+
+def dense(r, people, numbers):
+    """Ten names in a question of some thirty words."""
+    p = r.sample(range(12), 10)
+    n = [people[k] for k in p]
+    return (
+        f"Then {n[0]} and {n[1]} {r.choice(VERBS)} the {r.choice(NOUNS)} with {n[2]} or {n[3]} before {n[4]} and {n[5]} {r.choice(VERBS)} a {r.choice(NOUNS)} that {n[6]} "
+        f"sold to {n[7]} while {n[8]} and {n[9]} {r.choice(VERBS)} {numbers[0]} {r.choice(NOUNS)}s in the {r.choice(NOUNS)}."
+    )
+
+
+def agencies(r, names, numbers):
+    k = r.sample(range(4), 2)
+    return f"In which year did {names[k[0]]} and its partner {names[k[1]]} first {r.choice(VERBS)} the {r.choice(NOUNS)} near the {r.choice(NOUNS)} with {numbers[0]} instruments and {numbers[1]} engineers aboard?"
+
+
+def sums(r, _, numbers):
+    return f"Take the {r.choice(NOUNS)} of {numbers[0]} and add {numbers[1]} to it, then multiply the {r.choice(NOUNS)} by {numbers[2]} and subtract {numbers[3]} from the {r.choice(NOUNS)} that {r.choice(VERBS)} the rest."
+
+
+def test_recall_on_other_shapes(spark, sf):
+    """Names one after the other, acronyms, arithmetic, prose: other names and numbers 0.9, verbatim in any case 1."""
+    import random
+
+    first, second = [12, "40", 7, 1990], [35, "8", 61, 1871]
+    shapes = {"dense": (dense, PEOPLE, OTHERS), "agencies": (agencies, ACRONYMS, OTHER_ACRONYMS), "sums": (sums, None, None)}
+    items, texts, want = [], [], {}
+    for s, (make, names, others) in enumerate(shapes.values()):
+        for i in range(40):
+            item, other = make(random.Random(i), names, first), make(random.Random(i), others, second)
+            items.append((1000 * s + i, item, "x"))
+            for kind, text in enumerate((other, item.lower(), item.upper(), f"It began so. {item.upper()} And it went on.", f"so it began: {item.lower()} and it went on")):
+                texts.append((len(texts), text))
+                want.setdefault((s, kind), []).append((len(texts) - 1, 1000 * s + i))
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        items.append((9000 + r["item_id"], r["text"], "x"))
+        for kind, text in enumerate((r["text"].lower(), r["text"].upper())):
+            texts.append((len(texts), "Before. " + text))
+            want.setdefault((9, kind + 1), []).append((len(texts) - 1, 9000 + r["item_id"]))
+    docs, rows = run(spark, texts, items)
+    got = {(r["doc_id"], r["item_id"]) for r in td.contaminated(docs, rows).collect()}
+    recall = {k: sum(x in got for x in v) / len(v) for k, v in want.items()}
+    assert all(x == 1 for (_, kind), x in recall.items() if kind) and all(recall[s, 0] >= 0.9 for s in range(3)), str(recall)
+    assert got <= {x for v in want.values() for x in v}
