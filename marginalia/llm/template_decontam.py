@@ -100,7 +100,7 @@ class Templates:
 
         return xxhash.xxh64_intdigest(Templates.SLOTS[kind]) | 1
 
-    def __init__(self, limit: int = 800_000):
+    def __init__(self, limit: int = 1_600_000):
         self.slot_codes = {kind: self.code_of(kind) for kind in self.SLOTS}
         self.limit, self.numbers = limit, {}
         self.first, self.inner, self.words = (np.zeros(limit, np.uint64) for _ in range(3))
@@ -152,17 +152,21 @@ SLOT_NUM, SLOT_NAME = (np.uint64(Templates.code_of(k)) for k in (NUM, NAME))
 
 
 class Reading:
-    """A text as template words, in one of the three ways: their codes, and the words that each of them stands for."""
+    """Texts, one after the other, as template words in one of the three ways: their codes, the words that each of them stands for, and
+    where each text begins (bounds; one more at the end)."""
 
-    def __init__(self, words: list[bytes], codes: np.ndarray, breaks: np.ndarray):
+    def __init__(self, words: list[bytes], codes: np.ndarray, breaks: np.ndarray, starts: np.ndarray):
         at = np.flatnonzero(codes)
         codes, self.breaks = codes[at], breaks[at]
         run = np.zeros(len(at), bool)
         for code in (SLOT_NUM, SLOT_NAME):
             slot = codes == code
             run[1:] |= slot[1:] & slot[:-1]
+        first = np.searchsorted(at, starts)  # of each text
+        run[first[first < len(at)]] = False
         self.all_words, self.at, self.begins = words, at, np.flatnonzero(~run)
         self.codes = codes[self.begins]
+        self.bounds = np.append(np.searchsorted(self.begins, first), len(self.codes))
 
     def value(self, i: int) -> str:
         end = self.begins[i + 1] if i + 1 < len(self.begins) else len(self.at)
@@ -172,32 +176,39 @@ class Reading:
         """What stands in the slots and open words of a window, by place; None elsewhere."""
         return [self.value(start + j) if open_ >> j & 1 or self.codes[start + j] & np.uint64(1) else None for j in range(size)]
 
+    def inside(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows that begin at these places those that lie in one text, and its number."""
+        text = np.searchsorted(self.bounds, at, "right") - 1
+        good = at + size <= self.bounds[text + 1]
+        return at[good], text[good]
 
-def readings(text: bytes, amid: bool = False, literal: bool = True) -> tuple[Reading, Reading, Reading | None, np.ndarray]:
-    """Typed, caseless, and by words alone; and where the caseless one has names. amid: as if the text stood within a sentence."""
-    words, starts = [], []
-    for line in text.split(b"\n"):
+
+def readings(texts: list[bytes], amid: bool = False, literal: bool = True) -> tuple[Reading, Reading, Reading | None, np.ndarray]:
+    """Typed, caseless, and by words alone; and where the caseless one has names. amid: as if each text stood within a sentence."""
+    words, lines, starts = [], [], []
+    for text in texts:
         starts.append(len(words))
-        words += line.split()
+        for line in text.split(b"\n"):
+            lines.append(len(words))
+            words += line.split()
     known = templates()
-    numbers, begins = known.look_up(words), np.zeros(len(words), bool)
-    begins[[s for s in starts if s < len(words)]] = True
-    begins[1:] |= known.last[numbers][:-1]
-    breaks = begins.copy()
-    if amid and len(words):
-        begins[0] = False
+    numbers, begins, starts = known.look_up(words), np.zeros(len(words) + 1, bool), np.array(starts, np.int64)
+    begins[lines] = True
+    begins[1:-1] |= known.last[numbers[:-1]]
+    opening = np.zeros(len(words) + 1, bool)
+    opening[starts] = True
+    breaks, opening = begins[:-1].copy(), opening[:-1]
+    begins = begins[:-1] & ~opening if amid else begins[:-1]
     first, inner = known.first[numbers], known.inner[numbers]
     seen = np.where(begins, first, inner)
     loud = known.capitals[numbers]
     if loud.any():  # a few in a row are names, at the start of a sentence too
-        edges = np.flatnonzero(np.diff(loud.astype(np.int8), prepend=0, append=0))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a <= MOST_CAPITALS:
-                seen[a:b] = SLOT_NAME
-    typed = Reading(words, seen, breaks)
-    caseless = Reading(words, first, breaks)
+        run = np.cumsum(np.append(False, loud[1:] != loud[:-1]) | opening)
+        seen[loud & (np.bincount(run)[run] <= MOST_CAPITALS)] = SLOT_NAME
+    typed = Reading(words, seen, breaks, starts)
+    caseless = Reading(words, first, breaks, starts)
     is_name = (seen == SLOT_NAME)[caseless.at[caseless.begins]]
-    return typed, caseless, Reading(words, known.words[numbers], breaks) if literal else None, is_name
+    return typed, caseless, Reading(words, known.words[numbers], breaks, starts) if literal else None, is_name
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -206,15 +217,24 @@ _FACTORS = np.random.default_rng(7).integers(0, 2**64, 64, np.uint64) | np.uint6
 
 def window_hashes(codes: np.ndarray, size: int, open_: int = 0, reading: int = TYPED) -> np.ndarray:
     """Of every size codes in a row, without the open ones (bits): signed 64 bits."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    out = np.full(n, (reading << 40) + (size << 20) + open_, np.uint64)
-    for k in range(size):
-        if not open_ >> k & 1:
-            out += codes[k : k + n] * _FACTORS[k]
-    out = (out ^ (out >> np.uint64(31))) * _MIX
-    return (out ^ (out >> np.uint64(29))).view(np.int64)
+    return next(all_hashes(codes, [(size, open_)], reading))[2]
+
+
+def all_hashes(codes: np.ndarray, patterns: list[tuple[int, int]], reading: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """window_hashes of several patterns (size, open): what an open word would add is taken off the sum of all."""
+    sums: dict[int, np.ndarray] = {}
+    for size, open_ in patterns:
+        n = max(len(codes) - size + 1, 0)
+        if size not in sums:
+            sums[size] = np.zeros(n, np.uint64)
+            for k in range(size):
+                sums[size] += codes[k : k + n] * _FACTORS[k]
+        out = sums[size] + np.uint64((reading << 40) + (size << 20) + open_)
+        for k in range(size):
+            if open_ >> k & 1:
+                out -= codes[k : k + n] * _FACTORS[k]
+        out = (out ^ (out >> np.uint64(31))) * _MIX
+        yield size, open_, (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
 def sentence_hash(codes: np.ndarray) -> int:
@@ -232,7 +252,7 @@ def item_windows(items: DataFrame, size: int = SIZE, least: int = LEAST, most_op
 
     def windows(text: bytes) -> Iterator[tuple]:
         for amid in (False, True):  # a document may quote the item after words of its own
-            typed, caseless, words, is_name = readings(text, amid)
+            typed, caseless, words, is_name = readings([text], amid)
             n = len(typed.codes)
             if n < least:
                 if len(words.codes) and not amid:
@@ -265,10 +285,20 @@ def item_windows(items: DataFrame, size: int = SIZE, least: int = LEAST, most_op
     return items.select("item_id", "text").mapInArrow(run, schema)
 
 
+def parts(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about ``size`` bytes, which are read at once."""
+    a = n = 0
+    for i, text in enumerate(texts):
+        n += len(text or b"")
+        if n >= size or i + 1 == len(texts):
+            yield a, i + 1
+            a, n = i + 1, 0
+
+
 def document_windows(documents: DataFrame, patterns: list[tuple[int, int, int]], chosen: bytes, bits: int = BITS) -> DataFrame:
     """doc_id, key, at, h, ours of the windows whose bit is set in chosen. patterns: reading, k and open of the items' windows."""
     common.small_batches(documents.sparkSession)
-    rows = documents.select("doc_id", common.text_key().alias("key"), "text")
+    rows = documents.select("doc_id", common.text_key().alias("key"), F.col("text").cast("binary").alias("text"))
     names = ["doc_id", "key", "at", "h", "ours"]
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, at int, h long, ours array<string>"
     sent = documents.sparkSession.sparkContext.broadcast(chosen)  # bits / 8 bytes, whatever the number of items
@@ -280,21 +310,23 @@ def document_windows(documents: DataFrame, patterns: list[tuple[int, int, int]],
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
         for batch in batches:
             out = []
-            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                typed, caseless, words, is_name = readings(text or b"", literal=bool(short))
+            docs, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
+            for a, b in parts(texts):
+                typed, caseless, words, _ = readings([t or b"" for t in texts[a:b]], literal=bool(short))
                 for number, reading in ((TYPED, typed), (CASELESS, caseless)):
-                    for k, open_ in by_reading[number]:
-                        hashes = window_hashes(reading.codes, k, open_, number)
-                        for i in np.flatnonzero(is_set[hashes & (bits - 1)]).tolist():
-                            out.append((doc, key, i, int(hashes[i]), reading.values(i, k, open_)))
+                    for k, open_, hashes in all_hashes(reading.codes, by_reading[number], number):
+                        hits, owners = reading.inside(np.flatnonzero(is_set[hashes & (bits - 1)]), k)
+                        for i, t in zip(hits.tolist(), owners.tolist(), strict=True):
+                            out.append((docs[a + t], keys[a + t], i - int(reading.bounds[t]), int(hashes[i]), reading.values(i, k, open_)))
                 if short:
-                    edges = np.append(np.flatnonzero(words.breaks), len(words.codes))
-                    is_edge = np.zeros(len(words.codes) + 1, bool)
-                    is_edge[edges] = True
+                    is_edge = np.append(words.breaks[words.begins], True)
+                    is_edge[words.bounds] = True
+                    edges = np.flatnonzero(is_edge)
                     for k in short:
-                        for i in edges[edges + k <= len(words.codes)].tolist():
+                        hits, owners = words.inside(edges[edges + k <= len(words.codes)], k)
+                        for i, t in zip(hits.tolist(), owners.tolist(), strict=True):
                             if is_edge[i + k] and is_set[(h := sentence_hash(words.codes[i : i + k])) & (bits - 1)]:
-                                out.append((doc, key, i, h, [None] * k))
+                                out.append((docs[a + t], keys[a + t], i - int(words.bounds[t]), h, [None] * k))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=pa.schema([("doc_id", batch.schema.field("doc_id").type), *zip(names[1:], kinds, strict=True)]))
 
     return rows.mapInArrow(run, schema)
