@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.sources import io
@@ -105,6 +105,16 @@ def grade_stream(stream: DataFrame, scope: list[str], entry: str, rule: Rule, pa
     return spark.read.parquet(f"{path}/grades")
 
 
+def submit(grades: DataFrame, path: str, batch: str) -> None:
+    """Send a batch of grades, by name: all of it counts from one moment on, and a batch that has committed is not changed by a second run."""
+    grades.write.format("commits").option("batch", batch).mode("append").save(path)
+
+
+def submitted(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The grades of the committed batches, with their batch."""
+    return spark.read.format("commits").schema(f"{columns}, batch string").load(path)
+
+
 def routed(kind: Column, types: Column) -> Column:
     """Mixed rules go by the task: discussion if it takes discussion topics, else submission."""
     return F.when(kind != "mixed", kind).when(F.coalesce(F.array_contains(types, "discussion_topic"), F.lit(False)), "discussion").otherwise("submission")
