@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from marginalia.functions import text as T
 from marginalia.operators import credit, drafts, grading, records, themes
-from marginalia.sources import files, io
+from marginalia.sources import files, io, pdf
 
 from .bindings import N_WORDS, query, results
 from .store_queries import THREADS, orders, threads
@@ -471,17 +471,15 @@ def telemetry(spark, sf_dir):
     return spark.read.parquet(path).select("event_id", "kind")
 
 
-@query("s6_attachments", "SELECT r_name AS name, how, 'about ' || r_name AS text FROM region, (SELECT unnest(['text', 'html']) AS how)")
+@query("s6_attachments", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 4 = 1 AND regexp_matches(text, '^\\s|\\s$') THEN 'text' WHEN doc_id % 4 = 1 THEN 'html' ELSE 'pdf' END AS how, text FROM documents WHERE text IS NOT NULL")
 def attachments(spark, sf_dir):
-    """Texts written as files of two kinds and read back."""
+    """Every text as a file (text, HTML unless white space at its ends would count, and PDF in two ways) and read back."""
     path = io.shared_dir(spark, "attachments")
-    r = io.table(spark, sf_dir, "region").select(F.replace("r_name", F.lit(" "), F.lit("-")).alias("name"), "r_name")
-    for kind, text in (("txt", F.concat(F.lit("about "), "r_name")), ("html", F.concat(F.lit("<p>about</p>"), F.lit("<b>"), "r_name", F.lit("</b>")))):
-        r.select("name", text.alias("value")).repartition(1).write.partitionBy("name").option("compression", "none").format("text").save(f"{path}/{kind}")
-    spark_files = files.attachments(spark, path)
-    found = spark_files.where(F.rlike("path", F.lit("part-"))).select(F.replace(F.regexp_extract("path", "name=([^/]*)/", 1), F.lit("-"), F.lit(" ")).alias("name"), "how", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), "path")
-    kind = F.when(F.contains("path", F.lit("/html/")), "html").otherwise("text")
-    return found.select("name", kind.alias("how"), F.trim(F.regexp_replace(F.regexp_replace("text", "<[^>]+>", " "), r"\s+", " ")).alias("text"))
+    d = io.table(spark, sf_dir, "documents").where("text is not null")
+    k = F.when((F.col("doc_id") % 4 == 1) & F.rlike("text", F.lit(r"^\s|\s$")), 0).otherwise(F.col("doc_id") % 4)
+    for i, (ending, make) in enumerate((("txt", str.encode), ("html", files.page_of), ("pdf", pdf.made), ("pdf", lambda t: pdf.made(t, streams=True)))):
+        files.write_files(d.where(k == i).select(F.concat(F.col("doc_id"), F.lit(f".{ending}")).alias("name"), "text"), "name", "text", path, make)
+    return files.attachments(spark, path).select(F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id"), "how", "text")
 
 
 @query("s9_booleans", "SELECT event_id, lower(trim(CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN ' TRUE ' WHEN 2 THEN 'no' END)) = 'true' AS flag FROM events")

@@ -6,20 +6,65 @@ import html
 import io as bytes_io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources import connectors, pdf
+
 #: Where documents in zip files keep their text.
 INSIDE = {"docx": "word/document.xml", "odt": "content.xml"}
-_CONTROL = re.compile(r"\\'[0-9a-f]{2}|\\[a-z]+-?\d* ?|[{}]|\\[^a-z]")
+_CONTROL = re.compile(r"\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d+)? ?|\\(.)|([{}])|([^\\{}\r\n]+)", re.S)
+#: Groups of a rich text that show nothing, and words that stand for a character.
+UNSEEN = frozenset("fonttbl colortbl stylesheet info pict header footer".split())
+CHARACTERS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "tab": "\t", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•"}
+
+
+def rich_text(data: bytes) -> str:
+    """Words of an RTF file: bytes of its code page, characters by number (and what stands in for them left out), no tables of fonts."""
+    source = data.decode("latin-1")
+    page = re.search(r"\\ansicpg(\d+)", source)
+    page = f"cp{page[1]}" if page else "cp1252"
+    try:
+        "".encode(page)
+    except LookupError:
+        page = "cp1252"
+    out: list[str] = []
+    seen, skipped, instead, shown = [], 0, 1, True
+    for m in _CONTROL.finditer(source):
+        code, word, number, sign, brace, plain = m.groups()
+        if brace == "{":
+            seen.append((shown, instead))
+        elif brace:
+            shown, instead = seen.pop() if seen else (True, 1)
+            skipped = 0
+        elif sign == "*":
+            shown = False
+        elif word:
+            if word in UNSEEN:
+                shown = False
+            elif word == "uc" and number:
+                instead = int(number)
+            elif shown and word == "u" and number:
+                out.append(chr(int(number) % 65536))
+                skipped = instead
+            elif shown and word in CHARACTERS:
+                out.append(CHARACTERS[word])
+        elif shown:
+            new = bytes.fromhex(code).decode(page, "replace") if code else {"~": " ", "_": "-", "-": "", "\n": "\n", "\r": "\n"}.get(sign, sign) if sign else plain
+            out.append(new[skipped:])
+            skipped = max(0, skipped - len(new))
+    text = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # halves of a character meet
+    return re.sub(r"[^\S\n]+", " ", text).strip()
+
+
 
 
 def text_of(name: str, data: bytes) -> tuple[str | None, str]:
-    """The text of a file and how it was read: text, html, docx, odt, rtf, or why not: damaged, unknown."""
+    """The text of a file and how it was read: text, html, docx, odt, rtf, pdf, or why not: damaged, locked, unknown."""
     ending = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if ending in ("txt", "md", "csv"):
         return data.decode("utf-8", "replace"), "text"
@@ -33,7 +78,12 @@ def text_of(name: str, data: bytes) -> tuple[str | None, str]:
         paragraphs = [x for x in root.iter() if x.tag.rsplit("}", 1)[-1] in ("p", "h")]
         return "\n".join("".join(p.itertext()) for p in paragraphs), ending
     if ending == "rtf":
-        return re.sub(r"\s+", " ", _CONTROL.sub(lambda m: bytes.fromhex(m[0][2:]).decode("latin-1") if m[0].startswith("\\'") else " ", data.decode("latin-1"))).strip(), "rtf"
+        return rich_text(data), "rtf"
+    if ending == "pdf":
+        try:
+            return pdf.text(data), "pdf"
+        except pdf.Damaged as e:
+            return None, str(e)
     return None, "unknown"
 
 
@@ -49,6 +99,27 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, modified timestamp, text string, how string")
 
 
+def page_of(text: str) -> bytes:
+    """A text as a page of HTML."""
+    return f"<html><head><style>p {{}}</style></head><body><p>{html.escape(text)}</p></body></html>".encode()
+
+
+def write_files(rows: DataFrame, name: str, text: str, path: str, make: Callable[[str], bytes]) -> int:
+    """A file for each row, made by its task, and how many there are. A repeated task writes the same files again."""
+    names = rows.select(F.col(name).alias("name"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = connectors.opened(path)
+        system.create_dir(at, recursive=True)
+        for batch in batches:
+            for n, t in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                with system.open_output_stream(f"{at}/{n}") as f:
+                    f.write(make(t))
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    return names.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def old_files(spark: SparkSession, path: str, now: Column, days: int) -> DataFrame:
     """ending, n and bytes of the files older than so many days: what a clean-up would move. Contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
