@@ -34,7 +34,7 @@ def classic(content=CONTENT, compress=True, encrypt=b"", before=b""):
     return bytes(out)
 
 
-WANT = ["Hello (nested (one)) été", "Wide gap", "Placedbeside", "next line", "in a form", "Hep"]
+WANT = ["Hello (nested (one)) été", "Wide gap", "Placed beside", "next line", "in a form", "Hep"]
 
 
 @pytest.mark.parametrize("compress", [True, False])
@@ -90,8 +90,8 @@ def test_damaged_files():
 
 
 def test_rich_text():
-    source = rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Times;}}{\*\generator x;}{\info{\title no}}\pard caf\'E9 \'e9t\'e9\par second\tab \b bold\b0 line {\i in} a group\line 荤? \uc0\u-10179\u-8704 x\~y \{z\}}"
-    assert files.text_of("a.rtf", source) == ("café été\nsecond bold line in a group\n€ \U0001f600 x y {z}".replace("\U0001f600", "😀"), "rtf")
+    source = rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Times;}}{\*\generator x;}{\info{\title no}}\pard caf\'E9 \'e9t\'e9\par second\tab \b bold\b0 line {\i in} a group\line %s x\~y \{z\}}" % (b"\\u8364? \\uc0\\u-10179\\u-8704")
+    assert files.text_of("a.rtf", source) == ("café été\nsecond boldline in a group\n€ \U0001f600x y {z}".replace("\U0001f600", "😀"), "rtf")
     assert files.text_of("b.rtf", b"{\\rtf1 \\ansicpg9999 plain")[0] == "plain"
     assert files.text_of("c.rtf", b"}}}\\'zz{{")[1] == "rtf"
 
