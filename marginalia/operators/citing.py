@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.sources import io
+
 NAME = r"\p{Lu}[\p{L}'’-]+"
 AUTHORS = rf"{NAME}(?: (?:and|&) {NAME})*(?: et al\.?)?"
 YEAR = r"[12][0-9]{3}"
@@ -39,6 +41,7 @@ def is_skipped(address: Column, hosts: tuple[str, ...], suffixes: tuple[str, ...
     return out
 
 
+@io.keyed("key")
 def cited(rows: DataFrame, key: str, text: str = "text", skip_hosts: tuple[str, ...] = ("localhost", "127.0.0.1"), skip_suffixes: tuple[str, ...] = ()) -> DataFrame:
     """key, kind, reference: what each text cites, each once (case aside). Kinds: url, doi, author_year (also the name before a
     year in brackets), according_to, reading (the course's own, unnamed), quoted_title (of eleven characters, from a capital on)."""
@@ -63,6 +66,7 @@ def cited(rows: DataFrame, key: str, text: str = "text", skip_hosts: tuple[str,
 GENERIC = ("according_to", "reading")
 
 
+@io.keyed("key")
 def report(rows: DataFrame, found: DataFrame, key: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """The k references that most texts cite (case aside), and one row: texts with and without a reference, specific and generic references."""
     top = found.groupBy("kind", F.lower("reference").alias("reference")).agg(F.count_distinct(key).alias("n_rows")).orderBy(F.desc("n_rows"), "kind", "reference").limit(k)
@@ -84,6 +88,7 @@ def positions(text: Column, pattern: str) -> Column:
     return F.when(F.size(raw) > 0, F.aggregate(F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(raw), F.lit(0))).alias("p"), raw.alias("m")), start, step, lambda s: s["out"])).otherwise(none)
 
 
+@io.keyed("key")
 def citations_in_detail(rows: DataFrame, key: str, text: str = "text", near: int = 200) -> DataFrame:
     """key, kind, raw, at, authors, year, doi, url: author-year citations, each with the first DOI and address within ``near`` characters; DOIs and
     addresses near none stand for themselves. Citations are few in a text: a text's are compared with each other in one row."""

@@ -18,6 +18,7 @@ from marginalia.sources import io
 RANGES = 256
 
 
+@io.keyed("cohort")
 def value_counts(rows: DataFrame, cohort: str, value: str, ranges: int = RANGES) -> DataFrame:
     """cohort, value, n, below (rows with a smaller value) and total. value is a number."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(cohort, value).agg(F.count("*").alias("n"))
@@ -37,11 +38,13 @@ def nth(value: str, index: Column) -> Column:
     return F.max(F.when((F.col("below") <= index) & (index < F.col("below") + F.col("n")), F.col(value)))
 
 
+@io.keyed("cohort")
 def moments(rows: DataFrame, cohort: str, value: str) -> DataFrame:
     """n, mean and sample deviation (0 for one row)."""
     return rows.groupBy(cohort).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"))
 
 
+@io.keyed("cohort")
 def peer_stats(rows: DataFrame, cohort: str, value: str, percentile: float = 90.0) -> DataFrame:
     """Nearest-index quartiles s[n//4] and s[3n//4], thresholds s[min(int(n p / 100), n - 1)] and s[int(n (100 - p) / 100)]."""
     total = F.col("total")
@@ -58,6 +61,7 @@ def peer_stats(rows: DataFrame, cohort: str, value: str, percentile: float = 90.
     return io.join_same(moments(rows, cohort, value), order, [cohort]).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
+@io.keyed("cohort")
 def distribution(rows: DataFrame, cohort: str, value: str) -> DataFrame:
     """Linear-interpolation percentiles, mean, sample deviation."""
     def linear(p: float) -> Column:
@@ -72,6 +76,7 @@ def distribution(rows: DataFrame, cohort: str, value: str) -> DataFrame:
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
+@io.keyed("cohort")
 def feature_baseline(rows: DataFrame, cohort: str, value: str, least: int = 4, default: float = 2.0) -> DataFrame:
     """Median and the spread of exclusive quartiles (position (n + 1) q), ``default`` under ``least`` rows."""
     def exclusive(q: float) -> Column:
@@ -85,6 +90,7 @@ def feature_baseline(rows: DataFrame, cohort: str, value: str, least: int = 4, d
     return out.select(cohort, "n", "median", F.when(F.col("n") >= least, F.col("q3") - F.col("q1")).otherwise(F.lit(default)).alias("iqr"))
 
 
+@io.keyed("cohort")
 def ranked(rows: DataFrame, cohort: str, value: str, name: str) -> DataFrame:
     """rows with <name>_pct (share strictly below, 0 to 100) and <name>_z (0 where all are equal)."""
     below = value_counts(rows, cohort, value).select(cohort, value, (100.0 * F.col("below") / F.col("total")).alias(f"{name}_pct"))
@@ -94,6 +100,7 @@ def ranked(rows: DataFrame, cohort: str, value: str, name: str) -> DataFrame:
     return out.withColumn(f"{name}_z", z).drop("_mean", "_sd")
 
 
+@io.keyed("cohort")
 def peer_outliers(rows: DataFrame, cohort: str, score: str, trust: str, percentile: float = 90.0, z: float = 2.0, least: int = 3) -> DataFrame:
     """rows with ranks and reasons: why a row stands out among its peers. In cohorts under ``least`` rows there are no
     reasons, and all ranks are 0."""
@@ -114,6 +121,7 @@ def peer_outliers(rows: DataFrame, cohort: str, score: str, trust: str, percenti
     return out.withColumns({c: F.when(enough, F.col(c)).otherwise(F.lit(0.0)) for c in ("score_pct", "score_z", "trust_pct", "trust_z", "fence")})
 
 
+@io.keyed("cohort")
 def threshold_outliers(rows: DataFrame, cohort: str, score: str, trust: str, percentile: float = 90.0, z: float = 2.0) -> DataFrame:
     """The other rule: above the threshold's value, z over 2, or trust under mean - 1.5 deviations."""
     stats = peer_stats(rows, cohort, score, percentile).select(cohort, "upper", F.col("mean").alias("m"), F.col("stdev").alias("sd"))
@@ -137,6 +145,7 @@ def shrunk(mean: Column, n: Column, prior: Column) -> Column:
     return (n * mean + weight * prior) / (n + weight)
 
 
+@io.keyed("key", "order")
 def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3, digits: int = 4) -> DataFrame:
     """Exponential moving average by key, rounded at each step. A key's series is folded in one row: it holds runs, not documents."""
     series = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
@@ -144,6 +153,7 @@ def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3, d
     return rows.where(F.col(value).isNotNull()).groupBy(key).agg(folded.alias("ema"), F.count("*").alias("n"))
 
 
+@io.keyed("cohort", "key")
 def mean_cohort_z(rows: DataFrame, cohort: str, key: str, signals: list[str]) -> DataFrame:
     """Mean of the z-scores of signals whose deviation in the cohort is above 0."""
     stats = rows.groupBy(cohort).agg(*[x for s in signals for x in (F.avg(s).alias(f"{s}_m"), F.stddev_samp(s).alias(f"{s}_sd"))])
@@ -152,6 +162,7 @@ def mean_cohort_z(rows: DataFrame, cohort: str, key: str, signals: list[str]) ->
     return io.join_same(rows, stats, [cohort]).select(cohort, key, F.when(F.size(z) > 0, total / F.size(z)).alias("mean_z"))
 
 
+@io.keyed("group")
 def effect_size(rows: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
     """Cohen's d of two groups: (mean a - mean b) / sqrt of the mean variance; infinite where both variances are 0."""
     of = lambda g: F.when(F.col(group) == g, F.col(value))

@@ -19,6 +19,7 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}0-9]{2,}"), F.lit(0))
 
 
+@io.keyed("prompt")
 def prompt_weights(prompts: DataFrame, prompt: str, text: str, vocabulary: int = 5000) -> DataFrame:
     """prompt, term, n (in the prompt), of its ``vocabulary`` commonest terms (ties by term)."""
     each = prompts.select(prompt, F.explode(terms(F.col(text))).alias("term")).groupBy(prompt, "term").agg(F.count("*").alias("n"))
@@ -26,6 +27,7 @@ def prompt_weights(prompts: DataFrame, prompt: str, text: str, vocabulary: int =
     return each.withColumn("_r", rank).where(F.col("_r") <= vocabulary).drop("_r")
 
 
+@io.keyed("key", "prompt")
 def prompt_connection(rows: DataFrame, key: str, prompt: str, prompts: DataFrame, text: str = "text", keywords: int = 20) -> DataFrame:
     """key, prompt, overlap (cosine of TF-IDF weights), containment (share of the prompt's ``keywords`` best terms that the row
     has) and band. Every row answers one prompt (its column ``prompt``), so rows meet terms of their own prompt only.
@@ -60,6 +62,7 @@ def band(overlap: Column) -> Column:
     return F.when(overlap < LOW, "low").when(overlap < HIGH, "moderate").otherwise("high")
 
 
+@io.keyed("prompt")
 def class_note(connected: DataFrame, prompt: str) -> DataFrame:
     """prompt, share of rows with a low connection, and note."""
     out = connected.groupBy(prompt).agg(F.avg((F.col("overlap") < LOW).cast("double")).alias("share"))
@@ -78,6 +81,7 @@ def engagement_type(text: Column, families: Mapping[str, str]) -> Column:
     return out
 
 
+@io.keyed("key")
 def key_concepts(rows: DataFrame, key: str, text: str = "text", k: int = 10) -> DataFrame:
     """key, term, score, rank: the k terms of a text with the highest TF-IDF over its sentences as documents; in a text of one sentence by count."""
     cut = rows.select(key, F.posexplode(T.sentences(F.col(text))).alias("s", "sentence"))
@@ -96,6 +100,7 @@ def fingerprint(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns]), F.trim))
 
 
+@io.keyed("key", "group")
 def reference_matches(rows: DataFrame, key: str, group: str, references: DataFrame, reference: str, kind: str, text: str = "text", share: float = 0.6) -> DataFrame:
     """group, reference, key, how: full (all words of the reference stand in the text), last (an author's last name does), or words
     (``share`` of a long title's words of four letters do). references belong to a group of rows; rows meet those of their own
@@ -119,6 +124,7 @@ def reference_observation(n: Column, total: Column) -> Column:
     return F.when((n == 0) | share.isNull(), "none").when(share < FEW, "few").when(share >= MANY, "most").otherwise("some")
 
 
+@io.keyed("key")
 def grounded_concepts(rows: DataFrame, key: str, concepts: str, text: str = "text", share: float = 0.5, stem: int = 6) -> DataFrame:
     """key, concept, grounded: the concept stands in the text, or more than ``share`` of its words of four letters do, or of their
     first ``stem`` letters."""
@@ -132,6 +138,7 @@ def grounded_concepts(rows: DataFrame, key: str, concepts: str, text: str = "tex
     return cut.select(key, "concept", (F.contains("_low", F.lower("concept")) | more("_w", "_have") | more(stems, "_stems")).alias("grounded"))
 
 
+@io.keyed("key")
 def best_passage(rows: DataFrame, key: str, keywords: list[str], text: str = "text", budget: int = 60) -> DataFrame:
     """key, start, end, n_words: the sentence with the most keywords (the first of equals), and as many sentences around it, the next one
     first, as fit the budget of words. A sentence is one row; the passage is found by running sums within a text."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators import trajectory
+from marginalia.sources import io
 
 #: Orders of depth and of wellbeing (lower is worse), and the limits of the signals.
 DEPTH = {"minimal": 0, "limited": 1, "moderate": 2, "strong": 3}
@@ -23,6 +24,7 @@ def level(value: Column, order: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), value)
 
 
+@io.keyed("key", "order")
 def pattern_breaks(records: DataFrame, key: str, order: str, disengaged: tuple[str, ...] = ("disengaged", "perfunctory"), formulaic: str = "formulaic_essay_structure", least: int = LEAST_SIGNALS) -> DataFrame:
     """key, signals and is_break of each key's last record against all earlier ones; one signal alone is never a break.
 
@@ -97,12 +99,14 @@ def engagement_score(depth: Column, quotes: Column, connections: Column, reading
     return out
 
 
+@io.keyed("key", "order")
 def quotes(records: DataFrame, key: str, order: str, column: str) -> DataFrame:
     """key, order, at, text, significance: a row for each quote (structs of text and significance) that is not blank."""
     each = records.select(key, order, F.posexplode(column).alias("at", "q"))
     return each.select(key, order, "at", F.col("q.text").alias("text"), F.col("q.significance").alias("significance")).where(F.length(F.trim("text")) > 0)
 
 
+@io.keyed("key", "order")
 def curated(each: DataFrame, key: str, order: str, most: int = MOST_QUOTES) -> DataFrame:
     """Up to ``most`` quotes of a key: all if there are few; else one for each work, those with a significance first, of works evenly
     spaced in time if there are too many, and then the earliest of the rest whose texts are not in yet."""
@@ -124,6 +128,7 @@ def curated(each: DataFrame, key: str, order: str, most: int = MOST_QUOTES) -> D
     return kept.select(*each.columns)
 
 
+@io.keyed("key", "order")
 def turning_points(records: DataFrame, key: str, order: str, recent: int = RECENT, jump: float = 0.4, shared: float = 0.5) -> DataFrame:
     """key, order, kinds and full: why a record is a turning point (wellbeing, register, themes with a Jaccard similarity under
     ``shared``, words more than ``jump`` off the mean of the earlier ones), and whether it is told in full: turning points,
@@ -141,6 +146,7 @@ def turning_points(records: DataFrame, key: str, order: str, recent: int = RECEN
     return rows.select(key, order, kinds.alias("kinds"), "_at", "_back").withColumn("full", (F.size("kinds") > 0) | (F.col("_at") == 1) | (F.col("_back") <= recent)).drop("_at", "_back")
 
 
+@io.keyed("key", "order")
 def drift(records: DataFrame, key: str, order: str, z: str, assets: str, formulaic: str = "formulaic_essay_structure", least: int = 3, apart: float = 1.0) -> DataFrame:
     """key, shifted (mean z of the later half more than ``apart`` off the earlier one, from ``least`` values on), direction and
     became_formulaic (absent in some record and there in a later one)."""
@@ -152,12 +158,14 @@ def drift(records: DataFrame, key: str, order: str, z: str, assets: str, formula
     return out.select(key, shifted.alias("shifted"), F.when(shifted, F.when(F.col("late") > F.col("early"), "toward").otherwise("away")).alias("direction"), F.coalesce(F.col("with") > F.col("without"), F.lit(False)).alias("became_formulaic"))
 
 
+@io.keyed("key", "order")
 def thread(records: DataFrame, key: str, order: str, name: str, reach: str) -> DataFrame:
     """key and thread: "[name] reach" of the records that have one, in order, a line each. Gathers a key's records."""
     line = F.struct(F.col(order).alias("o"), F.concat(F.lit("["), F.coalesce(name, F.lit("")), F.lit("] "), reach).alias("l"))
     return records.where(F.length(reach) > 0).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("thread"))
 
 
+@io.keyed("course", "order")
 def class_lines(runs: DataFrame, course: str, order: str, metrics: list[str], last: int = 4) -> DataFrame:
     """course, metric, latest, previous, change (up, down, same; null for a first run) and the last ``last`` values."""
     long = runs.select(course, order, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select(course, order, "x.metric", "x.v").where("v is not null")
@@ -168,12 +176,14 @@ def class_lines(runs: DataFrame, course: str, order: str, metrics: list[str], la
     return out.withColumn("change", change)
 
 
+@io.keyed("course")
 def dense_context(lines: DataFrame, course: str) -> DataFrame:
     """course and context: its metrics by name, "metric latest (change)", in one line."""
     part = F.concat_ws(" ", "metric", F.format_number("latest", 2), F.when(F.col("change").isNotNull(), F.concat(F.lit("("), "change", F.lit(")"))))
     return lines.groupBy(course).agg(F.array_join(F.array_sort(F.collect_list(part)), "; ").alias("context"))
 
 
+@io.keyed("key", "order")
 def recent_and_earlier(records: DataFrame, key: str, order: str, value: str, recent: int = RECENT) -> DataFrame:
     """key, recent (the last ``recent`` orders, newest first), n_earlier and earlier_mean of the rest."""
     back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
@@ -182,6 +192,7 @@ def recent_and_earlier(records: DataFrame, key: str, order: str, value: str, rec
     return rows.groupBy(key).agg(late.alias("recent"), F.count_if(F.col("_b") > recent).alias("n_earlier"), F.avg(F.when(F.col("_b") > recent, F.col(value))).alias("earlier_mean"))
 
 
+@io.keyed("key", "order")
 def word_count_phases(records: DataFrame, key: str, order: str, words: str) -> DataFrame:
     """key, mean, earlier (mean of all but the last two), last and phase: few (one or two records), collapsed (the last two under 0.6 of the earlier mean,
     or the last at 0.5 or less), surged (over 1.6, or over 2), else the trend."""

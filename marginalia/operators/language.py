@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Detector:
 FEATURE = "struct<name:string,family:string,evidence:array<string>,effect:string,asset:string,multipliers:map<string,double>>"
 
 
+@io.keyed("key")
 def detect(rows: DataFrame, key: str, detectors: list[Detector], text: str = "text", evidence: int = 3) -> DataFrame:
     """key and features: array of those found, each with up to ``evidence`` different matches, in order of detectors."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -62,6 +64,7 @@ def asset_labels(features: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(features, lambda x: x["asset"]), lambda s: s != ""))
 
 
+@io.keyed("key")
 def trends(found: DataFrame, key: str, share: float = 0.4, least: int = 5, k: int = 3) -> DataFrame:
     """kind, name, n: features in more than ``share`` of the rows, and the ``k`` commonest sets of two features or more that
     two rows share at least; nothing under ``least`` rows."""
@@ -75,6 +78,7 @@ def trends(found: DataFrame, key: str, share: float = 0.4, least: int = 5, k: in
     return out.where((F.col("total") >= least) & ((F.col("kind") == "together") | (F.col("n") > share * F.col("total")))).select("kind", "name", "n")
 
 
+@io.keyed("key")
 def diversity(found: DataFrame, key: str) -> DataFrame:
     """asset and n: rows that have it, most first."""
     each = found.select(key, F.explode(asset_labels(F.col("features"))).alias("asset"))
@@ -115,6 +119,7 @@ def mixed_languages(rows: DataFrame, key: str, text: str, detector: Callable[[Co
     return out.withColumn("is_mixed", F.size("languages") >= 2)
 
 
+@io.keyed("key")
 def unknown_word_rate(rows: DataFrame, key: str, words: DataFrame, word: str, text: str = "text", least: int = 15) -> DataFrame:
     """key and rate: percentage of the text's words (letters only, lower case) that the dictionary table lacks; null under
     ``least`` words. Different words are counted before they meet the dictionary."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 
 def hit_columns(rows: DataFrame, lexicon: Mapping[str, str], text: str = "text") -> DataFrame:
@@ -15,6 +16,7 @@ def hit_columns(rows: DataFrame, lexicon: Mapping[str, str], text: str = "text")
     return rows.withColumns({f"hits_{name}": T.hits(F.col(text), pattern) for name, pattern in lexicon.items()})
 
 
+@io.keyed("key")
 def keyword_hits(rows: DataFrame, key: str, lexicon: Mapping[str, str], examples: int = 5) -> DataFrame:
     """pattern, n_matches, n_rows, and the excerpts of the first ``examples`` keys."""
     long = hit_columns(rows, lexicon).select(key, "text", F.explode(F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(f"hits_{n}").alias("n")) for n in lexicon])).alias("h")).where("h.n > 0")
@@ -26,6 +28,7 @@ def keyword_hits(rows: DataFrame, key: str, lexicon: Mapping[str, str], examples
     return counts.join(shown, "pattern", "left")
 
 
+@io.keyed("key")
 def top_keys(long: DataFrame, key: str, k: int) -> DataFrame:
     """pattern and its k smallest keys: k of each of 64 slices first, then k of those."""
     part = long.select("h.pattern", key).distinct().withColumn("__slice", F.pmod(F.xxhash64(key), F.lit(64)))
@@ -38,6 +41,7 @@ def word_frequency(rows: DataFrame, k: int = 30, stop: Iterable[str] = T.STOPWOR
     return rows.select(F.explode(T.tokens(F.col("text"), stop)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
+@io.keyed("key", "cohort")
 def term_weights(rows: DataFrame, key: str, cohort: str, min_df: int = 2, max_df: float = 0.9, vocabulary: int = 500) -> DataFrame:
     """cohort, key, term, weight: tf times ln((1 + n) / (1 + df)) + 1, scaled to length 1 in each row, over the
     ``vocabulary`` terms of the cohort with the highest counts (ties by term)."""
@@ -52,6 +56,7 @@ def term_weights(rows: DataFrame, key: str, cohort: str, min_df: int = 2, max_df
     return weighted.select(cohort, key, "term", (F.col("w") / length).alias("weight"))
 
 
+@io.keyed("key", "cohort")
 def top_terms(rows: DataFrame, key: str, cohort: str, k: int = 20, **options) -> DataFrame:
     """cohort, term, score: the k terms with the highest mean weight (ties: the later term first)."""
     n = rows.groupBy(cohort).agg(F.count("*").alias("n_rows"))
@@ -60,6 +65,7 @@ def top_terms(rows: DataFrame, key: str, cohort: str, k: int = 20, **options) ->
     return mean.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+@io.keyed("key")
 def prompt_similarity(rows: DataFrame, key: str, prompts: DataFrame, prompt_key: str, least: int = 1) -> DataFrame:
     """key, prompt_key, n_shared, containment: the share of a prompt's distinct tokens that a row has."""
     mine = rows.select(key, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
@@ -69,6 +75,7 @@ def prompt_similarity(rows: DataFrame, key: str, prompts: DataFrame, prompt_key:
     return met.where(F.col("n_shared") >= least).select(key, prompt_key, "n_shared", (F.col("n_shared") / F.col("n_terms")).alias("containment"))
 
 
+@io.keyed("key")
 def shared_terms(rows: DataFrame, key: str, references: str, least: int = 2, k: int = 20) -> DataFrame:
     """References (an array column) that ``least`` rows or more have; the k with the most rows."""
     each = rows.select(key, F.explode(F.array_distinct(references)).alias("reference"))

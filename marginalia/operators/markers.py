@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 #: How many diversity markers protect, and what is left of shared weights then.
 PROTECTION = ((4, 0.5), (2, 0.7))
@@ -69,6 +70,7 @@ def total(parts: Iterable[Column]) -> Column:
     return out
 
 
+@io.keyed("key")
 def marker_scores(rows: DataFrame, key: str, markers: list[Marker], text: str = "text", floor: float | None = None, digits: int | None = 2) -> DataFrame:
     """key, suspicious, authenticity, n_matches, protection (1, 0.7 or 0.5) and counts (map of marker and matches above 0). Scores are rounded half-even to
     ``digits``, or not at all."""
@@ -123,6 +125,7 @@ def depth_band(share: Column) -> Column:
     return F.when(share >= 30, "strong").when(share >= 15, "moderate").when(share >= 5, "limited").otherwise("minimal")
 
 
+@io.keyed("key")
 def engagement(rows: DataFrame, key: str, dimensions: Mapping[str, str], text: str = "text") -> DataFrame:
     """key, a score for each dimension (matches by 100 words, 10 at most), share (their mean, in percent) and depth."""
     t = F.coalesce(text, F.lit(""))
@@ -132,6 +135,7 @@ def engagement(rows: DataFrame, key: str, dimensions: Mapping[str, str], text: s
     return scored.withColumn("share", share).withColumn("depth", depth_band(share))
 
 
+@io.keyed("key")
 def context_multiplier(rows: DataFrame, key: str, contexts: Mapping[str, float], step: float = 0.8) -> DataFrame:
     """key and multiplier: ``step`` for each context that holds (boolean columns), times its own factor; they stack."""
     out = F.lit(1.0)
@@ -140,6 +144,7 @@ def context_multiplier(rows: DataFrame, key: str, contexts: Mapping[str, float],
     return rows.select(key, out.alias("multiplier"))
 
 
+@io.keyed("key")
 def student_context(rows: DataFrame, key: str, text: str, suspicious: str, organisation: str, patterns: Mapping[str, str]) -> DataFrame:
     """key, adjusted suspicious and organisation scores, and notes. patterns: of ``process`` (another way of working: structure
     counts half), ``language`` (a second one: 0.7 of the suspicion), ``tools`` (a note only)."""

@@ -59,6 +59,7 @@ def logistic_score(raw: Column, midpoint: float, n_words: Column) -> Column:
     return F.when(raw > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), (at - floor) / (1.0 - floor) * 100.0))).otherwise(F.lit(0.0))
 
 
+@io.keyed("key")
 def presence(rows: DataFrame, key: str, lexicon: Mapping[str, Mapping[str, float]], midpoints: Mapping[str, float]) -> DataFrame:
     """key, a score for each category, total and band."""
     text, n = F.col("text"), T.word_count(F.col("text"))
@@ -73,6 +74,7 @@ def presence(rows: DataFrame, key: str, lexicon: Mapping[str, Mapping[str, float
     return scored.withColumn("total", total).withColumn("band", band)
 
 
+@io.keyed("group")
 def longest_names(rows: DataFrame, group: str, name: str) -> DataFrame:
     """Names of a group that no longer name of the group contains (case aside); of equal ones the first stays."""
     each = rows.select(group, F.col(name).alias("name")).distinct()
@@ -82,12 +84,14 @@ def longest_names(rows: DataFrame, group: str, name: str) -> DataFrame:
     return kept.select(group, F.explode(F.filter("names", lambda n: ~F.exists("names", lambda m: inside(n, m) | alike(n, m)))).alias("name"))
 
 
+@io.keyed("key")
 def anonymous_names(rows: DataFrame, key: str) -> DataFrame:
     """key and alias: Student A to Z by key, then by number."""
     rank = F.row_number().over(Window.orderBy(key))
     return rows.select(key).distinct().withColumn("__r", rank).select(key, F.when(F.col("__r") <= 26, F.concat(F.lit("Student "), F.char(64 + F.col("__r")))).otherwise(F.concat(F.lit("Student "), F.col("__r").cast("string"))).alias("alias"))
 
 
+@io.keyed("key", "idx")
 def peaks_and_rhythm(rows: DataFrame, key: str, idx: str, score: str, ratio: float = 1.3) -> DataFrame:
     """key, n, peaks (top n // 3, 1 to 3, by score), early and late means, rhythm (from four rows on)."""
     n = F.count("*").over(Window.partitionBy(key))
@@ -100,6 +104,7 @@ def peaks_and_rhythm(rows: DataFrame, key: str, idx: str, score: str, ratio: flo
     return out.withColumn("rhythm", rhythm)
 
 
+@io.keyed("key")
 def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """key and needle (lower case): which needles stand in which texts, case aside. A needle meets texts by the rarest of its
     runs of three characters (of its own length if it is shorter), in an equi join; then it is looked for. All needles are never
@@ -122,11 +127,13 @@ def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle:
     return out.select(key, F.col("_needle").alias(needle))
 
 
+@io.keyed("key")
 def leaks_identity(payloads: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """Payloads that contain a name, case aside."""
     return contained(payloads, key, text, names, name).select(key).distinct()
 
 
+@io.keyed("key")
 def grounded_quotes(quotes: DataFrame, key: str, quote: str, known: DataFrame, known_text: str, prefix: int = 40) -> DataFrame:
     """Quotes whose first ``prefix`` characters stand in a known text, or that hold a known text, case aside."""
     head = quotes.select(key, F.left(F.lower(F.trim(quote)), F.lit(prefix)).alias("_head"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 #: From here on a score is positive or negative.
 POLAR = 0.05
@@ -34,6 +35,7 @@ def polarity(compound: Column) -> Column:
     return F.when(compound >= POLAR, "positive").when(compound <= -POLAR, "negative").otherwise("neutral")
 
 
+@io.keyed("key")
 def signals(rows: DataFrame, key: str, categories: Mapping[str, str], engaged: str, compound: str, n_words: str, median: str, text: str = "text") -> DataFrame:
     """key, category, polarity, signal: a row for each category of words that a text has; disengagement is under 0.4 of the
     median words without a word of engagement."""
@@ -71,6 +73,7 @@ def register(n_words: Column, compound: Column, personal: Column, critical: Colu
     )
 
 
+@io.keyed("key")
 def contradictions(mentions: DataFrame, key: str, reference: str, score: str, least: int = 3, apart: float = 0.2, k: int = 5) -> DataFrame:
     """reference, n, and up to k keys on either side: what ``least`` rows or more mention, some well and some badly.
     mentions: a row for each text and reference, with the polarity of the first sentence that has it."""
@@ -84,6 +87,7 @@ def contradictions(mentions: DataFrame, key: str, reference: str, score: str, le
     return both.join(first.groupBy(reference).agg(pick("for").alias("who_for"), pick("against").alias("who_against")), reference)
 
 
+@io.keyed("key")
 def emotion_scores(rows: DataFrame, key: str, lexicons: Mapping[str, str] | None, text: str = "text") -> DataFrame:
     """key and a share for each emotion of the lexicons, and neutral (the rest); without lexicons all is neutral. The place for a
     trained scorer: any function with this result can stand in."""

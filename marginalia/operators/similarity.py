@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 
 def unit(rows: DataFrame, vector: str) -> DataFrame:
@@ -15,6 +16,7 @@ def unit(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("__length", length).withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("__length"))).drop("__length")
 
 
+@io.keyed("cohort")
 def mean_cosine(rows: DataFrame, cohort: str, vector: str) -> DataFrame:
     """cohort, n, n_pairs and mean_cosine over all pairs, from the sum of the unit vectors: (|s|^2 - n) / (n (n - 1))."""
     each = unit(rows, vector).select(cohort, F.posexplode(vector).alias("i", "x"))
@@ -23,6 +25,7 @@ def mean_cosine(rows: DataFrame, cohort: str, vector: str) -> DataFrame:
     return sums.select(cohort, "n", F.floor(pairs / 2).alias("n_pairs"), F.when(F.col("n") > 1, (F.col("q") - F.col("n")) / pairs).alias("mean_cosine"))
 
 
+@io.keyed("cohort", "key")
 def close_pairs(rows: DataFrame, cohort: str, key: str, vector: str, levels: tuple[float, ...] = (0.85, 0.7), block: int = 1024) -> DataFrame:
     """cohort, n_<level> for each level, and max_cosine. Exact: a cohort is cut into blocks, and a task multiplies two of them;
     what it returns is counts, not pairs."""
@@ -45,11 +48,13 @@ def close_pairs(rows: DataFrame, cohort: str, key: str, vector: str, levels: tup
     return found.groupBy(cohort).agg(*[F.sum(c).alias(c) for c in names], F.max("max_cosine").alias("max_cosine"))
 
 
+@io.keyed("cohort")
 def centroids(rows: DataFrame, cohort: str, vector: str) -> DataFrame:
     each = rows.select(cohort, F.posexplode(vector).alias("i", "x")).groupBy(cohort, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
     return each.groupBy(cohort).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"), F.max("n").alias("size"))
 
 
+@io.keyed("cohort", "key")
 def centroid_outliers(rows: DataFrame, cohort: str, key: str, vector: str, deviations: float = 2.0, least: int = 3) -> DataFrame:
     """cohort, key, distance, is_outlier: farther than mean + deviations x sample deviation of the cohort's distances."""
     far = rows.join(centroids(rows, cohort, vector), cohort)
@@ -59,6 +64,7 @@ def centroid_outliers(rows: DataFrame, cohort: str, key: str, vector: str, devia
     return far.join(stats, cohort).select(cohort, key, "distance", ((F.col("size") >= least) & (F.col("distance") > F.col("m") + deviations * F.col("sd"))).alias("is_outlier"))
 
 
+@io.keyed("cohort", "key")
 def cluster_summary(rows: DataFrame, cohort: str, key: str, vector: str) -> DataFrame:
     """cohort, size, nearest (the key nearest to the centre) and mean_distance."""
     far = centroid_outliers(rows, cohort, key, vector)
@@ -76,6 +82,7 @@ def jaccard_best(left: DataFrame, right: DataFrame, a: str, b: str, member: str,
     return nx.select(a).join(best, a, "left").select(a, "best", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard")).withColumn("flagged", F.col("jaccard") < least)
 
 
+@io.keyed("key")
 def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key and verdict: agree, left_only, right_only."""
     a, b = left.select(key).distinct().withColumn("__a", F.lit(1)), right.select(key).distinct().withColumn("__b", F.lit(1))
@@ -87,6 +94,7 @@ def level(mean: Column) -> Column:
     return F.when(mean >= 0.80, "very_high").when(mean >= 0.65, "high").when(mean >= 0.50, "moderate").otherwise("low")
 
 
+@io.keyed("cohort", "key")
 def cluster_profile(rows: DataFrame, cohort: str, key: str, vector: str, texts: DataFrame, text: str = "text", k: int = 5, chars: int = 150) -> DataFrame:
     """cohort, size, nearest, snippet (the first characters of the text nearest to the centre) and terms (the k commonest words)."""
     summary = cluster_summary(rows, cohort, key, vector)
@@ -97,6 +105,7 @@ def cluster_profile(rows: DataFrame, cohort: str, key: str, vector: str, texts:
     return summary.join(near, "nearest", "left").join(terms, cohort, "left").select(cohort, "size", "nearest", "snippet", "terms")
 
 
+@io.keyed("key")
 def kmeans(rows: DataFrame, key: str, vector: str, seed: int = 42, starts: int = 10, least: int = 4) -> DataFrame:
     """key and cluster, of k = max(2, min(8, root of n)) clusters: of ``starts`` runs from different starts, the one with the least cost. Under
     ``least`` rows all are one cluster."""

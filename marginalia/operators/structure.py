@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import io
 
 
 def mean(values: Column) -> Column:
@@ -23,6 +24,7 @@ def population_cv(values: Column) -> Column:
     return F.when((n > 0) & (sums["s"] > 0), F.sqrt(variance) / (sums["s"] / n))
 
 
+@io.keyed("key")
 def sentence_features(rows: DataFrame, key: str, least: int = 5) -> DataFrame:
     """key, n_sentences, length_cv, starter_diversity, commas_per_100_words, avg_word_length; the shape measures are null
     under ``least`` sentences."""
@@ -42,6 +44,7 @@ def sentence_features(rows: DataFrame, key: str, least: int = 5) -> DataFrame:
     )
 
 
+@io.keyed("key")
 def section_balance(rows: DataFrame, key: str, separator: str = "\n", least: int = 3, balanced: float = 0.25) -> DataFrame:
     """key, n_sections, section_cv and is_balanced (cv under ``balanced``, from ``least`` sections on)."""
     parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator), lambda x: F.size(T.words(x)).cast("double")), lambda n: n > 0)
@@ -50,6 +53,7 @@ def section_balance(rows: DataFrame, key: str, separator: str = "\n", least: int
     return cut.select(key, F.size("n").cast("long").alias("n_sections"), cv.alias("section_cv")).withColumn("is_balanced", F.coalesce(F.col("section_cv") < balanced, F.lit(False)))
 
 
+@io.keyed("key")
 def artifacts(rows: DataFrame, key: str, html: str) -> DataFrame:
     """Counts of markup that pasted text leaves behind, and whether it looks pasted."""
     count = lambda p: F.regexp_count(F.coalesce(html, F.lit("")), F.lit(p)).cast("long")
@@ -57,6 +61,7 @@ def artifacts(rows: DataFrame, key: str, html: str) -> DataFrame:
     return out.withColumn("looks_pasted", (F.col("n_headers") >= 3) | (F.col("n_list_items") >= 10) | (F.col("n_bold") >= 5) | (F.col("n_entities") > 0) | (F.col("n_markdown") >= 2))
 
 
+@io.keyed("key")
 def unicode_marks(rows: DataFrame, key: str) -> DataFrame:
     """Characters that can't be seen or pass for others."""
     count = lambda p: F.regexp_count(F.coalesce("text", F.lit("")), F.lit(p)).cast("long")
@@ -78,6 +83,7 @@ def ramp(value: Column, at: tuple[float, float, float, float]) -> Column:
     return F.when(value <= low, F.lit(a)).when(value >= high, F.lit(b)).when(value.isNotNull(), a + (b - a) * (value - low) / (high - low))
 
 
+@io.keyed("key")
 def heading_scores(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, n_words, n_headings, deepest, excess_score and depth_score of headings marked by # to ######."""
     t = F.coalesce(text, F.lit(""))
@@ -102,6 +108,7 @@ def lengths_between(text: Column, separator: str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), lambda x: T.word_count(x).cast("double")), lambda n: n > 0)
 
 
+@io.keyed("key")
 def paragraph_uniformity(rows: DataFrame, key: str, text: str = "text", separator: str = r"\n\s*\n", least: int = 3) -> DataFrame:
     """key, n_paragraphs, paragraph_cv, uniformity_score and is_uneven; null and 0 under ``least`` paragraphs."""
     cut = rows.select(key, lengths_between(F.col(text), separator).alias("n"))
@@ -110,6 +117,7 @@ def paragraph_uniformity(rows: DataFrame, key: str, text: str = "text", separato
     return out.withColumn("uniformity_score", F.when(cv < PARAGRAPH_CV, PARAGRAPH_SCORE).otherwise(0.0)).withColumn("is_uneven", F.coalesce(cv > UNEVEN_CV, F.lit(False)))
 
 
+@io.keyed("key")
 def sentence_scores(rows: DataFrame, key: str, text: str = "text", least: int = 5, least_starters: int = 8) -> DataFrame:
     """key, the measures of sentences of three words or more, and the scores that even ones get. Commas and word length only
     support other signs: they have scores, and no part in organisation_score."""
@@ -136,6 +144,7 @@ SIGNPOSTS = "as previously mentioned|as stated above|as discussed earlier|return
 NO_TOPIC = "the a an and or but in on at to for of as by this that these those is are was were be been being have has had do does did will would could should may might must can it its they their them we our us you your".split()
 
 
+@io.keyed("key")
 def circular_references(rows: DataFrame, key: str, text: str = "text", phrases: str = SIGNPOSTS, ahead: int = 100, weight: float = 0.6, most: float = 2.0) -> DataFrame:
     """key, n_circular and score: phrases that point back although no topic word of their sentence stands before them. The
     sentence begins after the last full stop and goes on for ``ahead`` characters after the phrase."""

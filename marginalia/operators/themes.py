@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources import io
+
 #: Words that are no content of a theme's name.
 FUNCTION_WORDS = "the and for with are its their about from that this which against".split()
 ALIKE, NEAR = 0.5, 0.85
@@ -15,6 +17,7 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(name), F.lit("[a-z]{3,}"), F.lit(0)), lambda t: ~t.isin(*FUNCTION_WORDS)))
 
 
+@io.keyed("group", "order")
 def merged(themes: DataFrame, group: str, order: str, name: str, frequency: str, members: str, alike: float = ALIKE) -> DataFrame:
     """group, name, frequency, members: themes in order, each joined to the first theme kept so far whose name shares half of the
     words or more (Jaccard). A merged theme has the name of its most frequent part, the sum of frequencies, and all members once.
@@ -44,6 +47,7 @@ def merged(themes: DataFrame, group: str, order: str, name: str, frequency: str,
     return rows.groupBy(group).applyInPandas(run, f"`{group}` {g}, name string, frequency long, members {kind}")
 
 
+@io.keyed("group", "order")
 def near_copies(themes: DataFrame, group: str, order: str, vector: str, near: float = NEAR) -> DataFrame:
     """group, order, kept_as: the first theme kept in order whose vector has a cosine of ``near`` or more (itself if none). A group's themes in one batch, as in ``merged``."""
     import numpy as np
@@ -67,6 +71,7 @@ def near_copies(themes: DataFrame, group: str, order: str, vector: str, near: fl
     return themes.select(group, order, vector).groupBy(group).applyInPandas(run, f"`{group}` {g}, `{order}` {o}, kept_as {o}")
 
 
+@io.keyed("group", "order")
 def batches(rows: DataFrame, group: str, cluster: str, order: str, size: int = 8) -> DataFrame:
     """group, order, batch: clusters in order, kept together as long as a batch holds ``size`` rows; a cluster that is larger is cut; rows without a
     cluster fill up the last batch and go on.
@@ -99,6 +104,7 @@ def batches(rows: DataFrame, group: str, cluster: str, order: str, size: int = 8
     return out.select(f"l.{group}", f"l.{order}", (F.col("r.first") + F.when(F.col("r.cut"), F.floor((F.col("r.held") + F.col("_at")) / size)).otherwise(0)).alias("batch"))
 
 
+@io.keyed("key")
 def group_block(rows: DataFrame, key: str, quotes: str, tags: str, connections: str) -> DataFrame:
     """key and block: first quote, four tags and two connections at most, in one line."""
     part = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")))
@@ -118,6 +124,7 @@ def step_adjustments(share: Column, steps: list[tuple[float, float]]) -> Column:
     return out
 
 
+@io.keyed("mode")
 def rates_by_mode(rows: DataFrame, mode: str, level: str) -> DataFrame:
     """mode, n, elevated and moderate: shares of rows at that level or above."""
     at = lambda *names: F.avg(F.col(level).isin(*names).cast("double"))

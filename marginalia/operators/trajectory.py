@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources import io
+
 
 def run_index(rows: DataFrame, run: str, scope: list[str] | None = None) -> DataFrame:
     """Distinct runs with their zero-based index in each scope, or over all."""
@@ -17,6 +19,7 @@ def run_index(rows: DataFrame, run: str, scope: list[str] | None = None) -> Data
     return runs.withColumn("idx", F.row_number().over(window) - 1)
 
 
+@io.keyed("key", "idx")
 def trend_class(rows: DataFrame, key: str, idx: str, value: str, few: str = "irregular", rel: float = 0.08, cv: float = 0.5) -> DataFrame:
     """key, n, slope, rel_slope and trend: least squares over the index; values that are null or not above 0 are left out."""
     used = rows.where(F.col(value) > 0)
@@ -51,17 +54,20 @@ def life_cycle(rows: DataFrame, theme: str, idx: str, total: Column) -> DataFram
     return seen.select("theme", "n_runs", "first_run", "last_run", status.alias("status"))
 
 
+@io.keyed("key", "idx")
 def arcs(rows: DataFrame, key: str, idx: str, value: str, n_runs: int) -> DataFrame:
     """key and series: an array over all runs, null where the key has no row. No grid of keys and runs is built."""
     by_run = F.map_from_entries(F.collect_list(F.struct(idx, value)))
     return rows.groupBy(key).agg(F.transform(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda i: F.try_element_at(by_run, i)).alias("series"))
 
 
+@io.keyed("key")
 def latest(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """The columns of each key's last row by order: one aggregate, no window."""
     return rows.groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in columns])
 
 
+@io.keyed("key", "order")
 def latest_ties(rows: DataFrame, key: str, order: str) -> DataFrame:
     """All rows that share their key's largest order value."""
     top = rows.groupBy(key).agg(F.max(order).alias("__top"))
@@ -72,6 +78,7 @@ def circular_hours(a: Column, b: Column) -> Column:
     return F.least(F.abs(a - b), 24 - F.abs(a - b))
 
 
+@io.keyed("key")
 def hour_shift(rows: DataFrame, key: str, ts: str, shift: float = 4.0, tie: str | None = None, least: int = 2, steady: float | None = None) -> DataFrame:
     """key, usual_hour (upper median s[n//2] of all but the last), last_hour, shifted, late_night. From counts by minute of the day, of
     which a key has 1,440 at most. steady: no shift where the earlier hours themselves deviate by more than this."""
@@ -95,6 +102,7 @@ def hour_shift(rows: DataFrame, key: str, ts: str, shift: float = 4.0, tie: str
     return out.select(key, "usual_hour", "last_hour", moved.alias("shifted"), ((F.col("last_hour") >= 22) | (F.col("last_hour") < 4)).alias("late_night"))
 
 
+@io.keyed("key", "idx")
 def inflections(rows: DataFrame, key: str, idx: str, value: str, label: str, jump: float = 0.4) -> DataFrame:
     """Rows where the label changes, or the value is more than ``jump`` off the mean of all earlier ones."""
     order = Window.partitionBy(key).orderBy(idx)
@@ -104,6 +112,7 @@ def inflections(rows: DataFrame, key: str, idx: str, value: str, label: str, jum
     return out.select(key, idx, value, label, kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+@io.keyed("key", "idx")
 def halves(rows: DataFrame, key: str, idx: str, value: str) -> DataFrame:
     """key, n, early and late means (the first n//2 rows, the rest)."""
     order = Window.partitionBy(key).orderBy(idx)
@@ -112,6 +121,7 @@ def halves(rows: DataFrame, key: str, idx: str, value: str) -> DataFrame:
     return split.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.when(F.col("__early"), F.col(value))).alias("early"), F.avg(F.when(~F.col("__early"), F.col(value))).alias("late"))
 
 
+@io.keyed("key", "idx", "theme")
 def theme_shift(rows: DataFrame, key: str, idx: str, theme: str) -> DataFrame:
     """key with arrays persistent (max(2, n // 2) runs or more), emerging (late half only) and faded (twice or more early, never late)."""
     runs = rows.select(key, idx).distinct().withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(idx))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
@@ -126,6 +136,7 @@ def theme_shift(rows: DataFrame, key: str, idx: str, theme: str) -> DataFrame:
     )
 
 
+@io.keyed("idx", "key")
 def exhaustion(rows: DataFrame, idx: str, key: str, value: str, bucket: str, roster: int, short: float = 0.4) -> DataFrame:
     """idx, n, n_late (late or very late), n_short (under 0.4 of the run's median) and n_missing (of the roster)."""
     medians = rows.groupBy(idx).agg(F.percentile(value, 0.5).alias("_m"))

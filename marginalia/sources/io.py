@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
 
@@ -87,3 +89,57 @@ def systematic_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1 + F.try_element_at(before, F.col(part))
     picked = ranged.withColumn(rank, place).where((F.col(rank) % step == 0) & (F.col(rank) / step < n))
     return picked.select(*rows.columns)
+
+
+def keyed(*params: str):
+    """For operators whose parameters of these names say which columns are the user's keys: inside they have names that no operator uses,
+    so a key may have any name. A column of the operator's own that is called like a key gets an underscore in front."""
+
+    def wrap(f):
+        signature = inspect.signature(f)
+
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            given, inner = bound.arguments, {}
+            for p in params:
+                value = given[p]
+                for i, name in enumerate([value] if isinstance(value, str) else value or ()):
+                    if not name.startswith("key__"):
+                        inner.setdefault(name, f"key__{p}{i}")
+            if not inner:
+                return f(*args, **kwargs)
+            others = [x for p, v in given.items() if p not in params for x in ([v] if isinstance(v, str) else v if isinstance(v, (list, tuple)) else [])]
+
+            def into(df: DataFrame) -> DataFrame:
+                for name, own in inner.items():
+                    if name in df.columns:
+                        # a key that is also read as something else stays beside its inner name
+                        df = df.withColumn(own, F.col(f"`{name}`")) if name in others else df.withColumnRenamed(name, own)
+                return df
+
+            def out_of(result):
+                if isinstance(result, tuple):
+                    return tuple(map(out_of, result))
+                if not isinstance(result, DataFrame):
+                    return result
+                back = {own: name for name, own in inner.items() if own in result.columns}
+                for name in back.values():
+                    if name in result.columns:
+                        fresh = f"_{name}"
+                        while fresh in result.columns or fresh in back.values():
+                            fresh = f"_{fresh}"
+                        result = result.drop(name) if name in others else result.withColumnRenamed(name, fresh)
+                return result.withColumnsRenamed(back)
+
+            for p, value in given.items():
+                if isinstance(value, DataFrame):
+                    given[p] = into(value)
+                elif p in params:
+                    given[p] = inner.get(value, value) if isinstance(value, str) else [inner.get(x, x) for x in value or ()]
+            return out_of(f(*bound.args, **bound.kwargs))
+
+        return run
+
+    return wrap
