@@ -61,18 +61,28 @@ def reliability(n_words: Column, compound: Column, n_dialect: Column, translated
     return tier, F.when(F.size(hard) > 0, hard).otherwise(soft)
 
 
-def register(n_words: Column, compound: Column, personal: Column, critical: Column, evidence: Column) -> Column:
-    """Six registers, the first that fits: perfunctory, personal, urgent, passionate, analytical, reflective."""
+def register(n_words: Column, compound: Column, positive: Column, neutral: Column, engaged: Column, mine: Column) -> Column:
+    """Six registers, the first that fits. positive and neutral: shares of the text; engaged: it analyses, connects, gives evidence, reflects or has
+    words of structural critique (a bad feeling is then about the topic); mine: it says "my "."""
     return (
         F.when((n_words < 50) & (F.abs(compound) < 0.2), "perfunctory")
-        .when((personal >= 3) & (compound < 0.0), "personal")
-        .when((compound <= -0.3) & (critical > 0), "urgent")
-        .when(compound >= 0.5, "passionate")
-        .when((critical + evidence >= 2) & (F.abs(compound) < 0.3), "analytical")
+        .when((compound >= 0.3) & (positive > 0.15), "passionate")
+        .when(compound <= -0.3, F.when(F.coalesce(engaged, F.lit(False)), "passionate").otherwise("urgent"))
+        .when((F.abs(compound) < 0.15) & (neutral > 0.7), "analytical")
+        .when((positive > 0.1) & F.coalesce(mine, F.lit(False)), "personal")
         .otherwise("reflective")
     )
 
 
+#: Kinds of hand-ins that may have no text of their own.
+UPLOADS = ("online_upload", "media_recording")
+
+
+def no_text(n_words: Column, kind: Column) -> Column:
+    """Uploads and recordings without a word: they have no register at all."""
+    return (n_words == 0) & F.coalesce(F.lower(kind).isin(*UPLOADS), F.lit(False))
+
+
 @io.keyed("key")
 def contradictions(mentions: DataFrame, key: str, reference: str, score: str, least: int = 3, apart: float = 0.2, k: int = 5) -> DataFrame:
     """reference, n, and up to k keys on either side: what ``least`` rows or more mention, some well and some badly.

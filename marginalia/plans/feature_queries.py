@@ -291,11 +291,17 @@ def reliability(spark, sf_dir):
     return felt(spark, sf_dir).select("doc_id", tier.alias("tier"), F.array_join(triggers, ",").alias("triggers"))
 
 
-@query("a10_registers", f"WITH {FELT}, r AS (SELECT source, CASE WHEN n < 50 AND abs(c) < 0.2::DOUBLE THEN 'perfunctory' WHEN {sql_count('ing', 'lower(text)')} >= 3 AND c < 0 THEN 'personal' WHEN c <= -0.3::DOUBLE AND {sql_count('tion', 'lower(text)')} > 0 THEN 'urgent' WHEN c >= 0.5::DOUBLE THEN 'passionate' WHEN {sql_count('tion', 'lower(text)')} + {sql_count('heed', 'lower(text)')} >= 2 AND abs(c) < 0.3::DOUBLE THEN 'analytical' ELSE 'reflective' END AS register FROM felt WHERE n > 0) SELECT source, register, count(*) AS n FROM r GROUP BY ALL")
+KIND = "CASE doc_id % 3 WHEN 0 THEN 'online_upload' WHEN 1 THEN 'online_text_entry' END"
+
+
+@query("a10_registers", f"WITH {FELT}, y AS (SELECT *, {sql_count('the', LOW)}::DOUBLE / greatest(n, 1) AS pos, greatest(0, 1 - ({sql_count('the', LOW)} + {sql_count('and|que', LOW)})::DOUBLE / greatest(n, 1)) AS neu, coalesce(text, '') AS t FROM felt), r AS (SELECT source, CASE WHEN n < 50 AND abs(c) < 0.2::DOUBLE THEN 'perfunctory' WHEN c >= 0.3::DOUBLE AND pos > 0.15::DOUBLE THEN 'passionate' WHEN c <= -0.3::DOUBLE AND contains(lower(t), 'tion') THEN 'passionate' WHEN c <= -0.3::DOUBLE THEN 'urgent' WHEN abs(c) < 0.15::DOUBLE AND neu > 0.7::DOUBLE THEN 'analytical' WHEN pos > 0.1::DOUBLE AND contains(lower(t), 'our ') THEN 'personal' ELSE 'reflective' END AS register FROM y WHERE NOT (n = 0 AND coalesce({KIND} = 'online_upload', false))) SELECT source, register, count(*) AS n FROM r GROUP BY ALL")
 def registers(spark, sf_dir):
-    hits = lambda p: T.hits(F.col("text"), p)
-    register = sentiment.register(F.col("n_words"), F.col("compound"), hits("ing"), hits("tion"), hits("heed"))
-    return felt(spark, sf_dir).where("n_words > 0").groupBy("source", register.alias("register")).agg(F.count("*").alias("n"))
+    hits = lambda p: T.hits(F.col("text"), p).cast("double")
+    n, low = F.greatest(F.col("n_words"), F.lit(1)), F.lower(F.coalesce("text", F.lit("")))
+    kind = F.when(F.col("doc_id") % 3 == 0, "online_upload").when(F.col("doc_id") % 3 == 1, "online_text_entry")
+    register = sentiment.register(F.col("n_words"), F.col("compound"), hits("the") / n, F.greatest(F.lit(0.0), 1 - (hits("the") + hits("and|que")) / n), low.contains("tion"), low.contains("our "))
+    rows = felt(spark, sf_dir).where(~sentiment.no_text(F.col("n_words"), kind))
+    return rows.groupBy("source", register.alias("register")).agg(F.count("*").alias("n"))
 
 
 MENTIONS = "WITH s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[.!?]+')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '[.!?]+')))) AS i FROM documents), e AS (SELECT doc_id, i, s, unnest(list_distinct(regexp_extract_all(s, '[A-Z][a-z]{5,}'))) AS reference FROM s), f AS (SELECT doc_id, reference, arg_min(s, i) AS s FROM e GROUP BY ALL), m AS (SELECT doc_id, reference, (len(regexp_extract_all(lower(s), 'the')) - len(regexp_extract_all(lower(s), 'and|que')))::DOUBLE AS d FROM f), p AS (SELECT doc_id, reference, d / sqrt(d * d + 15) AS c FROM m)"
@@ -467,19 +473,24 @@ def drafted(spark, sf_dir):
     return d.select("doc_id", F.col("text").alias("x")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y")), "doc_id")
 
 
-@query("r49_draft_metrics", rf"""WITH {DRAFTS}, w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(x, '')), '[\p{{L}}0-9'']+')) AS a, list_distinct(regexp_extract_all(lower(coalesce(y, '')), '[\p{{L}}0-9'']+')) AS b, len(regexp_extract_all(coalesce(x, ''), '[^ \t\n\r\f]+')) AS na, len(regexp_extract_all(coalesce(y, ''), '[^ \t\n\r\f]+')) AS nb FROM d), o AS (SELECT *, len(list_intersect(a, b)) AS k FROM w)
-SELECT doc_id, round(CASE WHEN len(a) + len(b) - k > 0 THEN k::DOUBLE / (len(a) + len(b) - k) ELSE 1 END, 6) AS content_overlap, len(b) - k AS words_added, len(a) - k AS words_removed, round(CASE WHEN na > 0 THEN nb::DOUBLE / na END, 6) AS length_ratio FROM o""")
+PLAIN_WORDS = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_ ]', '', 'g')), ' '), lambda w: w <> '')"
+PARAGRAPHS = r"list_filter(list_transform(regexp_split_to_array(coalesce({0}, ''), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+SIZES = r"list_transform({0}, lambda p: len(regexp_extract_all(p, '\S+')))"
+
+
+@query("r49_draft_metrics", f"""WITH {DRAFTS}, w AS (SELECT doc_id, {PLAIN_WORDS.format("x")} AS wa, {PLAIN_WORDS.format("y")} AS wb, {SIZES.format(PARAGRAPHS.format("x"))} AS la, {SIZES.format(PARAGRAPHS.format("y"))} AS lb FROM d), o AS (SELECT *, list_distinct(wa) AS a, list_distinct(wb) AS b FROM w)
+SELECT doc_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE 0 END, 6) AS content_overlap, round(CASE WHEN len(la) > 0 AND len(lb) > 0 THEN (2 - abs(len(la) - len(lb))::DOUBLE / greatest(len(la), len(lb)) - coalesce(list_sum(list_transform(list_zip(la, lb), lambda p: abs(coalesce(p[1], 0) - coalesce(p[2], 0)))), 0)::DOUBLE / (2 * greatest(coalesce(list_sum(la), 0), coalesce(list_sum(lb), 0), 1))) / 2 ELSE 0 END, 6) AS structural_similarity,
+len(b) - len(list_intersect(a, b)) AS words_added, len(a) - len(list_intersect(a, b)) AS words_removed, greatest(len(lb) - len(la), 0) AS paragraphs_added, greatest(len(la) - len(lb), 0) AS paragraphs_removed, round(CASE WHEN len(wa) > 0 THEN len(wb)::DOUBLE / len(wa) END, 6) AS length_ratio FROM o""")
 def draft_metrics(spark, sf_dir):
-    out = drafts.draft_metrics(drafted(spark, sf_dir), "doc_id", "x", "y")
-    return out.select("doc_id", F.round("content_overlap", 6).alias("content_overlap"), "words_added", "words_removed", F.round("length_ratio", 6).alias("length_ratio"))
+    out = drafts.draft_metrics(drafted(spark, sf_dir), "doc_id", "x", "y").drop("draft_words", "final_words")
+    return out.withColumns({c: F.round(c, 6) for c in ("content_overlap", "structural_similarity", "length_ratio")})
 
 
 @query("r49_matching_ratio")
 def matching_ratio(spark, sf_dir):
-    """Prompts against each other: words in longest matching blocks."""
-    b = io.table(spark, sf_dir, "benchmark")
-    pairs = b.select("item_id", F.col("text").alias("x")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("y")), "item_id")
-    return drafts.matching_ratio(pairs, "item_id", "x", "y").withColumn("ratio", F.round("ratio", 6))
+    """Each text against the next one as its final version: likeness, changed words, concerns and their level."""
+    out = drafts.draft_concerns(drafted(spark, sf_dir), "doc_id", "x", "y")
+    return out.select("doc_id", F.round("overall_similarity", 6).alias("overall_similarity"), "words_changed", F.array_join("concerns", ",").alias("concerns"), "level")
 
 
 BIAS = {"deficit": ("tion", 0.3), "register": ("heed", 0.4)}
@@ -499,8 +510,9 @@ def json_repair(spark, sf_dir):
     return drafts.repaired(io.table(spark, sf_dir, "events").where("props is not null").select("event_id", bad.alias("t")), "event_id", "t")
 
 
-@query("n32_confidence", "SELECT p_partkey, round(CASE p_size % 5 WHEN 0 THEN 0.85 WHEN 1 THEN least(1, p_size / 100.0::DOUBLE) WHEN 2 THEN p_size / 100.0::DOUBLE WHEN 3 THEN 0.5 ELSE 0.3 END, 6)::DOUBLE AS confidence FROM part")
+@query("n32_confidence", "SELECT p_partkey, round(CASE p_size % 6 WHEN 0 THEN 0.8 WHEN 1 THEN 0.5 WHEN 2 THEN p_size / 100.0::DOUBLE WHEN 3 THEN 0.5 WHEN 4 THEN p_size ELSE 0.2 END, 6)::DOUBLE AS confidence FROM part")
 def confidence(spark, sf_dir):
-    k, size = F.col("p_size") % 5, F.col("p_size")
-    value = F.when(k == 0, F.lit(" High ")).when(k == 1, F.concat(size.cast("string"), F.lit("%"))).when(k == 2, (size / 100.0).cast("string")).when(k == 3, F.lit("who knows")).otherwise(F.lit("low"))
+    """Words, numbers (85 stays 85), and what is neither: percentages, sentences, nothing."""
+    k, size = F.col("p_size") % 6, F.col("p_size")
+    value = F.when(k == 0, F.lit(" High ")).when(k == 1, F.concat(size.cast("string"), F.lit("%"))).when(k == 2, (size / 100.0).cast("string")).when((k == 3) & (size > 20), F.lit("who knows")).when(k == 4, size.cast("string")).when(k == 5, F.lit("VERY LOW"))
     return io.table(spark, sf_dir, "part").select("p_partkey", F.round(drafts.confidence_of(value), 6).alias("confidence"))

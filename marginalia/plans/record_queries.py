@@ -532,10 +532,11 @@ def json_columns(spark, sf_dir):
     return e.select("event_id", F.when(F.to_json("m") == F.regexp_replace("props", ": ", ":"), F.col("props")).otherwise("{}").alias("kept"))
 
 
-@query("c2_newer_versions", "SELECT p_partkey, (p_size // 10 > 2) OR (p_size // 10 = 2 AND p_size % 10 > 3) AS newer FROM part")
+@query("c2_newer_versions", "WITH v AS (SELECT p_partkey, [p_size // 10, p_size % 10] || CASE p_size % 3 WHEN 1 THEN [0] WHEN 2 THEN [0, 4] ELSE [] END AS a FROM part) SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN [0, 0, 0] ELSE a END > [2, 3, 0] AS newer FROM v")
 def newer_versions(spark, sf_dir):
+    """Versions of two, three and four numbers, and some that are none, against 2.3.0."""
     size = F.col("p_size")
-    version = F.concat(F.lit("v"), F.floor(size / 10).cast("string"), F.lit("."), (size % 10).cast("string"))
+    version = F.concat(F.lit("v"), F.floor(size / 10).cast("string"), F.lit("."), (size % 10).cast("string"), F.when(size % 3 == 1, ".0").when(size % 3 == 2, ".0.4").otherwise(""), F.when(F.col("p_partkey") % 11 == 0, "-beta").otherwise(""))
     return io.table(spark, sf_dir, "part").select("p_partkey", drafts.is_newer(version, F.lit("2.3.0")).alias("newer"))
 
 

@@ -8,7 +8,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import citing, cohort, connection, credit, drafts, grading, history, language, markers, records, scoring, structure, themes
+from marginalia.functions import text as T
+from marginalia.operators import citing, cohort, connection, credit, drafts, grading, history, language, markers, records, scoring, sentiment, structure, themes
 from marginalia.sources import files, io
 
 
@@ -136,15 +137,59 @@ def test_json_repair(spark):
     assert json.loads(got[1]["json"]) == {"a": {"b": "}"}} and json.loads(got[3]["json"])["p"].startswith("C:")
 
 
-def test_drafts_and_values(spark):
-    pairs = spark.createDataFrame([(1, "the old text", "the old text"), (2, "a b c", "x y z"), (3, None, "new")], "k int, x string, y string")
-    got = {r["k"]: r for r in drafts.draft_metrics(pairs, "k", "x", "y").collect()}
-    assert got[1]["level"] == "identical" and got[2]["level"] == "rewritten" and got[3]["words_added"] == 1
-    assert rows_of(drafts.matching_ratio(pairs, "k", "x", "y"), "k", "ratio")[0] == (1, 1.0)
-    v = spark.createDataFrame([("v1.10.0", "1.9"), ("2.0", "2.0.0"), ("1.0-beta", "1.0")], "a string, b string")
-    assert [r[0] for r in v.select(drafts.is_newer(F.col("a"), F.col("b"))).collect()] == [True, False, False]
-    c = spark.createDataFrame([("High",), ("85%",), ("0.4",), ("?",), (None,), ("7",)], "c string")
-    assert [r[0] for r in c.select(drafts.confidence_of(F.col("c"))).collect()] == [0.85, 0.85, 0.4, 0.5, 0.5, 0.07]
+def test_drafts(spark):
+    base = "The river runs past the old mill. It turns the wheel all day.\n\nNobody lives there now, but the wheel still turns."
+    pairs = [
+        (1, base, base),  # nearly identical: a concern by itself
+        (2, "a b c d e f", "totally other words stand here now instead"),
+        (3, None, "new"),
+        (4, "one two three four", " ".join(["one two three four"] * 4)),  # four times as long
+        (5, base, base + "\n\nA third paragraph says what the second one left out about the people of the mill and their children."),
+        (6, "I go up to it", "Notwithstanding incomprehensible circumstances everywhere"),
+        (7, "", ""),
+    ]
+    df = spark.createDataFrame(pairs, "k int, x string, y string")
+    got = {r["k"]: r for r in drafts.draft_concerns(df, "k", "x", "y").collect()}
+    assert (got[1]["overall_similarity"], got[1]["content_overlap"], got[1]["structural_similarity"], got[1]["concerns"], got[1]["level"]) == (1.0, 1.0, 1.0, ["identical"], "elevated")
+    assert got[2]["level"] == "elevated" and got[2]["content_overlap"] == 0 and "replaced" in got[2]["concerns"]
+    assert got[3]["words_added"] == 1 and got[3]["length_ratio"] is None and got[3]["structural_similarity"] == 0
+    assert got[4]["concerns"] == ["longer"] and got[4]["content_overlap"] == 1 and got[4]["level"] == "elevated"
+    assert (got[5]["paragraphs_added"], got[5]["paragraphs_removed"], got[5]["concerns"]) == (1, 0, []) and got[5]["level"] in ("none", "low") and 0.5 < got[5]["structural_similarity"] < 0.8
+    assert set(got[6]["concerns"]) == {"replaced", "vocabulary"} and got[6]["level"] == "high"
+    assert got[7]["overall_similarity"] == 1.0 and got[7]["content_overlap"] == 0
+    assert got[2]["words_changed"] == 7 and got[1]["words_changed"] == 0
+
+
+def test_values(spark):
+    v = spark.createDataFrame([("v1.10.0", "1.9"), ("2.0", "2.0.0"), ("2.0.0", "2.0"), ("1.0-beta", "1.0"), ("1.2.3.5", "1.2.3.4"), ("junk", "0.0.0"), (None, "0.1")], "a string, b string")
+    assert [r[0] for r in v.select(drafts.is_newer(F.col("a"), F.col("b"))).collect()] == [True, False, True, False, True, False, False]
+    c = spark.createDataFrame([("High",), ("85",), ("0.4",), ("?",), (None,), ("7e-1",), (" medium-high ",), ("85%",), ("-1",), ("none",), ("very low",)], "c string")
+    assert [r[0] for r in c.select(drafts.confidence_of(F.col("c"))).collect()] == [0.8, 85.0, 0.4, 0.5, 0.5, 0.7, 0.7, 0.5, -1.0, 0.5, 0.2]
+
+
+def test_registers(spark):
+    """n_words, compound, positive, neutral, engaged, mine."""
+    cases = [
+        ((10, 0.0, 0.0, 1.0, False, False), "perfunctory"), ((10, 0.5, 0.3, 0.6, False, False), "passionate"), ((200, 0.4, 0.1, 0.8, False, True), "reflective"), ((200, 0.4, 0.12, 0.8, False, True), "personal"),
+        ((200, -0.3, 0.0, 0.8, True, False), "passionate"), ((200, -0.3, 0.0, 0.8, False, False), "urgent"), ((200, 0.1, 0.05, 0.8, True, True), "analytical"), ((200, 0.1, 0.2, 0.6, False, True), "personal"), ((200, 0.1, 0.2, 0.6, None, None), "reflective"),
+    ]
+    df = spark.createDataFrame([c for c, _ in cases], "n int, c double, p double, u double, e boolean, m boolean")
+    assert [r[0] for r in df.select(sentiment.register(*map(F.col, "ncpuem"))).collect()] == [want for _, want in cases]
+    kinds = spark.createDataFrame([(0, "Online_Upload"), (0, "media_recording"), (0, "online_text_entry"), (0, None), (5, "online_upload")], "n int, k string")
+    assert [r[0] for r in kinds.select(sentiment.no_text(F.col("n"), F.col("k"))).collect()] == [True, True, False, False, False]
+
+
+def test_one_long_word_is_read_once(spark):
+    """Twice the text takes about twice the time, not four times."""
+    import time
+
+    took = []
+    for n in (200_000, 200_000, 800_000):
+        df = spark.createDataFrame([("x" * n + " and",)], "t string")
+        began = time.time()
+        assert df.select(T.truncation_signals(F.col("t"), F.lit(10), F.lit(10.0))).first()[0][:2] == ["no_terminal_punct", "trailing_conjunction"]
+        took.append(time.time() - began)
+    assert took[2] < 8 * took[1] + 2
 
 
 def test_merged_themes_and_batches(spark):
