@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,40 +14,125 @@ from marginalia.sources import io
 
 
 def unit(rows: DataFrame, vector: str) -> DataFrame:
+    """rows with vectors of length 1. Vectors that have no direction (null, all zeros, or with a null or non-finite component) go."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return rows.withColumn("__length", length).withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("__length"))).drop("__length")
+    own = io.free_name(rows, "length")
+    kept = rows.where(F.coalesce(finite, F.lit(False))).withColumn(own, length).where(F.col(own) > 0)
+    return kept.withColumn(vector, F.transform(vector, lambda x: F.try_divide(x.cast("double"), F.col(own)))).drop(own)
 
 
 @io.keyed("cohort")
 def mean_cosine(rows: DataFrame, cohort: str, vector: str) -> DataFrame:
-    """cohort, n, n_pairs and mean_cosine over all pairs, from the sum of the unit vectors: (|s|^2 - n) / (n (n - 1))."""
+    """cohort, n, n_pairs and mean_cosine over all pairs, from the sum of the unit vectors: (|s|^2 - n) / (n (n - 1)). A null cohort is one."""
     each = unit(rows, vector).select(cohort, F.posexplode(vector).alias("i", "x"))
     sums = each.groupBy(cohort, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n")).groupBy(cohort).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("n").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1)
     return sums.select(cohort, "n", F.floor(pairs / 2).alias("n_pairs"), F.when(F.col("n") > 1, (F.col("q") - F.col("n")) / pairs).alias("mean_cosine"))
 
 
-@io.keyed("cohort", "key")
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows of numbers."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+
+
 def close_pairs(rows: DataFrame, cohort: str, key: str, vector: str, levels: tuple[float, ...] = (0.85, 0.7), block: int = 1024) -> DataFrame:
-    """cohort, n_<level> for each level, and max_cosine. Exact: a cohort is cut into blocks, and a task multiplies two of them;
-    what it returns is counts, not pairs."""
-    n = rows.groupBy(cohort).agg(F.ceil(F.count("*") / block).cast("int").alias("of"))
-    cut = unit(rows, vector).join(n, cohort).withColumn("own", F.pmod(F.xxhash64(key), "of").cast("int"))
-    cells = cut.select(cohort, key, vector, "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    cells = cells.select(cohort, vector, (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    """cohort, n_<level> for each level, and max_cosine (null for a cohort of one). Exact: a cohort is cut into blocks, and a task multiplies two of
+    them; what it returns is counts, not pairs. A null cohort is one."""
+    rows = unit(rows, vector).select(F.col(cohort).alias("cohort"), F.col(key).alias("key"), F.col(vector).alias("vector"))
+    n = rows.groupBy("cohort").agg(F.ceil(F.count("*") / block).cast("int").alias("of"))
+    cut = io.join_same(rows, n, ["cohort"], "inner").withColumn("own", F.pmod(F.xxhash64("key"), "of").cast("int"))
+    cells = cut.select("cohort", "vector", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    cells = cells.select("cohort", "vector", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     names = [f"n_{round(100 * x)}" for x in levels]
-    kind = rows.schema[cohort].dataType.simpleString()
+    kind = rows.schema["cohort"].dataType.simpleString()
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        v = np.array(table.column(vector).to_pylist(), np.float64)
-        left, right = (np.array(table.column(c).to_pylist(), bool) for c in ("left", "right"))
+        v = matrix(table.column("vector"))
+        left, right = (table.column(c).to_numpy().astype(bool) for c in ("left", "right"))
         dots = v[left] @ v[right].T
         if key[1].as_py() == key[2].as_py():
             dots = dots[np.triu_indices(len(dots), 1)]
-        return pa.table({cohort: pa.array([key[0].as_py()], table.column(cohort).type), **{c: [int((dots >= x).sum())] for c, x in zip(names, levels, strict=True)}, "max_cosine": [float(dots.max()) if dots.size else None]})
+        counts = {c: pa.array([int((dots >= x).sum())], pa.int64()) for c, x in zip(names, levels, strict=True)}
+        return pa.table({"cohort": pa.array([key[0].as_py()], table.column("cohort").type), **counts, "max_cosine": pa.array([float(dots.max()) if dots.size else None], pa.float64())})
+
+    found = cells.groupBy("cohort", "i", "j").applyInArrow(run, f"cohort {kind}, " + ", ".join(f"{c} long" for c in names) + ", max_cosine double")
+    out = found.groupBy("cohort").agg(*[F.sum(c).alias(c) for c in names], F.max("max_cosine").alias("max_cosine"))
+    return out.withColumnRenamed("cohort", cohort)
+
+
+PIVOTS, SLACK = 48, 1e-9
+
+
+def pivots_of(rows: DataFrame, most: int = PIVOTS) -> DataFrame:
+    """cohort and pivots: about ``most`` vectors of each cohort, by their hashes, in an array. rows: cohort, vector."""
+    drawn = rows.select("cohort", "vector", F.xxhash64("vector", F.lit("pivot")).alias("h"))
+    n = drawn.groupBy("cohort").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    some = io.join_same(drawn, n, ["cohort"], "inner").where((share < most / F.col("n")) | (F.col("h") == F.col("least")))
+    ranked = some.select("cohort", "vector", F.row_number().over(Window.partitionBy("cohort").orderBy("h")).alias("r")).where(F.col("r") <= 2 * most)  # about ``most`` rows a cohort
+    return ranked.groupBy("cohort").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "vector"))), lambda x: x["vector"]).alias("pivots"))
+
+
+def listed_pairs(rows: DataFrame, cohort: str, key: str, vector: str, least: float = 0.9, block: int = 1024, pivots: int = PIVOTS) -> DataFrame:
+    """cohort, a, b, cosine, n_a and n_b of every pair of different vectors of a cohort whose cosine is ``least`` or more. a and b are the smallest keys
+    with each vector, n_a and n_b how many rows have it: copies stand together and are not listed against each other.
+
+    Unit vectors with that cosine are at most sqrt(2 - 2 least) apart. Each vector belongs to the cell of its nearest pivot, and visits only the
+    cells whose pivot is so near that the triangle inequality leaves room for a pair: not farther than the cell's radius and that distance,
+    and not farther than its own pivot by more than twice that distance. Cells are cut into blocks, so a task multiplies two blocks at most.
+    """
+    apart = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
+    plain = unit(rows, vector).select(F.col(cohort).alias("cohort"), F.col(key).alias("key"), F.col(vector).alias("vector"))
+    kinds = {c: plain.schema[c].dataType.simpleString() for c in ("cohort", "key")}
+    same = io.written(plain.groupBy("cohort", "vector").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "different-vectors")
+    held = io.join_same(same, pivots_of(same, pivots), ["cohort"], "inner")
+    names = ["cohort", "key", "copies", "vector", "cell", "inner", "far"]
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, lists, at = matrix(batch.column("vector")), batch.column("pivots"), 0
+            cuts = [*np.flatnonzero([a != b for a, b in zip(batch.column("cohort").to_pylist()[1:], batch.column("cohort").to_pylist()[:-1], strict=True)]).tolist(), len(batch) - 1]
+            for end in cuts if len(batch) else []:
+                part, p = v[at : end + 1], np.array(lists[at].as_py(), np.float64)
+                d = np.sqrt(np.maximum(0.0, (part * part).sum(1)[:, None] - 2 * part @ p.T + (p * p).sum(1)))
+                own = d.argmin(1)
+                go = (d - d[np.arange(len(d)), own][:, None]) / 2 <= apart + SLACK
+                go &= np.arange(len(p))[None, :] >= own[:, None]  # a pair meets in the later cell
+                row, cell = np.nonzero(go)
+                picked = batch.slice(at, end + 1 - at).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(picked.column(c) for c in names[:4]), pa.array(cell, pa.int32()), pa.array(own[row] == cell), pa.array(d[row, cell])], names)
+                at = end + 1
+
+    sent = io.written(held.sortWithinPartitions("cohort").mapInArrow(visits, f"cohort {kinds['cohort']}, key {kinds['key']}, copies long, vector array<double>, cell int, inner boolean, far double"), "visits")
+    cell = ["cohort", "cell"]
+    radii = sent.where("inner").groupBy(*cell).agg(F.max("far").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("n_inner"))
+    near = io.join_same(sent, radii, cell, "inner").where(F.col("inner") | (F.col("far") <= F.col("radius") + apart + SLACK)).drop("radius", "far")
+    guests = near.groupBy(*cell).agg(F.ceil(F.count_if(~F.col("inner")) / block).cast("int").alias("n_guests"))
+    near = io.join_same(near, guests, cell, "inner")
+    h = F.xxhash64("vector", F.lit("block"))
+    own = F.when(F.col("inner"), F.pmod(h, "n_inner")).otherwise(F.col("n_inner") + F.pmod(h, F.greatest("n_guests", F.lit(1)))).cast("int")
+    # members meet all blocks, guests those of members
+    others = F.sequence(F.lit(0), F.when(F.col("inner"), F.col("n_inner") + F.col("n_guests")).otherwise(F.col("n_inner")) - 1)
+    blocks = near.withColumn("own", own).withColumn("other", F.explode(others)).select(*cell, "key", "copies", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def pairs(group: tuple, table: pa.Table) -> pa.Table:
+        own, v = table.column("own").to_numpy(), matrix(table.column("vector"))
+        keys, copies = table.column("key"), table.column("copies").to_numpy()
+        left, right = np.flatnonzero(own == group[2].as_py()), np.flatnonzero(own == group[3].as_py())
+        dots = v[left] @ v[right].T
+        if group[2].as_py() == group[3].as_py():
+            dots[np.tril_indices(len(dots))] = -2
+        x, y = np.nonzero(dots >= least)
+        a, b = left[x], right[y]
+        key = lambda at: keys.take(pa.array(at)).combine_chunks()
+        return pa.table({"cohort": pa.array([group[0].as_py()] * len(a), table.column("cohort").type), "x": key(a), "y": key(b), "cosine": dots[x, y], "n_x": copies[a], "n_y": copies[b]})
 
-    found = cells.groupBy(cohort, "i", "j").applyInArrow(run, f"{cohort} {kind}, " + ", ".join(f"{c} long" for c in names) + ", max_cosine double")
-    return found.groupBy(cohort).agg(*[F.sum(c).alias(c) for c in names], F.max("max_cosine").alias("max_cosine"))
+    found = blocks.groupBy(*cell, "i", "j").applyInArrow(pairs, f"cohort {kinds['cohort']}, x {kinds['key']}, y {kinds['key']}, cosine double, n_x long, n_y long")
+    swap = F.col("x") > F.col("y")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    return found.select(F.col("cohort").alias(cohort), pick("x", "y").alias("a"), pick("y", "x").alias("b"), "cosine", pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b"))
 
 
 @io.keyed("cohort")
@@ -57,11 +144,11 @@ def centroids(rows: DataFrame, cohort: str, vector: str) -> DataFrame:
 @io.keyed("cohort", "key")
 def centroid_outliers(rows: DataFrame, cohort: str, key: str, vector: str, deviations: float = 2.0, least: int = 3) -> DataFrame:
     """cohort, key, distance, is_outlier: farther than mean + deviations x sample deviation of the cohort's distances."""
-    far = rows.join(centroids(rows, cohort, vector), cohort)
+    far = io.join_same(rows, centroids(rows, cohort, vector), [cohort], "inner")
     square = F.aggregate(F.zip_with(vector, "centre", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
     far = far.select(cohort, key, "size", F.sqrt(square).alias("distance"))
     stats = far.groupBy(cohort).agg(F.avg("distance").alias("m"), F.stddev_samp("distance").alias("sd"))
-    return far.join(stats, cohort).select(cohort, key, "distance", ((F.col("size") >= least) & (F.col("distance") > F.col("m") + deviations * F.col("sd"))).alias("is_outlier"))
+    return io.join_same(far, stats, [cohort]).select(cohort, key, "distance", ((F.col("size") >= least) & (F.col("distance") > F.col("m") + deviations * F.col("sd"))).alias("is_outlier"))
 
 
 @io.keyed("cohort", "key")

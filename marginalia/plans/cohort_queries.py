@@ -113,6 +113,13 @@ def close_pairs(spark, sf_dir):
     return similarity.close_pairs(io.table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").withColumn("max_cosine", F.round("max_cosine", 6))
 
 
+@query("v3_listed_pairs", f"WITH {UNIT}, d AS (SELECT label, v, min(vec_id) AS k, count(*) AS n FROM u GROUP BY ALL), p AS (SELECT x.label, least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, list_dot_product(x.v, y.v) AS c, CASE WHEN x.k < y.k THEN x.n ELSE y.n END AS n_a, CASE WHEN x.k < y.k THEN y.n ELSE x.n END AS n_b FROM d x JOIN d y ON x.label = y.label AND x.k < y.k) SELECT label, a, b, round(c, 6) AS cosine, n_a, n_b FROM p WHERE c >= 0.35::DOUBLE")
+def listed_pairs(spark, sf_dir):
+    """Every pair of vectors of a class at a cosine of 0.35 or more: the vectors given are not nearer."""
+    out = similarity.listed_pairs(io.table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.35)
+    return out.withColumn("cosine", F.round("cosine", 6))
+
+
 FAR = """e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL),
 far AS (SELECT label, vec_id, sqrt(sum((x - m) * (x - m))) AS distance FROM e JOIN c USING (label, i) GROUP BY ALL), s AS (SELECT label, avg(distance) AS m, stddev_samp(distance) AS sd, count(*) AS n FROM far GROUP BY label)"""
 
