@@ -142,3 +142,32 @@ def exhaustion(rows: DataFrame, idx: str, key: str, value: str, bucket: str, ros
     medians = rows.groupBy(idx).agg(F.percentile(value, 0.5).alias("_m"))
     out = rows.join(medians, idx).groupBy(idx).agg(F.count("*").alias("n"), F.count_if(F.col(bucket).isin("late", "very_late")).alias("n_late"), F.count_if(F.col(value) < short * F.col("_m")).alias("n_short"), F.count_distinct(key).alias("_k"))
     return out.withColumn("n_missing", F.greatest(F.lit(0), F.lit(roster) - F.col("_k"))).drop("_k")
+
+
+def last_before(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str, columns: dict[str, str], strict: bool = False, ranges: int | None = None) -> DataFrame:
+    """left with, for each row, the columns (new name: right's) of the last row of right with the same key at its time or before; strict:
+    before its time. Null where there is none, and for a null key or time. Of right rows at one time the largest, by the columns in order, counts.
+
+    Both sides are sorted together in ranges of (key, time), so a key with a third of all rows takes many of them. Inside a range the last right row is
+    carried along; what a range leaves to the next ones of its key goes through a table with a row for each range and key.
+    """
+    names = left.columns
+    of_left, of_right = F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+    keys = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)]).alias("key")
+    some = lambda time: F.forall(F.array(*[F.col(f"`{c}`").isNotNull() for c in (*key, time)]), lambda x: x)
+    a = left.where(some(left_time)).select(keys, F.col(left_time).alias("time"), F.lit(0 if strict else 1).alias("side"), of_left.alias("own"), F.lit(None).cast(right.select(of_right.alias("x")).schema["x"].dataType).alias("other"))
+    b = right.where(some(right_time)).select(keys, F.col(right_time).alias("time"), F.lit(1 if strict else 0).alias("side"), F.lit(None).cast(left.select(of_left.alias("x")).schema["x"].dataType).alias("own"), of_right.alias("other"))
+    order = ["key", "time", "side", "other", "own"]
+    both = a.unionByName(b)
+    both = both.repartitionByRange(ranges, *order) if ranges else both.repartitionByRange(*order)
+    both = io.written(both.withColumn("part", F.spark_partition_id()), "as-of")
+    ends = both.where("other is not null").groupBy("key", "part").agg(F.max(F.struct("time", "other"))["other"].alias("last"))
+    parts = both.groupBy("key", "part").agg(F.lit(1).alias("one")).drop("one").join(ends, ["key", "part"], "left")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("key", "part", F.last("last", True).over(before).alias("carried"))
+    within = Window.partitionBy("key", "part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.select("key", "part", "own", F.last("other", True).over(within).alias("found")).where("own is not null").join(carried, ["key", "part"])
+    got = found.select("own", F.coalesce("found", "carried").alias("found")).select(*[F.col(f"own.`{c}`").alias(c) for c in names], *[F.col(f"found.`{n}`").alias(n) for n in columns])
+    # without a time or a key
+    rest = left.where(~some(left_time)).select(*names, *[F.lit(None).cast(right.schema[c].dataType).alias(n) for n, c in columns.items()])
+    return got.unionAll(rest)

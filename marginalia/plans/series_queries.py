@@ -47,6 +47,14 @@ def latest_row(spark, sf_dir):
     return trajectory.latest(results(spark, sf_dir), "user_id", ["ts", "event_id"], ["event_type", "value"])
 
 
+@query("w12_last_before", "WITH b AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS k, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY ALL) SELECT a.o_orderkey, a.o_custkey, b.k AS previous, b.p AS previous_price FROM orders a ASOF LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.o_orderdate > b.o_orderdate")
+def last_before(spark, sf_dir):
+    """Each order with the last one of its customer from an earlier day."""
+    o = io.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    out = trajectory.last_before(o, o, ["o_custkey"], "o_orderdate", "o_orderdate", {"previous": "o_orderkey", "previous_price": "o_totalprice"}, strict=True)
+    return out.select("o_orderkey", "o_custkey", "previous", "previous_price")
+
+
 @query("j3_latest_with_ties", "SELECT event_type, event_id, user_id FROM (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY ts::DATE DESC) AS r FROM events) WHERE r = 1")
 def latest_with_ties(spark, sf_dir):
     return trajectory.latest_ties(results(spark, sf_dir), "event_type", "day").select("event_type", "event_id", "user_id")
