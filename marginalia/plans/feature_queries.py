@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
@@ -10,7 +12,7 @@ from marginalia.operators.language import Detector
 from marginalia.operators.markers import Marker
 from marginalia.sources import io
 
-from .bindings import N_WORDS, query
+from .bindings import N_WORDS, ORACLE_SQL, query
 
 #: Tables that the invented prose hits: its commonest words of four languages.
 MARKERS = [
@@ -43,21 +45,26 @@ def scored(spark, sf_dir):
 
 @query("r21_marker_scores", f"WITH {COUNTED} SELECT doc_id, protection, round({SUSPICIOUS}, 6) AS suspicious, round(voice * 0.2::DOUBLE + diversity * 0.3::DOUBLE, 6) AS authenticity, {' + '.join(m.marker_id for m in MARKERS)} AS n_matches FROM m")
 def marker_scores(spark, sf_dir):
-    out = markers.marker_scores(io.table(spark, sf_dir, "documents"), "doc_id", MARKERS, digits=None)
-    return out.select("doc_id", "protection", F.round("suspicious", 6).alias("suspicious"), F.round("authenticity", 6).alias("authenticity"), "n_matches")
+    return scored(spark, sf_dir, MARKERS)
 
 
-@query("s10_marker_table", "SELECT * FROM (VALUES " + ", ".join(f"('{m.marker_id}', '{m.group}', {m.weight}::DOUBLE)" for m in MARKERS) + ") t(marker_id, \"group\", weight)")
-def marker_table(spark, sf_dir):
-    """The marker table written as JSON lines and loaded again."""
-    path = io.shared_dir(spark, "markers")
-    markers.save(MARKERS, spark, path)
-    return spark.createDataFrame([(m.marker_id, m.group, m.weight) for m in markers.load(spark, path)], "marker_id string, group string, weight double")
+def scored(spark, sf_dir, table):
+    out = markers.marker_scores(io.table(spark, sf_dir, "documents"), "doc_id", table, digits=None)
+    return out.select("doc_id", "protection", F.round("suspicious", 6).alias("suspicious"), F.round("authenticity", 6).alias("authenticity"), "n_matches")
 
 
 PROFILE = {"transitions": 1.5, "generic": 0.5}
 
 
+@query("s10_marker_table", ORACLE_SQL["r21_marker_scores"])
+def marker_table(spark, sf_dir):
+    """The marker table written as JSON lines, loaded again with an overlay that puts a changed weight right, and used on all texts."""
+    path = io.shared_dir(spark, "markers")
+    markers.save([replace(MARKERS[0], weight=99.0), *MARKERS[1:]], spark, f"{path}/base")
+    markers.save(MARKERS[:1], spark, f"{path}/overlay")
+    return scored(spark, sf_dir, markers.load(spark, f"{path}/base", [f"{path}/overlay"]))
+
+
 @query("r22_profile_score", f"WITH {COUNTED} SELECT doc_id, round(transitions * 0.3::DOUBLE * 1.5::DOUBLE + generic * 0.3::DOUBLE * 0.5::DOUBLE, 4) AS score FROM c")
 def profile_score(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", F.round(markers.profile_score(F.col("counts"), ["transitions", "generic"], PROFILE), 4).alias("score"))
@@ -112,10 +119,12 @@ def presence_notes(spark, sf_dir):
     return io.table(spark, sf_dir, "documents").select("doc_id", F.array_join(notes, ",").alias("notes"))
 
 
-@query("n40_guidance", "SELECT level, n FROM (VALUES " + ", ".join(f"('{k}', {len(v)}::BIGINT)" for k, v in markers.GUIDANCE.items()) + ", ('other', 0)) t(level, n)")
+@query("n40_guidance", f"SELECT doc_id, level, CASE level " + " ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in markers.GUIDANCE.items()) + f" ELSE 0 END AS n FROM (SELECT doc_id, CASE WHEN {N_WORDS} < 10 THEN 'none' WHEN {N_WORDS} < 100 THEN 'low' WHEN {N_WORDS} < 300 THEN 'moderate' WHEN {N_WORDS} < 500 THEN 'elevated' WHEN {N_WORDS} < 900 THEN 'high' ELSE 'other' END AS level FROM documents)")
 def guidance(spark, sf_dir):
-    levels = spark.createDataFrame([(k,) for k in (*markers.GUIDANCE, "other")], "level string")
-    return levels.select("level", F.size(markers.guidance(F.col("level"))).cast("long").alias("n"))
+    """What is advised for each text, by a level that its length stands for here."""
+    n = T.word_count(F.col("text"))
+    level = F.when(n < 10, "none").when(n < 100, "low").when(n < 300, "moderate").when(n < 500, "elevated").when(n < 900, "high").otherwise("other")
+    return io.table(spark, sf_dir, "documents").select("doc_id", level.alias("level")).withColumn("n", F.size(markers.guidance(F.col("level"))))
 
 
 # ---- structure

@@ -121,16 +121,20 @@ def pattern_sets(spark, sf_dir):
     return io.table(spark, sf_dir, "part").select("p_partkey", F.array_join(kept, ",").alias("patterns"))
 
 
-@query("n43_old_files", "SELECT 'txt' AS ending, 1::BIGINT AS n")
+@query("n43_old_files", "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'md' ELSE 'txt' END AS ending, count(*) AS n, sum(strlen(s_name))::BIGINT AS bytes FROM supplier GROUP BY 1")
 def old_files(spark, sf_dir):
+    """A note on each supplier as a file, and what a clean-up would find of them."""
     path = io.shared_dir(spark, "old")
-    io.table(spark, sf_dir, "region").select("r_name").coalesce(1).write.option("compression", "none").text(path)
-    return files.old_files(spark, path, F.lit("2100-01-01").cast("timestamp"), 30).select("ending", "n")
+    s = io.table(spark, sf_dir, "supplier")
+    files.write_files(s.select(F.concat("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, ".md").otherwise(".txt")).alias("name"), "s_name"), "name", "s_name", path, str.encode)
+    return files.old_files(spark, path, F.lit("2100-01-01").cast("timestamp"), 30)
 
 
-@query("n47_demo_cohort", "SELECT i % 12 AS student, i // 12 AS run, 80 + (i * 7919 + 13) % 400 AS words, ['analytical', 'personal', 'reflective', 'urgent'][(i * 31) % 4 + 1] AS register FROM range(60) t(i)")
+@query("n47_demo_cohort", "WITH n AS (SELECT count(*) AS n FROM customer), i AS (SELECT c_custkey AS student, c_name AS name, run, run * n + c_custkey AS i FROM customer, n, range(3) t(run) WHERE c_custkey < n) SELECT student, name, run, 80 + (i * 7919 + 13) % 400 AS words, ['analytical', 'personal', 'reflective', 'urgent'][(i * 31) % 4 + 1] AS register FROM i")
 def demo_cohort(spark, sf_dir):
-    return files.demo_cohort(spark, 12, 5)
+    """A demonstration class with the names of the customers."""
+    c = io.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"), F.col("c_name").alias("name"))
+    return files.demo_cohort(spark, c.count(), 3).join(c, "student")
 
 
 @query("s19_next_stage", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'code' WHEN 2 THEN 'report' END AS next FROM part")

@@ -9,7 +9,7 @@ from marginalia.operators import store, trajectory
 from marginalia.sources import io
 from marginalia.streaming import events as stream
 
-from .bindings import query, results
+from .bindings import N_WORDS, query, results
 
 RUNS = "runs AS (SELECT ts::DATE AS day, row_number() OVER (ORDER BY ts::DATE) - 1 AS idx FROM events GROUP BY 1), r AS (SELECT e.*, ts::DATE AS day, idx FROM events e JOIN runs ON runs.day = ts::DATE)"
 
@@ -213,9 +213,10 @@ def cleanup_counts(spark, sf_dir):
     return a.unionAll(store.expired_counts({"orders": (o, "o_orderdate")}, F.lit("1995-01-01").cast("timestamp_ntz")))
 
 
-@query("s21_systematic_sample", "WITH n AS (SELECT greatest(1, count(*) // 50) AS step FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) SELECT event_id FROM r, n WHERE k % step = 0 AND k // step < 50")
+@query("s21_systematic_sample", f"WITH d AS (SELECT doc_id FROM documents WHERE {N_WORDS} >= 20), n AS (SELECT greatest(1, count(*) // 50) AS step FROM d), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM d) SELECT doc_id FROM r, n WHERE k % step = 0 AND k // step < 50")
 def systematic_sample(spark, sf_dir):
-    return io.systematic_sample(io.table(spark, sf_dir, "events").select("event_id"), "event_id", 50)
+    """Fifty texts of 20 words or more."""
+    return io.text_sample(io.table(spark, sf_dir, "documents"), "doc_id", 50).select("doc_id")
 
 
 @query("s9_csv_round_trip", "SELECT event_id, user_id, event_type, value FROM events")

@@ -6,11 +6,16 @@ import functools
 import inspect
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
+
 _own: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +39,27 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df written and read back: what several branches of a plan read is computed once, and lost executors re-read it."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end: a result must be stored before, since it may read them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -91,6 +114,11 @@ def systematic_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     return picked.select(*rows.columns)
 
 
+def text_sample(rows: DataFrame, order: str, n: int, text: str = "text", least: int = 20) -> DataFrame:
+    """systematic_sample of the rows whose text has ``least`` words or more."""
+    return systematic_sample(rows.where(T.word_count(F.col(text)) >= least), order, n)
+
+
 def keyed(*params: str):
     """For operators whose parameters of these names say which columns are the user's keys: inside they have names that no operator uses,
     so a key may have any name. A column of the operator's own that is called like a key gets an underscore in front."""

@@ -177,3 +177,18 @@ def test_levels_and_bands(spark):
     got = column(spark, rows, scoring.concern_level(F.col("s"), F.col("a"), F.col("n")), "s double, a double, n int")
     assert got == ["high", "low", "none", "low", "moderate"]
     assert column(spark, [(0.0, 100), (3.0, 600)], F.round(scoring.logistic_score(F.col("r"), 3.0, F.col("n")), 3), "r double, n int") == [0.0, pytest.approx((0.5 - 1 / (1 + 2.718281828**1.5)) / (1 - 1 / (1 + 2.718281828**1.5)) * 100, abs=1e-3)]
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    with io.scratch(spark):
+        kept = sorted(r["id"] for r in io.written(spark.range(3), "scratch").collect())
+        paths = list(io._scratch[-1])
+        assert len(paths) == 1 and os.path.isdir(paths[0].removeprefix("file://"))
+    assert kept == [0, 1, 2] and not os.path.exists(paths[0].removeprefix("file://")) and not io._scratch
+
+
+def test_sample_of_texts_with_words_enough(spark):
+    rows = spark.createDataFrame([(i, "w " * (10 if i % 2 else 25)) for i in range(100)] + [(1000, None)], "i long, text string")
+    assert sorted(r["i"] for r in io.text_sample(rows, "i", 10).collect()) == list(range(0, 100, 10))
