@@ -211,6 +211,59 @@ def kmeans(rows: DataFrame, key: str, vector: str, seed: int = 42, starts: int =
     return best.transform(data).select(key, F.col("prediction").alias("cluster"))
 
 
+def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Clusters of rows and their cost: k-means++ from a seed, then means until nothing moves. An empty cluster takes the row farthest from its centre."""
+    rng, squares = np.random.default_rng(seed), (x * x).sum(1)
+    far = lambda c: np.maximum(0.0, squares[:, None] - 2 * x @ c.T + (c * c).sum(1))
+    centres = x[[rng.integers(len(x))]]
+    while len(centres) < k:
+        d = far(centres).min(1)
+        centres = np.concatenate([centres, x[[rng.choice(len(x), p=d / d.sum()) if d.sum() else rng.integers(len(x))]]])
+    own = None
+    for _ in range(rounds):
+        d = far(centres)
+        new = d.argmin(1)
+        if own is not None and (new == own).all():
+            break
+        own, lone = new, d[np.arange(len(x)), new]
+        for j in range(k):
+            mine = own == j
+            if mine.any():
+                centres[j] = x[mine].mean(0)
+            else:
+                centres[j] = x[(at := lone.argmax())]
+                lone[at] = 0.0
+    return own, float(far(centres)[np.arange(len(x)), own].sum())
+
+
+def class_kmeans(rows: DataFrame, cohort: str, key: str, vector: str, seed: int = 42, starts: int = 10, least: int = 4, whole: int = 20_000) -> DataFrame:
+    """cohort, key and cluster: each class by itself, in max(2, min(8, root of n)) clusters, the best of ``starts`` starts; a class under ``least`` rows is one
+    cluster. Clusters are numbered by size, largest first. Classes up to ``whole`` rows are clustered in one task each, side by side; a larger one is
+    clustered by itself over the cluster (``kmeans``). Rows without a direction (see ``unit``) have no cluster. A null class is one."""
+    plain = io.written(rows.select(F.col(cohort).alias("cohort"), F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("vector")), "class-vectors")
+    usable = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
+    kinds = {c: plain.schema[c].dataType.simpleString() for c in ("cohort", "key")}
+    sizes = plain.where(usable).groupBy("cohort").agg(F.count("*").alias("n"))
+    large = [r["cohort"] for r in sizes.where(F.col("n") > whole).collect()]  # the table's rows by ``whole`` at most
+    small = io.join_same(plain.where(usable), sizes.where(F.col("n") <= whole).select("cohort"), ["cohort"], "left_semi")
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        x, n = matrix(table.column("vector")), len(table)
+        own = np.zeros(n, np.int64)
+        if n >= least:
+            tries = [lloyd(x, max(2, min(8, int(n**0.5))), seed + i) for i in range(starts)]
+            own = min(tries, key=lambda t: t[1])[0]
+        order = np.argsort(-np.bincount(own), kind="stable")
+        number = np.argsort(order, kind="stable")
+        return pa.table({"cohort": table.column("cohort"), "key": table.column("key"), "cluster": pa.array(number[own], pa.int32())})
+
+    out = small.groupBy("cohort").applyInArrow(run, f"cohort {kinds['cohort']}, key {kinds['key']}, cluster int")
+    for name in large:
+        mine = plain.where(usable & F.col("cohort").eqNullSafe(F.lit(name)))
+        out = out.unionAll(kmeans(mine, "key", "vector", seed, starts, least).select(F.lit(name).cast(kinds["cohort"]).alias("cohort"), "key", F.col("cluster").cast("int").alias("cluster")))
+    return out.select(F.col("cohort").alias(cohort), F.col("key").alias(key), "cluster")
+
+
 def phrase_matches(rows: DataFrame, key: str, vector: str, phrases: list[list[float]], least: float = 0.68, known: Column | None = None) -> DataFrame:
     """key, phrase (number) and cosine of the nearest of a few phrases, if it is near enough; rows that are known already (a pattern has found them) are left
     out. The phrases are a short list, part of the plan."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import entities, valence
+from marginalia.operators import entities, similarity, valence
 from marginalia.sources import io
 
 from .bindings import query
@@ -34,3 +34,9 @@ def valence_registers(spark, sf_dir):
     d = io.table(spark, sf_dir, "documents")
     found = valence.registers(d.withColumn("kind", F.lit("online_text_entry")), "doc_id", "kind", "text", STRENGTHS)
     return found.join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", "register").agg(F.count("*").alias("n"))
+
+
+@query("v1_class_kmeans")
+def class_kmeans(spark, sf_dir):
+    """Every class of vectors in clusters of its own."""
+    return similarity.class_kmeans(io.table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")

@@ -75,3 +75,32 @@ def test_edges(spark):
     assert similarity.listed_pairs(one, "c", "i", "v").count() == 1
     named = one.selectExpr("c as cell", "i as `inner`", "v as pivots")
     assert [tuple(r) for r in similarity.listed_pairs(named, "cell", "inner", "pivots").collect()][0][:3] == (None, 3, 4)
+
+
+def test_class_kmeans(spark):
+    """Every class from one row up; never worse than one class at a time by the library's own k-means."""
+    rows = [r for r in clustered(900) if r[2] is not None and None not in r[2] and np.isfinite(r[2]).all()] + [("few", 7000 + i, [float(i)] * 16) for i in range(3)]
+    df = spark.createDataFrame(rows, "c string, i long, v array<double>")
+    got = similarity.class_kmeans(df, "c", "i", "v").collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["c"], {})[r["i"]] = r["cluster"]
+    assert set(by["few"].values()) == {0} and set(by["one"].values()) == {0}
+    vectors = {i: np.array(v) for _, i, v in rows}
+
+    def cost(clusters):
+        return sum(((m := np.array([vectors[i] for i, c in clusters.items() if c == k])) - m.mean(0)).__pow__(2).sum() for k in set(clusters.values()))
+
+    for name in ("a", "b", None):
+        mine = df.where(df["c"].eqNullSafe(similarity.F.lit(name)))
+        one = {r["i"]: r["cluster"] for r in similarity.kmeans(mine, "i", "v").collect()}
+        assert len(set(by[name].values())) == max(2, min(8, int(len(by[name]) ** 0.5)))
+        assert cost(by[name]) <= 1.02 * cost(one)
+    sizes = [sum(c == k for c in by["b"].values()) for k in range(8)]
+    assert sizes == sorted(sizes, reverse=True)
+    split = similarity.class_kmeans(df, "c", "i", "v", whole=400).groupBy("c").count().collect()  # the largest class by itself
+    assert sum(r["count"] for r in split) == len(rows)
+    assert similarity.class_kmeans(df.limit(0), "c", "i", "v").count() == 0
+    same = spark.createDataFrame([("x", i, [1.0, 2.0]) for i in range(10)], "c string, i long, v array<double>")
+    assert similarity.class_kmeans(same, "c", "i", "v").count() == 10
