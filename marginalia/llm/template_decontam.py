@@ -88,6 +88,23 @@ def is_capitals(text: str) -> bool:
     return len(text) > 1 and text.isupper() and sum(map(str.isalpha, text)) > 1
 
 
+class Numbers(dict):
+    """A number for each different word, given when it is first asked for; new holds those that were."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+#: Stands between lines: a byte that no UTF-8 text holds. It has no code in any reading.
+LINE = b"\xff"
+
+
 class Templates:
     """Template codes of words by their numbers: inside a sentence, at its start, without placeholders; and whether a word ends one."""
 
@@ -102,21 +119,26 @@ class Templates:
 
     def __init__(self, limit: int = 1_600_000):
         self.slot_codes = {kind: self.code_of(kind) for kind in self.SLOTS}
-        self.limit, self.numbers = limit, {}
+        self.limit, self.numbers = limit, Numbers()
         self.first, self.inner, self.words = (np.zeros(limit, np.uint64) for _ in range(3))
         self.last, self.capitals = np.zeros(limit, bool), np.zeros(limit, bool)
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
+        """words: the last ones that got a number."""
         from xxhash import xxh64_intdigest as digest
 
-        n = len(self.numbers)
-        while n + len(words) > len(self.first):  # one text with more words than the limit
+        n = len(self.numbers) - len(words)
+        while len(self.numbers) > len(self.first):  # one text with more words than the limit
             self.first, self.inner, self.words, self.last, self.capitals = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.inner, self.words, self.last, self.capitals))
         codes_of, name = self.slot_codes, self.slot_codes[NAME]
         first, inner, last, plain, capitals = [], [], [], [], []
         for word in words:
-            last.append(word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"))
-            bare = word.strip(EDGE)
+            if word.isalnum():
+                last.append(False)
+                bare = word
+            else:
+                last.append(word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"))
+                bare = word.strip(EDGE) if word != LINE else b""
             if bare.isalpha():  # ASCII letters, as most words are: a number or a name only by the lists and its capital
                 low = bare.lower()
                 plain.append(digest(low) & ~1)
@@ -131,16 +153,17 @@ class Templates:
             for inside, codes in ((False, first), (True, inner)):
                 codes.append(codes_of.get(kind_of(word, inside), plain[-1]) if bare else 0)
             capitals.append(bool(bare) and first[-1] == plain[-1] and is_capitals(bare.decode("utf-8", "replace")))
-        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
         for have, new in ((self.first, first), (self.inner, inner), (self.words, plain), (self.last, last), (self.capitals, capitals)):
             have[n : n + len(words)] = new
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         if len(self.numbers) > self.limit // 2:
-            self.numbers.clear()
-        if missing := set(words).difference(self.numbers):
-            self._learn(missing)
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+            self.numbers = Numbers()
+        out = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new:
+            self._learn(self.numbers.new)
+            self.numbers.new = []
+        return out
 
 
 def templates() -> Templates:
@@ -185,18 +208,17 @@ class Reading:
 
 def readings(texts: list[bytes], amid: bool = False, literal: bool = True) -> tuple[Reading, Reading, Reading | None, np.ndarray]:
     """Typed, caseless, and by words alone; and where the caseless one has names. amid: as if each text stood within a sentence."""
-    words, lines, starts = [], [], []
+    words, starts = [], []
     for text in texts:
         starts.append(len(words))
-        for line in text.split(b"\n"):
-            lines.append(len(words))
-            words += line.split()
+        words += text.replace(b"\n", b" \xff ").split()
     known = templates()
     numbers, begins, starts = known.look_up(words), np.zeros(len(words) + 1, bool), np.array(starts, np.int64)
-    begins[lines] = True
     begins[1:-1] |= known.last[numbers[:-1]]
+    begins[1:] |= numbers == known.numbers[LINE] if LINE in known.numbers else False
     opening = np.zeros(len(words) + 1, bool)
     opening[starts] = True
+    begins |= opening
     breaks, opening = begins[:-1].copy(), opening[:-1]
     begins = begins[:-1] & ~opening if amid else begins[:-1]
     first, inner = known.first[numbers], known.inner[numbers]
