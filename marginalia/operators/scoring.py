@@ -93,13 +93,16 @@ def anonymous_names(rows: DataFrame, key: str) -> DataFrame:
 
 @io.keyed("key", "idx")
 def peaks_and_rhythm(rows: DataFrame, key: str, idx: str, score: str, ratio: float = 1.3) -> DataFrame:
-    """key, n, peaks (top n // 3, 1 to 3, by score), early and late means, rhythm (from four rows on)."""
+    """key, n, peaks (top n // 3, 1 to 3, by score), valleys (the last n // 3, 1 or 2, where there is more than the peaks), early and late means, rhythm
+    (from four rows on). Equal scores go by idx."""
     n = F.count("*").over(Window.partitionBy(key))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), idx))
     place = F.row_number().over(Window.partitionBy(key).orderBy(idx))
     cut = rows.withColumn("__n", n).withColumn("__rank", rank).withColumn("__early", place <= F.floor(n / 2))
     top = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("__n") / 3)))
-    out = cut.groupBy(key).agg(F.max("__n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__rank") <= top, F.col(idx)))).alias("peaks"), F.avg(F.when(F.col("__early"), F.col(score))).alias("early"), F.avg(F.when(~F.col("__early"), F.col(score))).alias("late"))
+    last = F.when(F.col("__n") > top, F.least(F.lit(2), F.greatest(F.lit(1), F.floor(F.col("__n") / 3)))).otherwise(0)
+    places = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(idx))))
+    out = cut.groupBy(key).agg(F.max("__n").alias("n"), places(F.col("__rank") <= top).alias("peaks"), places(F.col("__rank") > F.col("__n") - last).alias("valleys"), F.avg(F.when(F.col("__early"), F.col(score))).alias("early"), F.avg(F.when(~F.col("__early"), F.col(score))).alias("late"))
     rhythm = F.when(F.col("n") < 4, F.lit(None)).when(F.col("late") > F.col("early") * ratio, "building").when(F.col("early") > F.col("late") * ratio, "strong_start").otherwise("consistent")
     return out.withColumn("rhythm", rhythm)
 

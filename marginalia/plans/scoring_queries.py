@@ -71,11 +71,12 @@ def anonymous_names(spark, sf_dir):
 
 
 @query("w22_peaks_and_rhythm", f"""WITH {DAILY}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, idx) AS rank, row_number() OVER (PARTITION BY user_id ORDER BY idx) <= count(*) OVER (PARTITION BY user_id) // 2 AS e FROM daily),
-s AS (SELECT user_id, max(n) AS n, string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (rank <= least(3, greatest(1, n // 3))) AS peaks, avg(v) FILTER (e) AS early, avg(v) FILTER (NOT e) AS late FROM c GROUP BY user_id)
-SELECT user_id, n, peaks, CASE WHEN n < 4 THEN NULL WHEN late > early * 1.3::DOUBLE THEN 'building' WHEN early > late * 1.3::DOUBLE THEN 'strong_start' ELSE 'consistent' END AS rhythm FROM s""")
+s AS (SELECT user_id, max(n) AS n, string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (rank <= least(3, greatest(1, n // 3))) AS peaks, coalesce(string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (n > least(3, greatest(1, n // 3)) AND rank > n - least(2, greatest(1, n // 3))), '') AS valleys, avg(v) FILTER (e) AS early, avg(v) FILTER (NOT e) AS late FROM c GROUP BY user_id)
+SELECT user_id, n, peaks, valleys, CASE WHEN n < 4 THEN NULL WHEN late > early * 1.3::DOUBLE THEN 'building' WHEN early > late * 1.3::DOUBLE THEN 'strong_start' ELSE 'consistent' END AS rhythm FROM s""")
 def peaks_and_rhythm(spark, sf_dir):
     out = scoring.peaks_and_rhythm(daily(spark, sf_dir), "user_id", "idx", "v")
-    return out.select("user_id", "n", F.array_join(F.transform("peaks", lambda x: x.cast("string")), ",").alias("peaks"), "rhythm")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("user_id", "n", text("peaks"), text("valleys"), "rhythm")
 
 
 @query("w27_cluster_movement", f"WITH {RUNS} SELECT user_id, count(DISTINCT event_type) AS n_clusters, CASE WHEN count(DISTINCT event_type) = 1 THEN 'depth' ELSE 'range' END AS movement FROM r GROUP BY user_id HAVING count(*) >= 2")
