@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, MOST_BYTES, PLAIN, EPOCHS, STEP, BUCKETS, LONGEST = 2000, 20_000, 8000, 6, 32, 1 << 17, 100
+SAMPLE, MOST_BYTES, PLAIN, EPOCHS, LEAST_STEPS, STEP, BUCKETS, LONGEST = 2000, 20_000, 8000, 6, 1200, 32, 1 << 17, 100
 TOKEN = re.compile(r"[^\W_]+(?:[’'.&-][^\W_]+)*|[^\w\s]|_")
 ENDS = frozenset(".!?")
 
@@ -35,7 +35,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("MONEY", r"(?P<s>[$€£] ?[0-9]+(?:[,.][0-9]+)*)"),
     ("PERCENT", r"(?P<s>[0-9]+(?:[.,][0-9]+)*(?: ?%| percent\b))"),
     ("PLACE", rf"(?<=[a-z,;] )(?:in|near|from|at|to|of) (?P<s>(?!(?:{'|'.join(MONTHS)})\b){RUN})"),
-    ("CARDINAL", r"(?<![\w.:/@-])(?P<s>[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\.[0-9]+)?)(?![\w%:/@-])"),
+    ("CARDINAL", r"(?<![\w.:/@+-])(?P<s>[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\.[0-9]+)?)(?![.:/@-]?[\w%])"),
 )
 _RULES = [(label, re.compile(p)) for label, p in RULES]
 LABELS = [label for label, _ in RULES]
@@ -186,7 +186,8 @@ def train(words: Sequence[Sequence[str]], tags: Sequence[np.ndarray], epochs: in
     rng = np.random.default_rng(seed)
     w, m = np.zeros((BUCKETS, T), np.float32), np.zeros((T + 1, T))
     wa, ma, time = np.zeros_like(w), np.zeros_like(m), 1
-    for _ in range(epochs):
+    epochs = max(epochs, min(30, -(-LEAST_STEPS * STEP // max(1, len(words)))))  # more often through a small sample
+    for epoch in range(epochs):
         order, wrong = rng.permutation(len(words)), 0
         for a in range(0, len(order), STEP):
             mine = order[a : a + STEP]
@@ -198,14 +199,16 @@ def train(words: Sequence[Sequence[str]], tags: Sequence[np.ndarray], epochs: in
             before = lambda x: np.where(np.isin(np.arange(len(x)), starts), T, np.append(T, x[:-1]))
             off = np.flatnonzero(found != right)
             wrong += len(off)
-            for t, sign in ((right, 1.0), (found, -1.0)):
+            step = 1.0 / max(1, len(off)) ** 0.5  # many errors at once don't overshoot
+            for t, sign in ((right, step), (found, -step)):
                 at = (f[off].ravel(), np.repeat(t[off], f.shape[1]))
                 np.add.at(w, at, sign)
                 np.add.at(wa, at, sign * time)
                 np.add.at(m, (before(t), t), sign)
                 np.add.at(ma, (before(t), t), sign * time)
             time += 1
-        if not wrong:
+        if not wrong:  # nor would there be in the epochs left
+            time += (epochs - 1 - epoch) * -(-len(words) // STEP)
             break
     return Tagger((w - wa / time).astype(np.float32), m - ma / time)
 

@@ -45,10 +45,10 @@ def scored(spark, sf_dir):
 
 @query("r21_marker_scores", f"WITH {COUNTED} SELECT doc_id, protection, round({SUSPICIOUS}, 6) AS suspicious, round(voice * 0.2::DOUBLE + diversity * 0.3::DOUBLE, 6) AS authenticity, {' + '.join(m.marker_id for m in MARKERS)} AS n_matches FROM m")
 def marker_scores(spark, sf_dir):
-    return scored(spark, sf_dir, MARKERS)
+    return scored_by(spark, sf_dir, MARKERS)
 
 
-def scored(spark, sf_dir, table):
+def scored_by(spark, sf_dir, table):
     out = markers.marker_scores(io.table(spark, sf_dir, "documents"), "doc_id", table, digits=None)
     return out.select("doc_id", "protection", F.round("suspicious", 6).alias("suspicious"), F.round("authenticity", 6).alias("authenticity"), "n_matches")
 
@@ -62,7 +62,7 @@ def marker_table(spark, sf_dir):
     path = io.shared_dir(spark, "markers")
     markers.save([replace(MARKERS[0], weight=99.0), *MARKERS[1:]], spark, f"{path}/base")
     markers.save(MARKERS[:1], spark, f"{path}/overlay")
-    return scored(spark, sf_dir, markers.load(spark, f"{path}/base", [f"{path}/overlay"]))
+    return scored_by(spark, sf_dir, markers.load(spark, f"{path}/base", [f"{path}/overlay"]))
 
 
 @query("r22_profile_score", f"WITH {COUNTED} SELECT doc_id, round(transitions * 0.3::DOUBLE * 1.5::DOUBLE + generic * 0.3::DOUBLE * 0.5::DOUBLE, 4) AS score FROM c")
