@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import entities, similarity, valence
+from marginalia.operators import entities, latent, lexicon, similarity, valence
 from marginalia.sources import io
 
 from .bindings import query
@@ -40,3 +40,10 @@ def valence_registers(spark, sf_dir):
 def class_kmeans(spark, sf_dir):
     """Every class of vectors in clusters of its own."""
     return similarity.class_kmeans(io.table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+
+
+@query("v5_text_vectors")
+def text_vectors(spark, sf_dir):
+    """A vector for each text of a class, from the weights of its terms."""
+    weights = lexicon.term_weights(io.table(spark, sf_dir, "documents"), "doc_id", "source")
+    return latent.text_vectors(weights, "doc_id", "term", "weight")[0]
