@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,25 +109,50 @@ def peaks_and_rhythm(rows: DataFrame, key: str, idx: str, score: str, ratio: flo
     return out.withColumn("rhythm", rhythm)
 
 
+def _runs(rows: DataFrame, name: str, text: str, sizes: tuple[int, ...]) -> DataFrame:
+    """name and _run: a number for each different run of so many characters of a text; a shorter text is its own run."""
+
+    def codes(t: str) -> np.ndarray:
+        c, found = np.frombuffer(t.encode("utf-32-le", "replace"), "<u4").astype(np.int64), []
+        for n in {min(n, len(c)) for n in sizes}:
+            code = c[: len(c) - n + 1]
+            for i in range(1, n):
+                code = code << 21 | c[i : len(c) - n + 1 + i]
+            found.append(code)
+        return np.unique(np.concatenate(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                found = [codes(t.as_py()) for t in part.column(1)]
+                ends = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], [name, "_runs"])
+
+    found = rows.select(name, F.col(text).alias("_t")).mapInArrow(run, f"`{name}` {rows.schema[name].dataType.simpleString()}, _runs array<bigint>")
+    return found.select(name, F.explode("_runs").alias("_run"))
+
+
 @io.keyed("key")
 def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """key and needle (lower case): which needles stand in which texts, case aside. A needle meets texts by the rarest of its
     runs of three characters (of its own length if it is shorter), in an equi join; then it is looked for. All needles are never
-    held against all texts, and a run that many texts share joins only if a needle has nothing rarer."""
-    low = lambda c: F.lower(F.trim(F.col(c)))
-    # all runs, also those that overlap, in one pass; what is shorter is its own run
-    runs = lambda c, n: F.when(F.length(c) < n, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    wanted = io.written(needles.select(low(needle).alias("_needle")).where(F.length("_needle") > 0).distinct(), "needles")
-    lengths = [n for n in (1, 2) if not wanted.where(F.length("_needle") == n).isEmpty()]
+    held against all texts, and a run that many texts share joins only if a needle has nothing rarer. Needles longer than the longest text
+    are left out first; runs of the texts are made twice, once to be counted, and never stored."""
     held = texts.select(key, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)
-    pieces = held.select(key, F.explode(F.array_distinct(F.concat(*[runs("_text", n) for n in (*lengths, 3)]))).alias("_run"))
-    asked = wanted.select("_needle", F.explode(F.array_distinct(runs("_needle", 3))).alias("_run"))
-    pieces = io.written(pieces.join(asked.select("_run").distinct(), "_run", "left_semi"), "runs")
-    counts = pieces.groupBy("_run").agg(F.count("*").alias("_n"))
+    longest = held.agg(F.max(F.length("_text"))).first()[0] or 0
+    wanted = needles.select(F.lower(F.trim(F.col(needle))).alias("_needle")).where(F.length("_needle").between(1, longest))
+    wanted = io.written(wanted.distinct(), "needles")
+    lengths = tuple(n for n in (1, 2) if not wanted.where(F.length("_needle") == n).isEmpty())
+    asked = io.written(_runs(wanted.withColumn("_id", F.xxhash64("_needle")), "_id", "_needle", (3,)), "needle-runs")
+    pieces = _runs(held, key, "_text", (*lengths, 3))
+    counts = pieces.join(asked.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_n"))
     known = asked.join(counts, "_run", "left")
     # a run that no text has: the needle stands nowhere
-    best = known.groupBy("_needle").agg(F.min_by("_run", F.coalesce("_n", F.lit(0))).alias("_run"), F.min(F.coalesce("_n", F.lit(0))).alias("_least")).where("_least > 0")
-    met = pieces.join(best, "_run").select(F.col(key).alias("_k"), "_needle").distinct()
+    best = known.groupBy("_id").agg(F.min_by("_run", F.coalesce("_n", F.lit(0))).alias("_run"), F.min(F.coalesce("_n", F.lit(0))).alias("_least")).where("_least > 0")
+    best = io.written(best.select("_id", "_run"), "rarest-runs")
+    met = pieces.join(best, "_run").select(F.col(key).alias("_k"), "_id").distinct()
+    met = io.written(met.join(wanted.withColumn("_id", F.xxhash64("_needle")), "_id").select("_k", "_needle"), "met")
     out = held.join(met, F.col(key).eqNullSafe(F.col("_k"))).where(F.contains("_text", F.col("_needle")))
     return out.select(key, F.col("_needle").alias(needle))
 
@@ -140,8 +167,8 @@ def leaks_identity(payloads: DataFrame, key: str, text: str, names: DataFrame, n
 def grounded_quotes(quotes: DataFrame, key: str, quote: str, known: DataFrame, known_text: str, prefix: int = 40) -> DataFrame:
     """Quotes whose first ``prefix`` characters stand in a known text, or that hold a known text, case aside."""
     head = quotes.select(key, F.left(F.lower(F.trim(quote)), F.lit(prefix)).alias("_head"))
-    texts = known.select(F.xxhash64(known_text).alias("_id"), F.col(known_text).alias("_known")).distinct()
-    inside = contained(texts, "_id", "_known", head, "_head").select(F.trim("_head").alias("_h")).distinct()
+    texts = known.select(F.xxhash64(known_text).alias("_code"), F.col(known_text).alias("_known"))  # a text's copies look alike
+    inside = contained(texts, "_code", "_known", head, "_head").select(F.trim("_head").alias("_h")).distinct()
     one = head.join(inside, F.trim("_head") == F.col("_h"), "left_semi").select(key)
     other = contained(quotes, key, quote, texts, "_known").select(key)
     return quotes.join(one.union(other).distinct(), key, "left_semi").select(key, quote)
