@@ -21,9 +21,12 @@ def records(spark, sf_dir):
     v = F.col("value")
     types = lambda least: F.array_sort(F.collect_set(F.when(v > least, F.col("event_type"))))
     top, n = F.max("value"), F.count("*")
+    # values are added in order of event_id, as the table has them: doubles added in another order can fall on the other side of a half
+    total = F.aggregate(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("event_id", "value")))), F.lit(0.0), lambda a, x: a + x["value"])
+    total = F.when(F.count("value") > 0, total)
     return io.written(
         indexed(spark, sf_dir).groupBy("user_id", F.col("idx").cast("long").alias("idx")).agg(
-            F.round(F.sum("value")).cast("long").alias("words"), F.max("event_type").alias("register"), F.when(top > 95, "ENGAGED").when(top > 60, "BURNOUT").when(top > 40, "CRISIS").alias("wellbeing"), F.count_if(v > 75).alias("n_concerns"),
+            F.round(total).cast("long").alias("words"), F.max("event_type").alias("register"), F.when(top > 95, "ENGAGED").when(top > 60, "BURNOUT").when(top > 40, "CRISIS").alias("wellbeing"), F.count_if(v > 75).alias("n_concerns"),
             F.when(n > 3, "strong").when(n == 3, "moderate").when(n == 2, "limited").otherwise("minimal").alias("depth"), F.round(F.min("value"), 2).alias("unknown_rate"), types(70).alias("themes"), types(50).alias("assets"), types(30).alias("connections"), types(60).alias("readings"), F.lit(False).alias("hours_shifted"),
         ), "records",
     )
