@@ -21,7 +21,8 @@ ACCORDING = rf"(?:according to|as (?:[\p{{L}}]+ ){{0,2}}(?:{SAYS})) +([^.,;]{{4,
 READING = rf"(?:reading|text|article|book|chapter|author|source|document) (?:{SAYS})"
 QUOTES = ('"([^"]{11,80})"', "“([^“”]{11,80})”", "‘([^‘’]{11,80})’")
 #: Punctuation that ends a sentence and no address.
-TAIL = "[.,;:!?)]+$"
+TAIL = r"[.,;:!?)]+\z"
+KINDS = ("url", "doi", "author_year", "according_to", "reading", "quoted_title")
 
 
 def all_of(text: Column, pattern: str, group: int = 0) -> Column:
@@ -42,23 +43,25 @@ def is_skipped(address: Column, hosts: tuple[str, ...], suffixes: tuple[str, ...
 
 
 @io.keyed("key")
-def cited(rows: DataFrame, key: str, text: str = "text", skip_hosts: tuple[str, ...] = ("localhost", "127.0.0.1"), skip_suffixes: tuple[str, ...] = ()) -> DataFrame:
+def cited(rows: DataFrame, key: str, text: str = "text", skip_hosts: tuple[str, ...] = ("localhost", "127.0.0.1"), skip_suffixes: tuple[str, ...] = (), kinds: tuple[str, ...] = KINDS, quotes: tuple[str, ...] = QUOTES) -> DataFrame:
     """key, kind, reference: what each text cites, each once (case aside). Kinds: url, doi, author_year (also the name before a
-    year in brackets), according_to, reading (the course's own, unnamed), quoted_title (of eleven characters, from a capital on)."""
+    year in brackets), according_to, reading (the course's own, unnamed), quoted_title (of eleven characters, from a capital on, in ``quotes``);
+    ``kinds`` says which of them are asked for."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
     bracket = F.transform(all_of(t, rf"\({AUTHORS},? {YEAR}[a-z]?\)"), lambda x: F.concat(F.regexp_extract(x, rf"^\(({AUTHORS}),? {YEAR}", 1), F.lit(" ("), F.regexp_extract(x, f"({YEAR})[a-z]?\\)$", 1), F.lit(")")))
     inline = F.transform(all_of(t, rf"{AUTHORS} \({YEAR}[a-z]?\)"), lambda x: F.regexp_replace(x, r"[a-z]\)$", ")"))
     trimmed = lambda x: F.regexp_replace(x, TAIL, "")
+    stripped = lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", "")
     found = {
         "url": F.filter(F.transform(all_of(t, ADDRESS), trimmed), lambda x: ~is_skipped(x, skip_hosts, skip_suffixes)),
         "doi": F.transform(all_of(t, DOI), lambda x: F.concat(F.lit("https://doi.org/"), trimmed(x))),
         "author_year": F.concat(bracket, inline),
         "according_to": F.transform(all_of(t, f"(?i){ACCORDING}", 1), F.trim),
         "reading": F.transform(F.slice(all_of(t, f"(?i){READING}"), 1, 1), lambda _: F.lit("[course reading]")),
-        "quoted_title": F.filter(F.transform(F.concat(*[all_of(t, q, 1) for q in QUOTES]), F.trim), lambda x: (F.length(x) > 10) & F.rlike(x, F.lit(r"^\p{Lu}"))),
+        "quoted_title": F.filter(F.transform(F.concat(*[all_of(t, q, 1) for q in quotes]), stripped), lambda x: (F.length(x) > 10) & F.rlike(x, F.lit(r"^\p{Lu}"))),
     }
     as_kind = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("reference"))
-    each = rows.select(key, F.explode(F.flatten(F.array(*[F.transform(v, as_kind(k)) for k, v in found.items()]))).alias("c"))
+    each = rows.select(key, F.explode(F.flatten(F.array(*[F.transform(v, as_kind(k)) for k, v in found.items() if k in kinds]))).alias("c"))
     return each.groupBy(key, "c.kind", F.lower("c.reference").alias("_low")).agg(F.min("c.reference").alias("reference")).select(key, "kind", "reference")
 
 
