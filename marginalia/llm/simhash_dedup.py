@@ -10,7 +10,8 @@ Copies never meet as pairs: equal fingerprints are one node. Buckets of two are
 cut into blocks of ``block`` members, every two blocks are compared in some task, and a task returns a star for each group
 that it finds linked, not its pairs. Links are joined into components by alternating large-star and small-star steps.
 
-``near_duplicates`` links texts whose sets of 5-word shingles have a Jaccard similarity of 80 % or more. Candidates agree on the 5
+``near_duplicates`` links texts whose sets of 5-word shingles have a Jaccard similarity of 80 % or more. Candidates are the pairs that covering LSH
+finds within 3 bits of the SimHash of these shingles, none missed. Most pairs at 80 % are farther apart, so to these come pairs that agree on the 5
 MinHash values of one of 32 bands and differ in at most 28 of 128 one-bit MinHash values; a pair at 80 % is missed by all bands
 with probability (1 - 0.8^5)^32 = 3e-6, and by the bits with 2e-5, so recall is high and not certain. The candidates'
 components bound the work: the shingle sets of each are compared exactly, all with all, in blocks as above.
@@ -69,9 +70,11 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
         return 0
-    hashes = shingle_hashes(words, size)
-    if len(words) <= size:
-        return int(hashes[0])
+    return signature(shingle_hashes(words, size))
+
+
+def signature(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     # one count for each bit: over blocks, so that a very long text needs little memory
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
@@ -190,24 +193,27 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, key (of the text), fp (a hash of the words), s0 and s1 (one-bit MinHash values), bands (a hash of each)."""
+    """doc_id, key (of the text), fp (a hash of the words), sim (the SimHash of the shingles), s0 and s1 (one-bit MinHash values), bands (a hash of each)."""
     import xxhash
 
     common.small_batches(documents.sparkSession)
-    names = ["doc_id", "key", "fp", "s0", "s1", "bands"]
+    names = ["doc_id", "key", "fp", "sim", "s0", "s1", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held(None)
         for batch in batches:
             words = [(t.as_py() or b"").lower().split() for t in batch.column("text").cast(pa.binary())]
             fps = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64)
-            least = np.array([minima(shingle_hashes(w, size)) for w in words], np.uint64).reshape(-1, ROWS * BANDS)
+            least, sims = np.empty((len(words), ROWS * BANDS), np.uint64), np.empty(len(words), np.uint64)
+            for i, w in enumerate(words):
+                hashes = shingle_hashes(w, size)
+                least[i], sims[i] = minima(hashes), signature(hashes)
             bits = np.packbits((least[:, :128] * MIX >> np.uint64(63)).astype(bool), axis=1).view(np.int64)
             bands = (least.reshape(-1, BANDS, ROWS) * TIMES[:ROWS]).sum(axis=2, dtype=np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps.view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists], names)
 
-    return documents.select("doc_id", common.text_key().alias("key"), "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, fp long, s0 long, s1 long, bands array<bigint>")
+    return documents.select("doc_id", common.text_key().alias("key"), "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key long, fp long, sim long, s0 long, s1 long, bands array<bigint>")
 
 
 def stars(fps: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -293,11 +299,20 @@ def candidates(nodes: DataFrame, block: int = SKETCH_BLOCK) -> DataFrame:
     return two.union(met).distinct()
 
 
+def simhash_candidates(nodes: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """a and b: links enough to join every two fp whose SimHash differs in ``radius`` bits or fewer, by covering LSH. nodes: distinct fp, with sim."""
+    same = common.spool(nodes.groupBy("sim").agg(F.min("fp").alias("first")), "sims")
+    equal = nodes.select("sim", "fp").join(same, "sim").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    named = lambda c: same.select(F.col("sim").alias(c), F.col("first").alias(f"fp_{c}"))
+    near = links(same.select(F.col("sim").alias("fp")), radius, block).join(named("a"), "a").join(named("b"), "b")
+    return equal.union(near.select("fp_a", "fp_b"))
+
+
 def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, key, fp and component_id for every row: components by exact Jaccard similarity of the candidates' shingles."""
     rows = common.spool(sketches(documents, size), "sketches")
     nodes = common.spool(rows.dropDuplicates(["fp"]), "sketch-nodes")
-    near = components(candidates(nodes, block))
+    near = components(simhash_candidates(nodes, block=block).union(candidates(nodes, block)))
     members = common.spool(near.select(F.col("node").alias("fp"), "root").union(near.select("root", "root").distinct()), "candidates")
     members = members.join(members.groupBy("root").agg(F.count("*").alias("n")), "root")
     chosen = common.spool(nodes.select("fp", F.col("doc_id").alias("d"), F.col("key").alias("k")).join(members, "fp"), "candidate-texts")
