@@ -1,9 +1,13 @@
-"""Column functions over texts. Everything stays on the JVM."""
+"""Column functions over texts. Everything stays on the JVM, but for the counts of words in ``gibberish_reason``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,20 +113,28 @@ def key_walk(length: int = KEY_RUN) -> str:
 
 def gibberish_reason(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key and reason why a text is no language: placeholder text, keyboard walks, words without vowels, or repetition; null
-    if none. Texts under 15 words are not judged. Words are counted, and judged, once for each different one of a text."""
-    each = rows.select(F.monotonically_increasing_id().alias("_row"), key, F.col(text).alias("_text"))
-    each = each.select("_row", key, F.rlike("_text", F.lit("(?i)" + PLACEHOLDERS)).alias("placeholder"), words(F.lower("_text")).alias("w"))
-    # counts by different words: sorted, equal words are neighbours
-    counted = each.select("_row", key, "placeholder", F.size("w").alias("n"), F.explode_outer("w").alias("word")).groupBy("_row", key, "placeholder", "n", "word").agg(F.count("word").alias("times"))
-    counted = counted.select("*", F.btrim("word", F.lit(EDGE_PUNCTUATION)).alias("bare"), F.btrim("word", F.lit(FOLDED_PUNCTUATION)).alias("folded"))
-    long = F.length("bare") >= 3
-    by_fold = counted.groupBy("_row", key, "placeholder", "n", "folded").agg(
-        F.sum("times").alias("times"),
-        F.sum(F.when(long, F.col("times")).otherwise(0)).alias("bare"),
-        F.sum(F.when(long & F.rlike("bare", F.lit(key_walk())), F.col("times")).otherwise(0)).alias("mashed"),
-        F.sum(F.when(long & ~F.rlike("bare", F.lit(f"[{VOWELS}]")), F.col("times")).otherwise(0)).alias("vowelless"),
-    )
-    sums = by_fold.groupBy("_row", key, "placeholder", "n").agg(F.sum("bare").alias("bare"), F.sum("mashed").alias("mashed"), F.sum("vowelless").alias("vowelless"), F.max("times").alias("most"), F.count("folded").alias("different"))
+    if none. Texts under 15 words are not judged. Words are counted, and judged, once for each different one of a text, where the text is: nothing is shuffled."""
+    kind = rows.schema[key].dataType.simpleString()
+    names = [key, "placeholder", "n", "bare", "mashed", "vowelless", "most", "different"]
+    word, walk, vowel = re.compile(r"[^ \t\n\r\f]+"), re.compile(key_walk()), re.compile(f"[{VOWELS}]")
+
+    def counts(low: str | None) -> tuple[int, ...]:
+        times, folded, bare, mashed, vowelless = Counter(word.findall(low or "")), Counter(), 0, 0, 0
+        for w, n in times.items():
+            folded[w.strip(FOLDED_PUNCTUATION)] += n
+            b = w.strip(EDGE_PUNCTUATION)
+            if len(b) >= 3:
+                bare += n
+                mashed += n if walk.search(b) else 0
+                vowelless += 0 if vowel.search(b) else n
+        return times.total(), bare, mashed, vowelless, max(folded.values(), default=0), len(folded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([counts(t.as_py()) for t in batch.column(2)], np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(6))], names)
+
+    sums = rows.select(key, F.rlike(text, F.lit("(?i)" + PLACEHOLDERS)).alias("placeholder"), F.lower(text)).mapInArrow(run, f"`{key}` {kind}, placeholder boolean, " + ", ".join(f"{c} long" for c in names[2:]))
     n, bare = F.col("n"), F.col("bare")
     reason = (
         F.when((n < LEAST_WORDS) | n.isNull(), F.lit(None))
