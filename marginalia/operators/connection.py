@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,21 +143,25 @@ def grounded_concepts(rows: DataFrame, key: str, concepts: str, text: str = "tex
 @io.keyed("key")
 def best_passage(rows: DataFrame, key: str, keywords: list[str], text: str = "text", budget: int = 60) -> DataFrame:
     """key, start, end, n_words: the sentence with the most keywords (the first of equals), and as many sentences around it, the next one
-    first, as fit the budget of words. A sentence is one row; the passage is found by running sums within a text."""
-    cut = rows.select(key, F.posexplode(T.sentences(F.col(text))).alias("i", "sentence"))
-    hit = F.lit(0)
-    for w in keywords:
-        hit = hit + F.contains(F.lower("sentence"), F.lit(w.lower())).cast("int")
-    cut = cut.select(key, "i", hit.alias("hits"), T.word_count(F.col("sentence")).alias("n"))
-    best = cut.groupBy(key).agg(F.min_by("i", F.struct((-F.col("hits")).alias("h"), "i")).alias("best"))
-    cut = cut.join(best, key)
-    after = F.sum("n").over(Window.partitionBy(key, F.col("i") >= F.col("best")).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    before = F.sum("n").over(Window.partitionBy(key, F.col("i") >= F.col("best")).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0))
-    cut = cut.withColumn("after", F.when(F.col("i") >= F.col("best"), after)).withColumn("before", F.when(F.col("i") < F.col("best"), before))
-    taken = cut.groupBy(key, "best").agg(F.max(F.when((F.col("after") <= budget) | (F.col("i") == F.col("best")), F.col("i"))).alias("end"), F.max(F.when((F.col("after") <= budget) | (F.col("i") == F.col("best")), F.col("after"))).alias("used"))
-    cut = cut.join(taken.select(key, "end", "used"), key)
-    return cut.groupBy(key).agg(
-        F.min(F.when((F.col("i") >= F.col("best")) | (F.col("before") + F.col("used") <= budget), F.col("i"))).alias("start"),
-        F.max("end").alias("end"),
-        F.sum(F.when(((F.col("i") >= F.col("best")) & (F.col("i") <= F.col("end"))) | (F.col("before") + F.col("used") <= budget), F.col("n"))).alias("n_words"),
-    )
+    first, as fit the budget of words. A row's sentences are numbers (keywords, words) in two arrays: the passage is found by running sums over them, in the
+    row's own task. A text without sentences has no passage."""
+    hits = lambda s: sum((F.contains(F.lower(s), F.lit(w.lower())).cast("int") for w in keywords), F.lit(0))
+    kind = rows.schema[key].dataType.simpleString()
+    cut = rows.select(key, T.sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
+    cut = cut.select(key, F.transform("s", hits).alias("hits"), F.transform("s", T.word_count).alias("n"))
+
+    def passage(hit: np.ndarray, n: np.ndarray) -> tuple[int, int, int]:
+        best = int(hit.argmax())
+        after = np.cumsum(n[best:])
+        fits = max(int(np.searchsorted(after, budget, "right")), 1)
+        before = np.cumsum(n[:best][::-1])
+        back = int(np.searchsorted(before, budget - after[fits - 1], "right"))
+        return best - back, best + fits - 1, int(after[fits - 1] + (before[back - 1] if back else 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(batch.column(1), batch.column(2), strict=True)
+            found = np.array([passage(h.values.to_numpy(), n.values.to_numpy()) for h, n in each], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2])], [key, "start", "end", "n_words"])
+
+    return cut.mapInArrow(run, f"`{key}` {kind}, start int, end int, n_words long")
