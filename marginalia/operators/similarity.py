@@ -62,7 +62,7 @@ def close_pairs(rows: DataFrame, cohort: str, key: str, vector: str, levels: tup
     return out.withColumnRenamed("cohort", cohort)
 
 
-PIVOTS, SLACK = 48, 1e-9
+PIVOTS, SLACK, VISITORS = 48, 1e-9, 4096
 
 
 def pivots_of(rows: DataFrame, most: int = PIVOTS) -> DataFrame:
@@ -87,25 +87,23 @@ def listed_pairs(rows: DataFrame, cohort: str, key: str, vector: str, least: flo
     plain = unit(rows, vector).select(F.col(cohort).alias("cohort"), F.col(key).alias("key"), F.col(vector).alias("vector"))
     kinds = {c: plain.schema[c].dataType.simpleString() for c in ("cohort", "key")}
     same = io.written(plain.groupBy("cohort", "vector").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "different-vectors")
-    held = io.join_same(same, pivots_of(same, pivots), ["cohort"], "inner")
+    # pivots go once to every VISITORS vectors of a cohort, not beside each of them
+    of = same.groupBy("cohort").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("of"))
+    dealt = io.join_same(same, of, ["cohort"], "inner").withColumn("part", F.pmod(F.xxhash64("vector", F.lit("visit")), "of").cast("int")).drop("of")
+    given = io.join_same(pivots_of(same, pivots), of, ["cohort"], "inner").select(F.col("cohort").alias("theirs"), "pivots", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("place"))
     names = ["cohort", "key", "copies", "vector", "cell", "inner", "far"]
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, lists, at = matrix(batch.column("vector")), batch.column("pivots"), 0
-            cuts = [*np.flatnonzero([a != b for a, b in zip(batch.column("cohort").to_pylist()[1:], batch.column("cohort").to_pylist()[:-1], strict=True)]).tolist(), len(batch) - 1]
-            for end in cuts if len(batch) else []:
-                part, p = v[at : end + 1], np.array(lists[at].as_py(), np.float64)
-                d = np.sqrt(np.maximum(0.0, (part * part).sum(1)[:, None] - 2 * part @ p.T + (p * p).sum(1)))
-                own = d.argmin(1)
-                go = (d - d[np.arange(len(d)), own][:, None]) / 2 <= apart + SLACK
-                go &= np.arange(len(p))[None, :] >= own[:, None]  # a pair meets in the later cell
-                row, cell = np.nonzero(go)
-                picked = batch.slice(at, end + 1 - at).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*(picked.column(c) for c in names[:4]), pa.array(cell, pa.int32()), pa.array(own[row] == cell), pa.array(d[row, cell])], names)
-                at = end + 1
-
-    sent = io.written(held.sortWithinPartitions("cohort").mapInArrow(visits, f"cohort {kinds['cohort']}, key {kinds['key']}, copies long, vector array<double>, cell int, inner boolean, far double"), "visits")
+    def visits(group: tuple, table: pa.Table, given: pa.Table) -> pa.Table:
+        v, p = matrix(table.column("vector")), np.array(given.column("pivots")[0].as_py(), np.float64)
+        d = np.sqrt(np.maximum(0.0, (v * v).sum(1)[:, None] - 2 * v @ p.T + (p * p).sum(1)))
+        own = d.argmin(1)
+        go = (d - d[np.arange(len(d)), own][:, None]) / 2 <= apart + SLACK
+        go &= np.arange(len(p))[None, :] >= own[:, None]  # a pair meets in the later cell
+        row, cell = np.nonzero(go)
+        picked = table.select(names[:4]).take(pa.array(row))
+        return pa.table([*picked.columns, pa.array(cell, pa.int32()), pa.array(own[row] == cell), pa.array(d[row, cell])], names)
+
+    sent = io.written(dealt.groupBy("cohort", "part").cogroup(given.groupBy("theirs", "place")).applyInArrow(visits, f"cohort {kinds['cohort']}, key {kinds['key']}, copies long, vector array<double>, cell int, inner boolean, far double"), "visits")
     cell = ["cohort", "cell"]
     radii = sent.where("inner").groupBy(*cell).agg(F.max("far").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("n_inner"))
     near = io.join_same(sent, radii, cell, "inner").where(F.col("inner") | (F.col("far") <= F.col("radius") + apart + SLACK)).drop("radius", "far")

@@ -104,3 +104,18 @@ def test_class_kmeans(spark):
     assert similarity.class_kmeans(df.limit(0), "c", "i", "v").count() == 0
     same = spark.createDataFrame([("x", i, [1.0, 2.0]) for i in range(10)], "c string, i long, v array<double>")
     assert similarity.class_kmeans(same, "c", "i", "v").count() == 10
+
+
+def test_pivots_are_not_sent_beside_each_vector(spark, monkeypatch):
+    """A worker that visits cells holds a few thousand vectors and their cohort's pivots once, however large the cohort."""
+    monkeypatch.setattr(similarity, "VISITORS", 100)
+    rows = clustered()
+    df = spark.createDataFrame(rows, "c string, i long, v array<double>")
+    held, given = [], similarity.pivots_of
+    monkeypatch.setattr(similarity, "pivots_of", lambda same, most: held.append(out := given(same, most)) or out)
+    plans, whole = [], similarity.io.written
+    monkeypatch.setattr(similarity.io, "written", lambda d, name: plans.append((name, d._jdf.queryExecution().optimizedPlan().toString())) or whole(d, name))
+    got = similarity.listed_pairs(df, "c", "i", "v", 0.9)
+    found = {(r["c"], r["a"], r["b"]): (round(r["cosine"], 9), r["n_a"], r["n_b"]) for r in got.collect()}
+    assert found == brute(rows, 0.9) and held
+    assert "FlatMapCoGroupsInArrow" in dict(plans)["visits"]
