@@ -101,3 +101,15 @@ def test_kinds(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[-1]: (r["text"], r["how"]) for r in files.attachments(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": ("\n".join(WANT), "pdf"), "b.pdf": (None, "damaged"), "c.pdf": (None, "locked"), "d.doc": (None, "unknown"), "e.txt": ("plain", "text"), "f.docx": (None, "damaged")}
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Thirty files to a task was what Spark gives; names with folders, and a maker for each kind."""
+    from marginalia.sources import files, pdf
+
+    rows = spark.range(1500).selectExpr("id", "concat(id % 5, '/', id, if(id % 2 = 0, '.txt', '.pdf')) as name", "concat('text (', id, ')\\nñ') as text", "id % 2 as k")
+    assert files.write_files(rows, "name", "text", str(tmp_path), {0: str.encode, 1: pdf.made}, "k") == 1500
+    found = files.attachments(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    got = {int(r["path"].rsplit("/", 1)[1].split(".")[0]): (r["text"], r["how"]) for r in found.collect()}
+    assert got == {i: (f"text ({i})\nñ", "pdf" if i % 2 else "text") for i in range(1500)}
