@@ -274,3 +274,27 @@ def test_names_go_longest_first(spark):
     rows = spark.createDataFrame([(1, "g", "Ann Lee met ann, not Anna (Lee)"), (2, "h", "Ann")], "k int, g string, text string")
     names = spark.createDataFrame([("g", "Ann", "Student B"), ("g", "Ann Lee", "Student A"), ("g", "", "x")], "g string, n string, a string")
     assert rows_of(files.without_names(rows, "g", "text", names, "n", "a"), "k", "text") == [(1, "Student A met Student B, not Anna (Lee)"), (2, "Ann")]
+
+
+def test_likeness_is_difflibs(monkeypatch):
+    """Exact, for popular characters, repeats, copies and texts with more ends of runs than are kept; long texts in a small part of the time."""
+    import difflib
+    import random
+    import time
+
+    r = random.Random(5)
+    want = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    for most in (drafts.MOST_ENDS, 3):
+        monkeypatch.setattr(drafts, "MOST_ENDS", most)
+        for _ in range(300):
+            letters = "abcdefghijklmnopqrstuvwxyz"[: r.choice([1, 2, 8, 26])] + r.choice(["", "éñ漢字", "".join(map(chr, range(300, 420)))])
+            n = r.choice([0, 1, 5, 60, 199, 200, 230, 500])
+            b = "".join(r.choices(letters, k=n))
+            a = r.choice([b, b[::-1], b[: n // 3] + "".join(r.choices(letters, k=r.choice([0, 3, 50, 300]))) + b[n // 2 :]])
+            assert drafts.likeness(a, b) == want(a, b)
+    monkeypatch.undo()
+    a, b = (" ".join("".join(r.choices("eeeettaaooinshrdluzxq", k=r.randint(2, 9))) for _ in range(n)) for n in (4000, 700))
+    start = time.perf_counter()
+    got = drafts.likeness(a, b)
+    middle = time.perf_counter()
+    assert got == want(a, b) and middle - start < (time.perf_counter() - middle) / 3
