@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
@@ -41,19 +43,51 @@ def word_frequency(rows: DataFrame, k: int = 30, stop: Iterable[str] = T.STOPWOR
     return rows.select(F.explode(T.tokens(F.col("text"), stop)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
+def counted(rows: DataFrame, keys: list[str], terms: Column) -> DataFrame:
+    """keys, terms and counts: the different terms of an array column, each with its number, in one row for each different keys. Rows are counted
+    where they are; only rows whose keys come again are shuffled, to be added. Rows without terms may be missing."""
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    names = [*keys, "terms", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            coded = lists.flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            found, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(found, np.arange(len(lists) + 1) * size), pa.int32())
+            values = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(found % size)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values, pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))], names)
+
+    out = io.written(rows.select(*keys, F.coalesce(terms, F.array().cast("array<string>"))).mapInArrow(run, f"{kinds}terms array<string>, counts array<bigint>"), "counted")
+    again = out.groupBy(*keys).agg(F.count("*").alias("n_again")).where("n_again > 1")
+    if again.isEmpty():
+        return out
+    added = each_term(io.join_same(out, again, keys, "left_semi"), keys).groupBy(*keys, "term").agg(F.sum("n").alias("n"))
+    added = added.groupBy(*keys).agg(F.collect_list(F.struct("term", "n")).alias("l")).select(*keys, F.col("l.term").alias("terms"), F.col("l.n").alias("counts"))
+    return io.written(io.join_same(out, again, keys, "left_anti").unionAll(added), "counted")
+
+
+def each_term(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, n: a row for each term of ``counted``."""
+    return found.select(*keys, F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(*keys, F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+
+
 @io.keyed("key", "cohort")
 def term_weights(rows: DataFrame, key: str, cohort: str, min_df: int = 2, max_df: float = 0.9, vocabulary: int = 500) -> DataFrame:
     """cohort, key, term, weight: tf times ln((1 + n) / (1 + df)) + 1, scaled to length 1 in each row, over the
     ``vocabulary`` terms of the cohort with the highest counts (ties by term)."""
-    tf = rows.select(cohort, key, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(cohort, key, "term").agg(F.count("*").alias("tf"))
+    tf = each_term(counted(rows, [cohort, key], T.tokens(F.col("text"))), [cohort, key]).withColumnRenamed("n", "tf")
     n = rows.groupBy(cohort).agg(F.count("*").alias("n_rows"))
     terms = tf.groupBy(cohort, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).join(n, cohort)
     terms = terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_rows")))
     rank = F.row_number().over(Window.partitionBy(cohort).orderBy(F.desc("total"), "term"))
     kept = terms.withColumn("rank", rank).where(F.col("rank") <= vocabulary).select(cohort, "term", (F.log((1.0 + F.col("n_rows")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighted = tf.join(kept, [cohort, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cohort, key)))
-    return weighted.select(cohort, key, "term", (F.col("w") / length).alias("weight"))
+    # kept is small: written, so that its size is known before the terms of rows are dealt out to meet it
+    weighted = tf.join(io.written(kept, "kept-terms"), [cohort, "term"]).select(cohort, key, F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    own = weighted.groupBy(cohort, key).agg(F.collect_list("x").alias("xs"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("length"))
+    return own.select(cohort, key, "length", F.explode("xs").alias("x")).select(cohort, key, F.col("x.term").alias("term"), (F.col("x.w") / F.col("length")).alias("weight"))
 
 
 @io.keyed("key", "cohort")

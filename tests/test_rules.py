@@ -298,3 +298,16 @@ def test_likeness_is_difflibs(monkeypatch):
     got = drafts.likeness(a, b)
     middle = time.perf_counter()
     assert got == want(a, b) and middle - start < (time.perf_counter() - middle) / 3
+
+
+def test_terms_are_counted_in_place(spark):
+    """A row for each different keys, nulls and repeated keys added; the terms of single rows are never shuffled."""
+    from marginalia.operators import lexicon
+
+    rows = [(1, "a", ["x", "y", "x"]), (2, "a", ["y"]), (2, "a", ["y", "z"]), (None, None, ["x"]), (None, None, ["x", "é"]), (3, "b", []), (4, "b", None), (2, "c", ["z"])]
+    df = spark.createDataFrame(rows, "k long, g string, t array<string>").repartition(3)
+    found = lexicon.counted(df, ["k", "g"], F.col("t"))
+    got = {(r["k"], r["g"]): dict(zip(r["terms"], r["counts"], strict=True)) for r in found.collect() if r["terms"]}
+    assert got == {(1, "a"): {"x": 2, "y": 1}, (2, "a"): {"y": 2, "z": 1}, (None, None): {"x": 2, "é": 1}, (2, "c"): {"z": 1}}
+    assert len(lexicon.each_term(found, ["k", "g"]).collect()) == 7
+    assert lexicon.counted(df.limit(0), ["k", "g"], F.col("t")).count() == 0
