@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators import lexicon
 from marginalia.sources import io
 
 #: Bands of likeness to the task, and of the share of a class that mentions a reference.
@@ -36,8 +37,7 @@ def prompt_connection(rows: DataFrame, key: str, prompt: str, prompts: DataFrame
 
     Documents of a prompt are its rows and the prompt itself: idf = ln((1 + N) / (1 + df)) + 1.
     """
-    mine = rows.select(key, prompt, F.explode(terms(F.col(text))).alias("term")).groupBy(key, prompt, "term").agg(F.count("*").alias("n"))
-    mine = io.written(mine, "connection-terms")
+    mine = lexicon.each_term(lexicon.counted(rows, [key, prompt], terms(F.col(text))), [key, prompt])
     theirs = prompt_weights(prompts, prompt, text)
     df = mine.groupBy(prompt, "term").agg(F.count("*").alias("df"))
     total = rows.groupBy(prompt).agg((F.count("*") + 1).alias("total"))
