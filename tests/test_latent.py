@@ -43,3 +43,19 @@ def test_low_rank_and_edges(spark):
     assert np.allclose(np.abs(again[:, :3]), np.abs(m[:, :3]), atol=1e-6)
     none, zero = latent.text_vectors(df.limit(0), "v", "k", "w", size=4)
     assert none.count() == 0 and zero == [0.0] * 4
+
+
+def test_many_terms_the_same_vectors(spark, monkeypatch):
+    """Terms in every task or joined: the same values and vectors, whatever their type; and texts are shuffled once."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 60, int(rng.integers(50)), float(rng.random())) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, t long, w double")
+    stored, whole = [], latent.io.written
+    monkeypatch.setattr(latent.io, "written", lambda d, name: stored.append(name) or whole(d, name))
+    vectors, singular = latent.text_vectors(df, "k", "t", "w", size=5)
+    narrow = np.array([r["vector"] for r in vectors.orderBy("k").collect()])
+    assert stored == ["latent-texts", "latent-terms"]
+    monkeypatch.setattr(latent, "MOST_TERMS", 10)
+    vectors, other = latent.text_vectors(df, "k", "t", "w", size=5)
+    wide = np.array([r["vector"] for r in vectors.orderBy("k").collect()])
+    assert np.allclose(singular, other) and np.allclose(narrow @ narrow.T, wide @ wide.T)
