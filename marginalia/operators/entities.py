@@ -83,17 +83,30 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SALTS = (np.arange(1, 14, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def features(words: Sequence[Sequence[str]]) -> np.ndarray:
-    """(token, feature) buckets of all tokens of some sentences, one after the other."""
+HELD = 1 << 17  # words whose hashes a worker keeps
+_hashes: dict[str, tuple[int, ...]] = {}
+
+
+def hashes(words: Sequence[str]) -> np.ndarray:
+    """(word, 4): hashes of each different word, of its shape, head and tail; of the edge in the last row. Words come again in other texts: they are kept."""
     from pandas.util import hash_array
 
+    hashed = lambda values: hash_array(np.array([*values, "<edge>"], object), categorize=False)
+    if len(_hashes) > HELD:
+        _hashes.clear()
+    new = [w for w in words if w not in _hashes]
+    found = np.stack([hashed(w.lower() for w in new), hashed(map(shape, new)), hashed(w[:3] for w in new), hashed(w[-3:].lower() for w in new)], 1)
+    _hashes.update(zip(new, map(tuple, found.tolist()), strict=False))
+    return np.concatenate([np.array([_hashes[w] for w in words], np.uint64).reshape(-1, 4), found[-1:]])
+
+
+def features(words: Sequence[Sequence[str]]) -> np.ndarray:
+    """(token, feature) buckets of all tokens of some sentences, one after the other."""
     lengths = np.array([len(s) for s in words], np.int64)
     flat = [w for s in words for w in s]
     known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     unique = list(known)
-    hashed = lambda values: hash_array(np.array([*values, "<edge>"], object), categorize=False)
-    low, form = hashed(w.lower() for w in unique), hashed(map(shape, unique))
-    head, tail = hashed(w[:3] for w in unique), hashed(w[-3:].lower() for w in unique)
+    low, form, head, tail = hashes(unique).T
     n, edge = len(flat), len(unique)
     # two edges around every sentence, so that a neighbour of its first word is no word of the one before
     place = np.arange(n) + 2 * np.repeat(np.arange(len(lengths)), lengths) + 2
@@ -120,16 +133,18 @@ def viterbi(emissions: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> li
             best[: len(running)] = moves[T] + here
             continue
         paths = best[: len(running), :, None] + moves[None, :T]
-        back[i, : len(running)] = paths.argmax(1)
-        best[: len(running)] = paths.max(1) + here
+        back[i, : len(running)] = top = paths.argmax(1)
+        best[: len(running)] = np.take_along_axis(paths, top[:, None], 1)[:, 0] + here
+    # back from the last position: a sentence joins in where it ends
+    now, tags, ranked = best.argmax(1), np.zeros((len(lengths), n), np.int64), lengths[order]
+    for i in range(n - 1, -1, -1):
+        running = int((ranked > i).sum())
+        tags[:running, i] = now[:running]
+        if i:
+            now[:running] = back[i, np.arange(running), now[:running]]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lengths)
     for k, s in enumerate(order.tolist()):
-        tags = np.zeros(lengths[s], np.int64)
-        if len(tags):
-            tags[-1] = best[k].argmax()
-            for i in range(len(tags) - 1, 0, -1):
-                tags[i - 1] = back[i, k, tags[i]]
-        out[s] = tags
+        out[s] = tags[k, : lengths[s]]
     return out
 
 
@@ -143,7 +158,7 @@ class Tagger:
         emissions = self.weights[f].sum(1) if len(f) else np.zeros((0, T))
         return viterbi(emissions, self.moves, np.array([len(s) for s in words], np.int64))
 
-    def spans(self, texts: Sequence[str | None], together: int = 512) -> list[list[tuple[int, int, str]]]:
+    def spans(self, texts: Sequence[str | None], together: int = 1024) -> list[list[tuple[int, int, str]]]:
         """Of each text (start, end, label). Sentences are decoded so many together."""
         cut = [(i, s) for i, t in enumerate(texts) if t for s in sentences(t)]
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]

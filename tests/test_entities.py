@@ -91,3 +91,17 @@ def test_edges(spark):
     empty = e.learn(["nothing here"])
     assert empty.spans(["and Dr. Anna Price", None, ""]) == [[], [], []]
     assert e.tag(spark.createDataFrame(rows, "k long, body string").limit(0), model, "k", "body").count() == 0
+
+
+def test_kept_hashes_change_nothing(monkeypatch):
+    """Words that a worker has met before, or has dropped, get the same features; and a word's hashes are made once."""
+    from marginalia.operators import entities
+
+    words = [["The", "Ministry", "of", "Ärger", "."], ["The", "the", "U.S."], [], ["."]]
+    monkeypatch.setattr(entities, "_hashes", {})
+    first = entities.features(words)
+    seen, shape = [], entities.shape
+    monkeypatch.setattr(entities, "shape", lambda w: seen.append(w) or shape(w))
+    assert (entities.features(words) == first).all() and not seen
+    monkeypatch.setattr(entities, "HELD", 3)
+    assert (entities.features(words) == first).all() and len(seen) == 7
